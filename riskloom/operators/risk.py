@@ -43,7 +43,8 @@ def collapse_commits(commits: DataFrame, key_cols=("repo_id", "sha"),
                         bugs_agg.alias("bug_ids"),
                         F.max_by("author", seq_col).alias("author"),
                         F.max_by("message", seq_col).alias("message"),
-                        F.max(seq_col).alias(seq_col)))
+                        F.max(seq_col).alias(seq_col),
+                        F.count(F.lit(1)).alias("n_rows")))
 
 
 def enrich_matches(matches: DataFrame, commits: DataFrame, *,
