@@ -140,7 +140,7 @@ def explode_diffs(spark, sf_dir):
     """S3: nested commit batches (commit -> array of file diffs) exploded in list order."""
     f = fx(spark, sf_dir, "fx_file_diffs")
     nested = (f.groupBy("repo_id", "sha")
-               .agg(F.sort_array(F.collect_list(F.struct("file_idx", "file_path", "diff", "file_content"))).alias("d"))
+               .agg(F.sort_array(F.collect_list(F.struct("file_idx", "file_path", F.lit(None).cast("string").alias("language"), "diff", "file_content"))).alias("d"))
                .select("repo_id", "sha", F.transform("d", lambda s: s.dropFields("file_idx")).alias("diffs")))
     e = SC.explode_diffs(nested)
     return e.select("repo_id", "sha", "file_pos", "file_path", F.md5("diff").alias("diff_md5"))
