@@ -117,6 +117,13 @@ SELECT DISTINCT concat('c', CAST(l_orderkey AS STRING)) AS sha,
 FROM lineitem
 """
 
+# Functions contained in the graph's files (for blast-radius function lists).
+FX["fx_contains"] = """
+SELECT DISTINCT concat('f', CAST(l_suppkey AS STRING)) AS file_path,
+  concat('fn_', CAST(l_partkey % 7 AS STRING)) AS function_name
+FROM lineitem WHERE l_orderkey % 50 = 7
+"""
+
 FX["fx_outcome_events"] = """
 SELECT event_id, ts, md5(CAST(user_id AS STRING)) AS commit_sha,
   CASE event_type WHEN 'error' THEN 'ci' WHEN 'purchase' THEN 'revert'
@@ -164,7 +171,7 @@ FX_SOURCES = {
     "fx_vectors": ("embeddings",), "fx_file_diffs": ("part",),
     "fx_patches": ("part",), "fx_imports": ("supplier",),
     "fx_uses_table": ("lineitem",), "fx_calls_api": ("lineitem",),
-    "fx_modifies": ("lineitem",), "fx_outcome_events": ("events",),
+    "fx_modifies": ("lineitem",), "fx_contains": ("lineitem",), "fx_outcome_events": ("events",),
     "fx_warnings": ("events",),
 }
 
