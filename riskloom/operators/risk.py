@@ -114,7 +114,7 @@ def assemble_warnings(ranked: DataFrame, queries: DataFrame, *,
                        F.col("function_name").alias("query_function"),
                        F.col("file_path").alias("query_path"),
                        *[c for c in ("start_line", "end_line") if c in queries.columns])
-    w = high_risk(ranked).join(q, "query_seq")
+    w = high_risk(ranked).drop("query_sha").join(q, "query_seq")
     fb = S.fallback_explanation("score", "outcome")
     if explanation is not None:
         w = w.join(explanation, ["query_seq", "match_seq"], "left")

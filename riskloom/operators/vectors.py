@@ -97,20 +97,20 @@ def embed_hashed_long(df: DataFrame, id_cols: list[str], text_col: str,
 
 
 def densify(long: DataFrame, id_cols: list[str], dims: int = DIMS,
-            out_col: str = "vector") -> DataFrame:
-    """Long (ids, bucket, weight) -> dense array<float> of ``dims`` entries per id."""
+            out_col: str = "vector", dtype: str = "float") -> DataFrame:
+    """Long (ids, bucket, weight) -> dense array of ``dims`` entries per id."""
     m = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))
     return (long.groupBy(*id_cols).agg(m.alias("_m"))
                 .select(*id_cols, F.transform(
                     F.sequence(F.lit(0), F.lit(dims - 1)),
-                    lambda i: F.coalesce(F.element_at("_m", i.cast("bigint")), F.lit(0.0)).cast("float"),
+                    lambda i: F.coalesce(F.element_at("_m", i.cast("bigint")), F.lit(0.0)).cast(dtype),
                 ).alias(out_col)))
 
 
 def embed_hashed(df: DataFrame, id_cols: list[str], text_col: str,
-                 dims: int = DIMS, out_col: str = "vector") -> DataFrame:
+                 dims: int = DIMS, out_col: str = "vector", dtype: str = "float") -> DataFrame:
     """Default text -> unit vector function (dense)."""
-    return densify(embed_hashed_long(df, id_cols, text_col, dims), id_cols, dims, out_col)
+    return densify(embed_hashed_long(df, id_cols, text_col, dims), id_cols, dims, out_col, dtype)
 
 
 # ---------------------------------------------------------------- E5 -------
@@ -123,7 +123,7 @@ def embed_dedup(df: DataFrame, key_cols: list[str], hash_col: str, text_col: str
     only hashes absent from it are embedded (left anti join), which is the
     set-based form of the reference's per-function cache lookup.
     """
-    embed = embed or (lambda d, ids, col: embed_hashed(d, ids, col, dims))
+    embed = embed or (lambda d, ids, col: embed_hashed(d, ids, col, dims, dtype="double"))
     ids = [*key_cols, hash_col]
     distinct = df.select(*ids, text_col).dropDuplicates(ids)
     if known is not None:
