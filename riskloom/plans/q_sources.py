@@ -1,3 +1,112 @@
-"""Queries (to be filled)."""
+"""Source/sink queries: repository dimension, backfill, vector table scans."""
 
-from .catalog import query  # noqa: F401
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import diffs as D
+from ..operators import reverts as RV
+from ..operators import vectors as V
+from ..sources import commits as SC
+from ..sources import sinks as SK
+from .catalog import query
+from .fixtures import cte, fx, table
+from .q_diffs import _BLOCKS_SQL, _RANGES_SQL
+
+_NORM = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^git@', ''), '^https?://', ''), '^([^:]*):', '\\1/'), '\\.git$', '')"
+
+
+@query("repo_dimension", cte("fx_commits") + f""",
+ex AS (SELECT DISTINCT repo_id FROM fx_commits),
+inc AS (SELECT DISTINCT {_NORM} AS repo_id FROM pages UNION SELECT repo_id FROM fx_commits),
+nw AS (SELECT repo_id FROM inc EXCEPT SELECT repo_id FROM ex)
+SELECT sha256(repo_id) AS id, repo_id, regexp_extract(repo_id, '([^/]*)$', 1) AS name FROM ex
+UNION ALL SELECT sha256(repo_id), repo_id, regexp_extract(repo_id, '([^/]*)$', 1) FROM nw
+""")
+def repo_dimension(spark, sf_dir):
+    """Get-or-create repositories (existing from the commits, incoming from page URLs as remotes)."""
+    c = fx(spark, sf_dir, "fx_commits")
+    existing = c.select("repo_id").distinct().select(F.sha2("repo_id", 256).alias("id"), "repo_id",
+                                                     S.repo_name_from_id("repo_id").alias("name"))
+    incoming = (table(spark, sf_dir, "pages").select(S.normalize_repo_id("url").alias("repo_id"))
+                .unionByName(c.select("repo_id")))
+    return SC.upsert_repositories(existing, incoming)
+
+
+def _backfill_functions(spark, sf_dir):
+    files = SC.cap_files_per_commit(fx(spark, sf_dir, "fx_file_diffs"))
+    files = D.by_file(files, ["file_id"])
+    ch = D.changed_functions(files, ["file_id"])
+    meta = files.select("file_id", "repo_id", "sha")
+    return ch.join(meta, "file_id")
+
+
+@query("backfill_vectors")
+def backfill_vectors(spark, sf_dir):
+    """Backfill job — capped files -> changed functions -> embed once per
+    code hash -> vector rows with deterministic ids (rows-only check)."""
+    fns = _backfill_functions(spark, sf_dir).withColumn("code_hash", S.code_hash("new_body"))
+    vec = V.embed_dedup(fns, ["repo_id"], "code_hash", "new_body")
+    vec = SK.with_id(vec, "repo_id", "sha", "file_path", "function_name")
+    return vec.select("id", "repo_id", F.col("sha").alias("commit_sha"), "function_name", "file_path", "code_hash",
+                      F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+
+
+_CAPPED = """
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, sha ORDER BY file_idx) AS kr
+                          FROM fx_file_diffs WHERE file_path LIKE '%.py') t WHERE kr <= 5),"""
+_BACKFILL_SQL = (cte("fx_file_diffs", "fx_commits") + "," + _CAPPED
+                 + _RANGES_SQL.split(cte("fx_file_diffs") + ",", 1)[1].replace(
+                     "FROM fx_file_diffs\n       WHERE file_path LIKE '%.py'", "FROM capped")
+                 + ", " + _BLOCKS_SQL.replace("FROM fx_file_diffs WHERE file_path LIKE '%.py'", "FROM capped"))
+
+
+@query("backfill_summary", _BACKFILL_SQL + """,
+hit AS (SELECT blk.file_id, blk.name, row_number() OVER (PARTITION BY blk.file_id, blk.name ORDER BY rg.range_idx, blk.func_idx) AS k
+        FROM rg JOIN blk ON blk.file_id = rg.file_id AND rg.start_line <= blk.end_line AND rg.end_line >= blk.start_line),
+fnc AS (SELECT c.repo_id, count(*) AS n FROM hit JOIN capped c ON c.file_id = hit.file_id WHERE k = 1 GROUP BY c.repo_id),
+cm AS (SELECT repo_id, sha FROM fx_commits UNION SELECT repo_id, sha FROM fx_file_diffs),
+wd AS (SELECT DISTINCT repo_id, sha FROM capped)
+SELECT cm.repo_id, count(*) AS n_commits, count(wd.sha) AS commits_with_diffs, count(*) - count(wd.sha) AS commits_skipped,
+  coalesce(any_value(fnc.n), 0) AS functions_embedded
+FROM cm LEFT JOIN wd ON wd.repo_id = cm.repo_id AND wd.sha = cm.sha LEFT JOIN fnc ON fnc.repo_id = cm.repo_id
+GROUP BY cm.repo_id
+""")
+def backfill_summary(spark, sf_dir):
+    """Backfill counters per repository — commits, commits with (capped,
+    supported) diffs, skipped commits, functions embedded."""
+    c = fx(spark, sf_dir, "fx_commits").select("repo_id", "sha")
+    f = fx(spark, sf_dir, "fx_file_diffs")
+    commits = c.unionByName(f.select("repo_id", "sha")).distinct()
+    capped = SC.cap_files_per_commit(f)
+    wd = capped.select("repo_id", "sha").distinct().withColumn("_has", F.lit(1))
+    fns = _backfill_functions(spark, sf_dir).groupBy("repo_id").agg(F.count(F.lit(1)).alias("functions_embedded"))
+    j = commits.join(wd, ["repo_id", "sha"], "left")
+    agg = j.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_commits"),
+                                   F.count("_has").alias("commits_with_diffs"))
+    return (agg.join(fns, "repo_id", "left")
+               .select("repo_id", "n_commits", "commits_with_diffs",
+                       (F.col("n_commits") - F.col("commits_with_diffs")).alias("commits_skipped"),
+                       F.coalesce("functions_embedded", F.lit(0)).alias("functions_embedded")))
+
+
+@query("delete_repo", cte("fx_vectors") + """
+SELECT repo_id, count(*) AS n_vectors FROM fx_vectors WHERE repo_id <> 'repo1' GROUP BY repo_id
+""")
+def delete_repo(spark, sf_dir):
+    """The vector table after deleting one repository (repo1)."""
+    v = SK.without_repo(fx(spark, sf_dir, "fx_vectors"), "repo1")
+    return v.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_vectors"))
+
+
+@query("vector_scan_preview", cte("fx_functions") + """
+SELECT seq, substr(commit_sha, 1, 12) AS sha12, function_name, file_path, substr(code_body, 1, 80) AS body80
+FROM fx_functions ORDER BY seq LIMIT 20
+""")
+def vector_scan_preview(spark, sf_dir):
+    """Scroll preview — first 20 points, short sha, body prefix, no vectors (the limit is the feature)."""
+    f = fx(spark, sf_dir, "fx_functions")
+    return (f.select("seq", F.substring("commit_sha", 1, 12).alias("sha12"), "function_name", "file_path",
+                     F.substring("code_body", 1, 80).alias("body80"))
+             .orderBy("seq").limit(20))
