@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..session import ensure_checkpoint_dir
-from .vectors import _blocked
+from .vectors import DIMS, _blocked, _matrix, _vec_cols
 
 
 def exact_duplicates(df: DataFrame, *, keys=("repo_id",), id_col="seq", text_col="code_body") -> DataFrame:
@@ -38,14 +38,13 @@ def exact_duplicates(df: DataFrame, *, keys=("repo_id",), id_col="seq", text_col
              .where(F.col("n_copies") > 1))
 
 
-def _forest_fn(key_names, threshold: float, same_side: bool):
+def _forest_fn(key_names, threshold: float, dims: int):
     def fn(key, q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         cols = {"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")}
         if len(q) == 0 or len(h) == 0:
             out = pd.DataFrame(cols)
         else:
-            qm = np.stack(q["_v"].to_numpy()).astype(np.float64, copy=False)
-            hm = np.stack(h["_v"].to_numpy()).astype(np.float64, copy=False)
+            qm, hm = _matrix(q, dims), _matrix(h, dims)
             qi, hi = q["_id"].to_numpy(np.int64), h["_id"].to_numpy(np.int64)
             ii, jj = np.nonzero(qm @ hm.T >= threshold)
             # union-find over the ids of this block pair -> spanning forest
@@ -77,25 +76,27 @@ def _forest_fn(key_names, threshold: float, same_side: bool):
 
 
 def similarity_forest(vectors: DataFrame, *, keys=("repo_id",), id_col="seq", vec_col="vector",
-                      threshold: float = 0.9, block_rows: int = 2048) -> DataFrame:
+                      threshold: float = 0.9, block_rows: int = 2048,
+                      sparse: tuple[str, str] | None = None, dims: int = DIMS) -> DataFrame:
     """Edges (keys, a, b) of a spanning forest of the cosine >= threshold graph
     within each key (connectivity-preserving, bounded per block pair)."""
     keys = list(keys)
-    base = vectors.select(*keys, F.col(id_col).cast("bigint").alias("_id"), F.col(vec_col).alias("_v"))
+    base = vectors.select(*keys, F.col(id_col).cast("bigint").alias("_id"), *_vec_cols(vectors, vec_col, sparse))
+    vnames = ["_i", "_x"] if sparse else ["_v"]
     b = _blocked(base, keys, "_id", block_rows, "blk")
     nb = b.select(*keys, F.col("blk_n").alias("_n")).distinct()
     # Each unordered block pair once: query block <= history block.
     qx = (b.join(nb, keys).withColumn("hb", F.explode(F.sequence(F.col("blk"), F.col("_n") - 1)))
-           .select(*keys, F.col("blk").alias("qb"), "hb", "_id", "_v"))
+           .select(*keys, F.col("blk").alias("qb"), "hb", "_id", *vnames))
     hx = (b.join(nb, keys).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blk"))))
-           .select(*keys, "qb", F.col("blk").alias("hb"), "_id", "_v"))
+           .select(*keys, "qb", F.col("blk").alias("hb"), "_id", *vnames))
     qx = qx.select(*[F.col(c).alias(c) for c in qx.columns])
     hx = hx.select(*[F.col(c).alias(c) for c in hx.columns])
     grp = [*keys, "qb", "hb"]
     schema = T.StructType([vectors.schema[c] for c in keys]
                           + [T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     return qx.groupBy(*grp).cogroup(hx.groupBy(*grp)).applyInPandas(
-        _forest_fn(keys, threshold, True), schema)
+        _forest_fn(keys, threshold, dims), schema)
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, keys=(),
@@ -136,7 +137,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, ke
 
 
 def duplicate_clusters(df: DataFrame, vectors: DataFrame, *, keys=("repo_id",), id_col="seq",
-                       text_col="code_body", threshold: float = 0.9, block_rows: int = 2048) -> DataFrame:
+                       text_col="code_body", threshold: float = 0.9, block_rows: int = 2048,
+                       sparse: tuple[str, str] | None = ("indices", "values"), dims: int = DIMS) -> DataFrame:
     """(keys, id, cluster_id, cluster_size) for functions in clusters of >= 2
     (exact copies and near copies with cosine >= threshold)."""
     keys = list(keys)
@@ -144,7 +146,8 @@ def duplicate_clusters(df: DataFrame, vectors: DataFrame, *, keys=("repo_id",),
     rep = h.groupBy(*keys, "_h").agg(F.min("_id").alias("_rep"))
     members = h.join(rep, [*keys, "_h"])
     reps = vectors.join(rep.select(*keys, F.col("_rep").alias(id_col)), [*keys, id_col], "left_semi")
-    forest = similarity_forest(reps, keys=keys, id_col=id_col, threshold=threshold, block_rows=block_rows)
+    forest = similarity_forest(reps, keys=keys, id_col=id_col, threshold=threshold, block_rows=block_rows,
+                               sparse=sparse, dims=dims)
     rep_nodes = rep.select(*keys, F.col("_rep").alias("node"))
     comp = connected_components(forest, rep_nodes, keys=keys)
     out = (members.join(comp.withColumnRenamed("node", "_rep"), [*keys, "_rep"])

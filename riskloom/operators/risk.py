@@ -63,27 +63,30 @@ def enrich_matches(matches: DataFrame, commits: DataFrame, *,
 
 
 def rank_matches(vectors: DataFrame, commits: DataFrame, *,
-                 queries: DataFrame | None = None,
+                 queries: DataFrame | None = None, meta: DataFrame | None = None,
                  threshold: float = DEFAULT_THRESHOLD, limit: int = DEFAULT_LIMIT,
                  asof: bool = True, id_col: str = "seq",
-                 block_rows: int = 2048) -> DataFrame:
+                 block_rows: int = 2048, sparse: tuple[str, str] | None = None) -> DataFrame:
     """V1–V8: outcome-aware ranked matches for every query function.
 
     ``vectors``: (repo_id, seq, commit_sha, function_name, file_path, vector, ...).
     ``queries`` defaults to ``vectors`` (replay: each function searched against
-    the earlier ones when ``asof``). ``commits``: collapsed commits.
+    the earlier ones when ``asof``). ``commits``: collapsed commits. ``meta``
+    (id, commit_sha, function_name, file_path) defaults to ``vectors``; pass
+    the cheap source table so the vector plan is not re-evaluated for it.
     Returns (repo_id, query_seq, match_seq, commit_sha, score, outcome,
     risk_score, rank, ...match payload).
     """
     queries = vectors if queries is None else queries
+    meta = vectors if meta is None else meta
     top = cosine_topk(queries, vectors, key_cols=["repo_id"], id_col=id_col,
                       threshold=threshold, k=2 * limit,
-                      asof_col=id_col if asof else None, block_rows=block_rows)
+                      asof_col=id_col if asof else None, block_rows=block_rows, sparse=sparse)
     top = top.withColumnRenamed("rank", "fetch_rank")
-    qmeta = queries.select(F.col(id_col).cast("bigint").alias("query_id"),
-                           F.col("commit_sha").alias("query_sha"))
-    hmeta = vectors.select(F.col(id_col).cast("bigint").alias("match_id"), "commit_sha",
-                           "function_name", "file_path")
+    qmeta = meta.select(F.col(id_col).cast("bigint").alias("query_id"),
+                        F.col("commit_sha").alias("query_sha"))
+    hmeta = meta.select(F.col(id_col).cast("bigint").alias("match_id"), "commit_sha",
+                        "function_name", "file_path")
     m = (top.join(qmeta, "query_id").join(hmeta, "match_id")
             .where(F.col("commit_sha") != F.col("query_sha")))          # V4
     m = enrich_matches(m, commits)                                       # V5

@@ -80,20 +80,35 @@ def token_bucket(token: Column, dims: int = DIMS) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(dims))
 
 
-def embed_hashed_long(df: DataFrame, id_cols: list[str], text_col: str,
-                      dims: int = DIMS) -> DataFrame:
-    """Hashed term-count embedding, sparse long form (ids, bucket, weight).
-
-    weight = count / sqrt(sum(count^2)) over the document, i.e. the L2-normalised
-    hashed term-frequency vector. Whole texts are tokenised (no prefix cut).
+def embed_hashed_sparse(df: DataFrame, id_cols: list[str], text_col: str,
+                        dims: int = DIMS, prepartition: bool = True) -> DataFrame:
+    """Hashed term-count embedding as a sparse unit vector: (ids, indices, values).
+
+    The document rows are hash-partitioned by id once (the text moves once);
+    tokenising, the per-(doc, bucket) count and the per-doc assembly then run
+    inside that partitioning with no further exchange. indices are ascending
+    bucket numbers (at most ``dims`` per document); values are
+    count / sqrt(sum(count^2)). Whole texts are tokenised (no prefix cut).
     """
-    toks = df.select(*id_cols, F.explode(
+    src = df.select(*id_cols, text_col)
+    if prepartition:
+        src = src.repartition(*id_cols)
+    toks = src.select(*id_cols, F.explode(
         F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)).alias("tok"))
-    counts = (toks.select(*id_cols, token_bucket(F.lower("tok"), dims).alias("bucket"))
-                  .groupBy(*id_cols, "bucket").agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy(*id_cols)
-    return counts.select(*id_cols, "bucket",
-                         (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(w))).alias("weight"))
+    counts = (toks.select(*id_cols, token_bucket(F.lower("tok"), dims).cast("int").alias("bucket"))
+                  .groupBy(*id_cols, "bucket").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    ent = counts.groupBy(*id_cols).agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("_e"))
+    norm = F.sqrt(F.aggregate(F.col("_e.n"), F.lit(0.0), lambda a, x: a + x * x))
+    return ent.select(*id_cols, F.col("_e.bucket").alias("indices"),
+                      F.transform(F.col("_e.n"), lambda x: x / norm).alias("values"))
+
+
+def embed_hashed_long(df: DataFrame, id_cols: list[str], text_col: str,
+                      dims: int = DIMS) -> DataFrame:
+    """The sparse embedding in long form (ids, bucket, weight)."""
+    sp = embed_hashed_sparse(df, id_cols, text_col, dims)
+    return (sp.select(*id_cols, F.explode(F.arrays_zip("indices", "values")).alias("_z"))
+              .select(*id_cols, F.col("_z.indices").alias("bucket"), F.col("_z.values").alias("weight")))
 
 
 def densify(long: DataFrame, id_cols: list[str], dims: int = DIMS,
@@ -109,7 +124,8 @@ def densify(long: DataFrame, id_cols: list[str], dims: int = DIMS,
 
 def embed_hashed(df: DataFrame, id_cols: list[str], text_col: str,
                  dims: int = DIMS, out_col: str = "vector", dtype: str = "float") -> DataFrame:
-    """Default text -> unit vector function (dense)."""
+    """Default text -> unit vector function, dense form (for consumers that
+    need a fixed-length array; the similarity operators take the sparse form)."""
     return densify(embed_hashed_long(df, id_cols, text_col, dims), id_cols, dims, out_col, dtype)
 
 
@@ -119,24 +135,46 @@ def embed_dedup(df: DataFrame, key_cols: list[str], hash_col: str, text_col: str
                 embed=None) -> DataFrame:
     """Embed each distinct (key, code hash) once and join the vectors back.
 
-    ``known`` (key_cols + hash_col + vector) holds vectors computed earlier;
-    only hashes absent from it are embedded (left anti join), which is the
-    set-based form of the reference's per-function cache lookup.
+    ``known`` (key_cols + hash_col + the vector columns) holds vectors computed
+    earlier; only hashes absent from it are embedded (left anti join), which
+    is the set-based form of the reference's per-function cache lookup.
+    ``embed(df, ids, text_col)`` defaults to the sparse hashed embedding.
     """
-    embed = embed or (lambda d, ids, col: embed_hashed(d, ids, col, dims, dtype="double"))
+    embed = embed or (lambda d, ids, col: embed_hashed_sparse(d, ids, col, dims))
     ids = [*key_cols, hash_col]
     distinct = df.select(*ids, text_col).dropDuplicates(ids)
     if known is not None:
         distinct = distinct.join(known.select(*ids), ids, "left_anti")
     fresh = embed(distinct, ids, text_col)
     if known is not None:
-        fresh = fresh.unionByName(known.select(*ids, "vector"))
+        fresh = fresh.unionByName(known.select(*fresh.columns))
     return df.join(fresh, ids, "left")
 
 
 # ---------------------------------------------------------------- V1 -------
+def _matrix(pdf: pd.DataFrame, dims: int | None) -> np.ndarray:
+    """Rows of a block as a float64 matrix, from a dense ``_v`` column or from
+    sparse ``_i``/``_x`` (indices/values) columns scattered into ``dims`` columns."""
+    if "_v" in pdf.columns:
+        return np.stack(pdf["_v"].to_numpy()).astype(np.float64, copy=False)
+    idx = pdf["_i"].to_numpy()
+    val = pdf["_x"].to_numpy()
+    lens = np.fromiter((len(a) for a in idx), dtype=np.int64, count=len(idx))
+    m = np.zeros((len(idx), dims), dtype=np.float64)
+    if lens.sum():
+        rows = np.repeat(np.arange(len(idx)), lens)
+        m[rows, np.concatenate(idx).astype(np.int64)] = np.concatenate(val).astype(np.float64)
+    return m
+
+
+def _vec_cols(df: DataFrame, vec_col: str | None, sparse: tuple[str, str] | None):
+    if sparse:
+        return [F.col(sparse[0]).alias("_i"), F.col(sparse[1]).alias("_x")]
+    return [F.col(vec_col).alias("_v")]
+
+
 def _block_topk_fn(key_names: list[str], k: int, threshold: float, asof: bool,
-                   exclude_same_id: bool):
+                   exclude_same_id: bool, dims: int | None = None):
     """The per-block-pair scorer run in a Python worker (one matrix product)."""
 
     def fn(key, q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
@@ -147,9 +185,7 @@ def _block_topk_fn(key_names: list[str], k: int, threshold: float, asof: bool,
             for i, name in enumerate(key_names):
                 out.insert(i, name, pd.Series([], dtype="object"))
             return out
-        qm = np.stack(q["_v"].to_numpy()).astype(np.float64, copy=False)
-        hm = np.stack(h["_v"].to_numpy()).astype(np.float64, copy=False)
-        s = qm @ hm.T
+        s = _matrix(q, dims) @ _matrix(h, dims).T
         qid = q["_id"].to_numpy(np.int64)
         hid = h["_id"].to_numpy(np.int64)
         bad = s < threshold
@@ -192,32 +228,37 @@ def cosine_topk(queries: DataFrame, history: DataFrame | None = None, *,
                 key_cols: list[str] = ("repo_id",), id_col: str = "seq",
                 vec_col: str = "vector", threshold: float = DEFAULT_THRESHOLD,
                 k: int = DEFAULT_LIMIT, asof_col: str | None = None,
-                exclude_same_id: bool = True, block_rows: int = 2048) -> DataFrame:
+                exclude_same_id: bool = True, block_rows: int = 2048,
+                sparse: tuple[str, str] | None = None, dims: int = DIMS) -> DataFrame:
     """Exact filtered cosine top-k of every query row among history rows of the same key.
 
     Vectors must be unit length (cosine = dot product). Returns
     (key_cols..., query_id, match_id, score, rank) with score >= threshold,
     rank 1..k by score desc then match id. ``asof_col``: a match must have a
     smaller value than the query (a live search sees only earlier vectors).
+    ``sparse=(indices_col, values_col)`` reads sparse vectors of ``dims``
+    dimensions instead of the dense ``vec_col``.
     """
     key_cols = list(key_cols)
     history = queries if history is None else history
     ordc = asof_col or id_col
+    vcols = _vec_cols(queries, vec_col, sparse)
+    vnames = ["_i", "_x"] if sparse else ["_v"]
     q = _blocked(queries.select(*key_cols, F.col(id_col).cast("bigint").alias("_id"),
-                                F.col(ordc).alias("_ord"), F.col(vec_col).alias("_v")),
+                                F.col(ordc).alias("_ord"), *vcols),
                  key_cols, "_id", block_rows, "qb")
     h = _blocked(history.select(*key_cols, F.col(id_col).cast("bigint").alias("_id"),
-                                F.col(ordc).alias("_ord"), F.col(vec_col).alias("_v")),
+                                F.col(ordc).alias("_ord"), *vcols),
                  key_cols, "_id", block_rows, "hb")
     hn = h.select(*key_cols, "hb_n").distinct()
     qn = q.select(*key_cols, "qb_n").distinct()
     # Replicate each query row to every history block of its key and vice versa.
     qx = (q.join(hn, key_cols)
            .withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("hb_n") - 1)))
-           .select(*key_cols, "qb", "hb", "_id", "_ord", "_v"))
+           .select(*key_cols, "qb", "hb", "_id", "_ord", *vnames))
     hx = (h.join(qn, key_cols)
            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb_n") - 1)))
-           .select(*key_cols, "qb", "hb", "_id", "_ord", "_v"))
+           .select(*key_cols, "qb", "hb", "_id", "_ord", *vnames))
     # Fresh attribute ids on both sides: they derive from the same input.
     qx = qx.select(*[F.col(c).alias(c) for c in qx.columns])
     hx = hx.select(*[F.col(c).alias(c) for c in hx.columns])
@@ -225,7 +266,7 @@ def cosine_topk(queries: DataFrame, history: DataFrame | None = None, *,
     schema = T.StructType([queries.schema[c] for c in key_cols] + [
         T.StructField("q_id", T.LongType()), T.StructField("h_id", T.LongType()),
         T.StructField("score", T.DoubleType())])
-    fn = _block_topk_fn(key_cols, k, threshold, asof_col is not None, exclude_same_id)
+    fn = _block_topk_fn(key_cols, k, threshold, asof_col is not None, exclude_same_id, dims)
     scored = qx.groupBy(*grp).cogroup(hx.groupBy(*grp)).applyInPandas(fn, schema)
     w = Window.partitionBy(*key_cols, "q_id").orderBy(F.desc("score"), "h_id")
     return (scored.withColumn("rank", F.row_number().over(w))

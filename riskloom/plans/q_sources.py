@@ -50,7 +50,8 @@ def backfill_vectors(spark, sf_dir):
     vec = V.embed_dedup(fns, ["repo_id"], "code_hash", "new_body")
     vec = SK.with_id(vec, "repo_id", "sha", "file_path", "function_name")
     return vec.select("id", "repo_id", F.col("sha").alias("commit_sha"), "function_name", "file_path", "code_hash",
-                      F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
+                      F.size("indices").alias("n_buckets"),
+                      F.round(F.sqrt(F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
 _CAPPED = """

@@ -61,14 +61,15 @@ def _functions(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    f = _functions(spark, sf_dir)
-    v = V.embed_hashed(f, ["repo_id", "seq"], "code_body", dtype="double")
-    return v.join(f.select("repo_id", "seq", "commit_sha", "function_name", "file_path"), ["repo_id", "seq"])
+    """Sparse hashed vectors (repo_id, seq, indices, values) of every function."""
+    return V.embed_hashed_sparse(_functions(spark, sf_dir), ["repo_id", "seq"], "code_body")
 
 
 def _ranked(spark, sf_dir):
+    f = _functions(spark, sf_dir)
     c = fx(spark, sf_dir, "fx_commits").withColumn("bug_ids", F.array_compact(F.array("bug_id")))
-    return R.rank_matches(_vectors(spark, sf_dir), R.collapse_commits(c), threshold=THRESHOLD, limit=LIMIT)
+    return R.rank_matches(_vectors(spark, sf_dir), R.collapse_commits(c), meta=f, threshold=THRESHOLD,
+                          limit=LIMIT, sparse=("indices", "values"))
 
 
 @query("embed_hashed", cte("fx_functions") + _EMBED_SQL + "SELECT seq, CAST(bucket AS BIGINT) AS bucket, round(weight, 6) AS weight FROM wt")
@@ -88,7 +89,7 @@ def embed_dedup(spark, sf_dir):
     reports how many functions share each computed vector."""
     f = _functions(spark, sf_dir).withColumn("code_hash", S.code_hash("code_body"))
     e = V.embed_dedup(f, ["repo_id"], "code_hash", "code_body")
-    return (e.where(F.col("vector").isNotNull()).groupBy("repo_id", "code_hash")
+    return (e.where(F.col("indices").isNotNull()).groupBy("repo_id", "code_hash")
              .agg(F.count(F.lit(1)).alias("n_functions")))
 
 
@@ -122,8 +123,7 @@ SELECT mem.repo_id, mem.seq, sz.cluster_id, sz.cluster_size FROM mem JOIN sz ON
 def duplicate_clusters(spark, sf_dir):
     """Clusters of duplicated logic (exact copies + cosine >= 0.95) per repository."""
     f = _functions(spark, sf_dir)
-    v = V.embed_hashed(f, ["repo_id", "seq"], "code_body", dtype="double")
-    return C.duplicate_clusters(f, v, threshold=CLUSTER_THRESHOLD)
+    return C.duplicate_clusters(f, _vectors(spark, sf_dir), threshold=CLUSTER_THRESHOLD)
 
 
 @query("analyze_warnings", _RANKED_SQL + """
