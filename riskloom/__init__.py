@@ -14,3 +14,19 @@ Every operator is a ``DataFrame -> DataFrame`` function (usable through
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value, so Python workers run the
+    operators' pandas/Arrow helpers without having the package installed
+    (on a cluster it may still be shipped with --py-files; both work)."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+    except ImportError:  # pragma: no cover
+        return
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()

@@ -111,8 +111,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, ke
     keys = list(keys)
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select(*keys, "a", "b")
-    und = e.unionByName(e.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")),
+                             F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    und = edges.select(*keys, both.alias("_e")).select(*keys, "_e.a", "_e.b").distinct()
     und = und.checkpoint()
     if nodes is None:
         nodes = und.select(*keys, F.col("a").alias("node")).distinct()

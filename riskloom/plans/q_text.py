@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import clusters as C
 from ..operators import risk as R
 from ..operators import vectors as V
+from ..session import materialize
 from .catalog import query
 from .fixtures import cte, fx
 
@@ -61,8 +62,9 @@ def _functions(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    """Sparse hashed vectors (repo_id, seq, indices, values) of every function."""
-    return V.embed_hashed_sparse(_functions(spark, sf_dir), ["repo_id", "seq"], "code_body")
+    """Sparse hashed vectors (repo_id, seq, indices, values) of every function,
+    materialised once (the searches read them several times)."""
+    return materialize(V.embed_hashed_sparse(_functions(spark, sf_dir), ["repo_id", "seq"], "code_body"))
 
 
 def _ranked(spark, sf_dir):

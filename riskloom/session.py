@@ -61,3 +61,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df):
+    """Write ``df`` once to the session's checkpoint folder and read it back.
+
+    Used where one computed table (e.g. freshly embedded vectors) feeds
+    several consumers of a plan: the checkpoint is reliable (survives executor
+    loss) and cuts the lineage, so the consumers scan files instead of
+    re-running the computation.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
