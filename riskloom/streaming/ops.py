@@ -187,4 +187,9 @@ def outcome_trend(events: DataFrame, *, ts_col="ts", kind_col="kind", every: str
 
 def outcome_trend_stream(events: DataFrame, *, ts_col="ts", kind_col="kind", every: str = "1 day",
                          watermark: str = "1 day") -> DataFrame:
-    return outcome_trend(events.withWatermark(ts_col, watermark), ts_col=ts_col, kind_col=kind_col, every=every)
+    """Streaming T7; watermarks need TIMESTAMP, so a TIMESTAMP_NTZ event time is
+    read as UTC (the session time zone) and the window start cast back."""
+    ntz = isinstance(events.schema[ts_col].dataType, T.TimestampNTZType)
+    ev = events.withColumn(ts_col, F.col(ts_col).cast("timestamp")) if ntz else events
+    out = outcome_trend(ev.withWatermark(ts_col, watermark), ts_col=ts_col, kind_col=kind_col, every=every)
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) if ntz else out
