@@ -105,12 +105,15 @@ def high_risk(matches: DataFrame) -> DataFrame:
 
 
 def assemble_warnings(ranked: DataFrame, queries: DataFrame, *,
-                      id_col: str = "seq", explanation=None) -> DataFrame:
+                      id_col: str = "seq", explanation=None,
+                      graph_risk: DataFrame | None = None) -> DataFrame:
     """V9: one warning per high-risk match with all fields.
 
     ``explanation`` is an optional DataFrame (query_seq, match_seq, risk_level,
     explanation, historical_context, suggested_action) from a user scorer; the
-    deterministic level rule and fallback texts fill the rest.
+    deterministic level rule and fallback texts fill the rest. ``graph_risk``
+    (file_path, graph_risk_score [, repo_id]) adds the dependency risk of the
+    warned file as an extra column (G12; the level is unchanged).
     """
     q = queries.select(F.col(id_col).cast("bigint").alias("query_seq"),
                        F.col("commit_sha").alias("query_sha"),
@@ -129,6 +132,12 @@ def assemble_warnings(ranked: DataFrame, queries: DataFrame, *,
     else:
         lvl, exp, ctx, act = (S.risk_level("score", "outcome"), fb["explanation"],
                               fb["historical_context"], fb["suggested_action"])
+    extra = []
+    if graph_risk is not None:
+        keys = [c for c in ("repo_id",) if c in graph_risk.columns]
+        g = graph_risk.select(*keys, F.col("file_path").alias("query_path"), "graph_risk_score")
+        w = w.join(g, [*keys, "query_path"], "left")
+        extra = [F.coalesce("graph_risk_score", F.lit(0.0)).alias("graph_risk_score")]
     return w.select(
         F.sha2(F.concat_ws("|", "query_sha", "query_path", "query_function", "commit_sha"), 256).alias("id"),
         "repo_id", "query_seq", "query_sha", F.col("query_function").alias("function_name"),
@@ -136,4 +145,4 @@ def assemble_warnings(ranked: DataFrame, queries: DataFrame, *,
         F.col("score").alias("similarity_score"), F.col("commit_sha").alias("matched_commit_sha"),
         "match_seq", "outcome", "risk_score", exp.alias("explanation"),
         ctx.alias("historical_context"), act.alias("suggested_action"),
-        F.lit(False).alias("dismissed"))
+        F.lit(False).alias("dismissed"), *extra)

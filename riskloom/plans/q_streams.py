@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..streaming import ops as ST
 from .catalog import query
 from .fixtures import cte, fx, table
@@ -70,3 +71,17 @@ SELECT date_trunc('day', ts) AS window_start, kind, count(*) AS n_events FROM fx
 def outcome_trend(spark, sf_dir):
     """Daily outcome-event counts per kind (tumbling windows)."""
     return ST.outcome_trend(fx(spark, sf_dir, "fx_outcome_events"))
+
+
+@query("parse_timestamps", """
+SELECT event_id,
+  epoch_us(TRY_CAST(regexp_replace(concat(replace(CAST(ts AS VARCHAR), ' ', 'T'), 'Z'), 'Z$', '+00:00') AS TIMESTAMPTZ)) AS iso_us,
+  TRY_CAST(regexp_replace(props, 'Z$', '+00:00') AS TIMESTAMPTZ) IS NULL AS props_unparsed
+FROM events
+""")
+def parse_timestamps(spark, sf_dir):
+    """F16: ISO-8601 texts with a trailing Z parse to the instant; non-dates give null."""
+    e = table(spark, sf_dir, "events")
+    iso = F.concat(F.regexp_replace(F.col("ts").cast("string"), " ", "T"), F.lit("Z"))
+    return e.select("event_id", F.unix_micros(S.parse_iso_timestamp(iso)).alias("iso_us"),
+                    S.parse_iso_timestamp("props").isNull().alias("props_unparsed"))
