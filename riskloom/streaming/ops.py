@@ -9,10 +9,12 @@ Structured Streaming form.
 * T5 ``quota_audit``: N requests per 60 s window anchored at the first request
   of the window; rejected requests do not extend it. The window start depends
   on the previous window, so this is arbitrary state, not ``window()``.
-  Batch: rows sorted by (key, time) inside hash partitions and scanned by
-  ``mapInPandas`` with the state carried across Arrow batches (memory bounded;
-  no group is collected). Stream: ``applyInPandasWithState`` with the state
-  (window_start, count) per key.
+  Batch (default ``method='split'``, ``streaming/quota.py``): window starts are
+  a chain found by pointer doubling over request ids, so a hot key is spread
+  over many tasks. ``method='scan'``: rows sorted by (key, time) inside hash
+  partitions and scanned by ``mapInPandas`` with the state carried across
+  Arrow batches (memory bounded, but one key is one sequential scan).
+  Stream: ``applyInPandasWithState`` with the state (window_start, count) per key.
 * T6 ``cache_valid``: TTL validity as of a given instant.
 * T7 ``outcome_trend``: daily counts per event kind; the stream form adds a
   watermark so old windows are finalised and their state dropped.
@@ -115,8 +117,13 @@ def _quota_scan(key_col, ts_col, limit, window_s):
 
 def quota_audit(requests: DataFrame, *, key_col="api_key", ts_col="ts", id_col="event_id",
                 limit: int = QUOTA_LIMIT, window_s: int = QUOTA_WINDOW_SECONDS,
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, method: str = "split") -> DataFrame:
     """T5 batch: per request, allowed?, remaining quota and its window start."""
+    if method == "split":
+        from .quota import quota_audit_split
+
+        return quota_audit_split(requests, key_col=key_col, ts_col=ts_col, id_col=id_col,
+                                 limit=limit, window_s=window_s)
     cols = [key_col, id_col, ts_col]
     src = requests.select(*cols)
     part = src.repartition(num_partitions, key_col) if num_partitions else src.repartition(key_col)

@@ -177,3 +177,17 @@ def test_normalize_repo_id(spark):
     out = df.select(S.normalize_repo_id("u").alias("id"), S.repo_short_name("u").alias("n")).collect()
     assert [r.id for r in out] == ["github.com/user/repo", "github.com/user/repo"]
     assert [r.n for r in out] == ["repo", "repo"]
+
+
+def test_quota_split_equals_scan_with_one_hot_key(spark):
+    from riskloom.plans.fixtures import table
+
+    from conftest import SMALL
+
+    ev = table(spark, SMALL, "events")
+    for key in (F.col("user_id"), F.lit(1).cast("long")):   # many keys; one key holding every row
+        e = ev.select(key.alias("api_key"), "event_id", "ts")
+        for lim, win in ((3, 86400), (1, 600)):
+            a = sorted(map(tuple, ST.quota_audit(e, limit=lim, window_s=win, method="scan").collect()))
+            b = sorted(map(tuple, ST.quota_audit(e, limit=lim, window_s=win, method="split").collect()))
+            assert a == b
