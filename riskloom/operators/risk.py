@@ -29,22 +29,25 @@ def collapse_commits(commits: DataFrame, key_cols=("repo_id", "sha"),
     """One row per (repo, sha): any revert flag, union of bug ids, latest metadata.
 
     The reference stores duplicate commit rows (no uniqueness on sha); this is
-    the view every outcome lookup goes through. Partial aggregation keeps a
-    commit repeated many times cheap to shuffle.
+    the view every outcome lookup goes through. Every aggregate is partial:
+    bug ids are exploded first and ``collect_set`` keeps only distinct ids per
+    map task, so a sha stored a billion times costs its distinct bug ids.
     """
     key_cols = list(key_cols)
-    bugs = F.col(bug_col)
-    if dict(commits.dtypes).get(bug_col, "").startswith("array"):
-        bugs_agg = F.array_sort(F.array_distinct(F.flatten(F.collect_list(bugs))))
+    is_array = dict(commits.dtypes).get(bug_col, "").startswith("array")
+    if is_array:
+        x = commits.select("*", F.posexplode_outer(bug_col).alias("_bpos", "_bug"))
+        first = F.col("_bpos").isNull() | (F.col("_bpos") == 0)   # one per original row
     else:
-        bugs_agg = F.array_sort(F.collect_set(bugs))
-    return (commits.groupBy(*key_cols)
-                   .agg(F.bool_or(F.coalesce("revert_status", F.lit(False))).alias("revert_status"),
-                        bugs_agg.alias("bug_ids"),
-                        F.max_by("author", seq_col).alias("author"),
-                        F.max_by("message", seq_col).alias("message"),
-                        F.max(seq_col).alias(seq_col),
-                        F.count(F.lit(1)).alias("n_rows")))
+        x = commits.withColumn("_bug", F.col(bug_col))
+        first = F.lit(True)
+    return (x.groupBy(*key_cols)
+             .agg(F.bool_or(F.coalesce("revert_status", F.lit(False))).alias("revert_status"),
+                  F.array_sort(F.collect_set("_bug")).alias("bug_ids"),
+                  F.max_by("author", seq_col).alias("author"),
+                  F.max_by("message", seq_col).alias("message"),
+                  F.max(seq_col).alias(seq_col),
+                  F.count_if(first).alias("n_rows")))
 
 
 def enrich_matches(matches: DataFrame, commits: DataFrame, *,

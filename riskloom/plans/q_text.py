@@ -205,13 +205,12 @@ def explain_requests(spark, sf_dir):
                           F.col("function_name").alias("qfn"), F.col("file_path").alias("qpath"),
                           F.col("code_body").alias("cur")), "query_seq")
            .join(f.select(F.col("seq").alias("match_seq"), F.col("code_body").alias("hist")), "match_seq"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("code_hash", "commit_sha").orderBy("query_seq", "rank")
-    wn = Window.partitionBy("code_hash", "commit_sha")
-    k = q.withColumn("kk", F.row_number().over(w)).withColumn("n_warnings", F.count(F.lit(1)).over(wn))
-    prompt = S.explain_prompt("score", "qfn", "qpath", "cur", "hist", "outcome")
-    return k.where("kk = 1").select("code_hash", F.col("commit_sha").alias("matched_commit_sha"), "n_warnings",
-                                    F.md5(prompt).alias("prompt_md5"))
+    # one request per (code hash, matched commit): the first by (query, rank); partial aggregates only
+    first = F.min(F.struct("query_seq", "rank", "score", "outcome", "qfn", "qpath", "cur", "hist")).alias("_f")
+    k = q.groupBy("code_hash", "commit_sha").agg(first, F.count(F.lit(1)).alias("n_warnings"))
+    prompt = S.explain_prompt("_f.score", "_f.qfn", "_f.qpath", "_f.cur", "_f.hist", "_f.outcome")
+    return k.select("code_hash", F.col("commit_sha").alias("matched_commit_sha"), "n_warnings",
+                    F.md5(prompt).alias("prompt_md5"))
 
 
 @query("analyze_summary", _RANKED_SQL + """,
