@@ -78,6 +78,26 @@ SELECT p_partkey AS file_id,
 FROM part
 """
 
+# JavaScript / TypeScript files in the same shape as fx_file_diffs' Python files.
+FX["fx_js_files"] = r"""
+SELECT p_partkey AS file_id,
+  concat('repo', CAST(CAST(floor(p_partkey / 8) AS BIGINT) % 4 AS STRING)) AS repo_id,
+  concat('web/c', CAST(p_partkey AS STRING),
+         CASE WHEN p_partkey % 3 = 0 THEN '.ts' WHEN p_partkey % 3 = 1 THEN '.js' ELSE '.tsx' END) AS file_path,
+  concat('import api from ', chr(39), './api', CAST(p_size AS STRING), chr(39), ';', chr(10),
+         'const lib = require(', chr(39), 'lib', CAST(p_partkey % 5 AS STRING), chr(39), ');', chr(10), chr(10),
+         'export function load', CAST(p_partkey AS STRING), '(id) {', chr(10),
+         '  const s = ', chr(39), '}{', chr(39), ';', chr(10),
+         '  return db.from(', chr(39), 'tbl_', CAST(p_size AS STRING), chr(39), ').select(s);', chr(10),
+         '}', chr(10), chr(10),
+         'const save = async (row) => {', chr(10),
+         '  await fetch(`https://api.example.org/v', CAST(p_partkey % 7 AS STRING), '?x=1`);', chr(10),
+         '  return prisma.item', CAST(p_partkey % 3 AS STRING), '.update(row);', chr(10),
+         '};', chr(10), chr(10),
+         'const inc = x => x + 1;', chr(10)) AS file_content
+FROM part
+"""
+
 FX["fx_patches"] = """
 SELECT p_partkey AS seq, md5(concat('p', CAST(p_partkey AS STRING))) AS sha,
   concat('diff --git a/src/a', CAST(p_partkey AS STRING), '.py b/src/a', CAST(p_partkey AS STRING), '.py', chr(10),
@@ -169,7 +189,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 FX_SOURCES = {
     "fx_commits": ("documents",), "fx_functions": ("documents",),
     "fx_vectors": ("embeddings",), "fx_file_diffs": ("part",),
-    "fx_patches": ("part",), "fx_imports": ("supplier",),
+    "fx_patches": ("part",), "fx_js_files": ("part",), "fx_imports": ("supplier",),
     "fx_uses_table": ("lineitem",), "fx_calls_api": ("lineitem",),
     "fx_modifies": ("lineitem",), "fx_contains": ("lineitem",), "fx_outcome_events": ("events",),
     "fx_warnings": ("events",),
