@@ -35,9 +35,10 @@ DEFAULT_LIMIT = 10
 def l2_normalize(vec: Column | str) -> Column:
     """Unit vector of an array column; the zero vector gives null."""
     v = F.col(vec) if isinstance(vec, str) else vec
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"),
-                              lambda acc, x: acc + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
+    # the norm is computed once, in aggregate's finish step (not per element)
+    return F.aggregate(
+        v, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double"),
+        lambda acc: F.when(acc > 0, F.transform(v, lambda x: x.cast("double") / F.sqrt(acc))))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -85,8 +86,9 @@ def embed_hashed_sparse(df: DataFrame, id_cols: list[str], text_col: str,
     """Hashed term-count embedding as a sparse unit vector: (ids, indices, values).
 
     The document rows are hash-partitioned by id once (the text moves once);
-    tokenising, the per-(doc, bucket) count and the per-doc assembly then run
-    inside that partitioning with no further exchange. indices are ascending
+    tokenising, the per-(doc, token) and per-(doc, bucket) counts and the
+    per-doc assembly then run inside that partitioning with no further
+    exchange. indices are ascending
     bucket numbers (at most ``dims`` per document); values are
     count / sqrt(sum(count^2)). Whole texts are tokenised (no prefix cut).
     """
@@ -95,12 +97,15 @@ def embed_hashed_sparse(df: DataFrame, id_cols: list[str], text_col: str,
         src = src.repartition(*id_cols)
     toks = src.select(*id_cols, F.explode(
         F.regexp_extract_all(F.col(text_col), F.lit(TOKEN_PATTERN), 0)).alias("tok"))
-    counts = (toks.select(*id_cols, token_bucket(F.lower("tok"), dims).cast("int").alias("bucket"))
-                  .groupBy(*id_cols, "bucket").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    ent = counts.groupBy(*id_cols).agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("_e"))
-    norm = F.sqrt(F.aggregate(F.col("_e.n"), F.lit(0.0), lambda a, x: a + x * x))
+    # count each distinct token of a document first, so md5 runs once per
+    # (document, token) instead of once per occurrence
+    per_tok = toks.groupBy(*id_cols, F.lower("tok").alias("tok")).agg(F.count(F.lit(1)).alias("c"))
+    counts = (per_tok.select(*id_cols, token_bucket(F.col("tok"), dims).cast("int").alias("bucket"), "c")
+                     .groupBy(*id_cols, "bucket").agg(F.sum("c").cast("double").alias("n")))
+    ent = counts.groupBy(*id_cols).agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("_e"),
+                                       F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"))
     return ent.select(*id_cols, F.col("_e.bucket").alias("indices"),
-                      F.transform(F.col("_e.n"), lambda x: x / norm).alias("values"))
+                      F.transform(F.col("_e.n"), lambda x: x / F.col("_norm")).alias("values"))
 
 
 def embed_hashed_long(df: DataFrame, id_cols: list[str], text_col: str,
