@@ -7,10 +7,11 @@ pair list:
 1. exact copies collapse to one representative first (a clique of identical
    texts becomes one node);
 2. the blocked matrix product scores every (query block, history block) pair
-   of a repository, and each block pair emits only a spanning forest of its
-   similarity edges (at most |Q| + |H| - 1 edges). Every edge lives in exactly
-   one block pair, so the union of the forests connects exactly what the full
-   edge set connects;
+   of a repository, and each block pair emits only a star per local
+   component (member -> smallest id; at most |Q| + |H| - 1 edges). Every edge
+   lives in exactly one block pair, so the union of the stars connects
+   exactly what the full edge set connects, and the stars already carry the
+   local minima, which saves propagation rounds;
 3. components come from min-label propagation with pointer jumping, one join
    round per iteration, lineage cut with ``checkpoint()`` into the session's
    checkpoint folder; the loop stops when no label changes.
@@ -57,16 +58,20 @@ def _forest_fn(key_names, threshold: float, dims: int):
                     x = parent[x]
                 return x
 
-            a_out, b_out = [], []
             for i, j in zip(ii.tolist(), jj.tolist()):
                 u, v = int(qi[i]), int(hi[j])
                 if u == v:
                     continue
                 ru, rv = find(u), find(v)
                 if ru != rv:
-                    parent[ru] = rv
-                    a_out.append(u)
-                    b_out.append(v)
+                    # keep the smaller id as root, so roots are component minima
+                    if ru < rv:
+                        parent[rv] = ru
+                    else:
+                        parent[ru] = rv
+            # a star per local component: every member -> the component's smallest id
+            a_out = [x for x in parent if find(x) != x]
+            b_out = [find(x) for x in a_out]
             out = pd.DataFrame({"a": np.array(a_out, dtype=np.int64), "b": np.array(b_out, dtype=np.int64)})
         for i, name in enumerate(key_names):
             out.insert(i, name, key[i] if len(out) else pd.Series([], dtype="object"))
@@ -78,8 +83,9 @@ def _forest_fn(key_names, threshold: float, dims: int):
 def similarity_forest(vectors: DataFrame, *, keys=("repo_id",), id_col="seq", vec_col="vector",
                       threshold: float = 0.9, block_rows: int = 2048,
                       sparse: tuple[str, str] | None = None, dims: int = DIMS) -> DataFrame:
-    """Edges (keys, a, b) of a spanning forest of the cosine >= threshold graph
-    within each key (connectivity-preserving, bounded per block pair)."""
+    """Edges (keys, a, b) of the cosine >= threshold graph within each key,
+    reduced per block pair to stars on local component minima
+    (connectivity-preserving, bounded per block pair)."""
     keys = list(keys)
     base = vectors.select(*keys, F.col(id_col).cast("bigint").alias("_id"), *_vec_cols(vectors, vec_col, sparse))
     vnames = ["_i", "_x"] if sparse else ["_v"]
