@@ -42,10 +42,40 @@ def _backfill_functions(spark, sf_dir):
     return ch.join(meta, "file_id")
 
 
-@query("backfill_vectors")
+_CAPPED = """
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, sha ORDER BY file_idx) AS kr
+                          FROM fx_file_diffs WHERE file_path LIKE '%.py') t WHERE kr <= 5),"""
+_BACKFILL_SQL = (cte("fx_file_diffs", "fx_commits") + "," + _CAPPED
+                 + _RANGES_SQL.split(cte("fx_file_diffs") + ",", 1)[1].replace(
+                     "FROM fx_file_diffs\n       WHERE file_path LIKE '%.py'", "FROM capped")
+                 + ", " + _BLOCKS_SQL.replace("FROM fx_file_diffs WHERE file_path LIKE '%.py'", "FROM capped"))
+
+
+_BACKFILL_VECTORS_SQL = _BACKFILL_SQL + r""",
+hit AS (SELECT blk.*, row_number() OVER (PARTITION BY blk.file_id, blk.name ORDER BY rg.range_idx, blk.func_idx) AS k
+        FROM rg JOIN blk ON blk.file_id = rg.file_id AND rg.start_line <= blk.end_line AND rg.end_line >= blk.start_line),
+cf AS (SELECT c.repo_id, c.sha, c.file_path, hit.name AS function_name, hit.body FROM hit JOIN capped c ON c.file_id = hit.file_id
+       WHERE k = 1),
+tk AS (SELECT repo_id, sha, file_path, function_name,
+         CAST(('0x' || substr(md5(lower(t)), 1, 8)) AS BIGINT) % 768 AS bucket
+       FROM (SELECT *, unnest(regexp_extract_all(body, '[A-Za-z0-9_]+')) AS t FROM cf) x),
+bc AS (SELECT repo_id, sha, file_path, function_name, bucket, count(*) AS n FROM tk GROUP BY ALL),
+nb AS (SELECT repo_id, sha, file_path, function_name, count(*) AS n_buckets, sum(n * n) AS s2 FROM bc GROUP BY ALL),
+nm AS (SELECT bc.repo_id, bc.sha, bc.file_path, bc.function_name,
+         round(sqrt(sum((bc.n / sqrt(nb.s2)) * (bc.n / sqrt(nb.s2)))), 6) AS norm
+       FROM bc JOIN nb USING (repo_id, sha, file_path, function_name) GROUP BY ALL)
+SELECT sha256(concat_ws('|', cf.repo_id, cf.sha, cf.file_path, cf.function_name)) AS id, cf.repo_id,
+  cf.sha AS commit_sha, cf.function_name, cf.file_path,
+  substr(sha256(regexp_replace(cf.body, '^\s+|\s+$', '', 'g')), 1, 16) AS code_hash,
+  CAST(nb.n_buckets AS INTEGER) AS n_buckets, nm.norm
+FROM cf JOIN nb USING (repo_id, sha, file_path, function_name) JOIN nm USING (repo_id, sha, file_path, function_name)
+"""
+
+
+@query("backfill_vectors", _BACKFILL_VECTORS_SQL)
 def backfill_vectors(spark, sf_dir):
     """Backfill job — capped files -> changed functions -> embed once per
-    code hash -> vector rows with deterministic ids (rows-only check)."""
+    code hash -> vector rows with deterministic ids ."""
     fns = _backfill_functions(spark, sf_dir).withColumn("code_hash", S.code_hash("new_body"))
     vec = V.embed_dedup(fns, ["repo_id"], "code_hash", "new_body")
     vec = SK.with_id(vec, "repo_id", "sha", "file_path", "function_name")
@@ -54,15 +84,6 @@ def backfill_vectors(spark, sf_dir):
                       F.round(F.sqrt(F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)), 6).alias("norm"))
 
 
-_CAPPED = """
-capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, sha ORDER BY file_idx) AS kr
-                          FROM fx_file_diffs WHERE file_path LIKE '%.py') t WHERE kr <= 5),"""
-_BACKFILL_SQL = (cte("fx_file_diffs", "fx_commits") + "," + _CAPPED
-                 + _RANGES_SQL.split(cte("fx_file_diffs") + ",", 1)[1].replace(
-                     "FROM fx_file_diffs\n       WHERE file_path LIKE '%.py'", "FROM capped")
-                 + ", " + _BLOCKS_SQL.replace("FROM fx_file_diffs WHERE file_path LIKE '%.py'", "FROM capped"))
-
-
 @query("backfill_summary", _BACKFILL_SQL + """,
 hit AS (SELECT blk.file_id, blk.name, row_number() OVER (PARTITION BY blk.file_id, blk.name ORDER BY rg.range_idx, blk.func_idx) AS k
         FROM rg JOIN blk ON blk.file_id = rg.file_id AND rg.start_line <= blk.end_line AND rg.end_line >= blk.start_line),
