@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import diffs as D
-from ..operators import reverts as RV
 from ..operators import vectors as V
 from ..sources import commits as SC
 from ..sources import sinks as SK
