@@ -145,3 +145,26 @@ def recent_commits(commits: DataFrame, n: int = 200, *, repo_col="repo_id",
     """The newest ``n`` commits of every repository (partial top-k per task)."""
     w = Window.partitionBy(repo_col).orderBy(F.desc(order_col))
     return commits.withColumn("recency", F.row_number().over(w)).where(F.col("recency") <= n)
+
+
+def client_revert_marks(commits: DataFrame, *, repo_col="repo_id", sha_col="sha",
+                        msg_col="message") -> DataFrame:
+    """What the editor client marks when it sees a new commit.
+
+    ``This reverts commit <sha>`` (case-insensitive) sends that sha as written;
+    the webhook matches it exactly, so only full shas of stored commits count.
+    Otherwise ``Revert "<msg>"`` looks for the newest commit whose message
+    contains ``<msg>`` right after the revert was committed — which is the
+    revert commit itself, so the client marks its own commit (the reference's
+    behaviour; the grep pattern is taken literally here).
+    Returns distinct (repo, sha) that get marked.
+    """
+    m = F.col(msg_col)
+    sha_ref = F.regexp_extract(m, r"(?i)This reverts commit ([a-f0-9]{7,40})", 1)
+    is_msg = m.rlike(r'(?i)^Revert "(.+)"')
+    named = (commits.where(sha_ref != "")
+                    .select(repo_col, sha_ref.alias("_ref"))
+                    .join(commits.select(repo_col, F.col(sha_col).alias("_ref")), [repo_col, "_ref"], "left_semi")
+                    .select(repo_col, F.col("_ref").alias(sha_col)))
+    own = commits.where((sha_ref == "") & is_msg).select(repo_col, sha_col)
+    return named.unionByName(own).distinct()

@@ -209,3 +209,18 @@ def commits_collapsed(spark, sf_dir):
     cc = collapse_commits(dup)
     return cc.select("repo_id", "sha", "revert_status", F.array_join("bug_ids", ",").alias("bug_ids"),
                      "message", "n_rows")
+
+
+@query("client_revert_marks", cte("fx_commits") + """
+SELECT DISTINCT repo_id, sha FROM (
+  SELECT c.repo_id, c.sha FROM fx_commits r JOIN fx_commits c ON c.repo_id = r.repo_id
+    AND c.sha = regexp_extract(r.message, '(?i)This reverts commit ([a-f0-9]{7,40})', 1)
+  UNION ALL
+  SELECT repo_id, sha FROM fx_commits
+  WHERE regexp_extract(message, '(?i)This reverts commit ([a-f0-9]{7,40})', 1) = ''
+    AND regexp_matches(message, '(?i)^Revert "(.+)"')) t
+""")
+def client_revert_marks(spark, sf_dir):
+    """Commits the editor client marks as reverted (sha references exact; message
+    references resolve to the newest commit containing the text, i.e. the revert itself)."""
+    return RV.client_revert_marks(fx(spark, sf_dir, "fx_commits"))
