@@ -111,21 +111,66 @@ def changed_functions(files: DataFrame, id_cols: list[str], *, path_col: str = "
                        F.coalesce(S.detect_language(path_col), F.lit("unknown")).alias("language")))
 
 
+# Fixed patterns of the hunk attribution helper (header with optional context
+# name, declaration in a context/added line, new-file start in a header).
+HUNK_CTX = r"@@ .+? @@\s*(?:.*?(?:function\s+(\w+)|def\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=))?"
+HUNK_DECL = r"^[+ ]\s*(?:async\s+)?(?:function\s+(\w+)|def\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\()"
+HUNK_START = r"@@ .+?\+(\d+)"
+
+
+def _first_group(col, pattern: str, n: int):
+    parts = [F.regexp_extract(col, pattern, i) for i in range(1, n + 1)]
+    return F.coalesce(*[F.when(p != "", p) for p in parts])
+
+
 def hunk_attribution(files: DataFrame, id_cols: list[str], path_col: str = "file_path",
                      diff_col: str = "diff") -> DataFrame:
-    """Attribute added lines to a function name from the hunk header context
-    (text after the second ``@@``) or the last declaration seen; else the file's
-    base name. Returns (ids, segment, name, added_lines)."""
-    x = diff_lines(files, id_cols, diff_col)
-    decl = F.regexp_extract("line", r"(?:function\s+|def\s+|class\s+|(?:const|let|var)\s+)([A-Za-z_$][\w$]*)", 1)
-    hdr_ctx = F.regexp_extract("line", r"^@@[^@]*@@\s*(.*)$", 1)
-    hdr_name = F.regexp_extract(hdr_ctx, r"([A-Za-z_$][\w$]*)\s*\(", 1)
-    x = x.withColumn("_name", F.when(F.col("is_header") & (hdr_name != ""), hdr_name)
-                              .when(~F.col("is_header") & (decl != ""), decl))
-    w = Window.partitionBy(*id_cols).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    base = F.regexp_extract(path_col, r"([^/]+?)(\.[^./]*)?$", 1)
-    x = x.join(files.select(*id_cols, path_col), id_cols)
-    x = x.withColumn("name", F.coalesce(F.last("_name", ignorenulls=True).over(w), base))
-    added = x.where("is_add")
-    return (added.groupBy(*id_cols, "seg", "name")
-                 .agg(F.count(F.lit(1)).alias("added_lines"), F.min("idx").alias("first_idx")))
+    """Attribute the added lines of a diff to function names (the reference
+    defines this for its CLI but never calls it).
+
+    A line containing ``@@ .. @@`` opens a segment named by its context
+    (``function f``, ``def f``, ``const f =``); a declaration in a context or
+    added line renames the segment (the last one wins). A named segment with
+    added lines yields (name, added code, start = header's new-file line,
+    end = index of the next header or the line count). A file that yields none
+    but has added lines gives one entry named after the file's base name.
+    Returns (ids, seg, name, start_line, end_line, n_added, code).
+    """
+    keep = [*id_cols, path_col]
+    x = files.select(*keep, F.posexplode(F.split(F.col(diff_col), "\n")).alias("idx", "line"))
+    is_hdr = F.col("line").rlike(HUNK_CTX)
+    x = x.select(*keep, "idx", "line", is_hdr.alias("is_hdr"),
+                 F.when(is_hdr, _first_group(F.col("line"), HUNK_CTX, 3)).alias("hdr_name"),
+                 F.when(is_hdr, F.coalesce(F.regexp_extract("line", HUNK_START, 1).try_cast("int"), F.lit(0)))
+                  .alias("hdr_start"),
+                 F.when(~is_hdr, _first_group(F.col("line"), HUNK_DECL, 3)).alias("decl"),
+                 (~is_hdr & F.col("line").startswith("+") & ~F.col("line").startswith("+++")).alias("added"),
+                 F.col("line").startswith("+").alias("plus"))
+    w = Window.partitionBy(*id_cols).orderBy("idx")
+    x = x.withColumn("seg", F.sum(F.col("is_hdr").cast("int")).over(w))
+    segs = x.groupBy(*keep, "seg").agg(
+        F.max(F.when(F.col("decl").isNotNull(), F.struct("idx", "decl"))).alias("_d"),
+        F.max("hdr_name").alias("hdr_name"),
+        F.coalesce(F.max("hdr_start"), F.lit(0)).alias("start_line"),
+        (F.max("idx") + 1).alias("end_line"),
+        F.sort_array(F.collect_list(F.when(F.col("added"), F.struct("idx", F.expr("substring(line, 2)")
+                                                                           .alias("t"))))).alias("_a"))
+    segs = segs.select(*keep, "seg", F.coalesce(F.col("_d.decl"), F.col("hdr_name")).alias("name"),
+                       "start_line", "end_line", F.size("_a").alias("n_added"),
+                       F.array_join(F.col("_a.t"), "\n").alias("code"))
+    named = segs.where(F.col("name").isNotNull() & (F.col("n_added") > 0))
+    # files with no named segment: one entry under the file's base name
+    per_file = x.groupBy(*keep).agg(
+        F.max(F.col("plus").cast("int")).alias("_plus"),
+        F.sort_array(F.collect_list(F.when(F.col("line").startswith("+") & ~F.col("line").startswith("+++"),
+                                           F.struct("idx", F.expr("substring(line, 2)").alias("t"))))).alias("_a"))
+    base = F.regexp_extract(path_col, r"([^/]+)$", 1)
+    stem = F.when(F.instr(F.substring(base, 2, 1 << 30), ".") > 0,
+                  F.regexp_replace(base, r"\.[^.]*$", "")).otherwise(base)
+    fallback = (per_file.join(named.select(*id_cols).distinct(), id_cols, "left_anti")
+                        .where((F.col("_plus") == 1) & (F.size("_a") > 0))
+                        .select(*keep, F.lit(-1).cast("bigint").alias("seg"), stem.alias("name"),
+                                F.lit(1).alias("start_line"), F.size("_a").cast("bigint").alias("end_line"),
+                                F.size("_a").alias("n_added"), F.array_join(F.col("_a.t"), "\n").alias("code")))
+    cols = [*id_cols, "seg", "name", "start_line", "end_line", "n_added", "code"]
+    return named.select(*cols).unionByName(fallback.select(*cols))

@@ -34,6 +34,7 @@ def load_all() -> None:
         q_diffs,
         q_graph,
         q_history,
+        q_hunks,
         q_js,
         q_reverts,
         q_sources,

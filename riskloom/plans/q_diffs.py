@@ -112,12 +112,6 @@ def changed_functions(spark, sf_dir):
     return c.select("file_id", "file_path", "function_name", "start_line", "end_line", "new_body", "language")
 
 
-@query("hunk_attribution")
-def hunk_attribution(spark, sf_dir):
-    """Added lines attributed to the enclosing name from hunk context."""
-    return D.hunk_attribution(_files(spark, sf_dir), IDS)
-
-
 @query("commit_log_parse", cte("fx_commits") + """
 SELECT trim(split_part(line, '|||', 1)) AS sha, trim(split_part(line, '|||', 2)) AS message,
        trim(split_part(line, '|||', 3)) AS author

@@ -191,3 +191,12 @@ def test_quota_split_equals_scan_with_one_hot_key(spark):
             a = sorted(map(tuple, ST.quota_audit(e, limit=lim, window_s=win, method="scan").collect()))
             b = sorted(map(tuple, ST.quota_audit(e, limit=lim, window_s=win, method="split").collect()))
             assert a == b
+
+
+def test_hunk_attribution_cases(spark):
+    diff = "@@ -1,2 +1,3 @@ function foo() {\n ctx\n+a\n@@ -10 +11,2 @@\n def bar():\n+b\n+c"
+    df = spark.createDataFrame([(1, "src/x.js", diff), (2, "lib/y.tar.py", "--- a\n+++ b\n@@ -1 +1 @@\n-z\n+w")],
+                               "file_id long, file_path string, diff string")
+    got = sorted((r.file_id, r.name, r.start_line, r.end_line, r.code)
+                 for r in D.hunk_attribution(df, ["file_id"]).collect())
+    assert got == [(1, "bar", 11, 7, "b\nc"), (1, "foo", 1, 3, "a"), (2, "y.tar", 1, 1, "w")]
