@@ -49,3 +49,17 @@ def test_sparse_and_dense_agree(spark):
     b = V.cosine_topk(de, key_cols=["repo_id"], threshold=0.8, k=5)
     cols = ["query_id", "match_id", "rank"]
     assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
+
+
+def test_hot_repository_is_split_into_bounded_blocks(spark):
+    """All vectors in one repository: blocks stay near block_rows, results match one block."""
+    v = fx(spark, MEDIUM, "fx_vectors").withColumn("repo_id", F.lit("hot"))
+    rows = 50
+    blocked = V._blocked(v.select("repo_id", F.col("seq").cast("bigint").alias("_id")), ["repo_id"], "_id", rows, "b")
+    sizes = [r["count"] for r in blocked.groupBy("b").count().collect()]
+    assert len(sizes) == -(-v.count() // rows)          # ceil(n / block_rows) blocks
+    assert max(sizes) <= 2 * rows                        # hash-assigned, bounded
+    small = V.cosine_topk(v, key_cols=["repo_id"], threshold=0.2, k=10, block_rows=rows)
+    one = V.cosine_topk(v, key_cols=["repo_id"], threshold=0.2, k=10, block_rows=100_000)
+    cols = ["query_id", "match_id", "rank"]
+    assert sorted(map(tuple, small.select(*cols).collect())) == sorted(map(tuple, one.select(*cols).collect()))
