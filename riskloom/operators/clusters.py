@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
 from .vectors import DIMS, _blocked, _matrix, _vec_cols
 
 
@@ -149,7 +149,8 @@ def duplicate_clusters(df: DataFrame, vectors: DataFrame, *, keys=("repo_id",),
     """(keys, id, cluster_id, cluster_size) for functions in clusters of >= 2
     (exact copies and near copies with cosine >= threshold)."""
     keys = list(keys)
-    h = df.select(*keys, F.col(id_col).alias("_id"), S.code_hash(text_col).alias("_h"))
+    # (id, content hash) is read three times below; hash the texts once
+    h = materialize(df.select(*keys, F.col(id_col).alias("_id"), S.code_hash(text_col).alias("_h")))
     rep = h.groupBy(*keys, "_h").agg(F.min("_id").alias("_rep"))
     members = h.join(rep, [*keys, "_h"])
     reps = vectors.join(rep.select(*keys, F.col("_rep").alias(id_col)), [*keys, id_col], "left_semi")
