@@ -199,20 +199,14 @@ def _block_topk_fn(key_names: list[str], k: int, threshold: float, asof: bool,
         if asof:
             bad |= ~(h["_ord"].to_numpy()[None, :] < q["_ord"].to_numpy()[:, None])
         s = np.where(bad, -np.inf, s)
-        kk = min(k, s.shape[1])
-        if kk < s.shape[1]:
-            # Slightly more than k so that ties at the cut are decided by id
-            # in the final merge, not by argpartition's arbitrary order.
-            kk2 = min(s.shape[1], kk + 8)
-            part = np.argpartition(-s, kk2 - 1, axis=1)[:, :kk2]
-        else:
-            part = np.broadcast_to(np.arange(s.shape[1]), s.shape)
-        rows = np.repeat(np.arange(s.shape[0]), part.shape[1])
-        cols = part.reshape(-1)
-        sc = s[rows, cols]
-        keep = np.isfinite(sc)
-        out = pd.DataFrame({"q_id": qid[rows[keep]], "h_id": hid[cols[keep]],
-                            "score": sc[keep]})
+        keep = np.isfinite(s)
+        if k < s.shape[1]:
+            # every candidate at or above the row's k-th best score, ties
+            # included, so the final (score desc, id) ranking stays exact
+            kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+            keep &= s >= kth[:, None]
+        rows, cols = np.nonzero(keep)
+        out = pd.DataFrame({"q_id": qid[rows], "h_id": hid[cols], "score": s[rows, cols]})
         for i, name in enumerate(key_names):
             out.insert(i, name, key[i])
         return out

@@ -63,3 +63,12 @@ def test_hot_repository_is_split_into_bounded_blocks(spark):
     one = V.cosine_topk(v, key_cols=["repo_id"], threshold=0.2, k=10, block_rows=100_000)
     cols = ["query_id", "match_id", "rank"]
     assert sorted(map(tuple, small.select(*cols).collect())) == sorted(map(tuple, one.select(*cols).collect()))
+
+
+def test_ties_at_the_cut_are_decided_by_id(spark):
+    """Thirty identical history vectors: the top-3 must be the three smallest ids."""
+    rows = [("r", 0, [1.0, 0.0])] + [("r", i, [0.6, 0.8]) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "repo_id string, seq long, vector array<double>")
+    q = df.where("seq = 0")
+    got = V.cosine_topk(q, df, threshold=0.1, k=3, block_rows=8).orderBy("rank").collect()
+    assert [r.match_id for r in got] == [1, 2, 3]
