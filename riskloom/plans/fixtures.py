@@ -141,7 +141,7 @@ FROM lineitem
 FX["fx_contains"] = """
 SELECT DISTINCT concat('f', CAST(l_suppkey AS STRING)) AS file_path,
   concat('fn_', CAST(l_partkey % 7 AS STRING)) AS function_name
-FROM lineitem WHERE l_orderkey % 50 = 7
+FROM lineitem
 """
 
 FX["fx_outcome_events"] = """
