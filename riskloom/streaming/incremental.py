@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 
 from ..operators import risk as R
 from ..operators import vectors as V
+from ..session import materialize
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    # One folder per micro-batch, overwritten on retry: idempotent appends.
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
+    """Idempotent append: the micro-batch owns its ``batch_id=`` partitions and
+    a retry overwrites exactly those (dynamic partition overwrite)."""
+    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic")
+       .partitionBy("batch_id", *partition_by).parquet(path))
 
 
 def analyze_stream(functions_stream: DataFrame, commits: DataFrame, *, vectors_path: str,
@@ -42,17 +46,24 @@ def analyze_stream(functions_stream: DataFrame, commits: DataFrame, *, vectors_p
         spark: SparkSession = batch.sparkSession
         fns = batch.select("repo_id", "seq", "commit_sha", "function_name", "file_path", text_col)
         vec = V.embed_hashed_sparse(fns, ["repo_id", "seq"], text_col)
-        vec = vec.join(fns.drop(text_col), ["repo_id", "seq"])
+        # read four times below (queries, history, metadata, sink): embed once
+        vec = materialize(vec.join(fns.drop(text_col), ["repo_id", "seq"]))
         try:
             stored = spark.read.parquet(vectors_path).drop("batch_id")
-            history = stored.unionByName(vec)
         except Exception:  # noqa: BLE001 - first batch: no table yet
+            stored = None
+        if stored is not None:
+            # only the repositories of this micro-batch: the semi join on the
+            # partition column lets dynamic partition pruning skip the others
+            repos = vec.select("repo_id").distinct()
+            history = stored.join(repos, "repo_id", "left_semi").unionByName(vec)
+        else:
             history = vec
         ranked = R.rank_matches(history, commits, queries=vec, meta=history, threshold=threshold,
                                 limit=limit, sparse=("indices", "values"))
         warns = R.assemble_warnings(ranked, fns)
         _write_batch(warns, warnings_path, batch_id)
-        _write_batch(vec, vectors_path, batch_id)
+        _write_batch(vec, vectors_path, batch_id, partition_by=("repo_id",))
 
     w = functions_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
