@@ -223,6 +223,55 @@ def _blocked(df: DataFrame, key_cols: list[str], id_col: str, block_rows: int,
               .withColumn(blk, F.pmod(F.xxhash64(id_col), F.col(f"{blk}_n")).cast("int")))
 
 
+def _hash_pairs(q: DataFrame, h: DataFrame, key_cols: list[str], block_rows: int, vnames: list[str]):
+    """Hash blocks: every query block meets every history block of its key."""
+    q = _blocked(q, key_cols, "_id", block_rows, "qb")
+    h = _blocked(h, key_cols, "_id", block_rows, "hb")
+    hn = h.select(*key_cols, "hb_n").distinct()
+    qn = q.select(*key_cols, "qb_n").distinct()
+    qx = (q.join(hn, key_cols)
+           .withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("hb_n") - 1)))
+           .select(*key_cols, "qb", "hb", "_id", "_ord", *vnames))
+    hx = (h.join(qn, key_cols)
+           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb_n") - 1)))
+           .select(*key_cols, "qb", "hb", "_id", "_ord", *vnames))
+    return qx, hx, [*key_cols, "qb", "hb"]
+
+
+def _range_pairs(q: DataFrame, h: DataFrame, key_cols: list[str], block_rows: int, vnames: list[str]):
+    """As-of blocks: cut each key's order range into ~n/block_rows equal-width
+    ranges (from the history's min/max), split crowded ranges by hash, and pair
+    a query range only with history ranges at or before it. A history range
+    after the query range holds only later rows, which the as-of rule rejects,
+    so about half of the block pairs are never formed."""
+    o = F.col("_ord").cast("double")
+    nr = F.greatest(F.lit(1), F.ceil(F.col("_n") / block_rows))
+    st = (h.groupBy(*key_cols).agg(F.min(o).alias("_mn"), F.max(o).alias("_mx"), F.count(F.lit(1)).alias("_n"))
+           .select(*key_cols, "_mn", nr.cast("int").alias("_nr"), ((F.col("_mx") - F.col("_mn") + 1) / nr).alias("_w")))
+
+    def ranged(df):
+        rb = F.least(F.col("_nr") - 1, F.greatest(F.lit(0), F.floor((o - F.col("_mn")) / F.col("_w"))))
+        return df.join(st, key_cols).withColumn("rb", rb.cast("int")).drop("_mn", "_nr", "_w")
+
+    def subs(df, name):
+        return (df.groupBy(*key_cols, "rb").agg(F.count(F.lit(1)).alias("_c"))
+                  .select(*key_cols, "rb", F.greatest(F.lit(1), F.ceil(F.col("_c") / block_rows)).cast("int").alias(name)))
+
+    q2, h2 = ranged(q), ranged(h)
+    qs, hs = subs(q2, "_qsub"), subs(h2, "_hsub")
+    q3 = q2.join(qs, [*key_cols, "rb"]).withColumn("sb", F.pmod(F.xxhash64("_id"), F.col("_qsub")).cast("int"))
+    h3 = h2.join(hs, [*key_cols, "rb"]).withColumn("sb", F.pmod(F.xxhash64("_id"), F.col("_hsub")).cast("int"))
+    hs2 = hs.select(*key_cols, F.col("rb").alias("hrb"), F.col("_hsub").alias("_n_h"))
+    qs2 = qs.select(*key_cols, F.col("rb").alias("qrb"), F.col("_qsub").alias("_n_q"))
+    qx = (q3.join(hs2, key_cols).where(F.col("hrb") <= F.col("rb"))
+            .withColumn("hsb", F.explode(F.sequence(F.lit(0), F.col("_n_h") - 1)))
+            .select(*key_cols, F.col("rb").alias("qrb"), F.col("sb").alias("qsb"), "hrb", "hsb", "_id", "_ord", *vnames))
+    hx = (h3.join(qs2, key_cols).where(F.col("qrb") >= F.col("rb"))
+            .withColumn("qsb", F.explode(F.sequence(F.lit(0), F.col("_n_q") - 1)))
+            .select(*key_cols, "qrb", "qsb", F.col("rb").alias("hrb"), F.col("sb").alias("hsb"), "_id", "_ord", *vnames))
+    return qx, hx, [*key_cols, "qrb", "qsb", "hrb", "hsb"]
+
+
 def cosine_topk(queries: DataFrame, history: DataFrame | None = None, *,
                 key_cols: list[str] = ("repo_id",), id_col: str = "seq",
                 vec_col: str = "vector", threshold: float = DEFAULT_THRESHOLD,
@@ -243,25 +292,15 @@ def cosine_topk(queries: DataFrame, history: DataFrame | None = None, *,
     ordc = asof_col or id_col
     vcols = _vec_cols(queries, vec_col, sparse)
     vnames = ["_i", "_x"] if sparse else ["_v"]
-    q = _blocked(queries.select(*key_cols, F.col(id_col).cast("bigint").alias("_id"),
-                                F.col(ordc).alias("_ord"), *vcols),
-                 key_cols, "_id", block_rows, "qb")
-    h = _blocked(history.select(*key_cols, F.col(id_col).cast("bigint").alias("_id"),
-                                F.col(ordc).alias("_ord"), *vcols),
-                 key_cols, "_id", block_rows, "hb")
-    hn = h.select(*key_cols, "hb_n").distinct()
-    qn = q.select(*key_cols, "qb_n").distinct()
-    # Replicate each query row to every history block of its key and vice versa.
-    qx = (q.join(hn, key_cols)
-           .withColumn("hb", F.explode(F.sequence(F.lit(0), F.col("hb_n") - 1)))
-           .select(*key_cols, "qb", "hb", "_id", "_ord", *vnames))
-    hx = (h.join(qn, key_cols)
-           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb_n") - 1)))
-           .select(*key_cols, "qb", "hb", "_id", "_ord", *vnames))
+    qsel = queries.select(*key_cols, F.col(id_col).cast("bigint").alias("_id"), F.col(ordc).alias("_ord"), *vcols)
+    hsel = history.select(*key_cols, F.col(id_col).cast("bigint").alias("_id"), F.col(ordc).alias("_ord"), *vcols)
+    if asof_col is not None:
+        qx, hx, grp = _range_pairs(qsel, hsel, key_cols, block_rows, vnames)
+    else:
+        qx, hx, grp = _hash_pairs(qsel, hsel, key_cols, block_rows, vnames)
     # Fresh attribute ids on both sides: they derive from the same input.
     qx = qx.select(*[F.col(c).alias(c) for c in qx.columns])
     hx = hx.select(*[F.col(c).alias(c) for c in hx.columns])
-    grp = [*key_cols, "qb", "hb"]
     schema = T.StructType([queries.schema[c] for c in key_cols] + [
         T.StructField("q_id", T.LongType()), T.StructField("h_id", T.LongType()),
         T.StructField("score", T.DoubleType())])

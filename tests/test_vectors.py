@@ -72,3 +72,12 @@ def test_ties_at_the_cut_are_decided_by_id(spark):
     q = df.where("seq = 0")
     got = V.cosine_topk(q, df, threshold=0.1, k=3, block_rows=8).orderBy("rank").collect()
     assert [r.match_id for r in got] == [1, 2, 3]
+
+
+def test_asof_range_blocks_match_one_block(spark):
+    """As-of search with many range blocks (pairs after the query range pruned) = one block."""
+    v = fx(spark, MEDIUM, "fx_vectors")
+    cols = ["query_id", "match_id", "rank"]
+    a = V.cosine_topk(v, key_cols=["repo_id"], threshold=0.2, k=20, asof_col="seq", block_rows=13)
+    b = V.cosine_topk(v, key_cols=["repo_id"], threshold=0.2, k=20, asof_col="seq", block_rows=100_000)
+    assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
