@@ -11,6 +11,7 @@ from ..operators import risk as R
 from ..operators import vectors as V
 from ..session import materialize
 from .catalog import query
+from .sqlgen import sql_render
 from .fixtures import cte, fx
 
 THRESHOLD = 0.80       # production search threshold (hashed text vectors are dense enough)
@@ -182,6 +183,9 @@ def fallback_explanation(spark, sf_dir):
                     fb["suggested_action"].alias("suggested_action"))
 
 
+_PCT_SQL = "concat(CAST(CAST(round_even(score * 100, 0) AS BIGINT) AS VARCHAR), '%')"
+
+
 @query("explain_requests", _RANKED_SQL + """,
 q AS (SELECT hr.*, substr(sha256(regexp_replace(fq.code_body, '^\\s+|\\s+$', '', 'g')), 1, 16) AS code_hash,
         fq.function_name, fq.file_path, fq.code_body AS cur, fh.code_body AS hist
@@ -189,12 +193,9 @@ q AS (SELECT hr.*, substr(sha256(regexp_replace(fq.code_body, '^\\s+|\\s+$', '',
 k AS (SELECT *, row_number() OVER (PARTITION BY code_hash, commit_sha ORDER BY query_seq, rank) AS kk,
         count(*) OVER (PARTITION BY code_hash, commit_sha) AS n_warnings FROM q)
 SELECT code_hash, commit_sha AS matched_commit_sha, n_warnings,
-  md5(concat('You are a senior code reviewer analyzing a potential risk in a codebase.', chr(10), chr(10),
-    'A developer just committed code that is ', CAST(CAST(round_even(score * 100, 0) AS BIGINT) AS VARCHAR),
-    '% semantically similar to historical code that had a bad outcome.', chr(10), chr(10),
-    '## Current Code (just committed):', chr(10), 'Function: ', function_name, chr(10), 'File: ', file_path, chr(10),
-    '```', chr(10), substr(cur, 1, 2000), chr(10), '```', chr(10), chr(10), '## Historical Code (outcome: ', outcome, '):', chr(10),
-    '```', chr(10), substr(hist, 1, 2000), chr(10), '```', chr(10))) AS prompt_md5
+  md5(""" + sql_render(S.EXPLAIN_TEMPLATE, pct=_PCT_SQL, function_name="function_name", file_path="file_path",
+                       current_code="substr(cur, 1, 2000)", historical_code="substr(hist, 1, 2000)",
+                       outcome="outcome") + """) AS prompt_md5
 FROM k WHERE kk = 1
 """)
 def explain_requests(spark, sf_dir):
@@ -292,3 +293,27 @@ def fix_parse(spark, sf_dir):
     r = _replies(spark, sf_dir)
     p = S.fix_parse("reply", "role")
     return r.select("conv_id", "turn", p["success"].alias("success"), F.md5(p["fixed_code"]).alias("fixed_code_md5"))
+
+
+@query("fix_requests", _RANKED_SQL + """,
+q AS (SELECT hr.query_seq, hr.match_seq, hr.explanation, fq.function_name, fq.file_path,
+        fq.code_body AS bad, fh.code_body AS safe
+      FROM hr JOIN fx_functions fq ON fq.seq = hr.query_seq JOIN fx_functions fh ON fh.seq = hr.match_seq)
+SELECT query_seq, match_seq,
+  md5(""" + sql_render(S.FIX_TEMPLATE, function_name="function_name", file_path="file_path", language="'python'",
+                       bad_code="substr(bad, 1, 3000)", explanation="explanation",
+                       safe_code="substr(safe, 1, 3000)") + """) AS prompt_md5
+FROM q
+""")
+def fix_requests(spark, sf_dir):
+    """One fix request per high-risk warning (risky body, matched body
+    as the safe version, the warning's explanation), bodies cut to 3,000 chars."""
+    f = _functions(spark, sf_dir)
+    hr = R.high_risk(_ranked(spark, sf_dir))
+    fb = S.fallback_explanation("score", "outcome")
+    q = (hr.select("query_seq", "match_seq", fb["explanation"].alias("why"))
+           .join(f.select(F.col("seq").alias("query_seq"), F.col("function_name").alias("qfn"),
+                          F.col("file_path").alias("qpath"), F.col("code_body").alias("bad")), "query_seq")
+           .join(f.select(F.col("seq").alias("match_seq"), F.col("code_body").alias("safe")), "match_seq"))
+    prompt = S.fix_prompt("bad", "safe", "why", "qfn", "qpath", S.detect_language("qpath"))
+    return q.select("query_seq", "match_seq", F.md5(prompt).alias("prompt_md5"))
