@@ -127,3 +127,20 @@ def test_incremental_analyze_equals_replay(spark):
     catalog.load_all()
     want = _rows(catalog.QUERIES["analyze_warnings"](spark, SMALL), cols)
     assert got == want and len(want) > 0
+
+
+def test_unknown_commit_events_compat_vs_deferred(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    commits = spark.createDataFrame(
+        [("r", "a1", False, t), ("r", "b2", False, t + dt.timedelta(hours=2))],
+        "repo_id string, sha string, revert_status boolean, seen_at timestamp_ntz")
+    log = spark.createDataFrame(
+        [(1, t + dt.timedelta(hours=1), "a1", "revert", "", False),     # commit known: applies
+         (2, t + dt.timedelta(hours=1), "b2", "revert", "", False)],    # arrives before its commit
+        "event_id long, ts timestamp_ntz, commit_sha string, kind string, pipeline string, merged boolean")
+    deferred = dict(INC.outcome_view(commits, log).select("sha", "revert_status").collect())
+    compat = dict(INC.outcome_view(commits, log, mode="compat").select("sha", "revert_status").collect())
+    assert deferred == {"a1": True, "b2": True}
+    assert compat == {"a1": True, "b2": False}
