@@ -68,7 +68,7 @@ def enrich_matches(matches: DataFrame, commits: DataFrame, *,
 def rank_matches(vectors: DataFrame, commits: DataFrame, *,
                  queries: DataFrame | None = None, meta: DataFrame | None = None,
                  threshold: float = DEFAULT_THRESHOLD, limit: int = DEFAULT_LIMIT,
-                 asof: bool = True, id_col: str = "seq",
+                 asof: bool = True, id_col: str = "seq", order_col: str | None = None,
                  block_rows: int = 2048, sparse: tuple[str, str] | None = None) -> DataFrame:
     """V1–V8: outcome-aware ranked matches for every query function.
 
@@ -84,7 +84,7 @@ def rank_matches(vectors: DataFrame, commits: DataFrame, *,
     meta = vectors if meta is None else meta
     top = cosine_topk(queries, vectors, key_cols=["repo_id"], id_col=id_col,
                       threshold=threshold, k=2 * limit,
-                      asof_col=id_col if asof else None, block_rows=block_rows, sparse=sparse)
+                      asof_col=(order_col or id_col) if asof else None, block_rows=block_rows, sparse=sparse)
     top = top.withColumnRenamed("rank", "fetch_rank")
     qmeta = meta.select(F.col(id_col).cast("bigint").alias("query_id"),
                         F.col("commit_sha").alias("query_sha"))
