@@ -106,6 +106,53 @@ _TOKEN = re.compile(r"""
 """, re.S | re.X)
 
 
+def _skip_string(code: str, i: int) -> int:
+    """End (exclusive) of the quoted string starting at ``i``."""
+    q, j, n = code[i], i + 1, len(code)
+    while j < n and code[j] != q and code[j] != "\n":
+        j += 2 if code[j] == "\\" else 1
+    return min(j + 1, n)
+
+
+def _skip_template(code: str, i: int) -> int:
+    """End (exclusive) of the template literal starting at ``i``; ``${...}``
+    holds code (strings, nested templates, braces) scanned recursively."""
+    j, n = i + 1, len(code)
+    while j < n:
+        c = code[j]
+        if c == "\\":
+            j += 2
+        elif c == "`":
+            return j + 1
+        elif c == "$" and j + 1 < n and code[j + 1] == "{":
+            j = _skip_expr(code, j + 2)
+        else:
+            j += 1
+    return n
+
+
+def _skip_expr(code: str, j: int) -> int:
+    """End (exclusive) of a ``${`` expression: just past its closing brace."""
+    depth, n = 0, len(code)
+    while j < n:
+        c = code[j]
+        if c in "'\"":
+            j = _skip_string(code, j)
+        elif c == "`":
+            j = _skip_template(code, j)
+        elif c == "{":
+            depth += 1
+            j += 1
+        elif c == "}":
+            if depth == 0:
+                return j + 1
+            depth -= 1
+            j += 1
+        else:
+            j += 1
+    return n
+
+
 def _js_tokens(code: str):
     """(kind, text, start_offset, end_offset) tokens; strings, templates,
     comments and regex literals are consumed whole."""
@@ -115,32 +162,16 @@ def _js_tokens(code: str):
     while i < n:
         ch = code[i]
         if ch in "'\"":
-            j = i + 1
-            while j < n and code[j] != ch and code[j] != "\n":
-                j += 2 if code[j] == "\\" else 1
-            toks.append(("str", code[i:j + 1], i, min(j + 1, n)))
+            j = _skip_string(code, i)
+            toks.append(("str", code[i:j], i, j))
             prev_sig = toks[-1]
-            i = j + 1
+            i = j
             continue
         if ch == "`":
-            j, depth = i + 1, 0
-            while j < n:
-                c = code[j]
-                if c == "\\":
-                    j += 2
-                    continue
-                if depth == 0 and c == "`":
-                    break
-                if c == "$" and j + 1 < n and code[j + 1] == "{":
-                    depth += 1
-                    j += 2
-                    continue
-                if depth and c == "}":
-                    depth -= 1
-                j += 1
-            toks.append(("str", code[i:j + 1], i, min(j + 1, n)))
+            j = _skip_template(code, i)
+            toks.append(("str", code[i:j], i, j))
             prev_sig = toks[-1]
-            i = j + 1
+            i = j
             continue
         if ch == "/" and i + 1 < n and code[i + 1] not in "/*":
             regex_ok = (prev_sig is None or (prev_sig[0] == "p" and prev_sig[1] not in ")]}")
@@ -191,6 +222,23 @@ def js_functions(code: str):
             if stack:
                 match[stack.pop()] = k
     opener_of = {c: o for o, c in match.items()}
+    # braces that open a class body (members there are fields, not assignments)
+    class_body = set()
+    for k, t in enumerate(toks):
+        if t[0] == "id" and t[1] == "class":
+            j = k + 1
+            while j < n and not (toks[j][0] == "p" and toks[j][1] in "{;"):
+                j += 1
+            if j < n and toks[j][1] == "{":
+                class_body.add(j)
+    enclosing = {}
+    stack2 = []
+    for k, t in enumerate(toks):
+        enclosing[k] = stack2[-1] if stack2 else None
+        if t[0] == "p" and t[1] in "({[":
+            stack2.append(k)
+        elif t[0] == "p" and t[1] in ")}]" and stack2:
+            stack2.pop()
     line_of = _line_index(code)
     found = []
 
@@ -247,8 +295,11 @@ def js_functions(code: str):
                 if pp is not None and pp[0] == "p" and pp[1] == "=":
                     q = prev(start, 2)
                     q2 = prev(start, 3)
-                    # variable declarator or plain assignment to an identifier
-                    if q is not None and q[0] == "id" and (q2 is None or not (q2[0] == "p" and q2[1] == ".")):
+                    # variable declarator or plain assignment to an identifier;
+                    # a class field (``x = () => ...`` in a class body) stays anonymous
+                    in_class = enclosing.get(start - 2) in class_body
+                    if (q is not None and q[0] == "id" and not in_class
+                            and (q2 is None or not (q2[0] == "p" and q2[1] == "."))):
                         name = q[1]
                 name = name or ANON
             nxt = toks[k + 1] if k + 1 < n else None

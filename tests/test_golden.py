@@ -200,3 +200,16 @@ def test_hunk_attribution_cases(spark):
     got = sorted((r.file_id, r.name, r.start_line, r.end_line, r.code)
                  for r in D.hunk_attribution(df, ["file_id"]).collect())
     assert got == [(1, "bar", 11, 7, "b\nc"), (1, "foo", 1, 3, "a"), (2, "y.tar", 1, 1, "w")]
+
+
+def test_js_scanner_edge_cases():
+    nested = "const f = (a) => {\n  return `x ${a ? `y${a}}` : '}'} z`;\n};\nfunction g() { return 1; }\n"
+    assert [(n, s, e) for n, s, e, _ in js_functions(nested)] == [("f", 1, 3), ("g", 4, 4)]
+    cls = ("class A extends B {\n  static create(x: number): A {\n    return new A();\n  }\n"
+           "  handle = () => {\n    this.x = 1;\n  };\n  get name() { return 'a'; }\n}\nconst top = () => 1;\n")
+    assert [(n, s, e) for n, s, e, _ in js_functions(cls)] == [
+        ("create", 2, 4), ("<anonymous>", 5, 7), ("name", 8, 8), ("top", 10, 10)]
+    rx = "function r(s) {\n  return /[}{]/.test(s) ? s.split(/\\//) : s;\n}\nconst k = 1 / 2; const m = (x) => x / 3;\n"
+    assert [(n, s, e) for n, s, e, _ in js_functions(rx)] == [("r", 1, 3), ("m", 4, 4)]
+    com = "// function fake() {\n/* const no = () => { */\nfunction real(a /* } */) {\n  // }\n  return a;\n}\n"
+    assert [(n, s, e) for n, s, e, _ in js_functions(com)] == [("real", 3, 6)]
