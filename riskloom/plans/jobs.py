@@ -161,11 +161,13 @@ def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: flo
     warns = materialize(warns)
     SK.write_table(warns, _path(store, "warnings"))
     _store_commits(commits, store)
+    # the live path records graph edges only for files with changed functions
+    _store_edges(files.join(fns.select("repo_id", "sha", "file_path").distinct(),
+                            ["repo_id", "sha", "file_path"], "left_semi"), store)
     vec = new.select(F.sha2(F.concat_ws("|", "repo_id", "commit_sha", "file_path", "function_name"), 256).alias("id"),
                      "repo_id", "seq", "commit_sha", "function_name", "file_path", "start_line", "end_line",
                      S.code_hash("code_body").alias("code_hash"), "code_body", "indices", "values")
     SK.write_vectors(vec, _path(store, "vectors"))
-    _store_edges(files, store)
     return warns
 
 
