@@ -200,3 +200,15 @@ def outcome_trend_stream(events: DataFrame, *, ts_col="ts", kind_col="kind", eve
     ev = events.withColumn(ts_col, F.col(ts_col).cast("timestamp")) if ntz else events
     out = outcome_trend(ev.withWatermark(ts_col, watermark), ts_col=ts_col, kind_col=kind_col, every=every)
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) if ntz else out
+
+
+# ------------------------------------------------------------- T6 + E5 -----
+def embed_once_stream(functions: DataFrame, *, key_cols=("repo_id",), hash_col="code_hash",
+                      ts_col="ts", ttl: str = "24 hours") -> DataFrame:
+    """Streaming embedding cache: pass each (key, code hash) once while its
+    state lives; the watermark drops the state ``ttl`` after the event time,
+    so a hash seen again later is embedded again (the cache entry expired).
+    The rows that pass are the ones to embed."""
+    ntz = isinstance(functions.schema[ts_col].dataType, T.TimestampNTZType)
+    f = functions.withColumn(ts_col, F.col(ts_col).cast("timestamp")) if ntz else functions
+    return f.withWatermark(ts_col, ttl).dropDuplicatesWithinWatermark([*key_cols, hash_col])

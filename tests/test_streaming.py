@@ -144,3 +144,22 @@ def test_unknown_commit_events_compat_vs_deferred(spark):
     compat = dict(INC.outcome_view(commits, log, mode="compat").select("sha", "revert_status").collect())
     assert deferred == {"a1": True, "b2": True}
     assert compat == {"a1": True, "b2": False}
+
+
+def test_embed_once_stream_dedupes_hashes(spark):
+    from riskloom.functions import scalars as S
+
+    base = tempfile.mkdtemp(prefix="rl-t6-")
+    f = (fx(spark, SMALL, "fx_functions")
+         .withColumn("code_hash", S.code_hash("code_body"))
+         .withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("seq")))
+         .select("repo_id", "seq", "code_hash", "ts"))
+    src = _chunks_to_dir(f, 2, "seq", base)
+    stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (ST.embed_once_stream(stream).writeStream.format("memory").queryName("t6_out")
+           .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    got = spark.table("t6_out")
+    # all rows fall inside one TTL, so each (repo, hash) passes exactly once
+    assert got.count() == f.select("repo_id", "code_hash").distinct().count()
+    assert got.groupBy("repo_id", "code_hash").count().where("count > 1").count() == 0
