@@ -9,8 +9,10 @@ Scale notes
 * ``graph_risk`` never forms file x file pairs: "another file modified by a
   reverted commit uses this table" holds iff the set of reverted files of the
   table contains a file other than this one, which a per-table ``min``/``max``
-  over reverted files decides. Cost is linear in the edge tables; a table used
-  by a third of all files is one partially-aggregated key.
+  over reverted files decides; "more than 3 dependents within 3 hops" is
+  decided from importer counts without expanding hub files
+  (``dependents_exceed``). Cost is linear in the edge tables; a table or file
+  used by a third of all files is one partially-aggregated key.
 * ``k_hop_dependents`` expands one hop per join and de-duplicates (dependent,
   target) after every hop, so the intermediate never exceeds the distinct
   reachability set of the previous hop.
@@ -115,6 +117,46 @@ def blast_radius_count(imports: DataFrame, keys=(), max_hops: int = 3) -> DataFr
     return d.groupBy(*keys, "file_path").agg(F.count(F.lit(1)).alias("blast_radius"))
 
 
+def dependents_exceed(imports: DataFrame, n: int = 3, max_hops: int = 3, keys=(),
+                      src_col="src", dst_col="dst") -> DataFrame:
+    """(keys, file_path, many): does the file have more than ``n`` distinct
+    dependents within ``max_hops`` import edges? Exact, without building the
+    reachability sets of hub files.
+
+    Every node's direct importer count c(x) is one aggregate. A file with
+    c(f) > n is decided at once. Otherwise its dependents are expanded hop by
+    hop, but a frontier node x with c(x) > n already gives the next hop more
+    than n distinct dependents, so the file is decided without expanding x.
+    Every set that is expanded therefore has at most n, n², n³ members per file.
+    """
+    keys = list(keys)
+    e = imports.select(*keys, F.col(src_col).alias("dep"), F.col(dst_col).alias("via")).distinct()
+    c = e.groupBy(*keys, "via").agg(F.count(F.lit(1)).alias("_c"))
+    cnt = c.select(*keys, F.col("via").alias("x"), "_c")
+    files = c.select(*keys, F.col("via").alias("file_path"), (F.col("_c") > n).alias("many"))
+    decided = files.where("many")
+    open_ = files.where(~F.col("many")).select(*keys, "file_path")
+    # frontier: (file, node at exactly h hops); seen: (file, distinct dependents so far)
+    frontier = open_.join(e.withColumnRenamed("via", "file_path"), [*keys, "file_path"]).select(
+        *keys, "file_path", F.col("dep").alias("x"))
+    seen = frontier
+    for _ in range(2, max_hops + 1):
+        # a frontier node with more than n importers decides its file
+        hot = (frontier.join(cnt, [*keys, "x"]).where(F.col("_c") > n)
+                       .select(*keys, "file_path").distinct())
+        decided = decided.unionByName(hot.withColumn("many", F.lit(True)))
+        frontier = frontier.join(hot, [*keys, "file_path"], "left_anti")
+        seen = seen.join(hot, [*keys, "file_path"], "left_anti")
+        frontier = (frontier.join(e.withColumnRenamed("via", "x"), [*keys, "x"])
+                            .select(*keys, "file_path", F.col("dep").alias("x")).distinct())
+        seen = seen.unionByName(frontier).distinct()
+    rest = (seen.groupBy(*keys, "file_path").agg(F.count(F.lit(1)).alias("_n"))
+                .select(*keys, "file_path", (F.col("_n") > n).alias("many")))
+    done = decided.select(*keys, "file_path").distinct()
+    rest = rest.join(done, [*keys, "file_path"], "left_anti")
+    return decided.select(*keys, "file_path", "many").distinct().unionByName(rest)
+
+
 def direct_dependents(imports: DataFrame, contains: DataFrame, keys=(),
                       src_col="src", dst_col="dst") -> DataFrame:
     """(keys, file_path, dependent, functions) — every direct importer
@@ -143,11 +185,16 @@ def indirect_dependents(imports: DataFrame, keys=(), src_col="src", dst_col="dst
 
 def graph_risk(uses_table: DataFrame, calls_api: DataFrame, modifies: DataFrame,
                imports: DataFrame, files: DataFrame | None = None, keys=()) -> DataFrame:
-    """min(1, 0.5·shared table + 0.3·shared API + 0.2·[blast radius > 3]) per file."""
+    """min(1, 0.5·shared table + 0.3·shared API + 0.2·[blast radius > 3]) per file.
+
+    All three flags are linear in the edge tables: the table/API flags use
+    per-item min/max over reverted files, and the blast-radius flag uses
+    ``dependents_exceed``, which never builds a hub file's dependent set
+    (``blast_radius_count`` gives the full counts when they are wanted)."""
     keys = list(keys)
     t = shared_item_flags(uses_table, modifies, "table_name", keys).withColumnRenamed("shared", "shares_table")
     a = shared_item_flags(calls_api, modifies, "url", keys).withColumnRenamed("shared", "shares_api")
-    b = blast_radius_count(imports, keys)
+    b = dependents_exceed(imports, 3, keys=keys).withColumnRenamed("many", "many_dependents")
     if files is None:
         parts = [uses_table.select(*keys, "file_path"), calls_api.select(*keys, "file_path"),
                  modifies.select(*keys, "file_path"),
@@ -158,11 +205,11 @@ def graph_risk(uses_table: DataFrame, calls_api: DataFrame, modifies: DataFrame,
               .join(b, [*keys, "file_path"], "left"))
     st = F.coalesce("shares_table", F.lit(False))
     sa = F.coalesce("shares_api", F.lit(False))
-    br = F.coalesce("blast_radius", F.lit(0))
+    md = F.coalesce("many_dependents", F.lit(False))
     score = (F.when(st, 0.5).otherwise(0.0) + F.when(sa, 0.3).otherwise(0.0)
-             + F.when(br > 3, 0.2).otherwise(0.0))
+             + F.when(md, 0.2).otherwise(0.0))
     return r.select(*keys, "file_path", st.alias("shares_table"), sa.alias("shares_api"),
-                    br.cast("bigint").alias("blast_radius"),
+                    md.alias("many_dependents"),
                     F.round(F.least(F.lit(1.0), score), 4).alias("graph_risk_score"))
 
 

@@ -127,7 +127,7 @@ fl AS (SELECT files.file_path,
          files.file_path IN (SELECT file_path FROM sra) AS shares_api,
          coalesce(br.n, 0) AS blast_radius
        FROM files LEFT JOIN br ON br.file_path = files.file_path)
-SELECT file_path, shares_table, shares_api, blast_radius,
+SELECT file_path, shares_table, shares_api, blast_radius > 3 AS many_dependents,
   round(least(1.0, CASE WHEN shares_table THEN 0.5 ELSE 0.0 END + CASE WHEN shares_api THEN 0.3 ELSE 0.0 END
                    + CASE WHEN blast_radius > 3 THEN 0.2 ELSE 0.0 END)::DOUBLE, 4) AS graph_risk_score
 FROM fl

@@ -106,7 +106,7 @@ def test_graph_risk_components(spark):
     r = {x.file_path: x for x in G.graph_risk(uses, apis, mods, imports).collect()}
     assert r["f1"].graph_risk_score == 1.0       # table 0.5 + api 0.3 + 4 dependents 0.2
     assert r["f2"].graph_risk_score == 0.0       # only reverted file itself; exactly 3 dependents add 0
-    assert r["f2"].blast_radius == 3
+    assert r["f2"].many_dependents is False and r["f1"].many_dependents is True
 
 
 def test_quota_golden_case(spark):
@@ -213,3 +213,17 @@ def test_js_scanner_edge_cases():
     assert [(n, s, e) for n, s, e, _ in js_functions(rx)] == [("r", 1, 3), ("m", 4, 4)]
     com = "// function fake() {\n/* const no = () => { */\nfunction real(a /* } */) {\n  // }\n  return a;\n}\n"
     assert [(n, s, e) for n, s, e, _ in js_functions(com)] == [("real", 3, 6)]
+
+
+def test_dependents_exceed_equals_full_count(spark):
+    from riskloom.plans.fixtures import fx
+
+    from conftest import MEDIUM
+
+    hub = ([(f"a{i}", "H") for i in range(50)] + [("H", "t1"), ("b1", "t2"), ("b2", "b1"), ("b3", "b2"),
+                                                   ("c1", "t3"), ("c2", "t3"), ("c3", "c1"), ("t3", "t3")])
+    graphs = [fx(spark, MEDIUM, "fx_imports"), spark.createDataFrame(hub, "src string, dst string")]
+    for imports in graphs:
+        full = {r.file_path: r.blast_radius > 3 for r in G.blast_radius_count(imports).collect()}
+        fast = {r.file_path: r.many for r in G.dependents_exceed(imports, 3).collect()}
+        assert fast == full
