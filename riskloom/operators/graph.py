@@ -125,36 +125,31 @@ def dependents_exceed(imports: DataFrame, n: int = 3, max_hops: int = 3, keys=()
 
     Every node's direct importer count c(x) is one aggregate. A file with
     c(f) > n is decided at once. Otherwise its dependents are expanded hop by
-    hop, but a frontier node x with c(x) > n already gives the next hop more
-    than n distinct dependents, so the file is decided without expanding x.
-    Every set that is expanded therefore has at most n, n², n³ members per file.
+    hop, never through a node x with c(x) > n: such a node alone gives the
+    next hop more than n dependents, so its file is decided. Each expansion
+    step therefore adds at most n rows per frontier row.
     """
     keys = list(keys)
-    e = imports.select(*keys, F.col(src_col).alias("dep"), F.col(dst_col).alias("via")).distinct()
-    c = e.groupBy(*keys, "via").agg(F.count(F.lit(1)).alias("_c"))
-    cnt = c.select(*keys, F.col("via").alias("x"), "_c")
-    files = c.select(*keys, F.col("via").alias("file_path"), (F.col("_c") > n).alias("many"))
-    decided = files.where("many")
-    open_ = files.where(~F.col("many")).select(*keys, "file_path")
-    # frontier: (file, node at exactly h hops); seen: (file, distinct dependents so far)
-    frontier = open_.join(e.withColumnRenamed("via", "file_path"), [*keys, "file_path"]).select(
-        *keys, "file_path", F.col("dep").alias("x"))
-    seen = frontier
+    e = imports.select(*keys, F.col(src_col).alias("dep"), F.col(dst_col).alias("x")).distinct()
+    cnt = e.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_c"))
+    small = cnt.where(F.col("_c") <= n).select(*keys, "x")          # nodes safe to expand
+    hot_nodes = cnt.where(F.col("_c") > n).select(*keys, "x")
+    # hop 1: files with at most n importers keep their importers as the frontier
+    frontier = (e.join(small, [*keys, "x"], "left_semi")
+                 .select(*keys, F.col("x").alias("file_path"), F.col("dep").alias("x")))
+    seen, hot = [frontier], [hot_nodes.withColumnRenamed("x", "file_path")]
     for _ in range(2, max_hops + 1):
-        # a frontier node with more than n importers decides its file
-        hot = (frontier.join(cnt, [*keys, "x"]).where(F.col("_c") > n)
-                       .select(*keys, "file_path").distinct())
-        decided = decided.unionByName(hot.withColumn("many", F.lit(True)))
-        frontier = frontier.join(hot, [*keys, "file_path"], "left_anti")
-        seen = seen.join(hot, [*keys, "file_path"], "left_anti")
-        frontier = (frontier.join(e.withColumnRenamed("via", "x"), [*keys, "x"])
+        hot.append(frontier.join(hot_nodes, [*keys, "x"], "left_semi").select(*keys, "file_path"))
+        frontier = (frontier.join(small, [*keys, "x"], "left_semi")
+                            .join(e, [*keys, "x"])
                             .select(*keys, "file_path", F.col("dep").alias("x")).distinct())
-        seen = seen.unionByName(frontier).distinct()
-    rest = (seen.groupBy(*keys, "file_path").agg(F.count(F.lit(1)).alias("_n"))
-                .select(*keys, "file_path", (F.col("_n") > n).alias("many")))
-    done = decided.select(*keys, "file_path").distinct()
-    rest = rest.join(done, [*keys, "file_path"], "left_anti")
-    return decided.select(*keys, "file_path", "many").distinct().unionByName(rest)
+        seen.append(frontier)
+    hot_files = reduce(DataFrame.unionByName, hot).distinct().withColumn("many", F.lit(True))
+    counted = (reduce(DataFrame.unionByName, seen).distinct()
+               .groupBy(*keys, "file_path").agg((F.count(F.lit(1)) > n).alias("_m")))
+    return (counted.join(hot_files, [*keys, "file_path"], "full")
+                   .select(*keys, "file_path", (F.coalesce("many", F.lit(False)) | F.coalesce("_m", F.lit(False)))
+                           .alias("many")))
 
 
 def direct_dependents(imports: DataFrame, contains: DataFrame, keys=(),
