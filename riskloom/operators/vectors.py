@@ -200,7 +200,7 @@ def _block_topk_fn(key_names: list[str], k: int, threshold: float, asof: bool,
             bad |= ~(h["_ord"].to_numpy()[None, :] < q["_ord"].to_numpy()[:, None])
         s = np.where(bad, -np.inf, s)
         keep = np.isfinite(s)
-        if k < s.shape[1]:
+        if k is not None and k < s.shape[1]:
             # every candidate at or above the row's k-th best score, ties
             # included, so the final (score desc, id) ranking stays exact
             kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
@@ -282,7 +282,8 @@ def cosine_topk(queries: DataFrame, history: DataFrame | None = None, *,
 
     Vectors must be unit length (cosine = dot product). Returns
     (key_cols..., query_id, match_id, score, rank) with score >= threshold,
-    rank 1..k by score desc then match id. ``asof_col``: a match must have a
+    rank 1..k by score desc then match id (``k=None``: every pair at or above
+    the threshold, without rank). ``asof_col``: a match must have a
     smaller value than the query (a live search sees only earlier vectors).
     ``sparse=(indices_col, values_col)`` reads sparse vectors of ``dims``
     dimensions instead of the dense ``vec_col``.
@@ -306,6 +307,8 @@ def cosine_topk(queries: DataFrame, history: DataFrame | None = None, *,
         T.StructField("score", T.DoubleType())])
     fn = _block_topk_fn(key_cols, k, threshold, asof_col is not None, exclude_same_id, dims)
     scored = qx.groupBy(*grp).cogroup(hx.groupBy(*grp)).applyInPandas(fn, schema)
+    if k is None:   # every pair at or above the threshold
+        return scored.withColumnRenamed("q_id", "query_id").withColumnRenamed("h_id", "match_id")
     w = Window.partitionBy(*key_cols, "q_id").orderBy(F.desc("score"), "h_id")
     return (scored.withColumn("rank", F.row_number().over(w))
                   .where(F.col("rank") <= k)
@@ -314,17 +317,69 @@ def cosine_topk(queries: DataFrame, history: DataFrame | None = None, *,
 
 
 # ---------------------------------------------------------------- V2 -------
+def _simhash_fn(key_names, dims: int | None, bits: int, tables: int, seed: int, sparse: bool):
+    """Signatures of a batch: ``tables`` codes of ``bits`` random-hyperplane sign bits.
+    The hyperplanes come from (seed, dims) inside the worker, so every
+    executor draws the same ones; dense inputs take dims from the vectors."""
+
+    def run(batches):
+        weights = (1 << np.arange(bits)).astype(np.int64)
+        planes = {}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            m = _matrix(pdf, dims)
+            d = m.shape[1]
+            if d not in planes:
+                planes[d] = np.random.default_rng([seed, d]).standard_normal((d, bits * tables))
+            sign = (m @ planes[d]) >= 0
+            codes = (sign.reshape(len(pdf), tables, bits) * weights).sum(axis=2)
+            out = pdf[[*key_names, "_id", *(["_i", "_x"] if sparse else ["_v"])]].copy()
+            out["buckets"] = [list(np.arange(tables) * (1 << bits) + c) for c in codes]
+            yield out
+
+    return run
+
+
 def cosine_lsh_join(df: DataFrame, *, key_cols: list[str] = ("repo_id",),
                     id_col: str = "seq", vec_col: str = "vector",
-                    threshold: float = 0.2, bucket_length: float = 1.0,
-                    num_tables: int = 6, seed: int = 7) -> DataFrame:
-    """Approximate similarity self-join with random-projection LSH (Spark ML).
-
-    Unit vectors: cosine >= t  <=>  euclidean distance <= sqrt(2(1 - t)).
-    Candidate pairs come from equal hash buckets (a shuffle on the bucket, not
-    on the repository), then the exact equi-key and distance filter apply.
-    Returns (key_cols..., query_id, match_id, score) for query_id < match_id.
+                    threshold: float = 0.2, bits: int = 2, tables: int = 10, seed: int = 7,
+                    sparse: tuple[str, str] | None = None, dims: int | None = None,
+                    block_rows: int = 2048) -> DataFrame:
+    """Approximate similarity self-join, keyed: random-hyperplane LSH (SimHash).
+
+    Each vector gets ``tables`` signatures of ``bits`` sign bits (numpy in
+    ``mapInPandas``, hyperplanes seeded identically on every worker). Pairs
+    are candidates when they share (key, table, signature); every bucket is
+    then scored exactly by the blocked matrix-product scorer, so buckets
+    never mix repositories, a crowded bucket is split into bounded block
+    pairs, and every reported score is exact (only recall is approximate).
+    A pair with cosine s shares one table's bucket with probability
+    (1 - arccos(s)/pi)^bits. Returns distinct (key_cols..., query_id,
+    match_id, score) with query_id < match_id and score >= threshold.
     """
+    key_cols = list(key_cols)
+    if sparse and dims is None:
+        raise ValueError("dims is required for sparse vectors")
+    vnames = ["_i", "_x"] if sparse else ["_v"]
+    base = df.select(*key_cols, F.col(id_col).cast("bigint").alias("_id"), *_vec_cols(df, vec_col, sparse))
+    schema = T.StructType([f for f in base.schema.fields] + [T.StructField("buckets", T.ArrayType(T.LongType()))])
+    hashed = base.mapInPandas(_simhash_fn(key_cols, dims, bits, tables, seed, bool(sparse)), schema)
+    rows = hashed.select(*key_cols, F.explode("buckets").alias("_bucket"), "_id", *vnames)
+    pairs = cosine_topk(rows, key_cols=[*key_cols, "_bucket"], id_col="_id",
+                        vec_col=None if sparse else "_v", sparse=("_i", "_x") if sparse else None,
+                        dims=dims or DIMS, threshold=threshold, k=None, block_rows=block_rows)
+    return (pairs.where(F.col("query_id") < F.col("match_id"))
+                 .select(*key_cols, "query_id", "match_id", "score")
+                 .dropDuplicates([*key_cols, "query_id", "match_id"]))
+
+
+def cosine_lsh_join_ml(df: DataFrame, *, key_cols: list[str] = ("repo_id",),
+                       id_col: str = "seq", vec_col: str = "vector",
+                       threshold: float = 0.2, bucket_length: float = 1.0,
+                       num_tables: int = 6, seed: int = 7) -> DataFrame:
+    """Spark ML ``BucketedRandomProjectionLSH`` form (unkeyed buckets; the key
+    filter applies after the join). Kept for comparison."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 

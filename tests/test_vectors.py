@@ -81,3 +81,18 @@ def test_asof_range_blocks_match_one_block(spark):
     a = V.cosine_topk(v, key_cols=["repo_id"], threshold=0.2, k=20, asof_col="seq", block_rows=13)
     b = V.cosine_topk(v, key_cols=["repo_id"], threshold=0.2, k=20, asof_col="seq", block_rows=100_000)
     assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
+
+
+def test_keyed_lsh_recall_on_sparse_text_vectors(spark):
+    """Production threshold 0.80 on hashed text vectors: LSH pairs are exact scores, recall >= 0.95."""
+    f = fx(spark, MEDIUM, "fx_functions")
+    v = V.embed_hashed_sparse(f, ["repo_id", "seq"], "code_body")
+    sp = ("indices", "values")
+    exact = (V.cosine_topk(v, key_cols=["repo_id"], threshold=0.8, k=None, sparse=sp)
+              .where(F.col("query_id") < F.col("match_id")).select("query_id", "match_id"))
+    approx = V.cosine_lsh_join(v, key_cols=["repo_id"], threshold=0.8, bits=6, tables=16,
+                               sparse=sp, dims=V.DIMS)
+    n_exact = exact.count()
+    assert n_exact > 0
+    assert approx.join(exact, ["query_id", "match_id"], "left_anti").count() == 0   # no false pairs
+    assert approx.count() / n_exact >= 0.95
