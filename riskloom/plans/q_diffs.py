@@ -161,7 +161,7 @@ SELECT repo_id, sha, file_id, file_path, kept_rank FROM (
 def files_per_commit_cap(spark, sf_dir):
     """Supported files only, first five per commit in changed-path order."""
     f = SC.cap_files_per_commit(fx(spark, sf_dir, "fx_file_diffs"))
-    return f.select("repo_id", "sha", "file_id", "file_path", "kept_rank")
+    return f.select("repo_id", "sha", "file_id", "file_path", F.col("kept_rank").cast("bigint").alias("kept_rank"))
 
 
 @query("truncate_lines", """

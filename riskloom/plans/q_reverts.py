@@ -183,7 +183,8 @@ WHERE recency <= 200
 """)
 def recent_commits(spark, sf_dir):
     """Newest 200 commits per repository (recency 1 = the commit R8 marks)."""
-    return RV.recent_commits(fx(spark, sf_dir, "fx_commits"), 200).select("repo_id", "sha", "seq", "recency")
+    return RV.recent_commits(fx(spark, sf_dir, "fx_commits"), 200).select(
+        "repo_id", "sha", "seq", F.col("recency").cast("bigint").alias("recency"))
 
 
 _DUP_COMMITS = """

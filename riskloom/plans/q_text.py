@@ -149,7 +149,7 @@ def risk_score(spark, sf_dir):
     """Outcome weight and risk = round(score, 4) x weight for the top-10 matches."""
     r = _ranked(spark, sf_dir)
     return r.select("query_seq", "match_seq", "score", "outcome", S.outcome_weight("outcome").alias("weight"),
-                    F.round("risk_score", 6).alias("risk_score"), "rank")
+                    F.round("risk_score", 6).alias("risk_score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("high_risk_filter", _RANKED_SQL + "SELECT query_seq, match_seq, score, outcome FROM hr")
