@@ -32,20 +32,30 @@ from ..functions import scalars as S
 
 def kg_edges(files: DataFrame, *, keys=("repo_id",), sha_col="sha", path_col="file_path",
              content_col="file_content", lang_col="language", reverted_col: str | None = None,
-             table_mode: str = "compat") -> dict[str, DataFrame]:
-    """G1: relationship extraction per (commit, file) -> deduplicated edge tables.
+             table_mode: str = "compat", flag_mode: str = "any",
+             order_col: str | None = None) -> dict[str, DataFrame]:
+    """Relationship extraction per (commit, file) -> deduplicated edge tables.
 
     Returns {"modifies", "imports", "contains", "uses_table", "calls_api"}.
+    A commit's ``is_reverted`` is ``flag_mode='any'`` (monotone OR over all
+    writes) or ``'ingest'`` (the last write by ``order_col`` wins, as the
+    reference's graph store does).
     """
     keys = list(keys)
     lang = F.col(lang_col) if lang_col in files.columns else S.detect_language(path_col)
     rel = files.select(*keys, sha_col, path_col,
-                       *( [reverted_col] if reverted_col else []),
+                       *([reverted_col] if reverted_col else []), *([order_col] if order_col else []),
                        S.extract_relationships(F.col(content_col), lang, table_mode).alias("r"))
     flag = F.col(reverted_col) if reverted_col else F.lit(False)
-    modifies = (rel.select(*keys, F.col(sha_col).alias("sha"), F.col(path_col).alias("file_path"),
-                           flag.alias("is_reverted"))
-                   .groupBy(*keys, "sha", "file_path").agg(F.bool_or("is_reverted").alias("is_reverted")))
+    order = F.col(order_col) if order_col else F.lit(0)
+    mods = rel.select(*keys, F.col(sha_col).alias("sha"), F.col(path_col).alias("file_path"),
+                      flag.alias("is_reverted"), order.alias("_o"))
+    if flag_mode == "ingest":
+        last = mods.groupBy(*keys, "sha").agg(F.max_by("is_reverted", "_o").alias("_last"))
+        modifies = (mods.select(*keys, "sha", "file_path").distinct().join(last, [*keys, "sha"])
+                        .withColumnRenamed("_last", "is_reverted"))
+    else:
+        modifies = mods.groupBy(*keys, "sha", "file_path").agg(F.bool_or("is_reverted").alias("is_reverted"))
 
     def edge(arr, a, b):
         return (rel.select(*keys, F.col(path_col).alias(a), F.explode(f"r.{arr}").alias(b))

@@ -227,3 +227,14 @@ def test_dependents_exceed_equals_full_count(spark):
         full = {r.file_path: r.blast_radius > 3 for r in G.blast_radius_count(imports).collect()}
         fast = {r.file_path: r.many for r in G.dependents_exceed(imports, 3).collect()}
         assert fast == full
+
+
+def test_commit_flag_modes(spark):
+    rows = [("r", "c1", "a.py", "import os\n", True, 1), ("r", "c1", "b.py", "import os\n", False, 2)]
+    df = spark.createDataFrame(rows, "repo_id string, sha string, file_path string, file_content string, "
+                                     "rev boolean, seq long")
+    anyf = G.kg_edges(df, reverted_col="rev")["modifies"].select("file_path", "is_reverted").collect()
+    last = G.kg_edges(df, reverted_col="rev", flag_mode="ingest", order_col="seq")["modifies"] \
+            .select("file_path", "is_reverted").collect()
+    assert {r.file_path: r.is_reverted for r in anyf} == {"a.py": True, "b.py": False}
+    assert {r.file_path: r.is_reverted for r in last} == {"a.py": False, "b.py": False}
