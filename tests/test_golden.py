@@ -238,3 +238,14 @@ def test_commit_flag_modes(spark):
             .select("file_path", "is_reverted").collect()
     assert {r.file_path: r.is_reverted for r in anyf} == {"a.py": True, "b.py": False}
     assert {r.file_path: r.is_reverted for r in last} == {"a.py": False, "b.py": False}
+
+
+def test_python_regex_semantics(spark):
+    df = spark.createDataFrame([("def café(x):\n    return x\n", 'Revert "fix x"\r\n\r\nbody', "  body  ")],
+                               "code string, msg string, txt string")
+    r = df.select(S.extract_function_names("code", F.lit("python")).alias("fns"),
+                  S.revert_ref("msg").alias("ref"),
+                  F.regexp_replace("txt", S.PY_RE + r"^\s+|\s+$", "").alias("stripped")).collect()[0]
+    assert r.fns == ["café"]                      # \w is Unicode, as in Python
+    assert (r.ref.pattern, r.ref.ref) == (1, "fix x")
+    assert r.stripped == "body"                   # str.strip() removes no-break spaces too
