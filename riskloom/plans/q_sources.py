@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import diffs as D
+from ..operators import reverts as RV
 from ..operators import vectors as V
 from ..sources import commits as SC
 from ..sources import sinks as SK
 from .catalog import query
 from .fixtures import cte, fx, table
 from .q_diffs import _BLOCKS_SQL, _RANGES_SQL
+from .q_reverts import _REFS_SQL
 
 _NORM = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^git@', ''), '^https?://', ''), '^([^:]*):', '\\1/'), '\\.git$', '')"
 
@@ -88,15 +90,25 @@ hit AS (SELECT blk.file_id, blk.name, row_number() OVER (PARTITION BY blk.file_i
         FROM rg JOIN blk ON blk.file_id = rg.file_id AND rg.start_line <= blk.end_line AND rg.end_line >= blk.start_line),
 fnc AS (SELECT c.repo_id, count(*) AS n FROM hit JOIN capped c ON c.file_id = hit.file_id WHERE k = 1 GROUP BY c.repo_id),
 cm AS (SELECT repo_id, sha FROM fx_commits UNION SELECT repo_id, sha FROM fx_file_diffs),
-wd AS (SELECT DISTINCT repo_id, sha FROM capped)
+wd AS (SELECT DISTINCT repo_id, sha FROM capped),
+""" + _REFS_SQL + """,
+r AS (SELECT * FROM refs WHERE pattern IS NOT NULL),
+by_sha AS (SELECT r.repo_id, o.sha, row_number() OVER (PARTITION BY r.repo_id, r.seq ORDER BY o.seq, o.sha) AS k
+           FROM r JOIN fx_commits o ON o.repo_id = r.repo_id AND starts_with(o.sha, r.ref) AND o.sha <> r.sha),
+msgs AS (SELECT repo_id, m, max_by(sha, seq) AS sha FROM m0 WHERE m <> '' GROUP BY repo_id, m),
+by_msg AS (SELECT r.repo_id, msgs.sha FROM r JOIN msgs ON msgs.repo_id = r.repo_id AND msgs.m = r.ref
+           WHERE msgs.sha <> r.sha),
+detected AS (SELECT repo_id, sha FROM by_sha WHERE k = 1 UNION SELECT repo_id, sha FROM by_msg),
+rv AS (SELECT repo_id, count(*) AS n FROM detected GROUP BY repo_id)
 SELECT cm.repo_id, count(*) AS n_commits, count(wd.sha) AS commits_with_diffs, count(*) - count(wd.sha) AS commits_skipped,
-  coalesce(any_value(fnc.n), 0) AS functions_embedded
+  coalesce(any_value(fnc.n), 0) AS functions_embedded, coalesce(any_value(rv.n), 0) AS reverts_detected
 FROM cm LEFT JOIN wd ON wd.repo_id = cm.repo_id AND wd.sha = cm.sha LEFT JOIN fnc ON fnc.repo_id = cm.repo_id
+LEFT JOIN rv ON rv.repo_id = cm.repo_id
 GROUP BY cm.repo_id
 """)
 def backfill_summary(spark, sf_dir):
     """Backfill counters per repository — commits, commits with (capped,
-    supported) diffs, skipped commits, functions embedded."""
+    supported) diffs, skipped commits, functions embedded, reverts detected."""
     c = fx(spark, sf_dir, "fx_commits").select("repo_id", "sha")
     f = fx(spark, sf_dir, "fx_file_diffs")
     commits = c.unionByName(f.select("repo_id", "sha")).distinct()
@@ -106,10 +118,13 @@ def backfill_summary(spark, sf_dir):
     j = commits.join(wd, ["repo_id", "sha"], "left")
     agg = j.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n_commits"),
                                    F.count("_has").alias("commits_with_diffs"))
-    return (agg.join(fns, "repo_id", "left")
+    rv = RV.detect_reverts(fx(spark, sf_dir, "fx_commits")).groupBy("repo_id").agg(
+        F.count(F.lit(1)).alias("reverts_detected"))
+    return (agg.join(fns, "repo_id", "left").join(rv, "repo_id", "left")
                .select("repo_id", "n_commits", "commits_with_diffs",
                        (F.col("n_commits") - F.col("commits_with_diffs")).alias("commits_skipped"),
-                       F.coalesce("functions_embedded", F.lit(0)).alias("functions_embedded")))
+                       F.coalesce("functions_embedded", F.lit(0)).alias("functions_embedded"),
+                       F.coalesce("reverts_detected", F.lit(0)).alias("reverts_detected")))
 
 
 @query("delete_repo", cte("fx_vectors") + """
