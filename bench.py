@@ -43,7 +43,12 @@ def main() -> None:
     from riskloom.plans import catalog
     from riskloom.session import local_session
 
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="riskloom-bench")
+    extra = {}
+    event_log = os.environ.get("BENCH_EVENT_LOG")
+    if event_log:   # Spark's event log for stage/task times (tools/stage_times.py)
+        os.makedirs(event_log, exist_ok=True)
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_log}
+    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="riskloom-bench", extra=extra)
     catalog.load_all()
     names = only or HEADLINE
     results = {}

@@ -25,7 +25,7 @@ SCALE_CONF = {
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "riskloom") -> SparkSession:
+                  app: str = "riskloom", extra: dict | None = None) -> SparkSession:
     """A local session for tests and the bench (UI off, UTC, AQE on)."""
     ckpt = os.environ.get("RISKLOOM_CHECKPOINT_DIR") or tempfile.mkdtemp(
         prefix="riskloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -38,7 +38,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
     )
-    for k, v in SCALE_CONF.items():
+    for k, v in {**SCALE_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
