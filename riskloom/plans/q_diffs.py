@@ -133,6 +133,8 @@ FROM fx_file_diffs
 def explode_diffs(spark, sf_dir):
     """S3: nested commit batches (commit -> array of file diffs) exploded in list order."""
     f = fx(spark, sf_dir, "fx_file_diffs")
+    # Build the request bodies the reader receives (files nested per commit;
+    # the view has eight files per commit by construction), then explode them.
     nested = (f.groupBy("repo_id", "sha")
                .agg(F.sort_array(F.collect_list(F.struct("file_idx", "file_path", F.lit(None).cast("string").alias("language"), "diff", "file_content"))).alias("d"))
                .select("repo_id", "sha", F.transform("d", lambda s: s.dropFields("file_idx")).alias("diffs")))
