@@ -331,11 +331,12 @@ def js_functions(code: str):
                 continue
             start = k
             p = prev(start)
+            if p is not None and p[0] == "p" and p[1] == "*":
+                start -= 1          # generator method: still a method definition
+                p = prev(start)
             while p is not None and p[0] == "id" and p[1] in _MODIFIERS:
                 start -= 1
                 p = prev(start)
-            if p is not None and p[0] == "p" and p[1] == "*":
-                continue  # generator method
             member = p is not None and p[0] == "p" and p[1] in "{};,"
             if not member:
                 continue

@@ -249,3 +249,9 @@ def test_python_regex_semantics(spark):
     assert r.fns == ["café"]                      # \w is Unicode, as in Python
     assert (r.ref.pattern, r.ref.ref) == (1, "fix x")
     assert r.stripped == "body"                   # str.strip() removes no-break spaces too
+
+
+def test_js_generator_methods_are_methods():
+    code = ("class K {\n  *gen() {\n    yield 1;\n  }\n  static async *agen() { yield 2; }\n}\n"
+            "function* top() { yield 3; }\nconst o = { *g2() { yield 4; } };\n")
+    assert [(n, s, e) for n, s, e, _ in js_functions(code)] == [("gen", 2, 4), ("agen", 5, 5), ("g2", 8, 8)]
