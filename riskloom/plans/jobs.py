@@ -2,6 +2,7 @@
 
 Store layout under ``store``::
 
+    repositories/        one row per repository (get-or-create)
     commits/             one row per stored commit row (duplicates allowed; read collapsed)
     vectors/repo_id=.../ function vectors (sparse hashed by default) + payload
     warnings/            warnings with deterministic ids
@@ -53,6 +54,16 @@ def _changed(files: DataFrame) -> DataFrame:
     return ch.join(f.select("file_key", "repo_id", "sha"), "file_key")
 
 
+def _store_repositories(spark: SparkSession, repo_ids: DataFrame, store: str) -> None:
+    """Get-or-create — append only repositories not stored yet."""
+    existing = _read(spark, _path(store, "repositories"))
+    if existing is None:
+        existing = spark.createDataFrame([], "id string, repo_id string, name string")
+    new = SC.upsert_repositories(existing, repo_ids.select("repo_id")).join(existing.select("repo_id"),
+                                                                           "repo_id", "left_anti")
+    SK.write_table(new.select("id", "repo_id", "name"), _path(store, "repositories"))
+
+
 def _store_commits(commits: DataFrame, store: str, flags: DataFrame | None = None) -> None:
     c = commits.select("repo_id", "seq", "sha", "author", "message")
     c = c.withColumn("revert_status", F.lit(False)).withColumn("bug_ids", F.array().cast("array<string>"))
@@ -88,6 +99,7 @@ def backfill(spark: SparkSession, batches: DataFrame, store: str) -> DataFrame:
     repository's commit list, store commits (flagged), changed-function
     vectors and graph edges. Returns the per-repository counters (A6)."""
     commits = SC.explode_commits(batches).withColumn("seq", F.col("commit_pos").cast("long"))
+    _store_repositories(spark, batches.select("repo_id").distinct(), store)
     reverted = RV.detect_reverts(commits)
     _store_commits(commits, store, reverted)
     files = SC.explode_diffs(commits)
@@ -128,6 +140,7 @@ def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: flo
     stored, then the new vectors, commits and edges are stored."""
     commits = batch.select("repo_id", F.col("commit_sha").alias("sha"), "author", "message", "diffs",
                            F.col("seq").cast("long").alias("seq"))
+    _store_repositories(spark, commits.select("repo_id").distinct(), store)
     files = SC.explode_diffs(commits).where(F.col("file_path").isNotNull())
     fns = _changed(files).join(commits.select("repo_id", "sha", "seq"), ["repo_id", "sha"])
     fns = fns.withColumn("fn_seq", F.xxhash64("repo_id", "sha", "file_path", "function_name"))

@@ -47,6 +47,9 @@ def test_backfill_events_analyze_and_reads(spark):
     assert all(w.outcome == "reverted" and w.similarity_score >= 0.8 for w in warns)
     assert {w.risk_level for w in warns} <= {"HIGH", "MEDIUM", "LOW"}
 
+    repos = spark.read.parquet(f"{store}/repositories")
+    assert repos.count() == repos.select("repo_id").distinct().count() == files.select("repo_id").distinct().count()
+
     page = J.history_page(spark, store).collect()
     assert 0 < len(page) <= 20 * 4
     stats = {r.repo_id: r for r in J.statistics(spark, store).collect()}
