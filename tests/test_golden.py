@@ -255,3 +255,20 @@ def test_js_generator_methods_are_methods():
     code = ("class K {\n  *gen() {\n    yield 1;\n  }\n  static async *agen() { yield 2; }\n}\n"
             "function* top() { yield 3; }\nconst o = { *g2() { yield 4; } };\n")
     assert [(n, s, e) for n, s, e, _ in js_functions(code)] == [("gen", 2, 4), ("agen", 5, 5), ("g2", 8, 8)]
+
+
+def test_commit_log_and_patch_edges(spark):
+    from riskloom.sources import commits as SC
+
+    lines = spark.createDataFrame([("abc1234|||fix a|||dev",), ("",), ("   ",), ("|||no sha|||x",),
+                                   ("def5678||| a|||b ||| c |||dev2",)], "value string")
+    got = [(r.sha, r.message, r.author) for r in SC.parse_commit_log(lines).collect()]
+    # a subject holding the separator shifts the fields, as in the reference
+    assert got == [("abc1234", "fix a", "dev"), ("def5678", "a", "b")]
+    patch = ("diff --git a/x.py b/x.py\n@@ -1 +1 @@\n-a\n+b\n"
+             "diff --git a/old.py b/old.py\ndeleted file mode 100644\n--- a/old.py\n+++ /dev/null\n"
+             "diff --git a/r.md b/r.md\n@@ -1 +1 @@\n-a\n+b\n"
+             "diff --git a/lib/y.rb b/lib/y.rb\n@@ -1 +1 @@\n-a\n+b\n")
+    df = spark.createDataFrame([(1, patch)], "seq long, patch string")
+    out = [(r.file_path, r.language) for r in SC.split_patch(df).orderBy("chunk_pos").collect()]
+    assert out == [("x.py", "python"), ("lib/y.rb", "ruby")]
