@@ -20,15 +20,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_MODELS: dict = {}
-
-
 def _model(load_model):
-    # Keyed by name: the loader is unpickled anew for every task.
+    """The loaded model of this Python worker process.
+
+    The package is pickled by value, so its module globals arrive fresh with
+    every task; the cache lives on a module registered in the worker's
+    ``sys.modules`` instead, which survives across tasks of a reused worker.
+    Keyed by the loader's name (the loader itself is unpickled per task).
+    """
+    import sys
+    import types
+
+    holder = sys.modules.get("_riskloom_worker_models")
+    if holder is None:
+        holder = types.ModuleType("_riskloom_worker_models")
+        holder.models = {}
+        sys.modules["_riskloom_worker_models"] = holder
     key = (getattr(load_model, "__module__", None), getattr(load_model, "__qualname__", repr(load_model)))
-    if key not in _MODELS:
-        _MODELS[key] = load_model()
-    return _MODELS[key]
+    if key not in holder.models:
+        holder.models[key] = load_model()
+    return holder.models[key]
 
 
 def model_embedder(load_model: Callable[[], Callable[[list[str]], np.ndarray]], *,
