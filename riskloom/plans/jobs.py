@@ -143,12 +143,16 @@ def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: flo
     _store_repositories(spark, commits.select("repo_id").distinct(), store)
     files = SC.explode_diffs(commits).where(F.col("file_path").isNotNull())
     fns = _changed(files).join(commits.select("repo_id", "sha", "seq"), ["repo_id", "sha"])
-    fns = fns.withColumn("fn_seq", F.xxhash64("repo_id", "sha", "file_path", "function_name"))
-    new = V.embed_hashed_sparse(fns.select("repo_id", "fn_seq", "new_body"), ["repo_id", "fn_seq"], "new_body")
-    new = materialize(new.join(fns.select("repo_id", "fn_seq", "seq", F.col("sha").alias("commit_sha"),
-                                          "function_name", "file_path", "start_line", "end_line",
-                                          F.col("new_body").alias("code_body")), ["repo_id", "fn_seq"]))
+    fns = (fns.withColumn("fn_seq", F.xxhash64("repo_id", "sha", "file_path", "function_name"))
+              .withColumn("code_hash", S.code_hash("new_body")))
     stored = _read(spark, _path(store, "vectors"))
+    # embedding cache: a (repository, code hash) with a stored vector is not embedded again
+    known = None if stored is None else stored.select("repo_id", "code_hash", "indices", "values").dropDuplicates(
+        ["repo_id", "code_hash"])
+    new = V.embed_dedup(fns, ["repo_id"], "code_hash", "new_body", known=known)
+    new = materialize(new.select("repo_id", "fn_seq", "seq", F.col("sha").alias("commit_sha"), "function_name",
+                                 "file_path", "start_line", "end_line", "code_hash",
+                                 F.col("new_body").alias("code_body"), "indices", "values"))
     q = new.select("repo_id", F.col("fn_seq").alias("vid"), F.col("seq").alias("t"), "commit_sha",
                    "function_name", "file_path", "indices", "values")
     hist = q
@@ -179,7 +183,7 @@ def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: flo
                             ["repo_id", "sha", "file_path"], "left_semi"), store)
     vec = new.select(F.sha2(F.concat_ws("|", "repo_id", "commit_sha", "file_path", "function_name"), 256).alias("id"),
                      "repo_id", "seq", "commit_sha", "function_name", "file_path", "start_line", "end_line",
-                     S.code_hash("code_body").alias("code_hash"), "code_body", "indices", "values")
+                     "code_hash", "code_body", "indices", "values")
     SK.write_vectors(vec, _path(store, "vectors"))
     return warns
 
