@@ -106,6 +106,9 @@ def backfill(spark: SparkSession, batches: DataFrame, store: str) -> DataFrame:
     with_files = files.where(F.col("file_path").isNotNull())
     capped = SC.cap_files_per_commit(with_files, commit_cols=("repo_id", "sha"), order_col="file_pos")
     capped = capped.withColumn("file_content", SC.truncate_lines(F.col("file_content")))
+    # no parent diff (root commit / new file): an all-added diff of the truncated content
+    capped = capped.withColumn("diff", F.when(F.coalesce(F.length("diff"), F.lit(0)) == 0,
+                                              SC.synthetic_diff(F.col("file_content"))).otherwise(F.col("diff")))
     fns = _changed(capped).join(commits.select("repo_id", "sha", "seq"), ["repo_id", "sha"])
     vec = _store_vectors(fns, store)
     _store_edges(capped, store)
