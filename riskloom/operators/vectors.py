@@ -6,15 +6,21 @@ Scale notes
   Each side is cut into blocks of at most ``block_rows`` rows per key
   (repository); every (query block, history block) pair of a key is one
   cogroup, scored by one matrix product inside a Python worker, and only rows
-  with score >= threshold and within the block's top-k per query row leave it.
-  A repository holding a third of all vectors becomes many bounded block
-  pairs spread over all executors instead of one giant task.
+  with score >= threshold and within the block's top-k per query row (ties
+  at the cut included, so the final ranking is exact) leave it. A repository
+  holding a third of all vectors becomes many bounded block pairs spread
+  over all executors instead of one giant task.
+* As-of searches (a function sees only earlier ones) block by order range
+  and never form the block pairs whose history range lies after the query
+  range — about half of them.
 * Block counts come from a partial (map-side) ``count`` per key; the per-key
   size table is one row per key and joins back without a shuffle of the
   vectors by key.
-* ``embed_hashed`` is pure JVM: tokens -> md5 bucket -> partial count per
-  (doc, bucket) -> L2 weight; the dense form collects at most ``dims``
-  entries per document.
+* ``cosine_lsh_join`` is keyed SimHash: buckets are (key, table, signature),
+  each bucket is scored by the same exact block scorer.
+* ``embed_hashed_sparse`` is pure JVM: tokens -> distinct (doc, token)
+  counts -> md5 bucket -> per-doc sparse unit vector; the dense form
+  collects at most ``dims`` entries per document.
 """
 
 from __future__ import annotations
