@@ -272,3 +272,12 @@ def test_commit_log_and_patch_edges(spark):
     df = spark.createDataFrame([(1, patch)], "seq long, patch string")
     out = [(r.file_path, r.language) for r in SC.split_patch(df).orderBy("chunk_pos").collect()]
     assert out == [("x.py", "python"), ("lib/y.rb", "ruby")]
+
+
+def test_reply_json_is_strict_like_python(spark):
+    df = spark.createDataFrame([('{"risk_level": "HIGH"} trailing',), ("{'risk_level': 'HIGH'}",),
+                                ('"just a string"',)], "reply string")
+    out = df.select(S.explain_parse("reply", F.lit(0.95), F.lit("reverted")).alias("p")).collect()
+    assert out[0].p.risk_level == "MEDIUM" and out[0].p.explanation.startswith('{"risk_level"')   # not JSON
+    assert out[1].p.risk_level == "MEDIUM"                                                         # not JSON
+    assert out[2].p.historical_context == "The historical code was reverted."                     # JSON, not an object
