@@ -281,3 +281,21 @@ def test_reply_json_is_strict_like_python(spark):
     assert out[0].p.risk_level == "MEDIUM" and out[0].p.explanation.startswith('{"risk_level"')   # not JSON
     assert out[1].p.risk_level == "MEDIUM"                                                         # not JSON
     assert out[2].p.historical_context == "The historical code was reverted."                     # JSON, not an object
+
+
+def test_overlap_position_mode_and_ci_option(spark):
+    blocks = spark.createDataFrame(
+        [(1, 0, "a", 1, 3, "", ""), (1, 1, "a", 11, 12, "", "")],
+        "file_id long, func_idx int, name string, start_line int, end_line int, signature string, body string")
+    ranges = spark.createDataFrame([(1, 1, 2, 2), (1, 2, 11, 11)],
+                                   "file_id long, range_idx long, start_line long, end_line long")
+    by_name = D.overlap_functions(ranges, blocks, ["file_id"]).count()
+    by_pos = D.overlap_functions(ranges, blocks, ["file_id"], dedupe="position").count()
+    assert (by_name, by_pos) == (1, 2)
+    commits = spark.createDataFrame([("r", "abcdef0123", False, [])],
+                                    "repo_id string, sha string, revert_status boolean, bug_ids array<string>")
+    ci = spark.createDataFrame([("abcdef0123", "build")], "commit_sha string, pipeline string")
+    as_ref = RV.apply_ci_failures(commits, ci).first()
+    as_bug = RV.apply_ci_failures(commits, ci, ci_as_bug_only=True).first()
+    assert as_ref.revert_status is True and as_ref.bug_ids == ["ci:build:abcdef0"]
+    assert as_bug.revert_status is False and as_bug.bug_ids == ["ci:build:abcdef0"]
