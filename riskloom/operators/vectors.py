@@ -6,8 +6,8 @@ Scale notes
   Each side is cut into blocks of at most ``block_rows`` rows per key
   (repository); every (query block, history block) pair of a key is one
   cogroup, scored by one matrix product inside a Python worker, and only rows
-  with score >= threshold and within the block's top-k per query row (ties
-  at the cut included, so the final ranking is exact) leave it. A repository
+  with score >= threshold and within the block's top-k per query row by
+  (score desc, id asc) leave it — at most k per row, exact under ties. A repository
   holding a third of all vectors becomes many bounded block pairs spread
   over all executors instead of one giant task.
 * As-of searches (a function sees only earlier ones) block by order range
@@ -196,6 +196,9 @@ def _block_topk_fn(key_names: list[str], k: int, threshold: float, asof: bool,
             for i, name in enumerate(key_names):
                 out.insert(i, name, pd.Series([], dtype="object"))
             return out
+        # history columns in id order, so "first in column order" = smallest id
+        horder = np.argsort(h["_id"].to_numpy(np.int64), kind="stable")
+        h = h.iloc[horder]
         s = _matrix(q, dims) @ _matrix(h, dims).T
         qid = q["_id"].to_numpy(np.int64)
         hid = h["_id"].to_numpy(np.int64)
@@ -207,10 +210,15 @@ def _block_topk_fn(key_names: list[str], k: int, threshold: float, asof: bool,
         s = np.where(bad, -np.inf, s)
         keep = np.isfinite(s)
         if k is not None and k < s.shape[1]:
-            # every candidate at or above the row's k-th best score, ties
-            # included, so the final (score desc, id) ranking stays exact
+            # exactly the row's k best by (score desc, id asc): everything above
+            # the k-th score, then ties at the cut in id order up to k. Every
+            # global top-k member is in its block's top-k, so the merge is exact,
+            # and a block never emits more than k rows per query row.
             kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-            keep &= s >= kth[:, None]
+            above = s > kth[:, None]
+            tie = s == kth[:, None]
+            need = k - above.sum(axis=1)
+            keep &= above | (tie & (np.cumsum(tie, axis=1) <= need[:, None]))
         rows, cols = np.nonzero(keep)
         out = pd.DataFrame({"q_id": qid[rows], "h_id": hid[cols], "score": s[rows, cols]})
         for i, name in enumerate(key_names):

@@ -96,3 +96,14 @@ def test_keyed_lsh_recall_on_sparse_text_vectors(spark):
     assert n_exact > 0
     assert approx.join(exact, ["query_id", "match_id"], "left_anti").count() == 0   # no false pairs
     assert approx.count() / n_exact >= 0.95
+
+
+def test_block_emits_at_most_k_per_row_under_ties():
+    import numpy as np
+    import pandas as pd
+
+    fn = V._block_topk_fn(["repo_id"], k=3, threshold=0.1, asof=False, exclude_same_id=True)
+    q = pd.DataFrame({"_id": [0], "_ord": [0], "_v": [np.array([1.0, 0.0])]})
+    h = pd.DataFrame({"_id": list(range(40, 0, -1)), "_ord": [0] * 40, "_v": [np.array([0.6, 0.8])] * 40})
+    out = fn(("r", 0, 0), q, h)
+    assert sorted(out["h_id"].tolist()) == [1, 2, 3]      # exactly k, smallest ids among the ties
