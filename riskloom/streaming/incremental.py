@@ -61,7 +61,7 @@ def analyze_stream(functions_stream: DataFrame, commits: DataFrame, *, vectors_p
             history = vec
         ranked = R.rank_matches(history, commits, queries=vec, meta=history, threshold=threshold,
                                 limit=limit, sparse=("indices", "values"))
-        warns = R.assemble_warnings(ranked, fns)
+        warns = R.assemble_warnings(ranked, fns).withColumn("created_at", F.current_timestamp())
         _write_batch(warns, warnings_path, batch_id)
         _write_batch(vec, vectors_path, batch_id, partition_by=("repo_id",))
 
