@@ -90,3 +90,25 @@ def test_graph_risk_column_on_warnings(spark):
     gr = spark.createDataFrame([("b.py", 0.7)], "file_path string, graph_risk_score double")
     w = R.assemble_warnings(ranked, queries, graph_risk=gr).collect()
     assert len(w) == 1 and w[0].graph_risk_score == 0.7 and w[0].risk_level == "HIGH"
+
+
+def test_backfill_batch_json_reader(spark):
+    from riskloom.sources import commits as SC
+
+    files = fx(spark, SMALL, "fx_file_diffs")
+    per_commit = (files.groupBy("repo_id", "sha")
+                  .agg(F.sort_array(F.collect_list(F.struct("file_idx", "file_path", F.lit("python").alias("language"),
+                                                            "diff", "file_content"))).alias("d"))
+                  .select("repo_id", F.struct("sha", F.lit("m").alias("message"), F.lit("a").alias("author"),
+                                              F.transform("d", lambda s: s.dropFields("file_idx")).alias("diffs"))
+                          .alias("c")))
+    bodies = per_commit.groupBy("repo_id").agg(F.collect_list("c").alias("commits"))
+    path = tempfile.mkdtemp(prefix="rl-s3-") + "/batches"
+    (bodies.select(F.to_json(F.struct("repo_id", "commits")).alias("value"))
+           .unionByName(spark.createDataFrame([("{broken",)], "value string")).write.text(path))
+    raw = SC.read_backfill_batches(spark, path)
+    rows = raw.select("repo_id", "_corrupt_record").collect()
+    assert sum(1 for r in rows if r["_corrupt_record"] is not None) == 1
+    good = raw.where(F.col("_corrupt_record").isNull())
+    exploded = SC.explode_diffs(SC.explode_commits(good))
+    assert exploded.count() == files.count()
