@@ -61,7 +61,7 @@ FROM events GROUP BY user_id, event_type
 def cache_valid(spark, sf_dir):
     """Latest write per (user, type) key alive for 24 h as of the newest event."""
     e = table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts").alias("as_of"))
+    now = e.agg(F.max("ts")).scalar()          # scalar subquery: computed once, no join
     return ST.cache_valid(e, now, key_cols=["user_id", "event_type"])
 
 

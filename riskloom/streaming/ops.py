@@ -172,15 +172,13 @@ def cache_valid(entries: DataFrame, as_of, *, key_cols=("key",), ts_col="ts",
                 ttl_seconds: int = EMBED_TTL_SECONDS) -> DataFrame:
     """Latest write per cache key and whether it is still alive at ``as_of``.
 
-    ``as_of`` is a Column/literal, or a one-row DataFrame with column ``as_of``
-    (joined on a constant key; the one-row side is broadcast).
+    ``as_of`` is a Column (e.g. a scalar subquery, ``df.agg(...).scalar()``)
+    or a literal; a one-row DataFrame with column ``as_of`` is also accepted.
     """
     keys = list(key_cols)
     last = entries.groupBy(*keys).agg(F.max(ts_col).alias("last_set"))
     if isinstance(as_of, DataFrame):
-        one = as_of.select(F.col("as_of").alias("_as_of")).withColumn("_k", F.lit(0))
-        last = last.withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k").drop("_k")
-        as_of = F.col("_as_of")
+        as_of = as_of.select("as_of").scalar()
     expires = F.col("last_set") + F.make_dt_interval(secs=F.lit(ttl_seconds))
     return last.select(*keys, "last_set", (expires > as_of).alias("valid"))
 
