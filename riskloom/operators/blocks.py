@@ -375,15 +375,17 @@ def function_blocks(files: DataFrame, id_cols: list[str], *, path_col: str = "fi
                     content_col: str = "file_content", profile: str = "backend") -> DataFrame:
     """Every function of every file, one output row per function."""
     id_cols = list(id_cols)
-    src = files.select(*id_cols, path_col, content_col)
+    cols = list(dict.fromkeys([*id_cols, path_col, content_col]))   # the path may be an id
+    src = files.select(*cols)
     schema = T.StructType([src.schema[c] for c in id_cols] + BLOCK_FIELDS)
 
     def run(batches):
         for pdf in batches:
             rows = []
+            pos = {c: i for i, c in enumerate(cols)}
             for rec in pdf.itertuples(index=False):
-                ids = rec[:len(id_cols)]
-                path, code = rec[len(id_cols)], rec[len(id_cols) + 1]
+                ids = tuple(rec[pos[c]] for c in id_cols)
+                path, code = rec[pos[path_col]], rec[pos[content_col]]
                 lang = _language(path, profile) if path is not None else None
                 for i, (name, l0, l1, body) in enumerate(extract_functions(code, lang)):
                     rows.append((*ids, i, name, l0, l1, body.split("\n", 1)[0].strip(), body))

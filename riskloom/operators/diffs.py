@@ -104,9 +104,10 @@ def changed_functions(files: DataFrame, id_cols: list[str], *, path_col: str = "
     if blocks is None:
         blocks = function_blocks(supported, id_cols, path_col=path_col, content_col=content_col)
     hit = overlap_functions(ranges, blocks, id_cols, dedupe)
-    paths = supported.select(*id_cols, path_col)
+    keep = list(dict.fromkeys([*id_cols, path_col]))      # the path may be one of the ids
+    paths = supported.select(*keep)
     return (hit.join(paths, id_cols)
-               .select(*id_cols, path_col, F.col("name").alias("function_name"), "start_line", "end_line",
+               .select(*keep, F.col("name").alias("function_name"), "start_line", "end_line",
                        F.col("body").alias("new_body"), "func_idx",
                        F.coalesce(S.detect_language(path_col), F.lit("unknown")).alias("language")))
 
