@@ -32,14 +32,14 @@ from .common import ALNUM, saved
 from .quality_rules import base_counts, histograms
 
 MAX_FIT, FOLDS, HELD_OUT, THRESHOLD = 12_000, 4, 2, 0.7
-HIDDEN, EPOCHS, RATE, DECAY, SEED = 16, 60, 0.01, 1e-4, 7
+WIDTH, HIDDEN, EPOCHS, RATE, DECAY, SEED = 18, 16, 60, 0.01, 1e-4, 7
 
 
 def features(text: str) -> np.ndarray:
     """Shares and means that describe a text's form; none depends on its language or topic."""
     n_words, chars, symbols, dup_lines, repeated = base_counts(text)
     if not n_words:
-        return np.zeros(20)
+        return np.zeros(WIDTH)
     cls, words = histograms(text)
     share = cls / cls.sum()
     data = text.encode()

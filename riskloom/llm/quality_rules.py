@@ -28,7 +28,7 @@ from .common import ALNUM, ROW, WORDS, gram_hashes, saved
 
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 MIN_CHARS, MIN_COMMON = 200, 300  # characters, words: shorter histograms are not judged
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.16, 0.5
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.17, 0.3
 # Frequent function words.
 COMMON = {
     "en": "the of and to in a is that for it as was with be by on at are from this or an not",
@@ -38,10 +38,11 @@ COMMON = {
 }
 BINS = sorted({w for words in COMMON.values() for w in words.split()})
 _BIN = {w.encode(): i for i, w in enumerate(BINS)}
-# Character classes of UTF-8 bytes: other, lower, upper, digit, space, sentence mark, symbol, non-ASCII letter (lead byte).
-CLASSES = 8
+# Character classes of UTF-8 bytes: other, lower or digit (numbers and codes in prose are no junk), upper, space, sentence
+# mark, symbol, non-ASCII letter (lead byte).
+CLASSES = 7
 _CLASS = np.zeros(256, np.uint8)
-for _name, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c", b".,;:!?'\"()-",
+for _name, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b" \t\n\r\x0b\x0c", b".,;:!?'\"()-",
                                 b"#*$%&|<>@^_=+~`/\\[]{}", bytes(range(0xC0, 0x100))), 1):
     _CLASS[list(_bytes)] = _name
 _CONTINUATION = slice(0x80, 0xC0)
