@@ -1,7 +1,8 @@
 """Encoding whole texts with a tokenizer file, one library call per distinct piece of text.
 
-Both kinds of tokenizer cut a text at white space before they merge, so a text
-may be encoded piece by piece; a worker keeps the ids of pieces it has seen.
+Both kinds of tokenizer cut a text at white space, and between a letter and a
+following mark, before they merge, so a text may be encoded piece by piece; a
+worker keeps the ids of pieces it has seen.
 """
 
 from __future__ import annotations
@@ -11,40 +12,44 @@ import re
 
 import numpy as np
 
-MAX_CACHED_PIECES = 300_000
+MAX_CACHED_PIECES = 700_000
 # White space as the tokenizer files know it; Python's \s also has U+001C to U+001F.
 SPACE, SOLID = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+WORD = r"[^\W\d_]+(?=[,.;:!?|\"()*%$#&]|[ \n]|\Z)"
 PIECES = {
-    "byte": re.compile(rf" ?{SOLID}+|{SPACE}+(?!{SOLID})|{SPACE}+"),  # byte-level BPE: a space leads its word
-    "word": re.compile(rf"{SOLID}+"),  # BPE with word ends: white space is dropped
+    "byte": re.compile(rf" ?{WORD}| ?{SOLID}+|{SPACE}+(?!{SOLID})|{SPACE}+"),  # byte-level BPE: a space leads its word
+    "word": re.compile(rf"{WORD}|{SOLID}+"),  # BPE with word ends: white space is dropped
 }
 _ENCODERS: dict[tuple[str, str], "PieceEncoder"] = {}
 
 
-class PieceEncoder(dict):
-    """piece -> its ids as little-endian unsigned 32-bit bytes."""
+class PieceEncoder:
+    """Encodes texts; ``ids`` has the ids of pieces as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, kind: str):
-        super().__init__()
+        self.ids: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pattern = Tokenizer.from_file(path), PIECES[kind]
+        self.lowers = kind == "word"
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
 
     def encode(self, text: str, end_id: int = 0) -> bytes:
         """Ids of the whole text and the end id."""
+        if self.lowers:  # the tokenizer lowers all letters; lowering A-Z before gives fewer different pieces
+            text = text.encode().lower().decode()
         pieces = self.pattern.findall(text)
-        new = [p for p in set(pieces) if p not in self]
+        new = list(set(pieces).difference(self.ids))
         if new:
-            if len(self) + len(new) > MAX_CACHED_PIECES:
-                self.clear()
+            if len(self.ids) + len(new) > MAX_CACHED_PIECES:
+                self.ids.clear()
                 new = list(set(pieces))
             got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
             ids, cuts = np.array(got.ids, "<u4").tobytes(), np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(new) + 1)) * 4
             for piece, at, to in zip(new, cuts.tolist(), cuts[1:].tolist()):
-                self[piece] = ids[at:to]
-        return b"".join([*map(self.__getitem__, pieces), end_id.to_bytes(4, "little")])
+                self.ids[piece] = ids[at:to]
+        return b"".join([*map(self.ids.__getitem__, pieces), end_id.to_bytes(4, "little")])
 
 
 def encoder(path: str, kind: str) -> PieceEncoder:
