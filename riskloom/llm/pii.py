@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SPELLED = 7
@@ -164,7 +165,7 @@ def redacted(text: str) -> str:
     return "".join([*out, text[pos:]]) if out else text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _redact(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else redacted(t))
 

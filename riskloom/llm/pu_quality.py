@@ -29,10 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, saved
-from .quality_rules import base_counts, histograms
+from .quality_rules import CLASSES, base_counts, histograms
 
 MAX_FIT, FOLDS, HELD_OUT, THRESHOLD = 12_000, 4, 2, 0.7
-WIDTH, HIDDEN, EPOCHS, RATE, DECAY, SEED = 18, 16, 60, 0.01, 1e-4, 7
+WIDTH, HIDDEN, EPOCHS, RATE, DECAY, SEED = CLASSES + 12, 16, 60, 0.01, 1e-4, 7
 
 
 def features(text: str) -> np.ndarray:

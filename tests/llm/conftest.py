@@ -1,0 +1,14 @@
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, key int, words string"
+
+
+@pytest.fixture(scope="session")
+def frame(spark):
+    """Documents from (doc_id, text) pairs, with extra columns that clash with names the operators use."""
+
+    def make(rows):
+        full = [(i, t, "en", "s", None if t is None else len(t), "x", 1, "y") for i, t in rows]
+        return spark.createDataFrame(full, SCHEMA).coalesce(2)
+
+    return make
