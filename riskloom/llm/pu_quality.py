@@ -106,7 +106,7 @@ def _sample(rows: DataFrame, bound: int) -> np.ndarray:
     if n > bound:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * bound / n))
     got = rows.select("x").toArrow()["x"]
-    return np.array(got.to_pylist(), float).reshape(len(got), -1)
+    return np.array(got.to_pylist(), float).reshape(len(got), WIDTH)
 
 
 def fold(doc_id: Column) -> Column:
@@ -134,7 +134,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT, th
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b["x"].flatten().to_numpy().reshape(b.num_rows, -1)
+            x = b["x"].flatten().to_numpy().reshape(b.num_rows, WIDTH)
             got = predict(x, shared.value) if shared.value and b.num_rows else np.full(b.num_rows, prior)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(got, pa.float64())], names=["doc_id", "score"])
 

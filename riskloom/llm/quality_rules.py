@@ -132,8 +132,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
-            chars = b["chars"].flatten().to_numpy().reshape(n, -1)
-            words = b["words"].flatten().to_numpy().reshape(n, -1)
+            chars = b["chars"].flatten().to_numpy().reshape(n, CLASSES)
+            words = b["words"].flatten().to_numpy().reshape(n, len(BINS) + 1)
             far = [np.min([js_distance(x, ref[i]) for ref in refs.value], axis=0) if refs.value and n else np.zeros(n) for i, x in enumerate((chars, words))]
             short = [chars.sum(1) < min_chars if n else np.zeros(0, bool), words.sum(1) < min_common if n else np.zeros(0, bool)]
             yield pa.RecordBatch.from_arrays([b[c] for c in (ROW, "doc_id", *_COUNTS)] + [pa.array(x, mask=s) for x, s in zip(far, short)],

@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from riskloom.llm import decontamination, main_text, order_minhash, packing, pii, pu_quality, quality_rules, substrings, token_files, tokens, url_cascade
@@ -18,6 +19,20 @@ ALNUM = re.compile(rb"[0-9a-z\x80-\xff]+")
 VOCABULARY = [f"w{i}" for i in range(900)]
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, key int, words string"
+
+
+@pytest.fixture
+def frame(spark):
+    """Documents from (doc_id, text) pairs, with extra columns that clash with names the operators use."""
+
+    def make(rows):
+        full = [(i, t, "en", "s", None if t is None else len(t), "x", 1, "y") for i, t in rows]
+        return spark.createDataFrame(full, SCHEMA).coalesce(2)
+
+    return make
+
+
 def words_of(text):
     return ALNUM.findall((text or "").encode().lower())
 
