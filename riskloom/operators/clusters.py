@@ -105,11 +105,10 @@ def similarity_forest(vectors: DataFrame, *, keys=("repo_id",), id_col="seq", ve
         _forest_fn(keys, threshold, dims), schema)
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, keys=(),
-                         max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, keys=()) -> DataFrame:
     """(keys, node, component) with component = smallest node id of the component.
 
-    Min-label propagation with pointer jumping; each round is a few joins and
+    Min-label propagation with pointer jumping until no label changes; each round is a few joins and
     aggregates, checkpointed so the plan stays one round deep. A component
     holding a third of all nodes is a hot label key in the jump join; AQE's
     skew-join splitting handles that side.
@@ -124,7 +123,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, ke
     if nodes is None:
         nodes = und.select(*keys, F.col("a").alias("node")).distinct()
     labels = nodes.select(*keys, "node", F.col("node").alias("label")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         # neighbour minimum
         nb = (und.join(labels.withColumnRenamed("node", "b"), [*keys, "b"])
                  .groupBy(*keys, F.col("a").alias("node")).agg(F.min("label").alias("nl")))
@@ -139,8 +138,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, ke
                       .where(F.col("label") != F.col("old")).limit(1).count())
         labels = new
         if changed == 0:
-            break
-    return labels.withColumnRenamed("label", "component")
+            return labels.withColumnRenamed("label", "component")
 
 
 def duplicate_clusters(df: DataFrame, vectors: DataFrame, *, keys=("repo_id",), id_col="seq",

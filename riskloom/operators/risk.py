@@ -86,16 +86,16 @@ def rank_matches(vectors: DataFrame, commits: DataFrame, *,
                       threshold=threshold, k=2 * limit,
                       asof_col=(order_col or id_col) if asof else None, block_rows=block_rows, sparse=sparse)
     top = top.withColumnRenamed("rank", "fetch_rank")
-    qmeta = meta.select(F.col(id_col).cast("bigint").alias("query_id"),
+    qmeta = meta.select("repo_id", F.col(id_col).cast("bigint").alias("query_id"),
                         F.col("commit_sha").alias("query_sha"))
-    hmeta = meta.select(F.col(id_col).cast("bigint").alias("match_id"), "commit_sha",
+    hmeta = meta.select("repo_id", F.col(id_col).cast("bigint").alias("match_id"), "commit_sha",
                         "function_name", "file_path")
-    m = (top.join(qmeta, "query_id").join(hmeta, "match_id")
+    m = (top.join(qmeta, ["repo_id", "query_id"]).join(hmeta, ["repo_id", "match_id"])
             .where(F.col("commit_sha") != F.col("query_sha")))          # V4
     m = enrich_matches(m, commits)                                       # V5
-    w_commit = Window.partitionBy("query_id", "commit_sha").orderBy("fetch_rank")
+    w_commit = Window.partitionBy("repo_id", "query_id", "commit_sha").orderBy("fetch_rank")
     m = m.withColumn("_k", F.row_number().over(w_commit)).where("_k = 1")  # V6
-    w_rank = Window.partitionBy("query_id").orderBy(F.desc("risk_score"), "fetch_rank")
+    w_rank = Window.partitionBy("repo_id", "query_id").orderBy(F.desc("risk_score"), "fetch_rank")
     m = m.withColumn("rank", F.row_number().over(w_rank)).where(F.col("rank") <= limit)  # V7, V8
     return (m.drop("_k")
              .withColumnRenamed("query_id", "query_seq")
@@ -118,15 +118,17 @@ def assemble_warnings(ranked: DataFrame, queries: DataFrame, *,
     (file_path, graph_risk_score [, repo_id]) adds the dependency risk of the
     warned file as an extra column (G12; the level is unchanged).
     """
-    q = queries.select(F.col(id_col).cast("bigint").alias("query_seq"),
+    # ids may repeat across repositories
+    q = queries.select("repo_id", F.col(id_col).cast("bigint").alias("query_seq"),
                        F.col("commit_sha").alias("query_sha"),
                        F.col("function_name").alias("query_function"),
                        F.col("file_path").alias("query_path"),
                        *[c for c in ("start_line", "end_line") if c in queries.columns])
-    w = high_risk(ranked).drop("query_sha").join(q, "query_seq")
+    w = high_risk(ranked).drop("query_sha").join(q, ["repo_id", "query_seq"])
     fb = S.fallback_explanation("score", "outcome")
     if explanation is not None:
-        w = w.join(explanation, ["query_seq", "match_seq"], "left")
+        keys = [c for c in ("repo_id",) if c in explanation.columns]
+        w = w.join(explanation, [*keys, "query_seq", "match_seq"], "left")
         lvl = F.coalesce("risk_level", S.risk_level("score", "outcome"))
         exp = F.coalesce("explanation", fb["explanation"])
         ctx = F.coalesce("historical_context", fb["historical_context"])

@@ -78,9 +78,9 @@ def mean_pool(df: DataFrame, group_cols: list[str], vec_col: str,
 
 
 # ---------------------------------------------------------------- E1 -------
-# Tokens are ASCII word runs, lower-cased; bucket = first 8 hex digits of the
+# Tokens are runs of letters, digits and underscores of any script, lower-cased; bucket = first 8 hex digits of the
 # token's md5, modulo the dimension count (same rule in the SQL twin).
-TOKEN_PATTERN = r"[A-Za-z0-9_]+"
+TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 
 
 def token_bucket(token: Column, dims: int = DIMS) -> Column:
@@ -386,31 +386,3 @@ def cosine_lsh_join(df: DataFrame, *, key_cols: list[str] = ("repo_id",),
     return (pairs.where(F.col("query_id") < F.col("match_id"))
                  .select(*key_cols, "query_id", "match_id", "score")
                  .dropDuplicates([*key_cols, "query_id", "match_id"]))
-
-
-def cosine_lsh_join_ml(df: DataFrame, *, key_cols: list[str] = ("repo_id",),
-                       id_col: str = "seq", vec_col: str = "vector",
-                       threshold: float = 0.2, bucket_length: float = 1.0,
-                       num_tables: int = 6, seed: int = 7) -> DataFrame:
-    """Spark ML ``BucketedRandomProjectionLSH`` form (unkeyed buckets; the key
-    filter applies after the join). Kept for comparison."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    key_cols = list(key_cols)
-    data = df.select(*key_cols, F.col(id_col).cast("bigint").alias("_id"),
-                     array_to_vector(F.col(vec_col)).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                      bucketLength=bucket_length, numHashTables=num_tables,
-                                      seed=seed)
-    model = lsh.fit(data)
-    radius = float(np.sqrt(max(0.0, 2.0 * (1.0 - threshold))))
-    pairs = model.approxSimilarityJoin(data, data, radius, distCol="dist")
-    cond = F.col("datasetA._id") < F.col("datasetB._id")
-    for c in key_cols:
-        cond = cond & (F.col(f"datasetA.{c}") == F.col(f"datasetB.{c}"))
-    return (pairs.where(cond)
-                 .select(*[F.col(f"datasetA.{c}").alias(c) for c in key_cols],
-                         F.col("datasetA._id").alias("query_id"),
-                         F.col("datasetB._id").alias("match_id"),
-                         (1.0 - F.col("dist") * F.col("dist") / 2.0).alias("score")))

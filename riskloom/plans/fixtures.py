@@ -149,8 +149,9 @@ SELECT event_id, ts, md5(CAST(user_id AS STRING)) AS commit_sha,
   CASE event_type WHEN 'error' THEN 'ci' WHEN 'purchase' THEN 'revert'
     WHEN 'signup' THEN 'pull_request' WHEN 'view' THEN 'push' ELSE 'other' END AS kind,
   concat('pipe', CAST(event_id % 3 AS STRING)) AS pipeline,
-  event_id % 3 = 0 AS merged
-FROM events WHERE event_id % 40 = 0
+  event_id % 3 = 0 AS merged,
+  event_id % 3 = 0 OR event_id % 5 < 3 AS closed
+FROM events
 """
 
 FX["fx_warnings"] = """

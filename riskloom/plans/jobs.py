@@ -28,7 +28,7 @@ from ..operators import history as H
 from ..operators import reverts as RV
 from ..operators import risk as R
 from ..operators import vectors as V
-from ..session import materialize
+from ..session import materialize, read_if_written
 from ..sources import commits as SC
 from ..sources import sinks as SK
 
@@ -39,13 +39,6 @@ def _path(store: str, *parts: str) -> str:
     return os.path.join(store, *parts)
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - table not written yet
-        return None
-
-
 def _changed(files: DataFrame) -> DataFrame:
     """Changed functions of exploded file rows (repo_id, sha, file_pos, file_path, diff, file_content)."""
     f = files.withColumn("file_key", F.sha2(F.concat_ws("|", "repo_id", "sha", "file_path"), 256))
@@ -56,7 +49,7 @@ def _changed(files: DataFrame) -> DataFrame:
 
 def _store_repositories(spark: SparkSession, repo_ids: DataFrame, store: str) -> None:
     """Get-or-create — append only repositories not stored yet."""
-    existing = _read(spark, _path(store, "repositories"))
+    existing = read_if_written(spark, _path(store, "repositories"))
     if existing is None:
         existing = spark.createDataFrame([], "id string, repo_id string, name string")
     new = SC.upsert_repositories(existing, repo_ids.select("repo_id")).join(existing.select("repo_id"),
@@ -81,7 +74,7 @@ def _store_edges(files: DataFrame, store: str) -> None:
 def _store_vectors(fns: DataFrame, store: str) -> DataFrame:
     """Embed each distinct (repo, code hash) once and append the vectors."""
     fns = fns.withColumn("code_hash", S.code_hash("new_body"))
-    known = _read(fns.sparkSession, _path(store, "vectors"))
+    known = read_if_written(fns.sparkSession, _path(store, "vectors"))
     known = None if known is None else known.select("repo_id", "code_hash", "indices", "values").dropDuplicates(
         ["repo_id", "code_hash"])
     vec = V.embed_dedup(fns, ["repo_id"], "code_hash", "new_body", known=known)
@@ -94,18 +87,21 @@ def _store_vectors(fns: DataFrame, store: str) -> DataFrame:
     return vec
 
 
-def backfill(spark: SparkSession, batches: DataFrame, store: str) -> DataFrame:
+def backfill(spark: SparkSession, batches: DataFrame, store: str, *, files_per_commit: int | None = None,
+             max_lines: int | None = None) -> DataFrame:
     """POST /backfill for many repositories at once: detect reverts over each
     repository's commit list, store commits (flagged), changed-function
-    vectors and graph edges. Returns the per-repository counters (A6)."""
+    vectors and graph edges. Returns the per-repository counters (A6). All files
+    and lines count unless ``files_per_commit`` or ``max_lines`` set a limit."""
     commits = SC.explode_commits(batches).withColumn("seq", F.col("commit_pos").cast("long"))
     _store_repositories(spark, batches.select("repo_id").distinct(), store)
     reverted = RV.detect_reverts(commits)
     _store_commits(commits, store, reverted)
     files = SC.explode_diffs(commits)
     with_files = files.where(F.col("file_path").isNotNull())
-    capped = SC.cap_files_per_commit(with_files, commit_cols=("repo_id", "sha"), order_col="file_pos")
-    capped = capped.withColumn("file_content", SC.truncate_lines(F.col("file_content")))
+    capped = SC.cap_files_per_commit(with_files, commit_cols=("repo_id", "sha"), order_col="file_pos", n=files_per_commit)
+    if max_lines is not None:
+        capped = capped.withColumn("file_content", SC.truncate_lines(F.col("file_content"), max_lines))
     # no parent diff (root commit / new file): an all-added diff of the truncated content
     capped = capped.withColumn("diff", F.when(F.coalesce(F.length("diff"), F.lit(0)) == 0,
                                               SC.synthetic_diff(F.col("file_content"))).otherwise(F.col("diff")))
@@ -124,10 +120,10 @@ def backfill(spark: SparkSession, batches: DataFrame, store: str) -> DataFrame:
 def collapsed_commits(spark: SparkSession, store: str) -> DataFrame:
     """The outcome source of truth: stored commit rows collapsed, with the event log applied."""
     c = spark.read.parquet(_path(store, "commits"))
-    log = _read(spark, _path(store, "events"))
+    log = read_if_written(spark, _path(store, "events"))
     if log is not None:
         marks = (log.where((F.col("kind") == "revert") | (F.col("kind") == "ci")
-                           | ((F.col("kind") == "pull_request") & ~F.coalesce("merged", F.lit(False))))
+                           | ((F.col("kind") == "pull_request") & S.rejected("closed", "merged")))
                     .select("commit_sha").distinct())
         c = RV.mark_reverted(c, marks.withColumnRenamed("commit_sha", "sha"))
         ci = log.where(F.col("kind") == "ci")
@@ -148,7 +144,7 @@ def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: flo
     fns = _changed(files).join(commits.select("repo_id", "sha", "seq"), ["repo_id", "sha"])
     fns = (fns.withColumn("fn_seq", F.xxhash64("repo_id", "sha", "file_path", "function_name"))
               .withColumn("code_hash", S.code_hash("new_body")))
-    stored = _read(spark, _path(store, "vectors"))
+    stored = read_if_written(spark, _path(store, "vectors"))
     # embedding cache: a (repository, code hash) with a stored vector is not embedded again
     known = None if stored is None else stored.select("repo_id", "code_hash", "indices", "values").dropDuplicates(
         ["repo_id", "code_hash"])
@@ -167,7 +163,7 @@ def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: flo
         hist = old.unionByName(q)
     # as-of on t: stored vectors (t = -1) come before the batch; inside the
     # batch a function sees functions of earlier commits only
-    if _read(spark, _path(store, "commits")) is not None:
+    if read_if_written(spark, _path(store, "commits")) is not None:
         outcome = collapsed_commits(spark, store)
     else:
         outcome = R.collapse_commits(commits.withColumn("revert_status", F.lit(False))
@@ -175,7 +171,7 @@ def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: flo
     ranked = R.rank_matches(hist.withColumnRenamed("vid", "seq_id"), outcome,
                             queries=q.withColumnRenamed("vid", "seq_id"), id_col="seq_id", order_col="t",
                             threshold=threshold, limit=limit, sparse=("indices", "values"))
-    warns = R.assemble_warnings(ranked, new.select(F.col("fn_seq").alias("seq"), "commit_sha", "function_name",
+    warns = R.assemble_warnings(ranked, new.select("repo_id", F.col("fn_seq").alias("seq"), "commit_sha", "function_name",
                                                    "file_path", "start_line", "end_line"))
     warns = warns.withColumn("created_at", F.current_timestamp())
     warns = materialize(warns)
@@ -192,8 +188,8 @@ def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: flo
 
 
 def record_outcome_events(events: DataFrame, store: str) -> None:
-    """POST /webhook/*: append normalised outcome events (kind, ts, commit_sha, pipeline, merged)."""
-    SK.write_table(events.select("event_id", "ts", "kind", "commit_sha", "pipeline", "merged"),
+    """POST /webhook/*: append normalised outcome events (kind, ts, commit_sha, pipeline, merged, closed)."""
+    SK.write_table(events.select("event_id", "ts", "kind", "commit_sha", "pipeline", "merged", "closed"),
                    _path(store, "events"))
 
 

@@ -114,12 +114,12 @@ def apply_ci_failures(spark, sf_dir):
 @query("apply_pr_rejections", _EVENTS_COMMITS + """
 SELECT c.repo_id, c.sha, c.revert_status OR (e.commit_sha IS NOT NULL) AS revert_status
 FROM fx_commits c LEFT JOIN (SELECT DISTINCT commit_sha FROM fx_outcome_events
-                             WHERE kind = 'pull_request' AND NOT merged) e ON e.commit_sha = c.sha
+                             WHERE kind = 'pull_request' AND closed AND NOT merged) e ON e.commit_sha = c.sha
 """)
 def apply_pr_rejections(spark, sf_dir):
     """A pull request closed without merge marks its head commit reverted."""
     c = fx(spark, sf_dir, "fx_commits")
-    ev = fx(spark, sf_dir, "fx_outcome_events").where("kind = 'pull_request' AND NOT merged")
+    ev = fx(spark, sf_dir, "fx_outcome_events").where("kind = 'pull_request' AND closed AND NOT merged")
     return RV.mark_reverted(c, ev.select(F.col("commit_sha").alias("sha"))).select("repo_id", "sha", "revert_status")
 
 
@@ -127,7 +127,7 @@ def apply_pr_rejections(spark, sf_dir):
 SELECT event_id, kind, commit_sha, substr(commit_sha, 1, 7) AS short_sha,
   CASE WHEN kind = 'ci' THEN concat_ws(':', 'ci', pipeline, substr(commit_sha, 1, 7)) END AS bug_ref,
   kind IN ('revert', 'ci', 'pull_request', 'push') AS tracked,
-  (kind = 'revert') OR (kind = 'ci') OR (kind = 'pull_request' AND NOT merged) AS marks_reverted
+  (kind = 'revert') OR (kind = 'ci') OR (kind = 'pull_request' AND closed AND NOT merged) AS marks_reverted
 FROM fx_outcome_events
 """)
 def outcome_events_norm(spark, sf_dir):
@@ -137,13 +137,13 @@ def outcome_events_norm(spark, sf_dir):
                     F.when(F.col("kind") == "ci", S.ci_bug_ref("pipeline", "commit_sha")).alias("bug_ref"),
                     F.col("kind").isin("revert", "ci", "pull_request", "push").alias("tracked"),
                     ((F.col("kind") == "revert") | (F.col("kind") == "ci")
-                     | ((F.col("kind") == "pull_request") & ~F.col("merged"))).alias("marks_reverted"))
+                     | ((F.col("kind") == "pull_request") & S.rejected("closed", "merged"))).alias("marks_reverted"))
 
 
 @query("outcome_event_counts", _EVENTS_COMMITS + """,
 rows_per_sha AS (SELECT sha, count(*) AS n FROM fx_commits GROUP BY sha)
 SELECT e.kind, count(*) AS n_events,
-  CAST(coalesce(sum(CASE WHEN e.kind = 'revert' OR (e.kind = 'pull_request' AND NOT e.merged) THEN r.n
+  CAST(coalesce(sum(CASE WHEN e.kind = 'revert' OR (e.kind = 'pull_request' AND e.closed AND NOT e.merged) THEN r.n
                 WHEN e.kind = 'ci' AND r.n IS NOT NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS commits_affected
 FROM fx_outcome_events e LEFT JOIN rows_per_sha r ON r.sha = e.commit_sha
 GROUP BY e.kind
@@ -153,7 +153,7 @@ def outcome_event_counts(spark, sf_dir):
     c = fx(spark, sf_dir, "fx_commits").groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
     e = fx(spark, sf_dir, "fx_outcome_events")
     j = e.join(c, e["commit_sha"] == c["sha"], "left")
-    affected = (F.when((F.col("kind") == "revert") | ((F.col("kind") == "pull_request") & ~F.col("merged")), F.col("n"))
+    affected = (F.when((F.col("kind") == "revert") | ((F.col("kind") == "pull_request") & S.rejected("closed", "merged")), F.col("n"))
                  .when((F.col("kind") == "ci") & F.col("n").isNotNull(), F.lit(1)).otherwise(F.lit(0)))
     return j.groupBy("kind").agg(F.count(F.lit(1)).alias("n_events"),
                                  F.coalesce(F.sum(affected), F.lit(0)).cast("bigint").alias("commits_affected"))

@@ -36,7 +36,7 @@ def repo_dimension(spark, sf_dir):
 
 
 def _backfill_functions(spark, sf_dir):
-    files = SC.cap_files_per_commit(fx(spark, sf_dir, "fx_file_diffs"))
+    files = SC.cap_files_per_commit(fx(spark, sf_dir, "fx_file_diffs"), n=None)
     files = D.by_file(files, ["file_id"])
     ch = D.changed_functions(files, ["file_id"])
     meta = files.select("file_id", "repo_id", "sha")
@@ -45,7 +45,7 @@ def _backfill_functions(spark, sf_dir):
 
 _CAPPED = """
 capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, sha ORDER BY file_idx) AS kr
-                          FROM fx_file_diffs WHERE file_path LIKE '%.py') t WHERE kr <= 5),"""
+                          FROM fx_file_diffs WHERE file_path LIKE '%.py') t),"""
 _BACKFILL_SQL = (cte("fx_file_diffs", "fx_commits") + "," + _CAPPED
                  + _RANGES_SQL.split(cte("fx_file_diffs") + ",", 1)[1].replace(
                      "FROM fx_file_diffs\n       WHERE file_path LIKE '%.py'", "FROM capped")
@@ -59,7 +59,7 @@ cf AS (SELECT c.repo_id, c.sha, c.file_path, hit.name AS function_name, hit.body
        WHERE k = 1),
 tk AS (SELECT repo_id, sha, file_path, function_name,
          CAST(('0x' || substr(md5(lower(t)), 1, 8)) AS BIGINT) % 768 AS bucket
-       FROM (SELECT *, unnest(regexp_extract_all(body, '[A-Za-z0-9_]+')) AS t FROM cf) x),
+       FROM (SELECT *, unnest(regexp_extract_all(body, '[\p{L}\p{N}_]+')) AS t FROM cf) x),
 bc AS (SELECT repo_id, sha, file_path, function_name, bucket, count(*) AS n FROM tk GROUP BY ALL),
 nb AS (SELECT repo_id, sha, file_path, function_name, count(*) AS n_buckets, sum(n * n) AS s2 FROM bc GROUP BY ALL),
 nm AS (SELECT bc.repo_id, bc.sha, bc.file_path, bc.function_name,
@@ -75,7 +75,7 @@ FROM cf JOIN nb USING (repo_id, sha, file_path, function_name) JOIN nm USING (re
 
 @query("backfill_vectors", _BACKFILL_VECTORS_SQL)
 def backfill_vectors(spark, sf_dir):
-    """Backfill job — capped files -> changed functions -> embed once per
+    """Backfill job — files -> changed functions -> embed once per
     code hash -> vector rows with deterministic ids ."""
     fns = _backfill_functions(spark, sf_dir).withColumn("code_hash", S.code_hash("new_body"))
     vec = V.embed_dedup(fns, ["repo_id"], "code_hash", "new_body")
@@ -107,12 +107,12 @@ LEFT JOIN rv ON rv.repo_id = cm.repo_id
 GROUP BY cm.repo_id
 """)
 def backfill_summary(spark, sf_dir):
-    """Backfill counters per repository — commits, commits with (capped,
+    """Backfill counters per repository — commits, commits with (all their
     supported) diffs, skipped commits, functions embedded, reverts detected."""
     c = fx(spark, sf_dir, "fx_commits").select("repo_id", "sha")
     f = fx(spark, sf_dir, "fx_file_diffs")
     commits = c.unionByName(f.select("repo_id", "sha")).distinct()
-    capped = SC.cap_files_per_commit(f)
+    capped = SC.cap_files_per_commit(f, n=None)
     wd = capped.select("repo_id", "sha").distinct().withColumn("_has", F.lit(1))
     fns = _backfill_functions(spark, sf_dir).groupBy("repo_id").agg(F.count(F.lit(1)).alias("functions_embedded"))
     j = commits.join(wd, ["repo_id", "sha"], "left")

@@ -19,8 +19,8 @@ CLUSTER_THRESHOLD = 0.95
 LIMIT = 10
 
 # SQL twin of the hashed embedding (long form) and the dense vectors.
-_EMBED_SQL = """,
-tok AS (SELECT repo_id, seq, lower(unnest(regexp_extract_all(code_body, '[A-Za-z0-9_]+'))) AS t FROM fx_functions),
+_EMBED_SQL = r""",
+tok AS (SELECT repo_id, seq, lower(unnest(regexp_extract_all(code_body, '[\p{L}\p{N}_]+'))) AS t FROM fx_functions),
 cnt AS (SELECT repo_id, seq, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 768 AS bucket, count(*) AS n
         FROM tok GROUP BY ALL),
 wt AS (SELECT repo_id, seq, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY repo_id, seq)) AS weight FROM cnt)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Settings that matter at scale, applied on top of whatever the cluster sets.
@@ -65,6 +66,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def read_if_written(spark: SparkSession, path: str):
+    """The table at ``path``, or None where none has been written; any other error is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def materialize(df):
     """Write ``df`` once to the session's checkpoint folder and read it back.
 

@@ -83,10 +83,12 @@ def split_patch(patches: DataFrame, patch_col: str = "patch", profile: str = "cl
                      F.concat(F.lit("diff --git "), F.col("chunk")).alias("diff")))
 
 
-def cap_files_per_commit(files: DataFrame, n: int = MAX_FILES_PER_COMMIT, *, commit_cols=("repo_id", "sha"),
+def cap_files_per_commit(files: DataFrame, n: int | None = MAX_FILES_PER_COMMIT, *, commit_cols=("repo_id", "sha"),
                          order_col: str = "file_idx", path_col: str = "file_path",
                          profile: str = "extension") -> DataFrame:
-    """Supported files only, then the first ``n`` per commit in changed-path order."""
+    """Supported files only, then the first ``n`` per commit in changed-path order (None: all)."""
+    if n is None:
+        return files.where(S.detect_language(path_col, profile).isNotNull())
     w = Window.partitionBy(*commit_cols).orderBy(order_col)
     return (files.where(S.detect_language(path_col, profile).isNotNull())
                  .withColumn("kept_rank", F.row_number().over(w))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators import risk as R
 from ..operators import vectors as V
-from ..session import materialize
+from ..session import materialize, read_if_written
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
@@ -48,11 +48,9 @@ def analyze_stream(functions_stream: DataFrame, commits: DataFrame, *, vectors_p
         vec = V.embed_hashed_sparse(fns, ["repo_id", "seq"], text_col)
         # read four times below (queries, history, metadata, sink): embed once
         vec = materialize(vec.join(fns.drop(text_col), ["repo_id", "seq"]))
-        try:
-            stored = spark.read.parquet(vectors_path).drop("batch_id")
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            stored = None
+        stored = read_if_written(spark, vectors_path)
         if stored is not None:
+            stored = stored.drop("batch_id")
             # only the repositories of this micro-batch: the semi join on the
             # partition column lets dynamic partition pruning skip the others
             repos = vec.select("repo_id").distinct()
@@ -83,13 +81,17 @@ def outcome_view(commits: DataFrame, log: DataFrame, mode: str = "deferred") ->
     """Commits with flags from the event log (revert, CI failure, rejected PR).
 
     ``compat`` keeps only events whose commit was known when the event
-    arrived (``commit_seen_at <= event ts``, if the commits carry it)."""
+    arrived (``seen_at <= event ts``; the commits must carry ``seen_at``)."""
+    if mode not in ("deferred", "compat"):
+        raise ValueError(f"unknown mode {mode!r}")
     ev = log
-    if mode == "compat" and "seen_at" in commits.columns:
+    if mode == "compat":
+        if "seen_at" not in commits.columns:
+            raise ValueError("compat mode needs commits with seen_at")
         known = commits.select(F.col("sha").alias("commit_sha"), "seen_at")
         ev = ev.join(known, "commit_sha").where(F.col("seen_at") <= F.col("ts")).drop("seen_at")
     marks = (ev.where((F.col("kind") == "revert") | (F.col("kind") == "ci")
-                      | ((F.col("kind") == "pull_request") & ~F.col("merged")))
+                      | ((F.col("kind") == "pull_request") & S.rejected("closed", "merged")))
                .select(F.col("commit_sha").alias("_hit")).distinct())
     return (commits.join(marks, commits["sha"] == marks["_hit"], "left")
                    .withColumn("revert_status", F.col("revert_status") | F.col("_hit").isNotNull())

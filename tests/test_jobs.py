@@ -35,7 +35,7 @@ def test_backfill_events_analyze_and_reads(spark):
     commits = spark.read.parquet(f"{store}/commits").select("sha").distinct()
     events = commits.select(F.monotonically_increasing_id().alias("event_id"),
                             F.current_timestamp().cast("timestamp_ntz").alias("ts"), F.lit("revert").alias("kind"),
-                            F.col("sha").alias("commit_sha"), F.lit("").alias("pipeline"), F.lit(False).alias("merged"))
+                            F.col("sha").alias("commit_sha"), F.lit("").alias("pipeline"), F.lit(False).alias("merged"), F.lit(True).alias("closed"))
     J.record_outcome_events(events, store)
 
     # the same files committed again under new shas: every changed function has a stored twin

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+
+import pytest
 import time
 
 from pyspark.sql import functions as F
@@ -137,13 +139,16 @@ def test_unknown_commit_events_compat_vs_deferred(spark):
         [("r", "a1", False, t), ("r", "b2", False, t + dt.timedelta(hours=2))],
         "repo_id string, sha string, revert_status boolean, seen_at timestamp_ntz")
     log = spark.createDataFrame(
-        [(1, t + dt.timedelta(hours=1), "a1", "revert", "", False),     # commit known: applies
-         (2, t + dt.timedelta(hours=1), "b2", "revert", "", False)],    # arrives before its commit
-        "event_id long, ts timestamp_ntz, commit_sha string, kind string, pipeline string, merged boolean")
+        [(1, t + dt.timedelta(hours=1), "a1", "revert", "", False, False),     # commit known: applies
+         (2, t + dt.timedelta(hours=1), "b2", "revert", "", False, False),    # arrives before its commit
+         (3, t + dt.timedelta(hours=3), "b2", "pull_request", "", False, False)],  # still open: no mark
+        "event_id long, ts timestamp_ntz, commit_sha string, kind string, pipeline string, merged boolean, closed boolean")
     deferred = dict(INC.outcome_view(commits, log).select("sha", "revert_status").collect())
     compat = dict(INC.outcome_view(commits, log, mode="compat").select("sha", "revert_status").collect())
     assert deferred == {"a1": True, "b2": True}
     assert compat == {"a1": True, "b2": False}
+    with pytest.raises(ValueError):
+        INC.outcome_view(commits.drop("seen_at"), log, mode="compat")
 
 
 def test_embed_once_stream_dedupes_hashes(spark):
