@@ -1,9 +1,9 @@
 """Shared pieces of the text operators: row ids, word hashes, k-gram hashes,
 window minima and a fixed-size bitmap of hashes.
 
-Row ids come from ``monotonically_increasing_id`` over a Parquet scan: within
-one session the file splits, and so the ids, are the same each time the scan
-runs (also after an executor is lost).
+Row ids come from ``monotonically_increasing_id`` over a Parquet scan. They are
+the same each time the scan runs as long as its file splits are; ``row_id``
+pins those for the session.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -23,15 +23,29 @@ ALNUM = re.compile(rb"[0-9a-z\x80-\xff]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 MAX_CACHED_WORDS = 400_000
+MIN_SPLITS = "spark.sql.files.minPartitionNum"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_id(df: DataFrame) -> Column:
+    """The id of each row of ``df``, a Parquet scan (with any columns left out).
+
+    Unless ``MIN_SPLITS`` is set, Spark sizes file splits by the cores at hand,
+    which change when an executor is lost: a second scan would then number the
+    rows otherwise. So it is set, once for the session.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(MIN_SPLITS, None) is None:
+        spark.conf.set(MIN_SPLITS, str(max(64, spark.sparkContext.defaultParallelism)))
+    return F.monotonically_increasing_id().alias(ROW)
+
+
 def rows_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_row, doc_id, text) of ``df``: whatever other columns it has are left out."""
-    return df.select(F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("long").alias("doc_id"),
+    return df.select(row_id(df), F.col(id_col).cast("long").alias("doc_id"),
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, ROW, WORDS, gram_hashes, saved
+from .common import ALNUM, ROW, WORDS, gram_hashes, row_id, saved
 
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 MIN_CHARS, MIN_COMMON = 200, 300  # characters, words: shorter histograms are not judged
@@ -124,7 +124,7 @@ def references(measured: DataFrame, min_common: int = MIN_COMMON) -> list[tuple[
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
           min_chars: int = MIN_CHARS, min_common: int = MIN_COMMON) -> DataFrame:
     """(_row, doc_id, the base counts, base_failed, char_distance, word_distance, kept); a distance is null where it is not judged."""
-    rows = docs.select(F.monotonically_increasing_id().alias(ROW), F.col(id_col).cast("long").alias("doc_id"),
+    rows = docs.select(row_id(docs), F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     measured = saved(_measured(rows))
     refs = docs.sparkSession.sparkContext.broadcast(references(measured, min_common))
@@ -147,4 +147,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def keep_good(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` without the rows that the rules reject."""
     gone = judge(docs, **settings).where("not kept").select(ROW)
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(gone, ROW, "left_anti").drop(ROW)
+    return docs.withColumn(ROW, row_id(docs)).join(gone, ROW, "left_anti").drop(ROW)
