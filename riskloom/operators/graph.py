@@ -75,17 +75,21 @@ def reverted_files(modifies: DataFrame, keys=()) -> DataFrame:
     return modifies.where("is_reverted").select(*keys, "file_path", "sha").distinct()
 
 
-def shared_reverted(uses: DataFrame, modifies: DataFrame, item_col: str, keys=()) -> DataFrame:
+def shared_reverted(uses: DataFrame, modifies: DataFrame, item_col: str, keys=(), commits: bool = True) -> DataFrame:
     """Distinct (keys, file, item, other file, reverted sha) where the
     other file uses the same item, is not the file, and a reverted commit
-    modified it."""
+    modified it. Without ``commits`` the sha is left out, and an other file
+    counts once however many reverted commits modified it.
+
+    Both sides of the join are distinct first, so it makes no row twice."""
     keys = list(keys)
-    rev = (uses.select(*keys, item_col, F.col("file_path").alias("other_file"))
-               .join(reverted_files(modifies, keys).withColumnRenamed("file_path", "other_file")
-                     .withColumnRenamed("sha", "reverted_sha"), [*keys, "other_file"]))
-    return (uses.select(*keys, "file_path", item_col).join(rev, [*keys, item_col])
-                .where(F.col("file_path") != F.col("other_file"))
-                .select(*keys, "file_path", item_col, "other_file", "reverted_sha").distinct())
+    sha = ["reverted_sha"] if commits else []
+    uses = uses.select(*keys, "file_path", item_col).distinct()
+    reverted = (reverted_files(modifies, keys).withColumnRenamed("file_path", "other_file")
+                .withColumnRenamed("sha", "reverted_sha").select(*keys, "other_file", *sha).distinct())
+    rev = uses.withColumnRenamed("file_path", "other_file").join(reverted, [*keys, "other_file"])
+    return (uses.join(rev, [*keys, item_col]).where(F.col("file_path") != F.col("other_file"))
+                .select(*keys, "file_path", item_col, "other_file", *sha))
 
 
 def shared_item_flags(uses: DataFrame, modifies: DataFrame, item_col: str, keys=()) -> DataFrame:

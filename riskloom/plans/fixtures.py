@@ -121,13 +121,13 @@ FROM supplier
 FX["fx_uses_table"] = """
 SELECT DISTINCT concat('f', CAST(l_suppkey AS STRING)) AS file_path,
   concat('t', CAST(l_partkey AS STRING)) AS table_name
-FROM lineitem WHERE l_orderkey % 100 = 1
+FROM lineitem
 """
 
 FX["fx_calls_api"] = """
 SELECT DISTINCT concat('f', CAST(l_suppkey AS STRING)) AS file_path,
   concat('https://api.example.org/', CAST(l_partkey % 997 AS STRING)) AS url
-FROM lineitem WHERE l_orderkey % 200 = 3
+FROM lineitem
 """
 
 FX["fx_modifies"] = """

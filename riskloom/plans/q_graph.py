@@ -46,7 +46,7 @@ def shared_reverted_tables(spark, sf_dir):
 def shared_reverted_apis(spark, sf_dir):
     """APIs a file shares with other files modified by reverted commits."""
     g = _g(spark, sf_dir)
-    return G.shared_reverted(g["calls_api"], g["modifies"], "url").select("file_path", "url", "other_file").distinct()
+    return G.shared_reverted(g["calls_api"], g["modifies"], "url", commits=False)
 
 
 @query("reverted_neighbors", _GRAPH + _SHARED + """
