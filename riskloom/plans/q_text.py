@@ -194,12 +194,12 @@ k AS (SELECT *, row_number() OVER (PARTITION BY code_hash, commit_sha ORDER BY q
         count(*) OVER (PARTITION BY code_hash, commit_sha) AS n_warnings FROM q)
 SELECT code_hash, commit_sha AS matched_commit_sha, n_warnings,
   md5(""" + sql_render(S.EXPLAIN_TEMPLATE, pct=_PCT_SQL, function_name="function_name", file_path="file_path",
-                       current_code="substr(cur, 1, 2000)", historical_code="substr(hist, 1, 2000)",
+                       current_code="cur", historical_code="hist",
                        outcome="outcome") + """) AS prompt_md5
 FROM k WHERE kk = 1
 """)
 def explain_requests(spark, sf_dir):
-    """One explanation request per (code hash, matched commit), prompt bodies cut to 2,000 chars."""
+    """One explanation request per (code hash, matched commit), with whole bodies."""
     f = _functions(spark, sf_dir)
     hr = R.high_risk(_ranked(spark, sf_dir))
     q = (hr.join(f.select(F.col("seq").alias("query_seq"), S.code_hash("code_body").alias("code_hash"),
@@ -301,13 +301,13 @@ q AS (SELECT hr.query_seq, hr.match_seq, hr.explanation, fq.function_name, fq.fi
       FROM hr JOIN fx_functions fq ON fq.seq = hr.query_seq JOIN fx_functions fh ON fh.seq = hr.match_seq)
 SELECT query_seq, match_seq,
   md5(""" + sql_render(S.FIX_TEMPLATE, function_name="function_name", file_path="file_path", language="'python'",
-                       bad_code="substr(bad, 1, 3000)", explanation="explanation",
-                       safe_code="substr(safe, 1, 3000)") + """) AS prompt_md5
+                       bad_code="bad", explanation="explanation",
+                       safe_code="safe") + """) AS prompt_md5
 FROM q
 """)
 def fix_requests(spark, sf_dir):
     """One fix request per high-risk warning (risky body, matched body
-    as the safe version, the warning's explanation), bodies cut to 3,000 chars."""
+    as the safe version, the warning's explanation), with whole bodies."""
     f = _functions(spark, sf_dir)
     hr = R.high_risk(_ranked(spark, sf_dir))
     fb = S.fallback_explanation("score", "outcome")
