@@ -47,6 +47,13 @@ def _changed(files: DataFrame) -> DataFrame:
     return ch.join(f.select("file_key", "repo_id", "sha"), "file_key")
 
 
+def _one_per_path(files: DataFrame) -> DataFrame:
+    """The last of a commit's diffs of one file; commits without files stay."""
+    return files.groupBy("repo_id", "sha", "file_path").agg(F.max_by(F.struct(
+        *[c for c in files.columns if c not in ("repo_id", "sha", "file_path")]), F.coalesce("file_pos", F.lit(0))).alias("f")).select(
+        "repo_id", "sha", "file_path", "f.*")
+
+
 def _store_repositories(spark: SparkSession, repo_ids: DataFrame, store: str) -> None:
     """Get-or-create — append only repositories not stored yet."""
     existing = read_if_written(spark, _path(store, "repositories"))
@@ -93,11 +100,11 @@ def backfill(spark: SparkSession, batches: DataFrame, store: str, *, files_per_c
     repository's commit list, store commits (flagged), changed-function
     vectors and graph edges. Returns the per-repository counters (A6). All files
     and lines count unless ``files_per_commit`` or ``max_lines`` set a limit."""
-    commits = SC.explode_commits(batches).withColumn("seq", F.col("commit_pos").cast("long"))
+    commits = SC.first_sent(SC.explode_commits(batches).withColumn("seq", F.col("commit_pos").cast("long")), "seq")
     _store_repositories(spark, batches.select("repo_id").distinct(), store)
     reverted = RV.detect_reverts(commits)
     _store_commits(commits, store, reverted)
-    files = SC.explode_diffs(commits)
+    files = _one_per_path(SC.explode_diffs(commits))
     with_files = files.where(F.col("file_path").isNotNull())
     capped = SC.cap_files_per_commit(with_files, commit_cols=("repo_id", "sha"), order_col="file_pos", n=files_per_commit)
     if max_lines is not None:
@@ -137,10 +144,10 @@ def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: flo
     nested diffs): changed functions are searched against the stored vectors
     of their repository (and earlier functions of the batch), warnings are
     stored, then the new vectors, commits and edges are stored."""
-    commits = batch.select("repo_id", F.col("commit_sha").alias("sha"), "author", "message", "diffs",
-                           F.col("seq").cast("long").alias("seq"))
+    commits = SC.first_sent(batch.select("repo_id", F.col("commit_sha").alias("sha"), "author", "message", "diffs",
+                                         F.col("seq").cast("long").alias("seq")), "seq")
     _store_repositories(spark, commits.select("repo_id").distinct(), store)
-    files = SC.explode_diffs(commits).where(F.col("file_path").isNotNull())
+    files = _one_per_path(SC.explode_diffs(commits)).where(F.col("file_path").isNotNull())
     fns = _changed(files).join(commits.select("repo_id", "sha", "seq"), ["repo_id", "sha"])
     fns = (fns.withColumn("fn_seq", F.xxhash64("repo_id", "sha", "file_path", "function_name"))
               .withColumn("code_hash", S.code_hash("new_body")))
@@ -157,7 +164,8 @@ def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: flo
     hist = q
     if stored is not None:
         repos = q.select("repo_id").distinct()
-        old = (stored.join(repos, "repo_id", "left_semi")
+        # a commit sent to several calls has its vectors stored under one id each time
+        old = (stored.join(repos, "repo_id", "left_semi").dropDuplicates(["repo_id", "id"])
                      .select("repo_id", F.xxhash64("id").alias("vid"), F.lit(-1).cast("long").alias("t"),
                              "commit_sha", "function_name", "file_path", "indices", "values"))
         hist = old.unionByName(q)

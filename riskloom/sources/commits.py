@@ -61,6 +61,14 @@ def explode_commits(batches: DataFrame) -> DataFrame:
                   .select("repo_id", "commit_pos", "c.sha", "c.message", "c.author", "c.diffs")
 
 
+def first_sent(commits: DataFrame, order_col: str) -> DataFrame:
+    """One row per (repo_id, sha) of commits that batches sent again: the one of least ``order_col``; of equals one
+    with file diffs, then any (they are copies)."""
+    rest = [c for c in commits.columns if c not in ("repo_id", "sha")]
+    nth = F.struct(order_col, F.size(F.coalesce("diffs", F.array())) == 0, F.xxhash64("diffs"))
+    return commits.groupBy("repo_id", "sha").agg(F.min_by(F.struct(*rest), nth).alias("c")).select("repo_id", "sha", "c.*")
+
+
 def explode_diffs(commits: DataFrame, keep_empty: bool = True) -> DataFrame:
     """S3: one row per file diff; ``keep_empty`` keeps commits without diffs
     (file fields null) so per-commit counters see them."""

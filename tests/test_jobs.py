@@ -57,3 +57,13 @@ def test_backfill_events_analyze_and_reads(spark):
     risk = J.dependency_risk(spark, store).collect()
     assert len(risk) > 0 and all(0.0 <= r.graph_risk_score <= 1.0 for r in risk)
     assert J.blast_radius(spark, store).count() >= 0
+
+
+def test_commits_sent_again_count_once(spark):
+    once, twice = tempfile.mkdtemp(prefix="rl-once-"), tempfile.mkdtemp(prefix="rl-twice-")
+    batches = _batches(fx(spark, SMALL, "fx_file_diffs"), F.col("sha"))
+    doubled = batches.withColumn("commits", F.transform("commits", lambda c: c.withField("diffs", F.concat(c["diffs"], c["diffs"]))))
+    want = {tuple(r) for r in J.backfill(spark, batches, once).collect()}
+    assert {tuple(r) for r in J.backfill(spark, batches.unionByName(doubled), twice).collect()} == want
+    count = lambda store, name: spark.read.parquet(f"{store}/{name}").count()
+    assert all(count(once, t) == count(twice, t) > 0 for t in ("vectors", "commits"))
