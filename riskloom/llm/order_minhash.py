@@ -18,7 +18,12 @@ in one sketch with probability about 0.64, so they share none of 12 with 5e-6.
    increasing run of places), and similarity is the chained shingles over the
    union of both, at least 0.8. It is at most the Jaccard similarity, and equal
    to it where order is kept.
-4. Connected components over verified links give classes.
+4. Connected components over verified links give classes. A large bucket whose
+   texts are all in one class is settled. In any other, texts of different
+   classes that agree in a second sketch (in cells still over ``BUCKET``, in a
+   third) are candidates too, whatever their number; verified, they complete
+   the links, and the components are found again. At similarity 0.8 two texts
+   agree in fewer than three sketches with probability 0.0011.
 
 Cases: null, empty and wordless texts are each a class of their own; texts of
 fewer than five words are one shingle; repeated rows are one class; a null id
@@ -40,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM, MULT, ROW, WORDS, bitmap_of, gram_hashes, in_bitmap, mixed, row_id, rows_of, saved
 from .components import components
 
-SHINGLE, SKETCHES, PICKED, SIMILARITY, BUCKET = 5, 12, 2, 0.8, 48
+SHINGLE, SKETCHES, PICKED, SIMILARITY, BUCKET, AGREEMENTS = 5, 12, 2, 0.8, 48, 3
 
 
 def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
@@ -96,12 +101,16 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return n / (both - n)
 
 
-def _candidates(docs: DataFrame, bucket: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of representatives to verify. ``docs``: (_row, sketches)."""
+def _buckets(docs: DataFrame) -> DataFrame:
+    """(_row, j, v, next, n): the sketches that several representatives share, and how many do. ``docs``: (_row, sketches)."""
     each = docs.select(ROW, "sketches", F.posexplode("sketches").alias("j", "v")).select(
         ROW, "j", "v", F.expr("sketches[(j + 1) % size(sketches)]").alias("next"))
     sizes = each.groupBy("j", "v").agg(F.count("*").alias("n")).where("n > 1")
-    shared = saved(each.join(sizes, ["j", "v"]))
+    return saved(each.join(sizes, ["j", "v"]))
+
+
+def _candidates(shared: DataFrame, bucket: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of representatives to verify. ``shared``: what ``_buckets`` gives."""
 
     def paired(rows: DataFrame, keys: list[str]) -> DataFrame:
         return (rows.select(*keys, F.col(ROW).alias("a")).join(rows.select(*keys, F.col(ROW).alias("b")), keys)
@@ -124,6 +133,32 @@ def _candidates(docs: DataFrame, bucket: int) -> DataFrame:
     return pairs.distinct()
 
 
+def _across(large: DataFrame, docs: DataFrame, roots: DataFrame, least: float, bucket: int) -> DataFrame | None:
+    """Pairs (a, b), a < b, of texts in different classes that share a large bucket and further sketches; None if all are settled.
+
+    ``large``: (_row, j, v); ``docs``: (_row, n_shingles, sketches); ``roots``: (u, root).
+    Texts too unlike in length to reach ``least`` are left out.
+    """
+    classed = docs.join(roots.withColumnRenamed("u", ROW), ROW, "left").withColumn("root", F.coalesce("root", ROW))
+    cells, pairs = large.select(ROW, "j", F.xxhash64("j", "v").alias("cell")), None
+    for agreed in range(1, AGREEMENTS + 1):
+        rows = cells.join(classed.select(ROW, "root", "n_shingles"), ROW)
+        unsettled = rows.groupBy("cell").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        rows = saved(rows.join(unsettled.select("cell", "m"), "cell"))
+        ready = rows.where(F.lit(agreed == AGREEMENTS) | (F.col("m") <= bucket))
+        if agreed > 1:
+            x, y = (ready.select("cell", F.struct(F.col(ROW).alias("id"), "root", "n_shingles").alias(side)) for side in "xy")
+            near = (x.join(y, "cell").where("x.root < y.root").where(F.least("x.n_shingles", "y.n_shingles") >= least * F.greatest("x.n_shingles", "y.n_shingles"))
+                    .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+            pairs = near if pairs is None else pairs.unionByName(near)
+        rest = rows.where(F.col("m") > bucket)
+        if agreed == AGREEMENTS or rest.isEmpty():
+            return pairs
+        cells = (rest.select(ROW, "cell", F.col("j").alias("i")).join(docs.select(ROW, "sketches"), ROW)
+                 .select(ROW, "cell", "i", F.posexplode("sketches").alias("j", "v")).where("j > i")
+                 .select(ROW, "j", F.xxhash64("cell", "j", "v").alias("cell")))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_row, doc_id, class_id, n_links, keep): per row its class, its text's verified links, and whether it is the one that stays.
 
@@ -134,16 +169,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bucket: int = BU
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, signs = [], []
+            keys, signs, sizes = [], [], []
             for text in b["text"]:
                 words = ALNUM.findall(text.as_py().encode().lower())
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
                 signs.append(sketches(shingles(words)).view(np.int64) if words else None)
-            yield pa.RecordBatch.from_arrays([b[ROW], b["doc_id"], pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], names=[ROW, "doc_id", "key", "sketches"])
-
-    signed = saved(rows.mapInArrow(sign, f"{ROW} long, doc_id long, key binary, sketches array<long>"))
-    equal = saved(signed.where("key is not null").groupBy("key").agg(F.min(ROW).alias("rep"), F.first("sketches").alias("sketches")))
-    pairs = saved(_candidates(equal.select(F.col("rep").alias(ROW), "sketches"), bucket))
+                sizes.append(max(1, len(words) - SHINGLE + 1))
+            yield pa.RecordBatch.from_arrays([b[ROW], b["doc_id"], pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                                             names=[ROW, "doc_id", "key", "sketches", "n_shingles"])
+
+    signed = saved(rows.mapInArrow(sign, f"{ROW} long, doc_id long, key binary, sketches array<long>, n_shingles long"))
+    equal = saved(signed.where("key is not null").groupBy("key")
+                  .agg(F.min(ROW).alias("rep"), F.first("sketches").alias("sketches"), F.first("n_shingles").alias("n_shingles")))
+    texts = equal.select(F.col("rep").alias(ROW), "sketches", "n_shingles")
+    shared = _buckets(texts)
+    pairs = saved(_candidates(shared, bucket))
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(
         pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("h")), "h"))
 
@@ -160,10 +200,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bucket: int = BU
             ok = [similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) >= least for x, y in zip(b["sa"], b["sb"])]
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    links = saved(pairs.join(seqs.select(F.col(ROW).alias("a"), F.col("seq").alias("sa")), "a")
-                  .join(seqs.select(F.col(ROW).alias("b"), F.col("seq").alias("sb")), "b")
-                  .select("a", "b", "sa", "sb").mapInArrow(verify, "u long, v long"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        return saved(pairs.join(seqs.select(F.col(ROW).alias("a"), F.col("seq").alias("sa")), "a")
+                     .join(seqs.select(F.col(ROW).alias("b"), F.col("seq").alias("sb")), "b")
+                     .select("a", "b", "sa", "sb").mapInArrow(verify, "u long, v long"))
+
+    links = verified(pairs)
     roots = components(links)
+    more = _across(shared.where(F.col("n") > bucket), texts, roots, least, bucket)
+    if more is not None:
+        more = verified(saved(more.distinct().join(pairs, ["a", "b"], "left_anti")))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
     degrees = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     reps = (equal.select("key", "rep").join(roots.withColumnRenamed("u", "rep"), "rep", "left").join(degrees, "rep", "left")
             .select("key", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))

@@ -136,6 +136,16 @@ def test_large_group_of_near_copies_is_one_class(frame):
     assert len({r.class_id for r in got if r.doc_id >= 1000}) == 40
 
 
+def test_pairs_of_a_large_bucket_keep_their_links(frame):
+    """Texts of which a third is one passage share large buckets; their near copies are far from any centre."""
+    passage, rows = prose(100, 13), []
+    for i in range(60):
+        own = prose(100, 700 + i)
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + [*own[:-1], "edit"]))]
+    got = order_minhash.near_duplicates(frame(rows), bucket=2).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(i, i - i % 2) for i in range(120)]
+
+
 def test_alignment_follows_order():
     a = order_minhash.shingles([w.encode() for w in prose(200, 12)])
     assert order_minhash.similarity(a, a) == 1
