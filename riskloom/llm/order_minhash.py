@@ -19,11 +19,10 @@ in one sketch with probability about 0.64, so they share none of 12 with 5e-6.
    union of both, at least 0.8. It is at most the Jaccard similarity, and equal
    to it where order is kept.
 4. Connected components over verified links give classes. A large bucket whose
-   texts are all in one class is settled. In any other, texts of different
-   classes that agree in a second sketch (in cells still over ``BUCKET``, in a
-   third) are candidates too, whatever their number; verified, they complete
-   the links, and the components are found again. At similarity 0.8 two texts
-   agree in fewer than three sketches with probability 0.0011.
+   texts are all in one class is settled. Elsewhere the texts outside the
+   bucket's largest class are compared with all its texts, in blocks; first
+   those are left out that have more shingles of their own (in no other text)
+   than a link allows. The links found there complete the classes.
 
 Cases: null, empty and wordless texts are each a class of their own; texts of
 fewer than five words are one shingle; repeated rows are one class; a null id
@@ -45,7 +44,8 @@ from pyspark.sql import functions as F
 from .common import ALNUM, MULT, ROW, WORDS, bitmap_of, gram_hashes, in_bitmap, mixed, row_id, rows_of, saved
 from .components import components
 
-SHINGLE, SKETCHES, PICKED, SIMILARITY, BUCKET, AGREEMENTS = 5, 12, 2, 0.8, 48, 3
+SHINGLE, SKETCHES, PICKED, SIMILARITY, BUCKET = 5, 12, 2, 0.8, 48
+SHARD, BLOCK_TEXTS, BLOCK_SHINGLES = 500_000, 512, 500_000
 
 
 def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
@@ -133,34 +133,114 @@ def _candidates(shared: DataFrame, bucket: int) -> DataFrame:
     return pairs.distinct()
 
 
-def _across(large: DataFrame, docs: DataFrame, roots: DataFrame, least: float, bucket: int) -> DataFrame | None:
-    """Pairs (a, b), a < b, of texts in different classes that share a large bucket and further sketches; None if all are settled.
+def _lone(seqs: DataFrame, n_shards: int) -> DataFrame:
+    """(_row, n_lone): how many of a text's labelled shingles no other text of ``seqs`` (_row, seq) has.
 
-    ``large``: (_row, j, v); ``docs``: (_row, n_shingles, sketches); ``roots``: (u, root).
-    Texts too unlike in length to reach ``least`` are left out.
+    Only those that are alone in their batch are dealt to shards, so a frequent
+    shingle is sent at most once per batch.
     """
-    classed = docs.join(roots.withColumnRenamed("u", ROW), ROW, "left").withColumn("root", F.coalesce("root", ROW))
-    cells, pairs = large.select(ROW, "j", F.xxhash64("j", "v").alias("cell")), None
-    for agreed in range(1, AGREEMENTS + 1):
-        rows = cells.join(classed.select(ROW, "root", "n_shingles"), ROW)
-        unsettled = rows.groupBy("cell").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        rows = saved(rows.join(unsettled.select("cell", "m"), "cell"))
-        ready = rows.where(F.lit(agreed == AGREEMENTS) | (F.col("m") <= bucket))
-        if agreed > 1:
-            x, y = (ready.select("cell", F.struct(F.col(ROW).alias("id"), "root", "n_shingles").alias(side)) for side in "xy")
-            near = (x.join(y, "cell").where("x.root < y.root").where(F.least("x.n_shingles", "y.n_shingles") >= least * F.greatest("x.n_shingles", "y.n_shingles"))
-                    .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
-            pairs = near if pairs is None else pairs.unionByName(near)
-        rest = rows.where(F.col("m") > bucket)
-        if agreed == AGREEMENTS or rest.isEmpty():
-            return pairs
-        cells = (rest.select(ROW, "cell", F.col("j").alias("i")).join(docs.select(ROW, "sketches"), ROW)
-                 .select(ROW, "cell", "i", F.posexplode("sketches").alias("j", "v")).where("j > i")
-                 .select(ROW, "j", F.xxhash64("cell", "j", "v").alias("cell")))
+
+    def singles(h: np.ndarray) -> np.ndarray:
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1], [True]])
+        return order[new[1:] & new[:-1]]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in b["seq"]]
+            if sum(map(len, parts)):
+                h, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                at = singles(h)
+                h, owner = h[at], owner[at]
+                shard = (mixed(h) % np.uint64(n_shards)).astype(np.int64)
+                order = np.lexsort((shard, owner))
+                h, owner, shard = h[order], owner[order], shard[order]
+                cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(shard) != 0)) + 1
+                first = np.concatenate([[0], cuts])[:len(h)]
+                yield pa.RecordBatch.from_arrays([b[ROW].take(pa.array(owner[first])), pa.array(shard[first]), pa.array([x.tobytes() for x in np.split(h, cuts)][:len(first)], pa.binary())],
+                                                 names=[ROW, "shard", "h"])
+
+    def count(dealt: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in dealt["h"]]
+        owner = np.repeat(dealt[ROW].to_numpy(), [len(x) for x in parts])
+        rows, n = np.unique(owner[singles(np.concatenate(parts))], return_counts=True)
+        return pa.table({ROW: pa.array(rows, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return (seqs.mapInArrow(deal, f"{ROW} long, shard long, h binary").groupBy("shard").applyInArrow(count, f"{ROW} long, n long")
+            .groupBy(ROW).agg(F.sum("n").alias("n_lone")))
+
+
+def _across(large: DataFrame, docs: DataFrame, seqs: DataFrame, roots: DataFrame, least: float) -> DataFrame | None:
+    """Links (u, v) between texts of different classes that share a large bucket; None if all buckets are settled.
+
+    ``large``: (_row, j, v); ``docs``: (_row, n_shingles, sketches); ``seqs``:
+    (_row, seq) of the texts in ``large``; ``roots``: (u, root). Two texts of x
+    and y shingles need least / (1 + least) * (x + y) in common, and a shingle
+    that no other text has is in no pair; texts that cannot reach that number
+    are left out. Of each bucket the largest class and the other texts are cut
+    into blocks, and each block of others meets all blocks.
+    """
+
+    def needed(x, y):
+        return least / (1 + least) * (x + y) - 1e-6
+
+    def unsettled(rows: DataFrame) -> DataFrame:
+        classes = rows.groupBy("cell", "root").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"), F.min("n_shingles").alias("short"))
+        cells = (classes.groupBy("cell").agg(F.count("*").alias("k"), F.min("short").alias("short"), F.sum("m").alias("m"), F.sum("s").alias("s"),
+                                             F.max_by(F.struct("root", "m", "s"), F.struct("m", "root")).alias("main")).where("k > 1"))
+        blocks = [F.greatest(F.ceil(m / BLOCK_TEXTS), F.ceil(s / BLOCK_SHINGLES)).cast("long").alias(name)
+                  for name, m, s in (("others", F.col("m") - F.col("main.m"), F.col("s") - F.col("main.s")), ("mains", F.col("main.m"), F.col("main.s")))]
+        return rows.join(cells.select("cell", "short", F.col("main.root").alias("main"), *blocks), "cell")
+
+    classed = docs.join(roots.withColumnRenamed("u", ROW), ROW, "left").select(ROW, "n_shingles", F.coalesce("root", ROW).alias("root"))
+    rows = saved(unsettled(large.select(ROW, "j", F.xxhash64("j", "v").alias("cell")).join(classed, ROW)).select(ROW, "j", "cell", "root", "n_shingles", "short"))
+    texts = rows.select(ROW, "n_shingles").distinct()
+    total = texts.agg(F.sum("n_shingles")).first()[0]
+    if not total:
+        return None
+    lone = _lone(seqs.join(texts.select(ROW), ROW, "left_semi"), 1 + total // SHARD)
+    rows = (rows.join(lone, ROW, "left").withColumn("common", F.col("n_shingles") - F.coalesce("n_lone", F.lit(0)))
+            .where(F.col("common") >= needed(F.col("n_shingles"), F.greatest(F.col("short"), least * F.col("n_shingles")))).drop("short", "n_lone"))
+    rows = unsettled(saved(rows)).drop("short")
+    nth = F.pmod(F.xxhash64(ROW), F.when(F.col("root") == F.col("main"), F.col("mains")).otherwise(F.col("others")))
+    rows = (rows.withColumn("block", nth + F.when(F.col("root") == F.col("main"), F.col("others")).otherwise(0))
+            .withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("root") == F.col("main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
+            .select(ROW, "j", "cell", "root", "n_shingles", "common", "block", F.least("block", "partner").alias("x"), F.greatest("block", "partner").alias("y"))
+            .join(docs.select(ROW, "sketches"), ROW).join(seqs, ROW))
+
+    def compare(t: pa.Table) -> pa.Table:
+        j, x, y = t["j"][0].as_py(), t["x"][0].as_py(), t["y"][0].as_py()
+        ids, root, n, common, block = (t[c].to_numpy() for c in (ROW, "root", "n_shingles", "common", "block"))
+        signs = np.array(t["sketches"].to_pylist(), np.int64)
+        seq = [np.frombuffer(b.as_buffer(), np.uint64) for b in t["seq"]]
+        a, b = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        ok = (root[a][:, None] != root[b]) & (np.minimum(common[a][:, None], common[b]) >= needed(n[a][:, None], n[b]))
+        if x == y:
+            ok &= ids[a][:, None] < ids[b]
+        for i in range(j):  # a pair is compared in the first bucket that it shares
+            ok &= signs[a, i][:, None] != signs[b, i]
+        found, parent = [], {}
+
+        def top(r: int) -> int:
+            while r in parent:
+                r = parent[r]
+            return r
+
+        for p, q in np.argwhere(ok):
+            p, q = a[p], b[q]
+            u, v = top(int(root[p])), top(int(root[q]))
+            if u != v and similarity(seq[p], seq[q], least) >= least:
+                parent[u] = v
+                found.append((int(ids[p]), int(ids[q])))
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    return rows.groupBy("cell", "x", "y").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_row, doc_id, class_id, n_links, keep): per row its class, its text's verified links, and whether it is the one that stays.
+    """(_row, doc_id, class_id, n_links, keep): per row its class, the links found for its text, and whether it is the one that stays.
+
+    Links are found until classes are complete, not between all texts of a class.
 
     ``class_id`` is the least id of the class (null if all are null); the row
     that stays has it, and of several such rows the first.
@@ -207,12 +287,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bucket: int = BU
 
     links = verified(pairs)
     roots = components(links)
-    more = _across(shared.where(F.col("n") > bucket), texts, roots, least, bucket)
-    if more is not None:
-        more = verified(saved(more.distinct().join(pairs, ["a", "b"], "left_anti")))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
+    more = _across(shared.where(F.col("n") > bucket), texts, seqs, roots, least)
+    if more is not None and not (more := saved(more)).isEmpty():
+        links = links.unionByName(more).distinct()
+        roots = components(links)
     degrees = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     reps = (equal.select("key", "rep").join(roots.withColumnRenamed("u", "rep"), "rep", "left").join(degrees, "rep", "left")
             .select("key", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
