@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from .vectors import DEFAULT_LIMIT, DEFAULT_THRESHOLD, cosine_topk
 
+COMMIT_FIELDS = ("author", "message", "date")
+
 
 def collapse_commits(commits: DataFrame, key_cols=("repo_id", "sha"),
                      seq_col: str = "seq", bug_col: str = "bug_ids") -> DataFrame:
@@ -44,17 +46,20 @@ def collapse_commits(commits: DataFrame, key_cols=("repo_id", "sha"),
     return (x.groupBy(*key_cols)
              .agg(F.bool_or(F.coalesce("revert_status", F.lit(False))).alias("revert_status"),
                   F.array_sort(F.collect_set("_bug")).alias("bug_ids"),
-                  F.max_by("author", seq_col).alias("author"),
-                  F.max_by("message", seq_col).alias("message"),
+                  *[F.max_by(c, seq_col).alias(c) for c in COMMIT_FIELDS if c in commits.columns],
                   F.max(seq_col).alias(seq_col),
                   F.count_if(first).alias("n_rows")))
 
 
 def enrich_matches(matches: DataFrame, commits: DataFrame, *,
                    repo_col: str = "repo_id", sha_col: str = "commit_sha") -> DataFrame:
-    """J3 + F7 + F9: left join each match to its commit, derive outcome and risk."""
+    """J3 + F7 + F9: left join each match to its commit, derive outcome and risk.
+
+    The commit's author, message and date, where ``commits`` has them, follow
+    as ``matched_author``, ``matched_message`` and ``matched_date``."""
     c = commits.select(F.col("repo_id").alias(repo_col), F.col("sha").alias(sha_col),
-                       F.col("revert_status").alias("_rs"), F.col("bug_ids").alias("_bugs"))
+                       F.col("revert_status").alias("_rs"), F.col("bug_ids").alias("_bugs"),
+                       *[F.col(x).alias(f"matched_{x}") for x in COMMIT_FIELDS if x in commits.columns])
     m = matches.join(c, [repo_col, sha_col], "left")
     outcome = S.commit_outcome("_rs", "_bugs")
     return (m.withColumn("outcome", outcome)
@@ -110,7 +115,8 @@ def high_risk(matches: DataFrame) -> DataFrame:
 def assemble_warnings(ranked: DataFrame, queries: DataFrame, *,
                       id_col: str = "seq", explanation=None,
                       graph_risk: DataFrame | None = None) -> DataFrame:
-    """V9: one warning per high-risk match with all fields.
+    """V9: one warning per high-risk match with all fields: the function's lines
+    and the matched commit's fields too, where ``queries`` and ``ranked`` have them.
 
     ``explanation`` is an optional DataFrame (query_seq, match_seq, risk_level,
     explanation, historical_context, suggested_action) from a user scorer; the
@@ -124,7 +130,9 @@ def assemble_warnings(ranked: DataFrame, queries: DataFrame, *,
                        F.col("function_name").alias("query_function"),
                        F.col("file_path").alias("query_path"),
                        *[c for c in ("start_line", "end_line") if c in queries.columns])
-    w = high_risk(ranked).drop("query_sha").join(q, ["repo_id", "query_seq"])
+    given = [c for c in ("start_line", "end_line") if c in queries.columns]
+    given += [f"matched_{c}" for c in COMMIT_FIELDS if f"matched_{c}" in ranked.columns]
+    w = high_risk(ranked).drop("query_sha", "start_line", "end_line").join(q, ["repo_id", "query_seq"])
     fb = S.fallback_explanation("score", "outcome")
     if explanation is not None:
         keys = [c for c in ("repo_id",) if c in explanation.columns]
@@ -150,4 +158,4 @@ def assemble_warnings(ranked: DataFrame, queries: DataFrame, *,
         F.col("score").alias("similarity_score"), F.col("commit_sha").alias("matched_commit_sha"),
         "match_seq", "outcome", "risk_score", exp.alias("explanation"),
         ctx.alias("historical_context"), act.alias("suggested_action"),
-        F.lit(False).alias("dismissed"), *extra)
+        F.lit(False).alias("dismissed"), *given, *extra)

@@ -46,6 +46,7 @@ def test_backfill_events_analyze_and_reads(spark):
     assert len(warns) > 0
     assert all(w.outcome == "reverted" and w.similarity_score >= 0.8 for w in warns)
     assert {w.risk_level for w in warns} <= {"HIGH", "MEDIUM", "LOW"}
+    assert all(1 <= w.start_line <= w.end_line and w.matched_author and w.matched_message for w in warns)
 
     repos = spark.read.parquet(f"{store}/repositories")
     assert repos.count() == repos.select("repo_id").distinct().count() == files.select("repo_id").distinct().count()
