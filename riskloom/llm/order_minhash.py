@@ -13,11 +13,12 @@ in one sketch with probability about 0.64, so they share none of 12 with 5e-6.
    the following sketch into smaller buckets; these pair all their texts, or,
    if still large, each with a member chosen by hash. So a group of any size
    costs a bounded number of pairs per text.
-3. Candidates are verified by banded alignment: labelled shingles common to
-   both texts and at most a band apart are chained in order (the longest
-   increasing run of places), and similarity is the chained shingles over the
-   union of both, at least 0.8. It is at most the Jaccard similarity, and equal
-   to it where order is kept.
+3. Candidates are verified by alignment: the longest common subsequence of
+   their shingles without labels, so that a shingle may match any equal one,
+   and similarity is its length over the union of both, at least 0.8. It is at
+   most the Jaccard similarity of the shingles counted as often as they occur,
+   and equal to it where order is kept. Where no shingle repeats, it is the
+   longest increasing run of the common shingles' places within a band.
 4. Connected components over verified links give classes. A large bucket whose
    texts are all in one class is settled. Elsewhere the texts outside the
    bucket's largest class are compared with all its texts, in blocks; first
@@ -46,13 +47,18 @@ from .components import components
 
 SHINGLE, SKETCHES, PICKED, SIMILARITY, BUCKET = 5, 12, 2, 0.8, 48
 SHARD, BLOCK_TEXTS, BLOCK_SHINGLES = 500_000, 512, 500_000
+COLUMNS = 4096  # bits of a number in `aligned`
 
 
-def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
-    """Occurrence-labelled shingle hashes in text order."""
-    if not words:
-        return np.empty(0, np.uint64)
-    h = gram_hashes(WORDS.array(words), min(k, len(words)))
+def plain_shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
+    """Shingle hashes in text order."""
+    return gram_hashes(WORDS.array(words), min(k, len(words))) if words else np.empty(0, np.uint64)
+
+
+def labelled(h: np.ndarray) -> np.ndarray:
+    """Shingle hashes labelled with their number of occurrence; first ones stay as they are."""
+    if not len(h):
+        return h
     order = np.argsort(h, kind="stable")
     ranked = h[order]
     first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -65,6 +71,11 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
     return h
 
 
+def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
+    """Occurrence-labelled shingle hashes in text order."""
+    return labelled(plain_shingles(words, k))
+
+
 def sketches(labelled: np.ndarray, n: int = SKETCHES, picked: int = PICKED) -> np.ndarray:
     """n Order MinHash sketches: the hash of the ``picked`` least labelled shingles, in text order."""
     out = np.empty(n, np.uint64)
@@ -79,20 +90,54 @@ def sketches(labelled: np.ndarray, n: int = SKETCHES, picked: int = PICKED) -> n
     return out
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Share of shingles that the best banded alignment of two labelled sequences matches."""
+def aligned(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, by bit-parallel rows over blocks of ``COLUMNS`` columns."""
+    codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    a, b = codes[:len(a)], codes[len(a):]
+    n = min(len(a), len(b))
+    head = int(np.append(a[:n] != b[:n], True).argmax())
+    tail = int(np.append(a[head:][::-1][:n - head] != b[head:][::-1][:n - head], True).argmax())
+    ends, a, b = head + tail, a[head:len(a) - tail], b[head:len(b) - tail]
+    a, b = a[np.isin(a, b)], b[np.isin(b, a)].tolist()
+    carry = bytearray(len(b))
+    for at in range(0, len(a), COLUMNS):
+        block, places = a[at:at + COLUMNS].tolist(), {}
+        for i, x in enumerate(block):
+            places[x] = places.get(x, 0) | 1 << i
+        width = len(block)
+        row = full = (1 << width) - 1
+        for j, y in enumerate(b):
+            here = places.get(y, 0)
+            if here or carry[j]:
+                met = row & here
+                total = row + met + carry[j]
+                carry[j] = total >> width
+                row = total & full | row - met
+        ends += width - row.bit_count()
+    return ends
+
+
+def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, plain_a: np.ndarray | None = None, plain_b: np.ndarray | None = None) -> float:
+    """Share of shingles that the best alignment of two texts matches; where it is below ``least``, any number below.
+
+    ``a`` and ``b`` are labelled sequences; ``plain_a`` and ``plain_b`` the
+    ones without labels, or None where no shingle repeats.
+    """
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return 0.0
     _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     both = len(a) + len(b)
+    # labelled shingles in common are as many as any alignment can match
     if len(at_a) < least * (both - len(at_a)):
         return 0.0
-    # a match further off the diagonal than this leaves too few shingles to reach `least`
-    near = np.abs(at_a - at_b) <= int((1 - least) * max(len(a), len(b))) + 1
-    at_b = at_b[near][np.argsort(at_a[near])]
-    if (np.diff(at_b) > 0).all():
+    if (np.diff(at_b[np.argsort(at_a)]) > 0).all():
         n = len(at_b)
+    elif plain_a is not None or plain_b is not None:
+        n = aligned(a if plain_a is None else plain_a, b if plain_b is None else plain_b)
     else:
+        # a match further off the diagonal than this leaves too few shingles to reach `least`
+        near = np.abs(at_a - at_b) <= int((1 - least) * max(len(a), len(b))) + 1
+        at_b = at_b[near][np.argsort(at_a[near])]
         tails: list[int] = []
         for x in at_b.tolist():
             i = bisect_left(tails, x)
@@ -101,6 +146,10 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return n / (both - n)
 
 
+def _hashes(binary: pa.Scalar) -> np.ndarray | None:
+    return np.frombuffer(binary.as_buffer(), np.uint64) if binary.is_valid else None
+
+
 def _buckets(docs: DataFrame) -> DataFrame:
     """(_row, j, v, next, n): the sketches that several representatives share, and how many do. ``docs``: (_row, sketches)."""
     each = docs.select(ROW, "sketches", F.posexplode("sketches").alias("j", "v")).select(
@@ -174,7 +223,7 @@ def _across(large: DataFrame, docs: DataFrame, seqs: DataFrame, roots: DataFrame
     """Links (u, v) between texts of different classes that share a large bucket; None if all buckets are settled.
 
     ``large``: (_row, j, v); ``docs``: (_row, n_shingles, sketches); ``seqs``:
-    (_row, seq) of the texts in ``large``; ``roots``: (u, root). Two texts of x
+    (_row, seq, plain) of the texts in ``large``; ``roots``: (u, root). Two texts of x
     and y shingles need least / (1 + least) * (x + y) in common, and a shingle
     that no other text has is in no pair; texts that cannot reach that number
     are left out. Of each bucket the largest class and the other texts are cut
@@ -198,7 +247,7 @@ def _across(large: DataFrame, docs: DataFrame, seqs: DataFrame, roots: DataFrame
     total = texts.agg(F.sum("n_shingles")).first()[0]
     if not total:
         return None
-    lone = _lone(seqs.join(texts.select(ROW), ROW, "left_semi"), 1 + total // SHARD)
+    lone = _lone(seqs.select(ROW, "seq").join(texts.select(ROW), ROW, "left_semi"), 1 + total // SHARD)
     rows = (rows.join(lone, ROW, "left").withColumn("common", F.col("n_shingles") - F.coalesce("n_lone", F.lit(0)))
             .where(F.col("common") >= needed(F.col("n_shingles"), F.greatest(F.col("short"), least * F.col("n_shingles")))).drop("short", "n_lone"))
     rows = unsettled(saved(rows)).drop("short")
@@ -212,7 +261,7 @@ def _across(large: DataFrame, docs: DataFrame, seqs: DataFrame, roots: DataFrame
         j, x, y = t["j"][0].as_py(), t["x"][0].as_py(), t["y"][0].as_py()
         ids, root, n, common, block = (t[c].to_numpy() for c in (ROW, "root", "n_shingles", "common", "block"))
         signs = np.array(t["sketches"].to_pylist(), np.int64)
-        seq = [np.frombuffer(b.as_buffer(), np.uint64) for b in t["seq"]]
+        seq, plain = ([_hashes(b) for b in t[c]] for c in ("seq", "plain"))
         a, b = np.flatnonzero(block == x), np.flatnonzero(block == y)
         ok = (root[a][:, None] != root[b]) & (np.minimum(common[a][:, None], common[b]) >= needed(n[a][:, None], n[b]))
         if x == y:
@@ -229,7 +278,7 @@ def _across(large: DataFrame, docs: DataFrame, seqs: DataFrame, roots: DataFrame
         for p, q in np.argwhere(ok):
             p, q = a[p], b[q]
             u, v = top(int(root[p])), top(int(root[q]))
-            if u != v and similarity(seq[p], seq[q], least) >= least:
+            if u != v and similarity(seq[p], seq[q], least, plain[p], plain[q]) >= least:
                 parent[u] = v
                 found.append((int(ids[p]), int(ids[q])))
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
@@ -270,20 +319,22 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bucket: int = BU
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(in_bitmap(wanted.value, b["h"].to_numpy().view(np.uint64))))
-            seqs = [shingles(ALNUM.findall(t.as_py().encode().lower())).tobytes() for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b[ROW], pa.array(seqs, pa.binary())], names=[ROW, "seq"])
+            plain = [plain_shingles(ALNUM.findall(t.as_py().encode().lower())) for t in b["text"]]
+            seqs = [labelled(h) for h in plain]
+            plain = [None if h is x else h.tobytes() for h, x in zip(plain, seqs)]
+            yield pa.RecordBatch.from_arrays([b[ROW], pa.array([x.tobytes() for x in seqs], pa.binary()), pa.array(plain, pa.binary())], names=[ROW, "seq", "plain"])
 
-    seqs = saved(rows.select(ROW, F.xxhash64(ROW).alias("h"), "text").mapInArrow(sequences, f"{ROW} long, seq binary"))
+    seqs = saved(rows.select(ROW, F.xxhash64(ROW).alias("h"), "text").mapInArrow(sequences, f"{ROW} long, seq binary, plain binary"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), least) >= least for x, y in zip(b["sa"], b["sb"])]
+            ok = [similarity(_hashes(x), _hashes(y), least, _hashes(p), _hashes(q)) >= least for x, y, p, q in zip(b["sa"], b["sb"], b["pa"], b["pb"])]
             yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return saved(pairs.join(seqs.select(F.col(ROW).alias("a"), F.col("seq").alias("sa")), "a")
-                     .join(seqs.select(F.col(ROW).alias("b"), F.col("seq").alias("sb")), "b")
-                     .select("a", "b", "sa", "sb").mapInArrow(verify, "u long, v long"))
+        return saved(pairs.join(seqs.select(F.col(ROW).alias("a"), F.col("seq").alias("sa"), F.col("plain").alias("pa")), "a")
+                     .join(seqs.select(F.col(ROW).alias("b"), F.col("seq").alias("sb"), F.col("plain").alias("pb")), "b")
+                     .select("a", "b", "sa", "sb", "pa", "pb").mapInArrow(verify, "u long, v long"))
 
     links = verified(pairs)
     roots = components(links)

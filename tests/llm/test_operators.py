@@ -153,6 +153,42 @@ def test_alignment_follows_order():
     assert order_minhash.similarity(a, a[:150]) == 0
 
 
+def plain_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+def test_aligned_matches_plain_lcs(monkeypatch):
+    rng = random.Random(14)
+    for columns in (7, 4096):
+        monkeypatch.setattr(order_minhash, "COLUMNS", columns)
+        for _ in range(200):
+            a, b = ([rng.randrange(rng.choice((2, 5, 40))) for _ in range(rng.randint(0, 40))] for _ in range(2))
+            assert order_minhash.aligned(np.array(a, np.uint64), np.array(b, np.uint64)) == plain_lcs(a, b)
+
+
+def test_copies_of_texts_with_repeated_lines(frame):
+    """An edit near the front moves the occurrence numbers of all later repeats of a line."""
+    rows = []
+    for i in range(6):
+        line, blocks = prose(10, 800 + i), [prose(10, 900 + 20 * i + j) for j in range(20)]
+        base = [w for b in blocks for w in line + b]
+        rows += [(10 * i, base), (10 * i + 1, [*base[:4], "edit", *base[5:]]), (10 * i + 2, line + base), (10 * i + 3, base[10:])]
+    grams = {i: [tuple(w[k:k + 5]) for k in range(len(w) - 4)] for i, w in rows}
+    for i, a in grams.items():
+        for j, b in grams.items():
+            n, (u, v) = plain_lcs(a, b) if i // 10 == j // 10 else 0, (order_minhash.plain_shingles([w.encode() for w in dict(rows)[x]]) for x in (i, j))
+            got = order_minhash.similarity(order_minhash.labelled(u), order_minhash.labelled(v), 0.8, u, v)
+            assert got == n / (len(a) + len(b) - n) if n else got < 0.8
+            assert (got >= 0.8) == (i // 10 == j // 10)
+    got = order_minhash.near_duplicates(frame([(i, " ".join(w)) for i, w in rows])).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(i, i - i % 10) for i, _ in rows]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 99), (99, 98), (7, 3)], "u long, v long")
     got = {r.u: r.root for r in components(links).collect()}
