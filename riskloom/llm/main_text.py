@@ -8,6 +8,13 @@ an article, and whether it is a heading. A decision tree, fitted by Spark ML on
 the small labelled table below, keeps or drops each block; the fitted tree is a
 few nodes and goes to every task.
 
+An element is furniture if it or an element around it is named so, but not by
+an element that wraps the page's main text: one around a ``main``, or, where no
+article is free of furniture, one around the article of most words, unless its
+name is one of ``_NEVER_WRAPS`` or the page has more words outside furniture;
+nor by a form with over half the words of a page without articles. Names that
+only tell of furniture (has-sidebar, no-ads, comments-open) do not count.
+
 Scripts, styles and other elements without readable text are never blocks.
 
 Cases: null and empty pages have empty text; unclosed elements end with their
@@ -75,36 +82,87 @@ _FURNITURE_NAMES = re.compile(
     r"sidebar|side|aside|widget|footer|foot|header|masthead|topbar|toolbar|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|"
     r"subscription|signup|login|share|sharing|social|related|recommended|recommendations|comment|comments|commentlist|disqus|replies|reply|respond|discussion|pagination|pager|"
     r"copyright|legal|disclaimer|skip|search|form|tags|teaser|outbrain|taboola)(?:$|[-_\s\d])", re.I)
+# Names that tell of furniture elsewhere on the page, and furniture that is never laid around the page's article.
+_QUALIFIED = re.compile(r"(?:(?<=[-_\s])|^)(?:has|no|with|without)[-_]\S*|\S+[-_](?:open|closed)(?=\s|$)", re.I)
+_NEVER_WRAPS = re.compile(r"(?:^|[-_\s])(?:nav|footer|aside|menu|dialog|related|recommended|recommendations|teaser|comment|comments|commentlist|disqus|replies|reply|respond|discussion)(?:$|[-_\s\d])", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Element:
-    __slots__ = ("tag", "silent", "furniture", "article", "link", "heading")
+    __slots__ = ("tag", "parent", "silent", "named", "never_wraps", "furniture", "article", "main", "outermost", "link", "heading")
 
     def __init__(self, tag: str, attrs: str, parent: "_Element | None"):
-        self.tag = tag
+        self.tag, self.parent, self.furniture = tag, parent, False
         self.silent = tag in _NO_TEXT or bool(parent and parent.silent)
         self.article = tag in ("article", "main") or bool(parent and parent.article)
         self.link = tag == "a" or bool(parent and parent.link)
         self.heading = tag in _HEADING or bool(parent and parent.heading)
-        self.furniture = bool(parent and parent.furniture) or tag in _FURNITURE_TAGS and not (tag == "header" and parent and parent.article)
+        self.named = tag in _FURNITURE_TAGS and not (tag == "header" and parent and parent.article)
+        self.never_wraps = bool(_NEVER_WRAPS.match(tag))
+        main = tag == "main"
         if attrs and tag not in ("html", "body"):
             for name, *values in _ATTR.findall(attrs):
                 name, value = name.lower(), next(filter(None, values), "")
                 if name == "role":
                     self.article |= value.lower() in ("main", "article")
-                    self.furniture |= value.lower() in _FURNITURE_ROLES
+                    main |= value.lower() == "main"
+                    self.named |= value.lower() in _FURNITURE_ROLES
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     self.silent = True
                 elif name in ("class", "id") and tag not in ("article", "main", "a") and tag not in _HEADING:
-                    self.furniture |= bool(_FURNITURE_NAMES.search(_CAMEL.sub("-", value)))
+                    value = _QUALIFIED.sub("", _CAMEL.sub("-", value))
+                    self.named |= bool(_FURNITURE_NAMES.search(value))
+                    self.never_wraps |= bool(_NEVER_WRAPS.search(value))
+        self.main = self if main else parent and parent.main
+        self.outermost = (parent and parent.outermost) or (self if self.article else None)
+
+
+def _around(element: "_Element") -> list["_Element"]:
+    out = []
+    while element := element.parent:
+        out.append(element)
+    return out
+
+
+def _judge(elements: list["_Element"], found: list[tuple[str, int, int, "_Element"]]) -> bool:
+    """Set each element's ``furniture``; whether a block lies in an article that is not furniture."""
+    wraps: set[_Element] = set()
+
+    def inherit() -> bool:
+        for e in elements:  # parents come first
+            e.furniture = bool(e.parent and e.parent.furniture) or e.named and e not in wraps
+        return any(e.article and not e.furniture for *_, e in found)
+
+    for main in {e.main for *_, e in found if e.main}:
+        wraps.update(_around(main))
+    if inherit():
+        return True
+    words: dict[_Element, int] = {}
+    for _, n, _, e in found:
+        words[e.outermost] = words.get(e.outermost, 0) + n
+    articles = [e for e in words if e]
+    if articles:
+        around = _around(best := max(articles, key=words.get))
+        if words[best] > sum(n for _, n, _, e in found if not e.furniture) and not any(e.named and e.never_wraps for e in around):
+            wraps.update(around)
+    else:
+        inside: dict[_Element, int] = {}
+        form: dict[_Element, list[_Element]] = {}
+        for e in elements:
+            outer = form[e.parent] if e.parent else []
+            form[e] = [*outer, e] if e.tag == "form" else outer
+        for _, n, _, e in found:
+            for f in form[e]:
+                inside[f] = inside.get(f, 0) + n
+        wraps.update(f for f, n in inside.items() if 2 * n > sum(words.values()))
+    return inherit()
 
 
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """Flat text blocks of a page in order, with their features."""
     found: list[tuple[str, int, int, _Element]] = []
     root = _Element("#page", "", None)
-    stack, parts, owner = [root], [], root
+    stack, elements, parts, owner = [root], [root], [], root
 
     def add(text: str) -> None:
         nonlocal owner
@@ -157,10 +215,11 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             if tag == "body":
                 del stack[1:]
             stack.append(_Element(tag, m[3], stack[-1]))
+            elements.append(stack[-1])
         elif tag in _VOID and tag not in _INLINE:
             flush()
     flush()
-    has_article = any(e.article and not e.furniture for *_, e in found)
+    has_article = _judge(elements, found)
     shape = [(0, 0.0), *((n, linked / n) for _, n, linked, _ in found), (0, 0.0)]
     return [(text, [*shape[i], *shape[i - 1], *shape[i + 1], e.furniture, e.article, has_article, e.heading]) for i, (text, _, _, e) in enumerate(found, 1)]
 

@@ -388,3 +388,18 @@ def test_main_text(spark):
     assert by[1] == "Title & more First para graph with words. Second <b> café one two"
     assert by[2] == by[3] == "" and by[6].startswith(" ".join(prose(30000, 1)))
     assert main_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrappers_named_like_furniture_keep_the_article():
+    at = main_text.FEATURES.index
+    tree = (at("furniture"), 0.5, (at("in_article"), 0.5, (at("has_article"), 0.5, 1.0, 0.0), 1.0), 0.0)
+    text = " ".join(prose(60, 15))
+    inner = f"<nav>menu</nav><article><p>{text}</p><div class=advert>Buy</div></article><section id=comments><article>Nice</article></section><footer>end</footer>"
+    wrappers = ["<div class='content has-sidebar'>", "<div class='no-sidebar'>", "<div class='post comments-open'>", "<div id='page-with-sidebar'>", "<div class='sidebar-right'>",
+                "<form action=x>", "<div class=hasSidebar><form>"]
+    for wrapper in wrappers:
+        for page in (wrapper + inner, wrapper + inner.replace("<article><p>", "<main><p>").replace("</div></article>", "</div></main>")):
+            assert [t for t, x in main_text.blocks(page) if main_text._keeps(tree, x)] == [text], page[:60]
+    assert [t for t, x in main_text.blocks(f"<form><nav>menu</nav><p>{text}</p></form>") if main_text._keeps(tree, x)] == [text]
+    kept = [t for t, x in main_text.blocks(f"<div><p>{text}</p></div><section id=comments><article>Nice one</article></section><aside><article>teaser</article></aside>") if main_text._keeps(tree, x)]
+    assert kept == [text]
