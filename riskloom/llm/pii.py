@@ -8,8 +8,13 @@ finders run again over the rewritten text; what they find in rewritten places
 is mapped back to source offsets and added, unless a base span of its kind
 covers it. Base spans stay as they are.
 
-A lone word ``at`` counts only before a name with a disguised dot, and spelled
-digits only in runs of ``MIN_SPELLED``, so that plain prose has none.
+A lone word ``at`` counts only before a name with a disguised dot. Spelled
+digits count in runs of any length, also next to digits and dots, and ``plus``
+before either; the finders decide whether they make an identifier. As a digit
+word may also be plain prose beside an identifier, the finders run over the
+text with and without spelled digits rewritten: a number that is whole without
+a lone digit word at its end does not take it, a card is tried without lone
+digit words at its ends, and an email takes them only if its at is disguised.
 
 Offsets are code points, end exclusive. Cases: null is empty and has no spans;
 repeated rows are each searched; the finders take time in proportion to the
@@ -30,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SPELLED = 7
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # Matches of a greedy run start where the run does, so the guards only save time.
@@ -52,11 +56,12 @@ _DIGIT = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 _OPEN, _CLOSE = r"[ \t]{0,3}[(\[{<][ \t]{0,3}", r"[ \t]{0,3}[)\]}>][ \t]{0,3}"
 _DOT_WORD = r"(?:dot|punkt|point|punto)"
 _DOT = rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|[ \t]{{1,3}}{_DOT_WORD}[ \t]{{1,3}})"
-_REWRITES = re.compile(
-    rf"(?P<spelled>(?<![^\W_])(?:plus[ -]{{1,2}})?{_DIGIT}(?:[ ,-]{{1,2}}{_DIGIT}){{{MIN_SPELLED - 1},}}(?![^\W_]))"
-    rf"|(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])[ \t]{{1,3}}at[ \t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}{_DOT}))"
-    rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9]))", re.I)
-_HINT = re.compile(rf"[(\[{{<][ \t]{{0,3}}(?:at|@|\.|{_DOT_WORD})|{_DOT_WORD}[ \t]|(?<![^\W_]){_DIGIT}[ ,-]{{1,2}}{_DIGIT}(?![^\W_])", re.I)
+_MARKS = (rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])[ \t]{{1,3}}at[ \t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}{_DOT}))"
+          rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9]))")
+_REWRITES = re.compile(_MARKS, re.I)
+_SPELLING = re.compile(rf"(?P<spelled>(?<![^\W_])(?:plus[ -]{{1,2}})?{_DIGIT}(?:[ ,-]{{1,2}}{_DIGIT})*+(?![^\W_])|(?<![^\W_])plus[ -]{{1,2}}(?=[0-9]))|{_MARKS}", re.I)
+_HINT = re.compile(rf"[(\[{{<][ \t]{{0,3}}(?:at|@|\.|{_DOT_WORD})|{_DOT_WORD}[ \t]", re.I)
+_SPELLED_HINT = re.compile(rf"(?<![^\W_])(?:{_DIGIT}(?![^\W_])|plus[ -]{{1,2}}[0-9])", re.I)
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -90,8 +95,8 @@ def _ascii(text: str) -> str:
     return text.translate(table) if table else text
 
 
-def deobfuscated(text: str) -> tuple[str, list[int], list[int], list[bool]]:
-    """The rewritten text, and its runs: where each starts there, where in the source, and whether it was rewritten."""
+def deobfuscated(text: str, spelled: bool = True) -> tuple[str, list[int], list[int], list[bool]]:
+    """The rewritten text, and its runs: where each starts there, where in the source, and whether it was rewritten. Digit words stay unless ``spelled``."""
     plain = text if text.isascii() else _ascii(text)
     out, at, src, new, pos, size = [], [], [], [], 0, 0
 
@@ -104,8 +109,9 @@ def deobfuscated(text: str) -> tuple[str, list[int], list[int], list[bool]]:
             new.append(rewritten)
             size += len(piece)
 
-    if _HINT.search(plain):
-        for m in _REWRITES.finditer(plain):
+    spelled = spelled and _SPELLED_HINT.search(plain) is not None
+    if spelled or _HINT.search(plain):
+        for m in (_SPELLING if spelled else _REWRITES).finditer(plain):
             put(plain[pos:m.start()], pos, False)
             if m.lastgroup == "spelled":
                 for w in _WORD.finditer(m[0]):
@@ -117,24 +123,62 @@ def deobfuscated(text: str) -> tuple[str, list[int], list[int], list[bool]]:
     return "".join(out), at, src, new
 
 
-def added(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Identifiers that only the rewritten text shows, in source offsets."""
-    norm, at, src, new = deobfuscated(text)
+def _found(text: str, spelled: bool) -> list[tuple[str, int, int]]:
+    """Identifiers of the rewritten text that the source does not show as they are, in source offsets."""
+    norm, at, src, new = deobfuscated(text, spelled)
     if norm == text:
         return []
+
+    def word(i: int) -> bool:
+        """Whether run i stands for a digit word."""
+        return new[i] and norm[at[i]] in "0123456789"
+
+    def lone(i: int) -> bool:
+        return word(i) and not (i and word(i - 1)) and not (i + 1 < len(at) and word(i + 1))
+
+    def run(k: int) -> int:
+        return bisect_right(at, k) - 1
+
+    spans = find(norm)
+    if spelled:
+        cards = {(s, e) for k, s, e in spans if k == "card"}
+        for m in _CARD.finditer(norm):
+            if m.span() not in cards:
+                s, e = m.span()
+                starts = [s, s + len(norm[s + 1:e]) - len(norm[s + 1:e].lstrip(" -")) + 1] if lone(run(s)) else [s]
+                ends = [e, s + len(norm[s:e - 1].rstrip(" -"))] if lone(run(e - 1)) else [e]
+                spans += [("card", a, b) for a in starts for b in ends if (a, b) != (s, e) and ("card", 0, b - a) in find(norm[a:b])][:1]
     out = []
-    for kind, s, e in find(norm):
-        i, j = bisect_right(at, s) - 1, bisect_right(at, e - 1) - 1
+    for kind, s, e in spans:
+        i, j = run(s), run(e - 1)
+        if kind == "phone" and lone(j) and not any(map(word, range(i, j))):
+            shorter = norm[s:e - 1].rstrip(" ().-")
+            if ("phone", 0, len(shorter)) in find(shorter):
+                e = s + len(shorter)
+                j = run(e - 1)
+        if kind == "email" and any(map(word, range(i, j + 1))) and not new[run(s + norm[s:e].index("@"))]:
+            continue
         start = src[i] + (s - at[i])
         if new[j]:  # the last run stands for a word or a bracketed mark: up to the next run
             end = src[j] + len(_WORD.match(text, src[j])[0]) if _WORD.match(text, src[j]) else (src[j + 1] if j + 1 < len(src) else len(text))
         else:
             end = src[j] + (e - at[j])
-        if norm[s:e] != text[start:end] and not any(k == kind and a <= start and end <= b for k, a, b in base):
+        if norm[s:e] != text[start:end]:
             out.append((kind, start, end))
     return out
 
 
+def added(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Identifiers that only the rewritten text shows, in source offsets."""
+    def covered(span: tuple[str, int, int], by: list[tuple[str, int, int]]) -> bool:
+        return any(k == span[0] and a <= span[1] and span[2] <= b for k, a, b in by)
+
+    out = [x for x in _found(text, True) if not covered(x, base)]
+    if _SPELLED_HINT.search(text if text.isascii() else _ascii(text)):
+        out += [x for x in _found(text, False) if not covered(x, base) and not covered(x, out)]
+    return out
+
+
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
 

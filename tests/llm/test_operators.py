@@ -374,6 +374,23 @@ def test_disguises_map_back_to_the_source(frame):
     assert pii.find_pii(frame([])).count() == 0
 
 
+def test_spelled_digits_in_short_and_mixed_runs():
+    cases = {"at one nine two dot one six eight dot zero dot one now": ("ip", "one nine two dot one six eight dot zero dot one"),
+             "host 192[.]one six eight[.]0 dot one": ("ip", "192[.]one six eight[.]0 dot one"),
+             "call +49 one seven two 5550123 now": ("phone", "+49 one seven two 5550123"),
+             "call plus four nine one seven two 555 0199.": ("phone", "plus four nine one seven two 555 0199"),
+             "call plus 49 172 555 0199.": ("phone", "plus 49 172 555 0199"),
+             "pay 4749 six two seven eight 5499 0064 now": ("card", "4749 six two seven eight 5499 0064"),
+             "pay 4749 six two seven eight 5499 0064 one day": ("card", "4749 six two seven eight 5499 0064"),
+             "use one ４７４９６２７８５４９９００６４": ("card", "４７４９６２７８５４９９００６４"),
+             "mail one two (at) example (dot) com": ("email", "one two (at) example (dot) com")}
+    for text, (kind, said) in cases.items():
+        assert [(k, text[s:e]) for k, s, e in pii.added(text, pii.find(text))] == [(kind, said)], text
+    for text in ("one of them, two at most, plus one more", "call +1 (414) 555-7134 one day", "from one two@example.com", "three point one four plus 12 is one", "un deux trois, plus un",
+                 "version one dot two", "see 10.0.0.1 one more time", "pay 4749 6278 5499 0064 one day", "one@example.com", "one " * 5000, "plus " * 5000, "one dot " * 2):
+        assert not pii.added(text, pii.find(text)), text
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1><a href=/>home</a></header>
 <nav><ul><li><a href=/x>X</a></li></ul></nav><div class="cookie-notice">We use cookies to improve things for all of you here.</div><main><article>
 <header><h1>Title &amp; more</h1></header><p>First <b>pa</b>ra\n graph<br>with words.<p>Second &lt;b&gt; caf&eacute;<ul><li>one<li>two</ul><div class="advert">Buy now</div>
