@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, main_text, order_minhash, packing, pii, pu_quality, quality_rules, substrings, token_files, url_cascade
+from . import decontamination, main_text, merkle, order_minhash, packing, pii, pu_quality, quality_rules, substrings, token_files, url_cascade
 from .common import table
+from .sql import SQL  # noqa: F401
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -62,6 +63,13 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``folded_root`` starts from a tampered leaf (``n_chars`` plus 1) where 7 divides the id's CRC-32."""
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = merkle.leaves_of(docs, tampered={"n_chars": F.col("n_chars") + 1}, where=hit)
+    return merkle.verify(leaves).withColumnsRenamed({"id": "doc_id", "proof": "proof_sha256"})
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_main_text, op4_packing, op5_pu_quality, op6_quality_rules,
-                                   op7_order_minhash, op8_url_cascade, op9_pii, op10_substrings)}
-SQL: dict[str, str] = {}
+                                   op7_order_minhash, op8_url_cascade, op9_pii, op10_substrings, op13_merkle_manifest)}
