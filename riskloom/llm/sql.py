@@ -59,4 +59,29 @@ from leaves l join subroots s on l.lang is not distinct from s.lang join over o
 where o.lvl = (select max(lvl) from tops)
 """
 
-SQL: dict[str, str] = {"op13_merkle_manifest": OP13}
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_UTF8 = "list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::bigint)"
+
+OP11 = f"""
+with crc as {CRC_TABLE},
+docs as (select row_number() over () as n, doc_id, {_WORDS} as words from documents),
+said as (select n, unnest(words) as w from docs),
+goal as (select unnest({_WORDS}) as w from benchmark),
+bucket as (select w, {crc32(_UTF8)} % 10000 as b from (select w from said union select w from goal), crc),
+source as (select b, count(*) as k from said join bucket using (w) group by b),
+target as (select b, count(*) as k from goal join bucket using (w) group by b),
+sums as (select (select coalesce(sum(k), 0) from source)::double as s, (select coalesce(sum(k), 0) from target)::double as t),
+gain as (
+  select source.b, floor(1000 * ln((coalesce(target.k, 0) + 1)::double * (s + 10000) / ((source.k + 1)::double * (t + 10000))))::bigint as g
+  from source left join target on source.b = target.b, sums),
+weights as (select n, count(*) as n_features, floor(sum(g) / count(*))::bigint as weight from said join bucket using (w) join gain using (b) group by n),
+scores as (
+  select d.n, doc_id, len(words) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296)))::bigint as score
+  from docs d left join weights w on d.n = w.n),
+ranked as (
+  select n, row_number() over (order by score desc, doc_id nulls first) as r, count(*) over () as fit from scores where n_words >= 20)
+select doc_id, n_features, weight, score, case when r <= 10 * fit // 100 then r end as rank from scores left join ranked using (n)
+"""
+
+SQL: dict[str, str] = {"op11_target_sampling": OP11, "op13_merkle_manifest": OP13}
