@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, main_text, merkle, order_minhash, packing, pii, pu_quality, quality_rules, substrings, target_sampling, token_files, url_cascade
+from . import decontamination, main_text, merkle, order_minhash, packing, pii, pu_quality, quality_rules, substrings, target_sampling, token_counts, token_files, url_cascade
 from .common import table
 from .sql import SQL  # noqa: F401
 
@@ -67,6 +67,10 @@ def op11_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_sampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``folded_root`` starts from a tampered leaf (``n_chars`` plus 1) where 7 divides the id's CRC-32."""
     docs = table(spark, sf_dir, "documents")
@@ -76,4 +80,4 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_main_text, op4_packing, op5_pu_quality, op6_quality_rules,
-                                   op7_order_minhash, op8_url_cascade, op9_pii, op10_substrings, op11_target_sampling, op13_merkle_manifest)}
+                                   op7_order_minhash, op8_url_cascade, op9_pii, op10_substrings, op11_target_sampling, op12_token_counts, op13_merkle_manifest)}
