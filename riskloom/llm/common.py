@@ -22,7 +22,7 @@ ROW = "_row"
 ALNUM = re.compile(rb"[0-9a-z\x80-\xff]+")
 MULT = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 200_000
 MIN_SPLITS = "spark.sql.files.minPartitionNum"
 
 
@@ -64,10 +64,19 @@ class WordHash(dict):
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:
+        claim(self)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 WORDS = WordHash()
+_IN_USE: list[dict] = [WORDS]
+
+
+def claim(cache: dict) -> None:
+    """A worker that is used again for another operator drops what the last one has kept: one cache at a time."""
+    if _IN_USE[0] is not cache:
+        _IN_USE[0].clear()
+        _IN_USE[0] = cache
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -24,26 +24,29 @@ longer than a chunk is put together again in one task.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_id, saved
+from .common import claim, row_id, saved
 
 CHUNK = 1 << 16  # characters
 MAX_STATES = 150_000
 MAX_PAIRS = 250_000
-MAX_WORDS = 200_000
+MAX_WORDS = 400_000
 MAX_WORD = 48
 # White space of the tokenizer files; Python's also has U+001C to U+001F.
 SOLID = re.compile(r"[\S\x1c-\x1f]+")
 SPACE = re.compile(r"[ \t\n\r]")
-# The tokenizer's split of a word into pieces, for lowered ASCII.
-ASCII_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
+# The tokenizer's split of a word into pieces, for lowered words of ASCII and composed Latin letters.
+LATIN = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-įı-ſ]*")
+PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿĀ-ſ]+|[0-9]|[^a-z0-9ß-öø-ÿĀ-ſ]+")
 
 
 class State(dict):
@@ -78,6 +81,8 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
+        for state in getattr(self, "states", {}).values():
+            state.clear()  # states point at each other
         self.states: dict[tuple, State] = {}
         self.start = State(self, "", ((0, None, 0),))
 
@@ -150,10 +155,14 @@ class Transducer:
         return total + state.left
 
 
-def byte_characters() -> list[str]:
-    """The character that stands for each byte: itself where it is printable Latin-1, else one from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return [chr(b) if b in plain else chr(256 + b - sum(p < b for p in plain)) for b in range(256)]
+class ByteCharacters(dict):
+    """Code point -> the characters that stand for its UTF-8 bytes: a byte by itself where it is printable Latin-1, else by one from U+0100 on."""
+
+    def __missing__(self, point: int) -> str:
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        said = "".join(chr(b) if b in plain else chr(256 + b - sum(p < b for p in plain)) for b in chr(point).encode())
+        self[point] = said
+        return said
 
 
 class WordCounts(dict):
@@ -171,7 +180,7 @@ class WordCounts(dict):
         self.machine = Transducer(merges, model["vocab"], model["end_of_word_suffix"] or "")
         self.tokenizer = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
-        self.byte = byte_characters()
+        self.byte = ByteCharacters()
 
     def __missing__(self, word: str) -> int:
         n = self.run(word)
@@ -187,27 +196,41 @@ class WordCounts(dict):
             if len(parts) > 1:
                 return len(parts) - 1 + sum(self.run(p) for p in parts if p)
         tokens = self.machine.tokens
-        if word.isascii():
+        if word.isascii() or LATIN.fullmatch(word):
             n = 0
-            for piece in ASCII_PIECES.findall(word.lower()):
-                if not piece.isprintable():
-                    piece = "".join(map(self.byte.__getitem__, piece.encode()))
+            for piece in PIECES.findall(word.lower()):
+                if not piece.isascii() or not piece.isprintable():
+                    piece = piece.translate(self.byte)
                 n += tokens(piece)
             return n
         said = self.tokenizer.normalizer.normalize_str(word)
         return sum(tokens(piece) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(said))
 
     def count(self, text: str) -> int:
-        return sum(map(self.__getitem__, SOLID.findall(text)))
+        if "<|" not in text:  # the tokenizer lowers all letters; lowering A-Z before gives fewer different words
+            text = text.lower() if text.isascii() else text.encode().lower().decode()
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return sum(map(self.__getitem__, SOLID.findall(text) if odd else text.split()))
 
 
 _COUNTS: dict[str, WordCounts] = {}
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No cyclic garbage collection: it would walk all states again and again, and ``forget`` leaves none."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def counts_of(path: str) -> WordCounts:
     """This worker's transducer for a tokenizer file."""
     if path not in _COUNTS:
         _COUNTS[path] = WordCounts(path)
+    claim(_COUNTS[path])
     return _COUNTS[path]
 
 
@@ -276,7 +299,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int
             for row, doc_id, size, text in zip(b["_row"].to_pylist(), b["doc_id"].to_pylist(), b["n_bytes"].to_pylist(), b["text"]):
                 text = text.as_py()
                 if len(text) <= chunk:
-                    rows.append((row, doc_id, size, 1, 0, None, count(text)))
+                    with uncollected():
+                        rows.append((row, doc_id, size, 1, 0, None, count(text)))
                 else:
                     n = -(-len(text) // chunk)
                     rows += [(row, doc_id, size, n, i, text[i * chunk:(i + 1) * chunk], None) for i in range(n)]
