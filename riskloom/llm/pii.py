@@ -8,11 +8,18 @@ finders run again over the rewritten text; what they find in rewritten places
 is mapped back to source offsets and added, unless a base span of its kind
 covers it. Base spans stay as they are.
 
-A lone word ``at`` counts only before a name with a disguised dot. Spelled
+No identifier and no disguise reaches over a line's end, so only lines are
+rewritten that show enough evidence for one: a disguised mark beside an at sign or
+digits, digit words with the digits that an identifier needs, a character that
+stands for another.
+
+A lone word ``at`` counts only before a name with a disguised dot whose last part
+is a word, not a number. Lone words for dots make an address of numbers only if
+all three are disguised, and ``point`` only between spelled digits. Spelled
 digits count in runs of any length, also next to digits and dots, and ``plus``
 before either; the finders decide whether they make an identifier. As a digit
 word may also be plain prose beside an identifier, the finders run over the
-text with and without spelled digits rewritten: a number that is whole without
+line with and without spelled digits rewritten: a number that is whole without
 a lone digit word at its end does not take it, a card is tried without lone
 digit words at its ends, and an email takes them only if its at is disguised.
 
@@ -47,6 +54,9 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 _LOOKALIKES = str.maketrans(
     "авеһіјкӏмопԛрсѕтуѵԝхԁԍАВЕНІЈКМОРЅСТУХаɑαеοορνυγιɡ",
     "abehijklmonqpcstuvwxdgABEHIJKMOPSCTYXaaaeoopvuyig")
+# Other forms of the at sign and the full stop; characters without width.
+_MARK_FORMS = str.maketrans("﹫。｡﹒", "@...")
+_NO_WIDTH = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 # Digit names in English, German, French and Spanish.
 _SPELLED = {"zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
             "null": 0, "eins": 1, "zwei": 2, "zwo": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
@@ -56,12 +66,15 @@ _DIGIT = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 _OPEN, _CLOSE = r"[ \t]{0,3}[(\[{<][ \t]{0,3}", r"[ \t]{0,3}[)\]}>][ \t]{0,3}"
 _DOT_WORD = r"(?:dot|punkt|point|punto)"
 _DOT = rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|[ \t]{{1,3}}{_DOT_WORD}[ \t]{{1,3}})"
-_MARKS = (rf"(?P<at>{_OPEN}(?:at|@){_CLOSE}|(?<=[A-Za-z0-9])[ \t]{{1,3}}at[ \t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}{_DOT}))"
-          rf"|(?P<dot>(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9]))")
+_MARKS = (rf"(?P<at>{_OPEN}(?:at|@){_CLOSE})|(?P<at_word>(?<=[A-Za-z0-9])[ \t]{{1,3}}at[ \t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}{_DOT}))"
+          rf"|(?P<dot>(?<=[A-Za-z0-9]){_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}(?=[A-Za-z0-9]))"
+          rf"|(?P<dot_word>(?<=[A-Za-z0-9])[ \t]{{1,3}}{_DOT_WORD}[ \t]{{1,3}}(?=[A-Za-z0-9]))|(?P<gone>[{_NO_WIDTH}]+)")
 _REWRITES = re.compile(_MARKS, re.I)
 _SPELLING = re.compile(rf"(?P<spelled>(?<![^\W_])(?:plus[ -]{{1,2}})?{_DIGIT}(?:[ ,-]{{1,2}}{_DIGIT})*+(?![^\W_])|(?<![^\W_])plus[ -]{{1,2}}(?=[0-9]))|{_MARKS}", re.I)
-_HINT = re.compile(rf"[(\[{{<][ \t]{{0,3}}(?:at|@|\.|{_DOT_WORD})|{_DOT_WORD}[ \t]", re.I)
-_SPELLED_HINT = re.compile(rf"(?<![^\W_])(?:{_DIGIT}(?![^\W_])|plus[ -]{{1,2}}[0-9])", re.I)
+_BRACKET = re.compile(rf"[(\[{{<][ \t]{{0,3}}(?:at|@|\.|{_DOT_WORD})", re.I)
+_DOT_WORDS = ("dot", "punkt", "point", "punto")
+_DIGIT_WORDS = frozenset(w for x in (*_SPELLED, "plus") for w in (x.encode(), x.upper().encode().lower()))
+_BLANKED = bytes(ord(chr(b).lower()) if chr(b).isalnum() and b < 128 else b if b > 127 else 32 for b in range(256))
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -86,52 +99,81 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+class _Forms(dict):
+    """Code point -> the ASCII character it stands for, or itself."""
+
+    def __missing__(self, point: int) -> int:
+        c = chr(point)
+        if point in _LOOKALIKES or point in _MARK_FORMS:
+            to = (_LOOKALIKES | _MARK_FORMS)[point]
+        elif "！" <= c <= "～":
+            to = point - 0xFEE0
+        else:
+            to = point if point < 128 or unicodedata.decimal(c, None) is None else 48 + unicodedata.decimal(c)
+        self[point] = to
+        return to
+
+
+_FORMS = _Forms()
+
+
 def _ascii(text: str) -> str:
-    """Homoglyphs, full-width forms and foreign digits as ASCII, one character for one."""
-    text = text.translate(_LOOKALIKES)
-    odd = {c for c in text if c > "\x7f"}
-    table = {ord(c): chr(ord(c) - 0xFEE0) for c in odd if "！" <= c <= "～"}
-    table |= {ord(c): str(unicodedata.decimal(c)) for c in odd if c not in table and unicodedata.decimal(c, None) is not None}
-    return text.translate(table) if table else text
+    """Homoglyphs, full-width forms, foreign digits and marks as ASCII, one character for one."""
+    if text.isascii() or all(_FORMS[ord(c)] == ord(c) for c in set(text)):
+        return text
+    return text.translate(_FORMS)
+
+
+def _digit_words(text: str) -> bool:
+    """Whether a digit's name, or ``plus``, is among the words."""
+    if text.isascii():
+        return not _DIGIT_WORDS.isdisjoint(text.encode().translate(_BLANKED).split())
+    return any(w in _SPELLED or w == "plus" for w in _WORD.findall(text.lower()))
 
 
-def deobfuscated(text: str, spelled: bool = True) -> tuple[str, list[int], list[int], list[bool]]:
-    """The rewritten text, and its runs: where each starts there, where in the source, and whether it was rewritten. Digit words stay unless ``spelled``."""
-    plain = text if text.isascii() else _ascii(text)
+def _marks(text: str) -> bool:
+    low = text.lower()
+    return any(w in low for w in _DOT_WORDS) or _BRACKET.search(text) is not None
+
+
+# How a run of the rewritten text came about: as in the source, or what it stands for.
+PLAIN, DIGIT, PLUS, AT, AT_WORD, DOT, DOT_WORD = "", "digit", "plus", "at", "at_word", "dot", "dot_word"
+
+
+def deobfuscated(plain: str, spelled: bool = True) -> tuple[str, list[int], list[int], list[str]]:
+    """A line of ``_ascii`` text rewritten, and its runs: where each starts there, where in the source, and what it is. Digit words stay unless ``spelled``."""
     out, at, src, new, pos, size = [], [], [], [], 0, 0
 
-    def put(piece: str, source: int, rewritten: bool) -> None:
+    def put(piece: str, source: int, what: str) -> None:
         nonlocal size
         if piece:
             out.append(piece)
             at.append(size)
             src.append(source)
-            new.append(rewritten)
+            new.append(what)
             size += len(piece)
 
-    spelled = spelled and _SPELLED_HINT.search(plain) is not None
-    if spelled or _HINT.search(plain):
-        for m in (_SPELLING if spelled else _REWRITES).finditer(plain):
-            put(plain[pos:m.start()], pos, False)
-            if m.lastgroup == "spelled":
-                for w in _WORD.finditer(m[0]):
-                    put("+" if w[0].lower() == "plus" else str(_SPELLED[w[0].lower()]), m.start() + w.start(), True)
-            else:
-                put("@" if m.lastgroup == "at" else ".", m.start(), True)
-            pos = m.end()
-    put(plain[pos:], pos, False)
+    for m in (_SPELLING if spelled else _REWRITES).finditer(plain):
+        put(plain[pos:m.start()], pos, PLAIN)
+        if m.lastgroup == "spelled":
+            for w in _WORD.finditer(m[0]):
+                digit = w[0].lower() != "plus"
+                put(str(_SPELLED[w[0].lower()]) if digit else "+", m.start() + w.start(), DIGIT if digit else PLUS)
+        elif m.lastgroup != "gone":
+            put("@" if m.lastgroup in (AT, AT_WORD) else ".", m.start(), m.lastgroup)
+        pos = m.end()
+    put(plain[pos:], pos, PLAIN)
     return "".join(out), at, src, new
 
 
-def _found(text: str, spelled: bool) -> list[tuple[str, int, int]]:
-    """Identifiers of the rewritten text that the source does not show as they are, in source offsets."""
-    norm, at, src, new = deobfuscated(text, spelled)
+def _found(text: str, plain: str, spelled: bool) -> list[tuple[str, int, int]]:
+    """Identifiers of a rewritten line that the source does not show as they are, in source offsets."""
+    norm, at, src, new = deobfuscated(plain, spelled)
     if norm == text:
         return []
 
     def word(i: int) -> bool:
-        """Whether run i stands for a digit word."""
-        return new[i] and norm[at[i]] in "0123456789"
+        return new[i] == DIGIT
 
     def lone(i: int) -> bool:
         return word(i) and not (i and word(i - 1)) and not (i + 1 < len(at) and word(i + 1))
@@ -156,11 +198,22 @@ def _found(text: str, spelled: bool) -> list[tuple[str, int, int]]:
             if ("phone", 0, len(shorter)) in find(shorter):
                 e = s + len(shorter)
                 j = run(e - 1)
-        if kind == "email" and any(map(word, range(i, j + 1))) and not new[run(s + norm[s:e].index("@"))]:
-            continue
+        if kind == "email":
+            how = new[run(s + norm[s:e].index("@"))]
+            tail = norm[s:e].rpartition(".")[2]
+            if how == PLAIN and any(map(word, range(i, j + 1))):
+                continue
+            if how == AT_WORD and (not tail.isalpha() or len(tail) < 2 or tail.lower() in _SPELLED):
+                continue
+        if kind == "ip":
+            dots = [run(k) for k in range(s, e) if norm[k] == "."]
+            if any(new[k] == DOT_WORD for k in dots):
+                said = any("point" in plain[src[k]:src[k] + 9].lower() for k in dots if new[k] == DOT_WORD)
+                if any(new[k] not in (DOT, DOT_WORD) for k in dots) or said and not any(map(word, range(i, j + 1))):
+                    continue
         start = src[i] + (s - at[i])
         if new[j]:  # the last run stands for a word or a bracketed mark: up to the next run
-            end = src[j] + len(_WORD.match(text, src[j])[0]) if _WORD.match(text, src[j]) else (src[j + 1] if j + 1 < len(src) else len(text))
+            end = src[j] + len(_WORD.match(plain, src[j])[0]) if _WORD.match(plain, src[j]) else (src[j + 1] if j + 1 < len(src) else len(plain))
         else:
             end = src[j] + (e - at[j])
         if norm[s:e] != text[start:end]:
@@ -168,14 +221,40 @@ def _found(text: str, spelled: bool) -> list[tuple[str, int, int]]:
     return out
 
 
+def _enough(plain: str, spelled: bool, marks: bool) -> bool:
+    """Whether a line has what an identifier needs at least: an at sign, or four digits."""
+    if "@" in plain or _BRACKET.search(plain) or marks and " at " in plain.lower().replace("\t", " "):
+        return True
+    figures = len(_NOT_DIGIT.sub("", plain))
+    if spelled and figures < 4:
+        figures += sum(w.lower() in _SPELLED for w in _WORD.findall(plain))
+    return figures >= 4
+
+
 def added(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Identifiers that only the rewritten text shows, in source offsets."""
+    plain = _ascii(text)
+    hidden = not text.isascii() and any(c in text for c in _NO_WIDTH)
+    if not (plain != text or hidden or _marks(plain) or _digit_words(plain)):
+        return []
+
     def covered(span: tuple[str, int, int], by: list[tuple[str, int, int]]) -> bool:
         return any(k == span[0] and a <= span[1] and span[2] <= b for k, a, b in by)
 
-    out = [x for x in _found(text, True) if not covered(x, base)]
-    if _SPELLED_HINT.search(text if text.isascii() else _ascii(text)):
-        out += [x for x in _found(text, False) if not covered(x, base) and not covered(x, out)]
+    out, start = [], 0
+    for line in plain.split("\n"):
+        end = start + len(line)
+        source = line if plain is text else text[start:end]
+        spelled, marks = _digit_words(line), _marks(line)
+        if (source != line or hidden or spelled or marks) and _enough(line, spelled, marks):
+            near = [x for x in base if start <= x[1] and x[2] <= end]
+            got = [(k, s + start, e + start) for k, s, e in _found(source, line, spelled)]
+            got = [x for x in got if not covered(x, near)]
+            if spelled:
+                more = [(k, s + start, e + start) for k, s, e in _found(source, line, False)]
+                got += [x for x in more if not covered(x, near) and not covered(x, got)]
+            out += got
+        start = end + 1
     return out
 
 
