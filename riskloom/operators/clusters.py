@@ -6,12 +6,13 @@ pair list:
 
 1. exact copies collapse to one representative first (a clique of identical
    texts becomes one node);
-2. the blocked matrix product scores every (query block, history block) pair
-   of a repository, and each block pair emits only a star per local
-   component (member -> smallest id; at most |Q| + |H| - 1 edges). Every edge
-   lives in exactly one block pair, so the union of the stars connects
-   exactly what the full edge set connects, and the stars already carry the
-   local minima, which saves propagation rounds;
+2. representatives meet in the buckets of random-plane signatures (``ann``). A bucket is scored in
+   bounded pairs of blocks by a matrix product, and each pair of blocks emits a
+   star per local component (member -> smallest id; at most |Q| + |H| - 1
+   edges), which connects what its links connect and already carries local
+   minima. Scores are exact; a link is missed only if its ends share no bucket
+   (``DUPLICATES.least_recall`` bounds that share from above), and then only
+   counts if no other path joins them;
 3. components come from min-label propagation with pointer jumping, one join
    round per iteration, lineage cut with ``checkpoint()`` into the session's
    checkpoint folder; the loop stops when no label changes.
@@ -20,14 +21,14 @@ pair list:
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..session import ensure_checkpoint_dir, materialize
-from .vectors import DIMS, _blocked, _matrix, _vec_cols
+from .ann import GROUP, LshPlan, bucketed, buckets_of, paired_blocks
 
 
 def exact_duplicates(df: DataFrame, *, keys=("repo_id",), id_col="seq", text_col="code_body") -> DataFrame:
@@ -39,70 +40,52 @@ def exact_duplicates(df: DataFrame, *, keys=("repo_id",), id_col="seq", text_col
              .where(F.col("n_copies") > 1))
 
 
-def _forest_fn(key_names, threshold: float, dims: int):
-    def fn(key, q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
-        cols = {"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")}
-        if len(q) == 0 or len(h) == 0:
-            out = pd.DataFrame(cols)
-        else:
-            qm, hm = _matrix(q, dims), _matrix(h, dims)
-            qi, hi = q["_id"].to_numpy(np.int64), h["_id"].to_numpy(np.int64)
-            ii, jj = np.nonzero(qm @ hm.T >= threshold)
-            # union-find over the ids of this block pair -> spanning forest
-            parent: dict[int, int] = {}
-
-            def find(x):
-                parent.setdefault(x, x)
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for i, j in zip(ii.tolist(), jj.tolist()):
-                u, v = int(qi[i]), int(hi[j])
-                if u == v:
-                    continue
-                ru, rv = find(u), find(v)
-                if ru != rv:
-                    # keep the smaller id as root, so roots are component minima
-                    if ru < rv:
-                        parent[rv] = ru
-                    else:
-                        parent[ru] = rv
-            # a star per local component: every member -> the component's smallest id
-            a_out = [x for x in parent if find(x) != x]
-            b_out = [find(x) for x in a_out]
-            out = pd.DataFrame({"a": np.array(a_out, dtype=np.int64), "b": np.array(b_out, dtype=np.int64)})
-        for i, name in enumerate(key_names):
-            out.insert(i, name, key[i] if len(out) else pd.Series([], dtype="object"))
-        return out
-
-    return fn
+# Buckets for links at cosine 0.9, where a sign agrees with probability 0.856.
+DUPLICATES = LshPlan(bits=8, tables=16, probes=0)
+
+
+def _stars(adjacent: np.ndarray, q_ids: np.ndarray, h_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, smallest id of its component) of the graph between two lists of ids, by whole-matrix label passes."""
+    ids, at = np.unique(np.concatenate([q_ids, h_ids]), return_inverse=True)
+    qi, hi = at[:len(q_ids)], at[len(q_ids):]
+    none, label = len(ids), np.arange(len(ids))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, qi, np.where(adjacent, label[hi][None, :], none).min(axis=1))
+        np.minimum.at(new, hi, np.where(adjacent, new[qi][:, None], none).min(axis=0))
+        new = new[new]
+        if (new == label).all():
+            moved = label != np.arange(len(ids))
+            return ids[moved], ids[label[moved]]
+        label = new
 
 
 def similarity_forest(vectors: DataFrame, *, keys=("repo_id",), id_col="seq", vec_col="vector",
-                      threshold: float = 0.9, block_rows: int = 2048,
-                      sparse: tuple[str, str] | None = None, dims: int = DIMS) -> DataFrame:
-    """Edges (keys, a, b) of the cosine >= threshold graph within each key,
-    reduced per block pair to stars on local component minima
-    (connectivity-preserving, bounded per block pair)."""
+                      threshold: float = 0.9, block_rows: int = 2048, plan: LshPlan = DUPLICATES,
+                      sparse: tuple[str, str] | None = None) -> DataFrame:
+    """Edges (keys, a, b) of the cosine >= threshold graph within each key, reduced per bucket (or pair of
+    blocks of a crowded one) to stars on local component minima."""
     keys = list(keys)
-    base = vectors.select(*keys, F.col(id_col).cast("bigint").alias("_id"), *_vec_cols(vectors, vec_col, sparse))
-    vnames = ["_i", "_x"] if sparse else ["_v"]
-    b = _blocked(base, keys, "_id", block_rows, "blk")
-    nb = b.select(*keys, F.col("blk_n").alias("_n")).distinct()
-    # Each unordered block pair once: query block <= history block.
-    qx = (b.join(nb, keys).withColumn("hb", F.explode(F.sequence(F.col("blk"), F.col("_n") - 1)))
-           .select(*keys, F.col("blk").alias("qb"), "hb", "_id", *vnames))
-    hx = (b.join(nb, keys).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blk"))))
-           .select(*keys, "qb", F.col("blk").alias("hb"), "_id", *vnames))
-    qx = qx.select(*[F.col(c).alias(c) for c in qx.columns])
-    hx = hx.select(*[F.col(c).alias(c) for c in hx.columns])
-    grp = [*keys, "qb", "hb"]
-    schema = T.StructType([vectors.schema[c] for c in keys]
-                          + [T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-    return qx.groupBy(*grp).cogroup(hx.groupBy(*grp)).applyInPandas(
-        _forest_fn(keys, threshold, dims), schema)
+    rows = bucketed(vectors, plan, keys, id_col, id_col, **({"sparse": sparse} if sparse else {"vec_col": vec_col}))
+    qx, hx = paired_blocks(rows, rows, keys, block_rows)
+    kind = rows.schema["_id"].dataType
+    schema = T.StructType([vectors.schema[c] for c in keys] + [T.StructField("a", kind), T.StructField("b", kind)])
+
+    def stars(q: pa.Table, h: pa.Table) -> pa.Table:
+        first, a, b = [], [], []
+        if len(q) and len(h):
+            for left, right, i, j, s in buckets_of(q, h, [*keys, "_bucket"], plan.dims, block_rows):
+                if len(i) > 1 or len(j) > 1:
+                    x, y = _stars(s >= threshold, left.ids[i], right.ids[j])
+                    first.append(np.full(len(x), i[0]))
+                    a.append(x)
+                    b.append(y)
+        first = np.concatenate(first) if first else np.empty(0, np.int64)
+        ids = q["_id"].type
+        of = q.take(pa.array(first))
+        return pa.table({**{c: of[c] for c in keys}, "a": pa.array(np.concatenate(a) if a else [], ids), "b": pa.array(np.concatenate(b) if b else [], ids)})
+
+    return qx.groupBy(*GROUP).cogroup(hx.groupBy(*GROUP)).applyInArrow(stars, schema).distinct()
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, keys=()) -> DataFrame:
@@ -143,7 +126,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, ke
 
 def duplicate_clusters(df: DataFrame, vectors: DataFrame, *, keys=("repo_id",), id_col="seq",
                        text_col="code_body", threshold: float = 0.9, block_rows: int = 2048,
-                       sparse: tuple[str, str] | None = ("indices", "values"), dims: int = DIMS) -> DataFrame:
+                       sparse: tuple[str, str] | None = ("indices", "values"), plan: LshPlan = DUPLICATES) -> DataFrame:
     """(keys, id, cluster_id, cluster_size) for functions in clusters of >= 2
     (exact copies and near copies with cosine >= threshold)."""
     keys = list(keys)
@@ -153,7 +136,7 @@ def duplicate_clusters(df: DataFrame, vectors: DataFrame, *, keys=("repo_id",),
     members = h.join(rep, [*keys, "_h"])
     reps = vectors.join(rep.select(*keys, F.col("_rep").alias(id_col)), [*keys, id_col], "left_semi")
     forest = similarity_forest(reps, keys=keys, id_col=id_col, threshold=threshold, block_rows=block_rows,
-                               sparse=sparse, dims=dims)
+                               sparse=sparse, plan=plan)
     rep_nodes = rep.select(*keys, F.col("_rep").alias("node"))
     comp = connected_components(forest, rep_nodes, keys=keys)
     out = (members.join(comp.withColumnRenamed("node", "_rep"), [*keys, "_rep"])

@@ -17,11 +17,13 @@ join otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .vectors import DEFAULT_LIMIT, DEFAULT_THRESHOLD, cosine_topk
+from .vectors import DEFAULT_LIMIT, DEFAULT_THRESHOLD, cosine_topk, vector_id
 
 COMMIT_FIELDS = ("author", "message", "date")
 
@@ -74,7 +76,8 @@ def rank_matches(vectors: DataFrame, commits: DataFrame, *,
                  queries: DataFrame | None = None, meta: DataFrame | None = None,
                  threshold: float = DEFAULT_THRESHOLD, limit: int = DEFAULT_LIMIT,
                  asof: bool = True, id_col: str = "seq", order_col: str | None = None,
-                 block_rows: int = 2048, sparse: tuple[str, str] | None = None) -> DataFrame:
+                 block_rows: int = 2048, sparse: tuple[str, str] | None = None,
+                 search: Callable[[DataFrame, int, float], DataFrame] | None = None) -> DataFrame:
     """V1–V8: outcome-aware ranked matches for every query function.
 
     ``vectors``: (repo_id, seq, commit_sha, function_name, file_path, vector, ...).
@@ -82,18 +85,23 @@ def rank_matches(vectors: DataFrame, commits: DataFrame, *,
     the earlier ones when ``asof``). ``commits``: collapsed commits. ``meta``
     (id, commit_sha, function_name, file_path) defaults to ``vectors``; pass
     the cheap source table so the vector plan is not re-evaluated for it.
+    ``search(queries, k, threshold)`` replaces the exact search, e.g. by that
+    of a stored index; it gives (repo_id, query_id, match_id, score, rank).
     Returns (repo_id, query_seq, match_seq, commit_sha, score, outcome,
     risk_score, rank, ...match payload).
     """
     queries = vectors if queries is None else queries
     meta = vectors if meta is None else meta
-    top = cosine_topk(queries, vectors, key_cols=["repo_id"], id_col=id_col,
-                      threshold=threshold, k=2 * limit,
-                      asof_col=(order_col or id_col) if asof else None, block_rows=block_rows, sparse=sparse)
+    if search is not None:
+        top = search(queries, 2 * limit, threshold)
+    else:
+        top = cosine_topk(queries, vectors, key_cols=["repo_id"], id_col=id_col,
+                          threshold=threshold, k=2 * limit,
+                          asof_col=(order_col or id_col) if asof else None, block_rows=block_rows, sparse=sparse)
     top = top.withColumnRenamed("rank", "fetch_rank")
-    qmeta = meta.select("repo_id", F.col(id_col).cast("bigint").alias("query_id"),
-                        F.col("commit_sha").alias("query_sha"))
-    hmeta = meta.select("repo_id", F.col(id_col).cast("bigint").alias("match_id"), "commit_sha",
+    mid = vector_id(meta, id_col)
+    qmeta = meta.select("repo_id", mid.alias("query_id"), F.col("commit_sha").alias("query_sha"))
+    hmeta = meta.select("repo_id", mid.alias("match_id"), "commit_sha",
                         "function_name", "file_path")
     m = (top.join(qmeta, ["repo_id", "query_id"]).join(hmeta, ["repo_id", "match_id"])
             .where(F.col("commit_sha") != F.col("query_sha")))          # V4
@@ -125,7 +133,7 @@ def assemble_warnings(ranked: DataFrame, queries: DataFrame, *,
     warned file as an extra column (G12; the level is unchanged).
     """
     # ids may repeat across repositories
-    q = queries.select("repo_id", F.col(id_col).cast("bigint").alias("query_seq"),
+    q = queries.select("repo_id", vector_id(queries, id_col).alias("query_seq"),
                        F.col("commit_sha").alias("query_sha"),
                        F.col("function_name").alias("query_function"),
                        F.col("file_path").alias("query_path"),

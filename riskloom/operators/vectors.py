@@ -1,4 +1,4 @@
-"""Embedding and vector-similarity operators.
+"""Embedding and vector-similarity operators.
 
 Scale notes
 -----------
@@ -16,8 +16,8 @@ Scale notes
 * Block counts come from a partial (map-side) ``count`` per key; the per-key
   size table is one row per key and joins back without a shuffle of the
   vectors by key.
-* ``cosine_lsh_join`` is keyed SimHash: buckets are (key, table, signature),
-  each bucket is scored by the same exact block scorer.
+* The approximate search over a stored index is in ``ann``; it scores its
+  buckets with the same exact block scorer.
 * ``embed_hashed_sparse`` is pure JVM: tokens -> distinct (doc, token)
   counts -> md5 bucket -> per-doc sparse unit vector; the dense form
   collects at most ``dims`` entries per document.
@@ -156,7 +156,7 @@ def embed_dedup(df: DataFrame, key_cols: list[str], hash_col: str, text_col: str
     distinct = df.select(*ids, text_col).dropDuplicates(ids)
     if known is not None:
         distinct = distinct.join(known.select(*ids), ids, "left_anti")
-    fresh = embed(distinct, ids, text_col)
+    fresh = embed(distinct, ids, text_col)      # texts without a token get no vector
     if known is not None:
         fresh = fresh.unionByName(known.select(*fresh.columns))
     return df.join(fresh, ids, "left")
@@ -178,48 +178,65 @@ def _matrix(pdf: pd.DataFrame, dims: int | None) -> np.ndarray:
     return m
 
 
+def has_vector(vec_col: str | None, sparse: tuple[str, str] | None) -> Column:
+    """Whether a row has a vector to search with: a function without any token has none."""
+    return F.coalesce(F.size(sparse[0]) > 0, F.lit(False)) if sparse else F.col(vec_col).isNotNull()
+
+
+def vector_id(df: DataFrame, id_col: str) -> Column:
+    """Ids keep their type if they are strings, and are longs otherwise."""
+    c = F.col(id_col)
+    return (c if isinstance(df.schema[id_col].dataType, T.StringType) else c.cast("bigint")).alias("_id")
+
+
 def _vec_cols(df: DataFrame, vec_col: str | None, sparse: tuple[str, str] | None):
     if sparse:
         return [F.col(sparse[0]).alias("_i"), F.col(sparse[1]).alias("_x")]
     return [F.col(vec_col).alias("_v")]
 
 
+def best_in_block(s: np.ndarray, q_ids: np.ndarray, h_ids: np.ndarray, q_ord: np.ndarray | None, h_ord: np.ndarray | None,
+                  k: int | None, threshold: float, exclude_same_id: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k best scores at or above ``threshold``; columns must be in id order.
+
+    Exactly the k best by (score desc, id asc): everything above the k-th score,
+    then ties at the cut in id order up to k. Every global top-k member is in its
+    block's top-k, so merging blocks is exact, and a block never gives more than
+    k rows per query row.
+    """
+    bad = s < threshold
+    if exclude_same_id:
+        bad |= q_ids[:, None] == h_ids[None, :]
+    if q_ord is not None:
+        bad |= ~(h_ord[None, :] < q_ord[:, None])
+    s = np.where(bad, -np.inf, s)
+    keep = np.isfinite(s)
+    if k is not None and k < s.shape[1]:
+        kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        above = s > kth[:, None]
+        tie = s == kth[:, None]
+        need = k - above.sum(axis=1)
+        keep &= above | (tie & (np.cumsum(tie, axis=1) <= need[:, None]))
+    return np.nonzero(keep)
+
+
 def _block_topk_fn(key_names: list[str], k: int, threshold: float, asof: bool,
                    exclude_same_id: bool, dims: int | None = None):
     """The per-block-pair scorer run in a Python worker (one matrix product)."""
 
     def fn(key, q: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(h) == 0:
-            out = pd.DataFrame({"q_id": pd.Series([], dtype="int64"),
-                                "h_id": pd.Series([], dtype="int64"),
+            out = pd.DataFrame({"q_id": q["_id"][:0], "h_id": h["_id"][:0],
                                 "score": pd.Series([], dtype="float64")})
             for i, name in enumerate(key_names):
                 out.insert(i, name, pd.Series([], dtype="object"))
             return out
         # history columns in id order, so "first in column order" = smallest id
-        horder = np.argsort(h["_id"].to_numpy(np.int64), kind="stable")
-        h = h.iloc[horder]
+        h = h.iloc[np.argsort(h["_id"].to_numpy(), kind="stable")]
         s = _matrix(q, dims) @ _matrix(h, dims).T
-        qid = q["_id"].to_numpy(np.int64)
-        hid = h["_id"].to_numpy(np.int64)
-        bad = s < threshold
-        if exclude_same_id:
-            bad |= qid[:, None] == hid[None, :]
-        if asof:
-            bad |= ~(h["_ord"].to_numpy()[None, :] < q["_ord"].to_numpy()[:, None])
-        s = np.where(bad, -np.inf, s)
-        keep = np.isfinite(s)
-        if k is not None and k < s.shape[1]:
-            # exactly the row's k best by (score desc, id asc): everything above
-            # the k-th score, then ties at the cut in id order up to k. Every
-            # global top-k member is in its block's top-k, so the merge is exact,
-            # and a block never emits more than k rows per query row.
-            kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-            above = s > kth[:, None]
-            tie = s == kth[:, None]
-            need = k - above.sum(axis=1)
-            keep &= above | (tie & (np.cumsum(tie, axis=1) <= need[:, None]))
-        rows, cols = np.nonzero(keep)
+        qid, hid = q["_id"].to_numpy(), h["_id"].to_numpy()
+        rows, cols = best_in_block(s, qid, hid, q["_ord"].to_numpy() if asof else None, h["_ord"].to_numpy() if asof else None,
+                                   k, threshold, exclude_same_id)
         out = pd.DataFrame({"q_id": qid[rows], "h_id": hid[cols], "score": s[rows, cols]})
         for i, name in enumerate(key_names):
             out.insert(i, name, key[i])
@@ -300,15 +317,16 @@ def cosine_topk(queries: DataFrame, history: DataFrame | None = None, *,
     the threshold, without rank). ``asof_col``: a match must have a
     smaller value than the query (a live search sees only earlier vectors).
     ``sparse=(indices_col, values_col)`` reads sparse vectors of ``dims``
-    dimensions instead of the dense ``vec_col``.
+    dimensions instead of the dense ``vec_col``. Rows without a vector match nothing.
     """
     key_cols = list(key_cols)
     history = queries if history is None else history
     ordc = asof_col or id_col
     vcols = _vec_cols(queries, vec_col, sparse)
     vnames = ["_i", "_x"] if sparse else ["_v"]
-    qsel = queries.select(*key_cols, F.col(id_col).cast("bigint").alias("_id"), F.col(ordc).alias("_ord"), *vcols)
-    hsel = history.select(*key_cols, F.col(id_col).cast("bigint").alias("_id"), F.col(ordc).alias("_ord"), *vcols)
+    there = has_vector(vec_col, sparse)
+    qsel = queries.where(there).select(*key_cols, vector_id(queries, id_col), F.col(ordc).alias("_ord"), *vcols)
+    hsel = history.where(there).select(*key_cols, vector_id(history, id_col), F.col(ordc).alias("_ord"), *vcols)
     if asof_col is not None:
         qx, hx, grp = _range_pairs(qsel, hsel, key_cols, block_rows, vnames)
     else:
@@ -317,7 +335,7 @@ def cosine_topk(queries: DataFrame, history: DataFrame | None = None, *,
     qx = qx.select(*[F.col(c).alias(c) for c in qx.columns])
     hx = hx.select(*[F.col(c).alias(c) for c in hx.columns])
     schema = T.StructType([queries.schema[c] for c in key_cols] + [
-        T.StructField("q_id", T.LongType()), T.StructField("h_id", T.LongType()),
+        T.StructField("q_id", qsel.schema["_id"].dataType), T.StructField("h_id", hsel.schema["_id"].dataType),
         T.StructField("score", T.DoubleType())])
     fn = _block_topk_fn(key_cols, k, threshold, asof_col is not None, exclude_same_id, dims)
     scored = qx.groupBy(*grp).cogroup(hx.groupBy(*grp)).applyInPandas(fn, schema)
@@ -328,61 +346,3 @@ def cosine_topk(queries: DataFrame, history: DataFrame | None = None, *,
                   .where(F.col("rank") <= k)
                   .withColumnRenamed("q_id", "query_id")
                   .withColumnRenamed("h_id", "match_id"))
-
-
-# ---------------------------------------------------------------- V2 -------
-def _simhash_fn(key_names, dims: int | None, bits: int, tables: int, seed: int, sparse: bool):
-    """Signatures of a batch: ``tables`` codes of ``bits`` random-hyperplane sign bits.
-    The hyperplanes come from (seed, dims) inside the worker, so every
-    executor draws the same ones; dense inputs take dims from the vectors."""
-
-    def run(batches):
-        weights = (1 << np.arange(bits)).astype(np.int64)
-        planes = {}
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            m = _matrix(pdf, dims)
-            d = m.shape[1]
-            if d not in planes:
-                planes[d] = np.random.default_rng([seed, d]).standard_normal((d, bits * tables))
-            sign = (m @ planes[d]) >= 0
-            codes = (sign.reshape(len(pdf), tables, bits) * weights).sum(axis=2)
-            out = pdf[[*key_names, "_id", *(["_i", "_x"] if sparse else ["_v"])]].copy()
-            out["buckets"] = [list(np.arange(tables) * (1 << bits) + c) for c in codes]
-            yield out
-
-    return run
-
-
-def cosine_lsh_join(df: DataFrame, *, key_cols: list[str] = ("repo_id",),
-                    id_col: str = "seq", vec_col: str = "vector",
-                    threshold: float = 0.2, bits: int = 2, tables: int = 10, seed: int = 7,
-                    sparse: tuple[str, str] | None = None, dims: int | None = None,
-                    block_rows: int = 2048) -> DataFrame:
-    """Approximate similarity self-join, keyed: random-hyperplane LSH (SimHash).
-
-    Each vector gets ``tables`` signatures of ``bits`` sign bits (numpy in
-    ``mapInPandas``, hyperplanes seeded identically on every worker). Pairs
-    are candidates when they share (key, table, signature); every bucket is
-    then scored exactly by the blocked matrix-product scorer, so buckets
-    never mix repositories, a crowded bucket is split into bounded block
-    pairs, and every reported score is exact (only recall is approximate).
-    A pair with cosine s shares one table's bucket with probability
-    (1 - arccos(s)/pi)^bits. Returns distinct (key_cols..., query_id,
-    match_id, score) with query_id < match_id and score >= threshold.
-    """
-    key_cols = list(key_cols)
-    if sparse and dims is None:
-        raise ValueError("dims is required for sparse vectors")
-    vnames = ["_i", "_x"] if sparse else ["_v"]
-    base = df.select(*key_cols, F.col(id_col).cast("bigint").alias("_id"), *_vec_cols(df, vec_col, sparse))
-    schema = T.StructType([f for f in base.schema.fields] + [T.StructField("buckets", T.ArrayType(T.LongType()))])
-    hashed = base.mapInPandas(_simhash_fn(key_cols, dims, bits, tables, seed, bool(sparse)), schema)
-    rows = hashed.select(*key_cols, F.explode("buckets").alias("_bucket"), "_id", *vnames)
-    pairs = cosine_topk(rows, key_cols=[*key_cols, "_bucket"], id_col="_id",
-                        vec_col=None if sparse else "_v", sparse=("_i", "_x") if sparse else None,
-                        dims=dims or DIMS, threshold=threshold, k=None, block_rows=block_rows)
-    return (pairs.where(F.col("query_id") < F.col("match_id"))
-                 .select(*key_cols, "query_id", "match_id", "score")
-                 .dropDuplicates([*key_cols, "query_id", "match_id"]))

@@ -5,6 +5,7 @@ Store layout under ``store``::
     repositories/        one row per repository (get-or-create)
     commits/             one row per stored commit row (duplicates allowed; read collapsed)
     vectors/repo_id=.../ function vectors (sparse hashed by default) + payload
+    index/               bucket index of the vectors (operators/ann), a folder per call
     warnings/            warnings with deterministic ids
     edges/<type>/        modifies, imports, contains, uses_table, calls_api
     events/              outcome-event log (append only)
@@ -17,11 +18,14 @@ results. All work is Spark jobs over whole tables; nothing is collected.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import ann as A
+from ..operators import clusters as CL
 from ..operators import diffs as D
 from ..operators import graph as G
 from ..operators import history as H
@@ -32,6 +36,8 @@ from ..session import materialize, read_if_written
 from ..sources import commits as SC
 from ..sources import sinks as SK
 
+# Production index of the 768 hashed dimensions at the threshold of 0.80.
+INDEX = A.LshPlan()
 EDGE_TYPES = ("modifies", "imports", "contains", "uses_table", "calls_api")
 
 
@@ -47,13 +53,6 @@ def _changed(files: DataFrame) -> DataFrame:
     return ch.join(f.select("file_key", "repo_id", "sha"), "file_key")
 
 
-def _one_per_path(files: DataFrame) -> DataFrame:
-    """The last of a commit's diffs of one file; commits without files stay."""
-    return files.groupBy("repo_id", "sha", "file_path").agg(F.max_by(F.struct(
-        *[c for c in files.columns if c not in ("repo_id", "sha", "file_path")]), F.coalesce("file_pos", F.lit(0))).alias("f")).select(
-        "repo_id", "sha", "file_path", "f.*")
-
-
 def _store_repositories(spark: SparkSession, repo_ids: DataFrame, store: str) -> None:
     """Get-or-create — append only repositories not stored yet."""
     existing = read_if_written(spark, _path(store, "repositories"))
@@ -65,7 +64,7 @@ def _store_repositories(spark: SparkSession, repo_ids: DataFrame, store: str) ->
 
 
 def _store_commits(commits: DataFrame, store: str, flags: DataFrame | None = None) -> None:
-    c = commits.select("repo_id", "seq", "sha", "author", "message")
+    c = commits.select("repo_id", "seq", "sha", "author", "message", F.current_timestamp().alias("date"))
     c = c.withColumn("revert_status", F.lit(False)).withColumn("bug_ids", F.array().cast("array<string>"))
     if flags is not None:
         c = RV.mark_reverted(c, flags.select("sha"))
@@ -91,20 +90,26 @@ def _store_vectors(fns: DataFrame, store: str) -> DataFrame:
                      "indices", "values")
     vec = materialize(vec)
     SK.write_vectors(vec, _path(store, "vectors"))
+    _store_index(vec, store)
     return vec
 
 
+def _store_index(vec: DataFrame, store: str) -> None:
+    A.append_index(vec, _path(store, "index"), INDEX, uuid.uuid4().hex, id_col="id", order_col="seq", sparse=("indices", "values"))
+
+
 def backfill(spark: SparkSession, batches: DataFrame, store: str, *, files_per_commit: int | None = None,
              max_lines: int | None = None) -> DataFrame:
     """POST /backfill for many repositories at once: detect reverts over each
     repository's commit list, store commits (flagged), changed-function
     vectors and graph edges. Returns the per-repository counters (A6). All files
     and lines count unless ``files_per_commit`` or ``max_lines`` set a limit."""
-    commits = SC.first_sent(SC.explode_commits(batches).withColumn("seq", F.col("commit_pos").cast("long")), "seq")
+    sent = SC.explode_commits(batches).withColumn("seq", F.col("commit_pos").cast("long"))
+    commits = SC.first_sent(sent, "seq")
     _store_repositories(spark, batches.select("repo_id").distinct(), store)
     reverted = RV.detect_reverts(commits)
     _store_commits(commits, store, reverted)
-    files = _one_per_path(SC.explode_diffs(commits))
+    files = SC.files_of(sent, "seq")
     with_files = files.where(F.col("file_path").isNotNull())
     capped = SC.cap_files_per_commit(with_files, commit_cols=("repo_id", "sha"), order_col="file_pos", n=files_per_commit)
     if max_lines is not None:
@@ -139,48 +144,58 @@ def collapsed_commits(spark: SparkSession, store: str) -> DataFrame:
 
 
 def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: float = 0.80,
-            limit: int = 10) -> DataFrame:
+            limit: int = 10, search: str = "index") -> DataFrame:
     """POST /analyze for a batch of new commits (analyze-request rows with
     nested diffs): changed functions are searched against the stored vectors
     of their repository (and earlier functions of the batch), warnings are
-    stored, then the new vectors, commits and edges are stored."""
-    commits = SC.first_sent(batch.select("repo_id", F.col("commit_sha").alias("sha"), "author", "message", "diffs",
-                                         F.col("seq").cast("long").alias("seq")), "seq")
+    stored, then the new vectors, commits and edges are stored.
+
+    ``search``: ``index`` probes the stored bucket index (exact scores, recall
+    below 1), ``exact`` scores every stored vector of the repository."""
+    if search not in ("index", "exact"):
+        raise ValueError(f"unknown search {search!r}")
+    sent = batch.select("repo_id", F.col("commit_sha").alias("sha"), "author", "message", "diffs", F.col("seq").cast("long").alias("seq"))
+    commits = SC.first_sent(sent, "seq")
     _store_repositories(spark, commits.select("repo_id").distinct(), store)
-    files = _one_per_path(SC.explode_diffs(commits)).where(F.col("file_path").isNotNull())
+    files = SC.files_of(sent, "seq").where(F.col("file_path").isNotNull())
     fns = _changed(files).join(commits.select("repo_id", "sha", "seq"), ["repo_id", "sha"])
-    fns = (fns.withColumn("fn_seq", F.xxhash64("repo_id", "sha", "file_path", "function_name"))
-              .withColumn("code_hash", S.code_hash("new_body")))
+    fns = SK.with_id(fns, "repo_id", "sha", "file_path", "function_name").withColumn("code_hash", S.code_hash("new_body"))
     stored = read_if_written(spark, _path(store, "vectors"))
     # embedding cache: a (repository, code hash) with a stored vector is not embedded again
     known = None if stored is None else stored.select("repo_id", "code_hash", "indices", "values").dropDuplicates(
         ["repo_id", "code_hash"])
     new = V.embed_dedup(fns, ["repo_id"], "code_hash", "new_body", known=known)
-    new = materialize(new.select("repo_id", "fn_seq", "seq", F.col("sha").alias("commit_sha"), "function_name",
+    new = materialize(new.select("id", "repo_id", "seq", F.col("sha").alias("commit_sha"), "function_name",
                                  "file_path", "start_line", "end_line", "code_hash",
                                  F.col("new_body").alias("code_body"), "indices", "values"))
-    q = new.select("repo_id", F.col("fn_seq").alias("vid"), F.col("seq").alias("t"), "commit_sha",
-                   "function_name", "file_path", "indices", "values")
+    # as-of on t: stored vectors (t = -1) come before the batch; inside the
+    # batch a function sees functions of earlier commits only
+    q = new.select("id", "repo_id", F.col("seq").alias("t"), "commit_sha", "function_name", "file_path", "indices", "values")
     hist = q
     if stored is not None:
         repos = q.select("repo_id").distinct()
         # a commit sent to several calls has its vectors stored under one id each time
         old = (stored.join(repos, "repo_id", "left_semi").dropDuplicates(["repo_id", "id"])
-                     .select("repo_id", F.xxhash64("id").alias("vid"), F.lit(-1).cast("long").alias("t"),
+                     .select("id", "repo_id", F.lit(-1).cast("long").alias("t"),
                              "commit_sha", "function_name", "file_path", "indices", "values"))
         hist = old.unionByName(q)
-    # as-of on t: stored vectors (t = -1) come before the batch; inside the
-    # batch a function sees functions of earlier commits only
     if read_if_written(spark, _path(store, "commits")) is not None:
         outcome = collapsed_commits(spark, store)
     else:
         outcome = R.collapse_commits(commits.withColumn("revert_status", F.lit(False))
                                             .withColumn("bug_ids", F.array().cast("array<string>")))
-    ranked = R.rank_matches(hist.withColumnRenamed("vid", "seq_id"), outcome,
-                            queries=q.withColumnRenamed("vid", "seq_id"), id_col="seq_id", order_col="t",
-                            threshold=threshold, limit=limit, sparse=("indices", "values"))
-    warns = R.assemble_warnings(ranked, new.select("repo_id", F.col("fn_seq").alias("seq"), "commit_sha", "function_name",
-                                                   "file_path", "start_line", "end_line"))
+    sparse = ("indices", "values")
+
+    def probe(queries: DataFrame, k: int, least: float) -> DataFrame:
+        own = A.bucketed(queries, INDEX, ["repo_id"], "id", "t", sparse=sparse)
+        rows = A.read_index(spark, _path(store, "index"))
+        if rows is not None:
+            own = rows.withColumn("_ord", F.lit(-1).cast("long")).unionByName(own)
+        return A.search(A.bucketed(queries, INDEX, ["repo_id"], "id", "t", sparse=sparse, probing=True), own, k=k, threshold=least, asof=True, dims=INDEX.dims)
+
+    ranked = R.rank_matches(hist, outcome, queries=q, id_col="id", order_col="t", threshold=threshold, limit=limit,
+                            sparse=sparse, search=probe if search == "index" else None)
+    warns = R.assemble_warnings(ranked, new, id_col="id", graph_risk=_file_risk(spark, store))
     warns = warns.withColumn("created_at", F.current_timestamp())
     warns = materialize(warns)
     SK.write_table(warns, _path(store, "warnings"))
@@ -188,17 +203,35 @@ def analyze(spark: SparkSession, batch: DataFrame, store: str, *, threshold: flo
     # the live path records graph edges only for files with changed functions
     _store_edges(files.join(fns.select("repo_id", "sha", "file_path").distinct(),
                             ["repo_id", "sha", "file_path"], "left_semi"), store)
-    vec = new.select(F.sha2(F.concat_ws("|", "repo_id", "commit_sha", "file_path", "function_name"), 256).alias("id"),
-                     "repo_id", "seq", "commit_sha", "function_name", "file_path", "start_line", "end_line",
+    vec = new.select("id", "repo_id", "seq", "commit_sha", "function_name", "file_path", "start_line", "end_line",
                      "code_hash", "code_body", "indices", "values")
     SK.write_vectors(vec, _path(store, "vectors"))
+    _store_index(vec, store)
     return warns
 
 
+def _file_risk(spark: SparkSession, store: str) -> DataFrame | None:
+    """The dependency risk of the files of earlier calls, for the warnings' extra column."""
+    if read_if_written(spark, _path(store, "edges", "modifies")) is None:
+        return None
+    return dependency_risk(spark, store).select("repo_id", "file_path", "graph_risk_score")
+
+
 def record_outcome_events(events: DataFrame, store: str) -> None:
-    """POST /webhook/*: append normalised outcome events (kind, ts, commit_sha, pipeline, merged, closed)."""
-    SK.write_table(events.select("event_id", "ts", "kind", "commit_sha", "pipeline", "merged", "closed"),
-                   _path(store, "events"))
+    """POST /webhook/*: append normalised outcome events (kind, ts, commit_sha, pipeline, merged, closed).
+
+    A push (``push_commits``, where the events have it) names commits that it
+    reverts; each becomes a revert event of its own, so the outcome view and
+    the stored warnings see it like any other."""
+    cols = ["event_id", "ts", "kind", "commit_sha", "pipeline", "merged", "closed"]
+    log = events.select(*cols)
+    if "push_commits" in events.columns:
+        pushed = (events.where(F.col("kind") == "push").select("event_id", "ts", F.posexplode("push_commits").alias("_pos", "c"))
+                        .select("event_id", "ts", "_pos", F.col("c.id").alias("sha"), "c.message"))
+        named = RV.push_reverts(pushed.drop("ts"), push_col="event_id").join(events.select("event_id", "ts"), "event_id")
+        log = log.unionByName(named.select("event_id", "ts", F.lit("revert").alias("kind"), F.col("target_sha").alias("commit_sha"), F.lit(None).cast("string").alias("pipeline"),
+                                           F.lit(False).alias("merged"), F.lit(False).alias("closed")))
+    SK.write_table(log, _path(store, "events"))
 
 
 def history_page(spark: SparkSession, store: str, page: int = 1, limit: int = 20) -> DataFrame:
@@ -208,15 +241,18 @@ def history_page(spark: SparkSession, store: str, page: int = 1, limit: int = 20
 
 
 def statistics(spark: SparkSession, store: str) -> DataFrame:
-    """GET /history/{repo}/stats: commits analysed, warnings by level, top files."""
+    """GET /history/{repo}/stats: commits analysed, warnings by level, top files, clusters of duplicated logic."""
     c = spark.read.parquet(_path(store, "commits"))
     w = spark.read.parquet(_path(store, "warnings")).dropDuplicates(["id"])
     cm = c.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_commits_analyzed"))
     tf = (H.top_risky_files(w).groupBy("repo_id")
            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file_path"))),
                                          lambda s: s["file_path"]), ",").alias("top_risky_files")))
-    return (cm.join(H.warnings_by_risk(w), "repo_id", "left").join(tf, "repo_id", "left")
-              .fillna(0, ["n_high", "n_medium", "n_low", "total_warnings"]))
+    v = spark.read.parquet(_path(store, "vectors")).dropDuplicates(["repo_id", "id"])
+    dup = (CL.duplicate_clusters(v, v.select("repo_id", "id", "indices", "values"), id_col="id")
+             .groupBy("repo_id").agg(F.countDistinct("cluster_id").alias("duplicate_clusters")))
+    return (cm.join(H.warnings_by_risk(w), "repo_id", "left").join(tf, "repo_id", "left").join(dup, "repo_id", "left")
+              .fillna(0, ["n_high", "n_medium", "n_low", "total_warnings", "duplicate_clusters"]))
 
 
 def _edges(spark: SparkSession, store: str) -> dict[str, DataFrame]:

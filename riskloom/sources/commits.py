@@ -62,11 +62,21 @@ def explode_commits(batches: DataFrame) -> DataFrame:
 
 
 def first_sent(commits: DataFrame, order_col: str) -> DataFrame:
-    """One row per (repo_id, sha) of commits that batches sent again: the one of least ``order_col``; of equals one
-    with file diffs, then any (they are copies)."""
-    rest = [c for c in commits.columns if c not in ("repo_id", "sha")]
-    nth = F.struct(order_col, F.size(F.coalesce("diffs", F.array())) == 0, F.xxhash64("diffs"))
-    return commits.groupBy("repo_id", "sha").agg(F.min_by(F.struct(*rest), nth).alias("c")).select("repo_id", "sha", "c.*")
+    """One row per (repo_id, sha) of commits that batches sent again, the one of least ``order_col``, without diffs:
+    a later copy may hold other files, so those are taken from all copies (``files_of``)."""
+    rest = [c for c in commits.columns if c not in ("repo_id", "sha", "diffs")]
+    return (commits.groupBy("repo_id", "sha").agg(F.min_by(F.struct(*rest), F.struct(order_col, F.xxhash64(*rest))).alias("c"))
+                   .select("repo_id", "sha", "c.*"))
+
+
+def files_of(commits: DataFrame, order_col: str) -> DataFrame:
+    """One row per (repo_id, sha, file_path) over all copies of a commit: of the rows with a diff (else of all) the last
+    sent. Commits without any file keep a row without path."""
+    files = explode_diffs(commits.select("repo_id", "sha", order_col, "diffs"))
+    keys = ("repo_id", "sha", "file_path")
+    nth = F.struct(F.coalesce(F.length("diff"), F.lit(0)) > 0, order_col, F.coalesce("file_pos", F.lit(-1)), F.xxhash64("diff", "file_content"))
+    return (files.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in files.columns if c not in (*keys, order_col)]), nth).alias("f"))
+                 .select(*keys, "f.*"))
 
 
 def explode_diffs(commits: DataFrame, keep_empty: bool = True) -> DataFrame:
