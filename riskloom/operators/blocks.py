@@ -1,394 +1,222 @@
-"""Function-block extraction.
-
-One file is one unit of work, so extraction is a per-row map with no shuffle:
-``mapInPandas`` over Arrow batches of (ids, path, content) rows. The Python
-helpers below parse one file each:
-
-* Python files: the standard library ``ast`` (function definitions, async
-  included, nested included, decorators outside the block); when a file does
-  not parse, an indentation scan returns what it can (the reference's parser
-  is error tolerant).
-* JavaScript / TypeScript: a small scanner that skips strings, template
-  literals, comments and regex literals and reports function declarations,
-  methods and arrow functions with their brace-matched spans.
-
-Output per function: (ids, func_idx, name, start_line, end_line, signature,
-body) with 1-based lines, in pre-order (= source start order).
+"""Function-block extraction (D3–D6) as relations of brackets and lines.
+
+A small per-file helper blanks what is not code: comments become spaces,
+characters of strings, templates and regex literals become ``x``, their line
+breaks U+0001, so offsets stay. All else is windows over rows:
+
+* JavaScript / TypeScript: a file is cut at brackets, ``=>``, ``,``, ``;`` and
+  line breaks that may end a statement; such an event carries the text before
+  it. A running sum gives each event's bracket depth, and the last opening
+  bracket one level up is its scope. Within a scope an opening bracket's
+  partner is the next event, and a function's parts (parameters, ``=>``, body)
+  are neighbours, so leads and lags find its name and end.
+* Python: a file is cut into logical lines (no break inside strings or
+  brackets). A definition ends before the next line that is indented no deeper;
+  the next line of each indentation is one window per (file, indentation).
+
+Unbalanced code gives what its brackets or lines show; there is no failure per
+file. Output per function: (ids, func_idx, name, start_line, end_line,
+signature, body) with 1-based lines, ordered by start. The id columns must name
+a file row uniquely.
 """
 
 from __future__ import annotations
 
-import ast
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import LANGUAGE_SUFFIXES
+from ..functions import scalars as S
 
 ANON = "<anonymous>"
-
-
-def _language(path: str, profile: str = "backend") -> str | None:
-    for suffix, lang in LANGUAGE_SUFFIXES[profile]:
-        if path.endswith(suffix):
-            return lang
-    return None
-
-
-# ----------------------------------------------------------------- Python ---
-_DEF = re.compile(r"^([ \t]*)((?:async[ \t]+)?def[ \t]+(\w+))")
-
-
-def _python_ast(code: str):
-    tree = ast.parse(code)
-    raw = code.encode("utf-8")
-    starts = [0]
-    for i, b in enumerate(raw):
-        if b == 10:
-            starts.append(i + 1)
-    out = []
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            b0 = starts[node.lineno - 1] + node.col_offset
-            b1 = starts[node.end_lineno - 1] + node.end_col_offset
-            out.append((node.lineno, node.col_offset, node.name, node.end_lineno,
-                        raw[b0:b1].decode("utf-8", "replace")))
-    out.sort(key=lambda t: (t[0], t[1]))
-    return [(name, l0, l1, body) for l0, _c, name, l1, body in out]
-
-
-def _python_indent(code: str):
-    """Indentation scan: a def runs to the last non-blank line before the next
-    non-blank line indented no deeper than the def itself."""
-    lines = code.split("\n")
-    out = []
-    for i, line in enumerate(lines):
-        m = _DEF.match(line)
-        if not m:
-            continue
-        ind = len(m.group(1).expandtabs())
-        last = i
-        for j in range(i + 1, len(lines)):
-            s = lines[j]
-            if not s.strip():
-                continue
-            if len(s) - len(s.lstrip()) <= ind and not s.lstrip().startswith(("#", ")", "]", "}")):
-                break
-            last = j
-        body = "\n".join([line[len(m.group(1)):]] + lines[i + 1:last + 1])
-        out.append((m.group(3), i + 1, last + 1, body))
-    return out
-
-
-def python_functions(code: str):
-    try:
-        return _python_ast(code)
-    except (SyntaxError, ValueError, RecursionError):
-        return _python_indent(code)
-
-
-# ------------------------------------------------------------- JS / TS -----
-_KEYWORDS_BEFORE_REGEX = {"return", "typeof", "instanceof", "in", "of", "new", "delete", "void",
-                          "throw", "case", "do", "else", "yield", "await"}
-_CONTROL = {"if", "for", "while", "switch", "catch", "function", "return", "with"}
-_MODIFIERS = {"static", "async", "get", "set", "public", "private", "protected", "readonly",
-              "override", "abstract"}
-_TOKEN = re.compile(r"""
-    (?P<ws>\s+)
-  | (?P<lc>//[^\n]*)
-  | (?P<bc>/\*.*?(?:\*/|\Z))
-  | (?P<id>[A-Za-z_$][\w$]*)
-  | (?P<num>\d[\w.]*)
-  | (?P<arrow>=>)
-  | (?P<p>[{}()\[\];,:?.=<>+\-*%&|^!~/@#'"`])
-""", re.S | re.X)
-
-
-def _skip_string(code: str, i: int) -> int:
-    """End (exclusive) of the quoted string starting at ``i``."""
-    q, j, n = code[i], i + 1, len(code)
-    while j < n and code[j] != q and code[j] != "\n":
-        j += 2 if code[j] == "\\" else 1
-    return min(j + 1, n)
-
-
-def _skip_template(code: str, i: int) -> int:
-    """End (exclusive) of the template literal starting at ``i``; ``${...}``
-    holds code (strings, nested templates, braces) scanned recursively."""
-    j, n = i + 1, len(code)
-    while j < n:
-        c = code[j]
-        if c == "\\":
-            j += 2
-        elif c == "`":
-            return j + 1
-        elif c == "$" and j + 1 < n and code[j + 1] == "{":
-            j = _skip_expr(code, j + 2)
-        else:
-            j += 1
-    return n
-
-
-def _skip_expr(code: str, j: int) -> int:
-    """End (exclusive) of a ``${`` expression: just past its closing brace."""
-    depth, n = 0, len(code)
-    while j < n:
-        c = code[j]
-        if c in "'\"":
-            j = _skip_string(code, j)
-        elif c == "`":
-            j = _skip_template(code, j)
-        elif c == "{":
-            depth += 1
-            j += 1
-        elif c == "}":
-            if depth == 0:
-                return j + 1
-            depth -= 1
-            j += 1
-        else:
-            j += 1
-    return n
-
-
-def _js_tokens(code: str):
-    """(kind, text, start_offset, end_offset) tokens; strings, templates,
-    comments and regex literals are consumed whole."""
-    toks = []
-    i, n = 0, len(code)
-    prev_sig = None
-    while i < n:
-        ch = code[i]
-        if ch in "'\"":
-            j = _skip_string(code, i)
-            toks.append(("str", code[i:j], i, j))
-            prev_sig = toks[-1]
-            i = j
-            continue
-        if ch == "`":
-            j = _skip_template(code, i)
-            toks.append(("str", code[i:j], i, j))
-            prev_sig = toks[-1]
-            i = j
-            continue
-        if ch == "/" and i + 1 < n and code[i + 1] not in "/*":
-            regex_ok = (prev_sig is None or (prev_sig[0] == "p" and prev_sig[1] not in ")]}")
-                        or (prev_sig[0] == "id" and prev_sig[1] in _KEYWORDS_BEFORE_REGEX)
-                        or prev_sig[0] == "arrow")
-            if regex_ok:
-                j, in_class = i + 1, False
-                while j < n and code[j] != "\n":
-                    c = code[j]
-                    if c == "\\":
-                        j += 2
-                        continue
-                    if c == "[":
-                        in_class = True
-                    elif c == "]":
-                        in_class = False
-                    elif c == "/" and not in_class:
-                        break
-                    j += 1
-                j += 1
-                while j < n and (code[j].isalnum()):
-                    j += 1
-                toks.append(("str", code[i:j], i, j))
-                prev_sig = toks[-1]
-                i = j
-                continue
-        m = _TOKEN.match(code, i)
-        if not m:
-            i += 1
-            continue
-        kind = m.lastgroup
-        if kind not in ("ws", "lc", "bc"):
-            toks.append((kind, m.group(), m.start(), m.end()))
-            prev_sig = toks[-1]
-        i = m.end()
-    return toks
-
-
-def js_functions(code: str):
-    toks = _js_tokens(code)
-    n = len(toks)
-    match = {}
-    stack = []
-    for k, t in enumerate(toks):
-        if t[0] == "p" and t[1] in "({[":
-            stack.append(k)
-        elif t[0] == "p" and t[1] in ")}]":
-            if stack:
-                match[stack.pop()] = k
-    opener_of = {c: o for o, c in match.items()}
-    # braces that open a class body (members there are fields, not assignments)
-    class_body = set()
-    for k, t in enumerate(toks):
-        if t[0] == "id" and t[1] == "class":
-            j = k + 1
-            while j < n and not (toks[j][0] == "p" and toks[j][1] in "{;"):
-                j += 1
-            if j < n and toks[j][1] == "{":
-                class_body.add(j)
-    enclosing = {}
-    stack2 = []
-    for k, t in enumerate(toks):
-        enclosing[k] = stack2[-1] if stack2 else None
-        if t[0] == "p" and t[1] in "({[":
-            stack2.append(k)
-        elif t[0] == "p" and t[1] in ")}]" and stack2:
-            stack2.pop()
-    line_of = _line_index(code)
-    found = []
-
-    def add(start_tok, end_tok, name):
-        s, e = toks[start_tok][2], toks[end_tok][3]
-        found.append((s, name, line_of(s), line_of(max(s, e - 1)), code[s:e]))
-
-    def prev(k, back=1):
-        j = k - back
-        return toks[j] if j >= 0 else None
-
-    for k, t in enumerate(toks):
-        kind, text = t[0], t[1]
-        if kind == "id" and text == "function":
-            nxt = toks[k + 1] if k + 1 < n else None
-            if nxt is None or (nxt[0] == "p" and nxt[1] == "*"):
-                continue  # generator
-            if nxt[0] != "id":
-                continue  # function expression (anonymous)
-            p = prev(k)
-            start = k
-            if p is not None and p[0] == "id" and p[1] == "async":
-                start, p = k - 1, prev(k, 2)
-            stmt = p is None or (p[0] == "p" and p[1] in "{};") or (p[0] == "id" and p[1] in ("export", "default"))
-            if not stmt:
-                continue
-            j = k + 2
-            while j < n and not (toks[j][0] == "p" and toks[j][1] == "("):
-                j += 1
-            if j >= n or j not in match:
-                continue
-            b = match[j] + 1
-            while b < n and not (toks[b][0] == "p" and toks[b][1] == "{"):
-                b += 1
-            if b < n and b in match:
-                add(start, match[b], nxt[1])
-        elif kind == "arrow":
-            p = prev(k)
-            if p is None:
-                continue
-            if p[0] == "id":
-                start, name = k - 1, p[1]
-            elif p[0] == "p" and p[1] == ")":
-                opener = opener_of.get(k - 1)
-                if opener is None:
-                    continue
-                start, name = opener, None
-            else:
-                continue
-            pp = prev(start)
-            if pp is not None and pp[0] == "id" and pp[1] == "async":
-                start, pp = start - 1, prev(start - 1)
-            if name is None:
-                if pp is not None and pp[0] == "p" and pp[1] == "=":
-                    q = prev(start, 2)
-                    q2 = prev(start, 3)
-                    # variable declarator or plain assignment to an identifier;
-                    # a class field (``x = () => ...`` in a class body) stays anonymous
-                    in_class = enclosing.get(start - 2) in class_body
-                    if (q is not None and q[0] == "id" and not in_class
-                            and (q2 is None or not (q2[0] == "p" and q2[1] == "."))):
-                        name = q[1]
-                name = name or ANON
-            nxt = toks[k + 1] if k + 1 < n else None
-            if nxt is not None and nxt[0] == "p" and nxt[1] == "{" and (k + 1) in match:
-                add(start, match[k + 1], name)
-            else:
-                j, end = k + 1, k
-                while j < n:
-                    tj = toks[j]
-                    if tj[0] == "p" and tj[1] in "({[" and j in match:
-                        end = match[j]
-                        j = end + 1
-                        continue
-                    if tj[0] == "p" and tj[1] in ",;)]}":
-                        break
-                    end = j
-                    j += 1
-                add(start, end, name)
-        elif kind == "id" and text not in _CONTROL and text not in _MODIFIERS:
-            nxt = toks[k + 1] if k + 1 < n else None
-            if nxt is None or not (nxt[0] == "p" and nxt[1] == "(") or (k + 1) not in match:
-                continue
-            close = match[k + 1]
-            b = close + 1
-            if b < n and toks[b][0] == "p" and toks[b][1] == ":":  # TS return type
-                while b < n and not (toks[b][0] == "p" and toks[b][1] in "{;"):
-                    b += 1
-            if not (b < n and toks[b][0] == "p" and toks[b][1] == "{" and b in match):
-                continue
-            start = k
-            p = prev(start)
-            if p is not None and p[0] == "p" and p[1] == "*":
-                start -= 1          # generator method: still a method definition
-                p = prev(start)
-            while p is not None and p[0] == "id" and p[1] in _MODIFIERS:
-                start -= 1
-                p = prev(start)
-            member = p is not None and p[0] == "p" and p[1] in "{};,"
-            if not member:
-                continue
-            add(start, match[b], text)
-    found.sort(key=lambda t: t[0])
-    return [(name, l0, l1, body) for _s, name, l0, l1, body in found]
-
-
-def _line_index(code: str):
-    import bisect
-
-    nl = [i for i, c in enumerate(code) if c == "\n"]
-    return lambda off: bisect.bisect_right(nl, off - 1) + 1
-
-
-def extract_functions(code: str | None, language: str | None):
-    """(name, start_line, end_line, body) for one file; [] for unknown languages."""
-    if code is None or language is None:
-        return []
-    if language == "python":
-        return python_functions(code)
-    if language in ("javascript", "typescript", "tsx", "jsx"):
-        try:
-            return js_functions(code)
-        except (RecursionError, IndexError):
-            return []
-    return []
-
-
-BLOCK_FIELDS = [T.StructField("func_idx", T.IntegerType()), T.StructField("name", T.StringType()),
-                T.StructField("start_line", T.IntegerType()), T.StructField("end_line", T.IntegerType()),
-                T.StructField("signature", T.StringType()), T.StructField("body", T.StringType())]
+_JOINED = "\x01"   # a line break inside a literal
+
+# ---------------------------------------------------------------- masking ---
+_PY_LITERAL = re.compile(r"""'{3}(?:\\.|.)*?(?:'{3}|\Z)|"{3}(?:\\.|.)*?(?:"{3}|\Z)|'(?:\\.|[^'\\\n])*'?|"(?:\\.|[^"\\\n])*"?|\#[^\n]*|\\\r?\n""", re.S)
+_JS_LITERAL = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'?|"(?:\\.|[^"\\\n])*"?|`|(?:(?<=[=(,:;!&|?{}\[+\-*%<>~^\n])|\A|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase)|(?<=\bin)|(?<=\bof)|(?<=\bvoid)|(?<=\bdelete)|(?<=\bthrow)|(?<=\bawait)|(?<=\byield)|(?<=\belse))[ \t]*/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[A-Za-z]*""", re.S)
+_TEMPLATE = re.compile(r"\\.|`|\$\{|\{|\}|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"", re.S)
+
+
+def _template_end(code: str, start: int) -> int:
+    """End of the template literal that opens at ``start``; ``${}`` in it may hold templates again."""
+    open_at, at = ["`"], start + 1
+    while open_at and (m := _TEMPLATE.search(code, at)):
+        text, at = m[0], m.end()
+        if open_at[-1] == "`" and text[0] in "'\"{}":
+            at = m.start() + 1   # plain text of the template
+        elif text == "`":
+            open_at.pop() if open_at[-1] == "`" else open_at.append("`")
+        elif text in ("${", "{"):
+            open_at.append("{")
+        elif text == "}":
+            open_at.pop()
+    return at if not open_at else len(code)
+
+
+def _blank(text: str) -> str:
+    if text[0] in "#\\" or text.startswith(("//", "/*")):
+        return re.sub(r"[^\n]", " ", text) if text[0] != "\\" else " " * (len(text) - 1) + _JOINED
+    quoted = text[0] + "x" * (len(text) - 2) + text[-1] if len(text) > 1 else text
+    return "".join(_JOINED if c == "\n" else q for c, q in zip(text, quoted))
+
+
+def masked(code: str | None, python: bool) -> str | None:
+    """``code`` with literals and comments blanked, length and line breaks kept (inside literals as U+0001)."""
+    if code is None:
+        return None
+    out, at, literal = [], 0, _PY_LITERAL if python else _JS_LITERAL
+    while m := literal.search(code, at):
+        end = _template_end(code, m.start()) if m[0] == "`" and not python else m.end()
+        skip = len(m[0]) - len(m[0].lstrip(" \t")) if m[0] != "`" else 0
+        out += [code[at:m.start() + skip], _blank(code[m.start() + skip:end])]
+        at = end
+    return "".join([*out, code[at:]])
+
+
+@F.pandas_udf(T.StringType())
+def _masked(code: pd.Series, python: pd.Series) -> pd.Series:
+    return pd.Series([masked(c, p) for c, p in zip(code, python)], dtype=object)
+
+
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, "\n", ""))
+
+
+# ------------------------------------------------------------- JS / TS ------
+# The text up to an event and the event; a line break counts where a statement may end.
+_EVENT = r"(?s)(?:[^(){}\[\],;=\n]++|=(?!>)|\n(?!(?<=[\w$)\]}'\"`]\r?\n)[ \t\r\n]*+[A-Za-z_$@]))*+(?:=>|[(){}\[\],;\n])"
+_MODS = r"(?:(?:static|async|get|set|public|private|protected|readonly|override|abstract|accessor)\s+|\*\s*)*"
+_NAME = r"[A-Za-z_$][\w$]*"
+_METHOD = rf"^\s*(?:@[\w$.]+\s+)*({_MODS}({_NAME})(?:\s*<[^()]*>)?)\s*$"
+_DECLARED = rf"^\s*(?:(?:export|default|declare)\s+)*((?:async\s+)?function\s+({_NAME})(?:\s*<[^()]*>)?)\s*$"
+_CONTROL = ("if", "for", "while", "switch", "catch", "function", "return", "with", "await", "do", "else", "new", "typeof", "super")
+_BARE = rf"((?:\basync\s+)?(?<![\w$.])({_NAME}))\s*$"                      # x => ...
+_BEFORE_PARENS = r"((?:\basync\s*)?(?:<[^()]*>\s*)?)$"                       # async <T>(x) => ...
+_ASSIGNED = rf"(?:^|[^.\w$])({_NAME})\s*(?::[^=;]*)?=\s*(?:\basync\s*)?(?:<[^()]*>\s*)?$"
+_TYPED_NAME = rf"\b(?:const|let|var)\s+({_NAME})\s*:\s*$"
+_TYPE_ONLY = r"(?:\b(?:const|let|var)\s+[\w$]+\s*:|\btype\s+[\w$]+(?:<[^=]*>)?\s*=|[|&]|\bas|\bimplements|\bextends)\s*(?:new\s*)?$"
+_UNFINISHED = r"[:<|&,=(]\s*$"                                               # a brace here opens a type
+_AHEAD = 7
+
+
+def _events(files: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, kind, pre, off, level, scope, scope_pre): brackets and separators, in their scopes.
+
+    ``off`` is 0-based; a scope is named by the offset of its opening bracket (-1: the file)."""
+    seg = files.select(*ids, F.posexplode(F.regexp_extract_all("_masked", F.lit(_EVENT), F.lit(0))).alias("n", "seg"))
+    w = Window.partitionBy(*ids).orderBy("n")
+    kind = F.when(F.col("seg").endswith("=>"), "=>").otherwise(F.right("seg", F.lit(1)))
+    seg = seg.withColumn("kind", kind).withColumn("pre", F.expr("left(seg, length(seg) - length(kind))"))
+    seg = seg.withColumn("off", F.sum(F.length("seg")).over(w) - F.length("kind"))
+    opens, closes = F.col("kind").isin("(", "{", "["), F.col("kind").isin(")", "}", "]")
+    seg = seg.withColumn("level", F.sum(opens.cast("int") - closes.cast("int")).over(w) - opens.cast("int")).drop("n", "seg")
+    # an opening bracket also marks the start of its scope, one level down
+    mark = F.explode(F.when(opens, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    x = seg.withColumn("mark", mark).withColumn("level", F.col("level") + F.col("mark").cast("int"))
+    inside = Window.partitionBy(*ids, "level").orderBy("off", "mark")
+    marked = lambda c: F.last(F.when(F.col("mark"), F.col(c)), ignorenulls=True).over(inside)
+    x = x.withColumn("scope", F.coalesce(marked("off"), F.lit(-1))).withColumn("scope_pre", F.coalesce(marked("pre"), F.lit("")))
+    return x.where(~F.col("mark")).drop("mark")
+
+
+def _js_blocks(files: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, name, start, end): functions of JS / TS files, offsets 0-based, end exclusive."""
+    w = Window.partitionBy(*ids, "scope").orderBy("off")
+    ev = _events(files, ids)
+    # commas of type parameters: name<A, B>( is one text
+    b = [(F.lag("kind", i).over(w), F.lag("pre", i).over(w)) for i in (1, 2)]
+    one, two = F.concat(b[0][1], F.lit(","), F.col("pre")), F.concat(b[1][1], F.lit(","), b[0][1], F.lit(","), F.col("pre"))
+    tail = (F.col("kind") == "(") & F.col("pre").rlike(r"^[^<]*>\s*$") & (b[0][0] == ",")
+    ev = ev.withColumn("pre", F.when(tail & b[0][1].contains("<"), one).when(tail & (b[1][0] == ",") & b[1][1].contains("<"), two).otherwise(F.col("pre")))
+    here = F.struct("kind", "pre", "off")
+    after = w.rowsBetween(1, Window.unboundedFollowing)
+    stop = F.min(F.when(F.col("kind").isin(",", ";", "\n"), F.col("off"))).over(after)
+    ev = ev.select(*ids, "kind", "pre", "off", "scope", "scope_pre", stop.alias("stop"), F.lag(here, 1).over(w).alias("b1"), F.lag(here, 2).over(w).alias("b2"),
+                   F.lag(here, 3).over(w).alias("b3"), F.lag(here, 5).over(w).alias("b5"), F.array_compact(F.array(*[F.lead(here, i).over(w) for i in range(1, _AHEAD + 1)])).alias("next"))
+
+    # declarations and methods: name ( ) [: type] { }
+    rest = F.slice("next", 2, _AHEAD)
+    is_body = lambda e: (e["kind"] == "{") & ~e["pre"].rlike(_UNFINISHED)
+    at = F.array_position(F.transform(rest, is_body), True).cast("int")
+    between = F.slice(rest, 1, F.greatest(at - 1, F.lit(0)))
+    typed = (at == 1) & F.get(rest, F.lit(0))["pre"].rlike(r"^\s*(?::[\s\S]*)?$") | (at > 1) & F.get(rest, F.lit(0))["pre"].rlike(r"^\s*:") & F.forall(between, lambda e: e["kind"].isin(",", "{", "}", "[", "]"))
+    head = F.when(F.col("pre").rlike(_DECLARED), F.regexp_extract("pre", _DECLARED, 1)).otherwise(F.regexp_extract("pre", _METHOD, 1))
+    name = F.when(F.col("pre").rlike(_DECLARED), F.regexp_extract("pre", _DECLARED, 2)).otherwise(F.regexp_extract("pre", _METHOD, 2))
+    calls = (ev.where((F.col("kind") == "(") & (F.get("next", F.lit(0))["kind"] == ")") & (F.col("pre").rlike(_DECLARED) | F.col("pre").rlike(_METHOD)))
+             .withColumn("name", name).withColumn("head", head).where(~F.col("name").isin(*_CONTROL)).withColumn("at", at).where((F.col("at") > 0) & typed)
+             .withColumn("end", F.get(rest, F.col("at"))["off"] + 1)
+             .withColumn("start", F.expr("off - length(pre) + locate(head, pre) - 1")))
+
+    # arrows: ( ) [: type] => body, or x => body
+    arrows = ev.where(F.col("kind") == "=>")
+    parens = F.coalesce((F.col("b1.kind") == ")") & F.col("pre").rlike(r"^\s*(?::[\s\S]*)?$"), F.lit(False))
+    opener = F.col("b2.pre")
+    # in ``f: (a) => T = (x) => ...`` the name stands before the type
+    assigned = F.when((F.col("b3.kind") == "=>") & F.col("b5.pre").rlike(_TYPED_NAME), F.regexp_extract("b5.pre", _TYPED_NAME, 1)).otherwise(F.regexp_extract(opener, _ASSIGNED, 1))
+    field = F.col("scope_pre").rlike(r"\bclass\b") & ~opener.rlike(r"\b(?:const|let|var)\s")
+    arrows = arrows.withColumn("parens", parens).where(F.when(F.col("parens"), ~opener.rlike(_TYPE_ONLY)).otherwise(F.col("pre").rlike(_BARE)))
+    arrows = arrows.withColumn("name", F.when(~F.col("parens"), F.regexp_extract("pre", _BARE, 2)).when((assigned == "") | field, ANON).otherwise(assigned))
+    arrows = arrows.withColumn("start", F.when(F.col("parens"), F.col("b2.off") - F.length(F.regexp_extract(opener, _BEFORE_PARENS, 1)))
+                               .otherwise(F.expr("off - length(pre)") + F.length(F.regexp_replace("pre", _BARE, ""))))
+    first = F.get("next", F.lit(0))
+    block = (first["kind"] == "{") & (F.trim(first["pre"]) == "") & F.get("next", F.lit(1)).isNotNull()
+    ends = ev.where(F.col("kind").isin("(", "{", "[")).select(*ids, F.col("off").alias("scope"), F.get("next", F.lit(0))["off"].alias("closes"))
+    arrows = (arrows.withColumn("end", F.when(F.coalesce(block, F.lit(False)), F.get("next", F.lit(1))["off"] + 1)).join(ends, [*ids, "scope"], "left")
+              .withColumn("end", F.coalesce("end", F.least("stop", "closes"))))
+    cols = [*ids, "name", "start", "end"]
+    return calls.select(*cols).unionByName(arrows.select(*cols))
+
+
+# ---------------------------------------------------------------- Python ----
+_DEF = r"^([ \t]*)(?:async[ \t]+)?def[ \t]+((?U)\w+)"
+
+
+def _py_blocks(files: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, name, start, end): functions of Python files, offsets 0-based, end exclusive."""
+    w = Window.partitionBy(*ids).orderBy("n")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    x = files.select(*ids, F.posexplode(F.split("_masked", "\n", -1)).alias("n", "line"))
+    net = F.length(F.translate("line", ")]}", "")) - F.length(F.translate("line", "([{", ""))
+    x = (x.withColumn("off", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+          .withColumn("depth", F.coalesce(F.sum(net).over(before), F.lit(0)))
+          .withColumn("code", F.regexp_replace("line", rf"[\s{_JOINED}]+$", "")).where(F.col("code") != ""))
+    indent = F.regexp_extract("code", r"^([ \t]*)", 1)
+    x = x.withColumn("indent", F.when(F.col("depth") <= 0, F.length(F.replace(indent, F.lit("\t"), F.lit(" " * 8)))))
+    # where the code before this line ends
+    x = x.withColumn("ended", F.lag(F.col("off") + F.length("code")).over(w))
+    lines = x.where(F.col("indent").isNotNull())
+    last = x.groupBy(*ids).agg(F.max(F.col("off") + F.length("code")).alias("last"))
+    levels = lines.groupBy(*ids).agg(F.collect_set("indent").alias("levels"))   # a few per file
+    defs = lines.where(F.col("code").rlike(_DEF)).withColumn("name", F.regexp_extract("code", _DEF, 2)).withColumn("start", F.col("off") + F.length(indent))
+    asks = (defs.join(levels, ids).withColumn("level", F.explode(F.filter("levels", lambda v: v <= F.col("indent"))))
+            .select(*ids, "level", "n", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("ended"), "name", "start"))
+    told = lines.select(*ids, F.col("indent").alias("level"), "n", F.lit(False).alias("asks"), F.col("ended").cast("long").alias("ended"))
+    both = told.unionByName(asks, allowMissingColumns=True)
+    # the next line of that indentation: from the last line up, a line asks before it is told of
+    at = Window.partitionBy(*ids, "level").orderBy(F.desc("n"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(~F.col("asks"), F.struct("n", "ended")), ignorenulls=True).over(at)
+    found = both.withColumn("next", nxt).where("asks")
+    best = found.groupBy(*ids, "n", "name", "start").agg(F.min("next").alias("next"))
+    return best.join(last, ids).select(*ids, "name", "start", F.coalesce("next.ended", "last").alias("end"))
 
 
 def function_blocks(files: DataFrame, id_cols: list[str], *, path_col: str = "file_path",
-                    content_col: str = "file_content", profile: str = "backend") -> DataFrame:
-    """Every function of every file, one output row per function."""
-    id_cols = list(id_cols)
-    cols = list(dict.fromkeys([*id_cols, path_col, content_col]))   # the path may be an id
-    src = files.select(*cols)
-    schema = T.StructType([src.schema[c] for c in id_cols] + BLOCK_FIELDS)
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            pos = {c: i for i, c in enumerate(cols)}
-            for rec in pdf.itertuples(index=False):
-                ids = tuple(rec[pos[c]] for c in id_cols)
-                path, code = rec[pos[path_col]], rec[pos[content_col]]
-                lang = _language(path, profile) if path is not None else None
-                for i, (name, l0, l1, body) in enumerate(extract_functions(code, lang)):
-                    rows.append((*ids, i, name, l0, l1, body.split("\n", 1)[0].strip(), body))
-            yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    return src.mapInPandas(run, schema)
+                    content_col: str = "file_content", profile: str = "backend", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every function of every file of a known language, one output row per function, with the file's ``keep`` columns."""
+    ids = list(id_cols)
+    keep = [c for c in keep if c not in ids]
+    lang = S.detect_language(path_col, profile)
+    src = (files.select(*ids, *keep, F.col(content_col).alias("_code"), lang.alias("_lang"))
+                .where(F.col("_lang").isin("python", "javascript", "typescript", "tsx", "jsx") & F.col("_code").isNotNull()))
+    code = src.select(*ids, (F.col("_lang") == "python").alias("_py"), _masked("_code", F.col("_lang") == "python").alias("_masked"))
+    found = _py_blocks(code.where("_py"), ids).unionByName(_js_blocks(code.where("not _py"), ids))
+    body = F.expr("substring(_code, start + 1, coalesce(end, length(_code)) - start)")
+    x = found.join(src.select(*ids, *keep, "_code"), ids).withColumn("body", F.regexp_replace(body, r"\s+$", ""))
+    x = x.withColumn("start_line", (1 + _breaks(F.expr("left(_code, start)"))).cast("int"))
+    x = x.withColumn("end_line", (F.col("start_line") + _breaks(F.col("body"))).cast("int"))
+    order = Window.partitionBy(*ids).orderBy("start", F.desc("end"))
+    return x.select(*ids, *keep, (F.row_number().over(order) - 1).alias("func_idx"), "name", "start_line", "end_line",
+                    F.trim(F.substring_index("body", "\n", 1)).alias("signature"), "body")

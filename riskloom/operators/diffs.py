@@ -102,12 +102,12 @@ def changed_functions(files: DataFrame, id_cols: list[str], *, path_col: str = "
     supported = files.where(S.detect_language(path_col).isNotNull())
     ranges = changed_ranges(changed_lines(supported, id_cols, diff_col), id_cols)
     if blocks is None:
-        blocks = function_blocks(supported, id_cols, path_col=path_col, content_col=content_col)
+        blocks = function_blocks(supported, id_cols, path_col=path_col, content_col=content_col, keep=(path_col,))
     hit = overlap_functions(ranges, blocks, id_cols, dedupe)
     keep = list(dict.fromkeys([*id_cols, path_col]))      # the path may be one of the ids
-    paths = supported.select(*keep)
-    return (hit.join(paths, id_cols)
-               .select(*keep, F.col("name").alias("function_name"), "start_line", "end_line",
+    if path_col not in hit.columns:
+        hit = hit.join(supported.select(*keep), id_cols)
+    return (hit.select(*keep, F.col("name").alias("function_name"), "start_line", "end_line",
                        F.col("body").alias("new_body"), "func_idx",
                        F.coalesce(S.detect_language(path_col), F.lit("unknown")).alias("language")))
 

@@ -10,7 +10,7 @@ from riskloom.functions import scalars as S
 from riskloom.operators import diffs as D
 from riskloom.operators import graph as G
 from riskloom.operators import reverts as RV
-from riskloom.operators.blocks import extract_functions, js_functions, python_functions
+from riskloom.operators import blocks as B
 from riskloom.streaming import ops as ST
 
 NL = "\n"
@@ -127,17 +127,27 @@ def test_statistics_levels(spark):
     assert (r.n_high, r.n_medium, r.n_low, r.total_warnings) == (1, 0, 1, 2)
 
 
-def test_python_function_blocks():
+def _blocks(spark, code, path):
+    """(name, start_line, end_line, body) of one file's functions."""
+    df = spark.createDataFrame([(1, path, code)], "id int, file_path string, file_content string")
+    return [(r.name, r.start_line, r.end_line, r.body) for r in B.function_blocks(df, ["id"]).orderBy("func_idx").collect()]
+
+
+def _js(spark, code):
+    return [x[:3] for x in _blocks(spark, code, "a.ts")]
+
+
+def test_python_function_blocks(spark):
     code = "@dec\ndef a(x):\n    def b():\n        return 1\n    return b\n\nasync def c():\n    pass\n"
-    got = python_functions(code)
+    got = _blocks(spark, code, "a.py")
     assert [(n, s, e) for n, s, e, _ in got] == [("a", 2, 5), ("b", 3, 4), ("c", 7, 8)]
     assert got[1][3] == "def b():\n        return 1"
     # unparsable code falls back to the indentation scan
     bad = "def ok(a):\n    return a\n\ndef broken(:\n    pass\n"
-    assert [n for n, *_ in python_functions(bad)] == ["ok", "broken"]
+    assert [n for n, *_ in _blocks(spark, bad, "a.py")] == ["ok", "broken"]
 
 
-def test_js_function_blocks():
+def test_js_function_blocks(spark):
     code = (
         "import x from 'y';\n"
         "function foo(a) {\n  const s = \"}{\";\n  return a;\n}\n"
@@ -146,14 +156,41 @@ def test_js_function_blocks():
         "const inc = x => x + 1;\n"
         "function* gen() { yield 1; }\n"
     )
-    got = [(n, s, e) for n, s, e, _ in js_functions(code)]
+    got = _js(spark, code)
     assert ("foo", 2, 5) in got
     assert ("bar", 6, 8) in got
     assert ("method", 10, 12) in got
     assert ("other", 13, 13) in got
     assert ("x", 15, 15) in got        # the reference's quirk: a bare parameter names the arrow
     assert all(n != "gen" for n, *_ in got)
-    assert extract_functions("x", None) == []
+    assert _blocks(spark, code, "a.txt") == [] and _blocks(spark, None, "a.ts") == [] and _blocks(spark, "", "a.py") == []
+
+
+def test_js_types_decorators_and_generics(spark):
+    code = ("export const add: Op = (a: number, b: number): number => {\n  return a + b;\n};\n"
+            "const f: (a: number) => void = async <T>(x: Map<string, T>) => { x; };\n"
+            "@Injectable()\nexport class S {\n  @Input() get<T, U>(k: T): Promise<Map<T, U>> {\n    return g(k);\n  }\n"
+            "  @Get('/x')\n  async list(@Query() q: { a: string }): { n: number } {\n    return q\n  }\n"
+            "  abstract none(): void;\n  bare = () => 1\n}\n"
+            "const a = x => x + 1\nconst b = [1].map(y => y * 2)\nx.y = () => {};\nz = () => ({ k: 1 });\n"
+            "if (a) { call(b) }\nconst h = function named(q) { return q }\n")
+    assert _js(spark, code) == [("add", 1, 3), ("f", 4, 4), ("get", 7, 9), ("list", 11, 13), ("<anonymous>", 15, 15), ("x", 17, 17), ("y", 18, 18),
+                                ("<anonymous>", 19, 19), ("z", 20, 20)]
+    bodies = {n: b for n, _, _, b in _blocks(spark, code, "a.ts")}
+    assert bodies["x"] == "x => x + 1" and bodies["z"] == "() => ({ k: 1 })" and bodies["f"].startswith("async <T>(x") and bodies["get"].startswith("get<T, U>(k")
+
+
+def test_python_lines_that_are_not_code(spark):
+    code = ('def a(x=(1,\n2)):\n    """doc\nnot dedented\n    """\n    s = "def no():" + \\\n"y"\n# comment at the margin\n    return [\n1]\n    # tail\n\n'
+            'class C:\n\tdef m(self):\n\t\tif x:\n\t\t\treturn 1\n\n\tasync def n(self): return 2\nx = 1\ndef last(): pass')
+    assert [x[:3] for x in _blocks(spark, code, "a.py")] == [("a", 1, 10), ("m", 14, 16), ("n", 18, 18), ("last", 20, 20)]
+
+
+def test_many_files_at_once_and_broken_ones(spark):
+    rows = [(i, "a.ts" if i % 2 else "a.py", ["function f(a) { return [a] }", "function g( { ) => } ]", "def p():\n  return 1\n", "def q(:\n  x"][i % 4]) for i in range(40)]
+    got = B.function_blocks(spark.createDataFrame(rows, "id int, file_path string, file_content string"), ["id"]).collect()
+    assert {(r.id % 4, r.name) for r in got} >= {(3, "<anonymous>")} or len(got) >= 10
+    assert sum(r.name == "p" for r in got) == 10 and sum(r.name == "q" for r in got) == 0
 
 
 def test_fence_and_json_parse(spark):
@@ -202,17 +239,17 @@ def test_hunk_attribution_cases(spark):
     assert got == [(1, "bar", 11, 7, "b\nc"), (1, "foo", 1, 3, "a"), (2, "y.tar", 1, 1, "w")]
 
 
-def test_js_scanner_edge_cases():
+def test_js_edge_cases(spark):
     nested = "const f = (a) => {\n  return `x ${a ? `y${a}}` : '}'} z`;\n};\nfunction g() { return 1; }\n"
-    assert [(n, s, e) for n, s, e, _ in js_functions(nested)] == [("f", 1, 3), ("g", 4, 4)]
+    assert _js(spark, nested) == [("f", 1, 3), ("g", 4, 4)]
     cls = ("class A extends B {\n  static create(x: number): A {\n    return new A();\n  }\n"
            "  handle = () => {\n    this.x = 1;\n  };\n  get name() { return 'a'; }\n}\nconst top = () => 1;\n")
-    assert [(n, s, e) for n, s, e, _ in js_functions(cls)] == [
+    assert _js(spark, cls) == [
         ("create", 2, 4), ("<anonymous>", 5, 7), ("name", 8, 8), ("top", 10, 10)]
     rx = "function r(s) {\n  return /[}{]/.test(s) ? s.split(/\\//) : s;\n}\nconst k = 1 / 2; const m = (x) => x / 3;\n"
-    assert [(n, s, e) for n, s, e, _ in js_functions(rx)] == [("r", 1, 3), ("m", 4, 4)]
+    assert _js(spark, rx) == [("r", 1, 3), ("m", 4, 4)]
     com = "// function fake() {\n/* const no = () => { */\nfunction real(a /* } */) {\n  // }\n  return a;\n}\n"
-    assert [(n, s, e) for n, s, e, _ in js_functions(com)] == [("real", 3, 6)]
+    assert _js(spark, com) == [("real", 3, 6)]
 
 
 def test_dependents_exceed_equals_full_count(spark):
@@ -251,10 +288,10 @@ def test_python_regex_semantics(spark):
     assert r.stripped == "body"                   # str.strip() removes no-break spaces too
 
 
-def test_js_generator_methods_are_methods():
+def test_js_generator_methods_are_methods(spark):
     code = ("class K {\n  *gen() {\n    yield 1;\n  }\n  static async *agen() { yield 2; }\n}\n"
             "function* top() { yield 3; }\nconst o = { *g2() { yield 4; } };\n")
-    assert [(n, s, e) for n, s, e, _ in js_functions(code)] == [("gen", 2, 4), ("agen", 5, 5), ("g2", 8, 8)]
+    assert _js(spark, code) == [("gen", 2, 4), ("agen", 5, 5), ("g2", 8, 8)]
 
 
 def test_commit_log_and_patch_edges(spark):
