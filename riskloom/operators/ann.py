@@ -116,7 +116,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame | None:
     return None if rows is None else rows.drop("batch")
 
 
-def _crowded(rows: DataFrame, keys: list[str], block_rows: int, name: str) -> DataFrame:
+def crowded(rows: DataFrame, keys: list[str], block_rows: int, name: str) -> DataFrame:
     """The buckets of more than a block, with their number of blocks."""
     return (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
                 .select(*keys, F.ceil(F.col("_n") / block_rows).cast("int").alias(name)))
@@ -134,7 +134,7 @@ def paired_blocks(queries: DataFrame, index: DataFrame, key_cols: list[str], blo
     if index is not queries:
         index = index.join(queries.select("shard").distinct(), "shard", "left_semi").join(queries.select(*keys).distinct(), keys, "left_semi")
     q, h = queries.select(*fields), index.select(*fields)
-    nq, nh = _crowded(q, keys, block_rows, "_nq"), _crowded(h, keys, block_rows, "_nh")
+    nq, nh = crowded(q, keys, block_rows, "_nq"), crowded(h, keys, block_rows, "_nh")
     cells = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.xxhash64(*keys)
 

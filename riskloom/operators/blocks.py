@@ -211,6 +211,8 @@ def function_blocks(files: DataFrame, id_cols: list[str], *, path_col: str = "fi
     lang = S.detect_language(path_col, profile)
     src = (files.select(*ids, *keep, F.col(content_col).alias("_code"), lang.alias("_lang"))
                 .where(F.col("_lang").isin("python", "javascript", "typescript", "tsx", "jsx") & F.col("_code").isNotNull()))
+    # one exchange by file serves all windows and joins; a fixed count, as a small file table is much work
+    src = src.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids)
     code = src.select(*ids, (F.col("_lang") == "python").alias("_py"), _masked("_code", F.col("_lang") == "python").alias("_masked"))
     found = _py_blocks(code.where("_py"), ids).unionByName(_js_blocks(code.where("not _py"), ids))
     body = F.expr("substring(_code, start + 1, coalesce(end, length(_code)) - start)")

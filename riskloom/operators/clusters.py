@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..session import ensure_checkpoint_dir, materialize
-from .ann import GROUP, LshPlan, bucketed, buckets_of, paired_blocks
+from .ann import GROUP, LshPlan, bucketed, buckets_of, crowded, paired_blocks
 
 
 def exact_duplicates(df: DataFrame, *, keys=("repo_id",), id_col="seq", text_col="code_body") -> DataFrame:
@@ -41,7 +41,7 @@ def exact_duplicates(df: DataFrame, *, keys=("repo_id",), id_col="seq", text_col
 
 
 # Buckets for links at cosine 0.9, where a sign agrees with probability 0.856.
-DUPLICATES = LshPlan(bits=8, tables=16, probes=0)
+DUPLICATES = LshPlan(bits=6, tables=10, probes=0)
 
 
 def _stars(adjacent: np.ndarray, q_ids: np.ndarray, h_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,6 @@ def similarity_forest(vectors: DataFrame, *, keys=("repo_id",), id_col="seq", ve
     blocks of a crowded one) to stars on local component minima."""
     keys = list(keys)
     rows = bucketed(vectors, plan, keys, id_col, id_col, **({"sparse": sparse} if sparse else {"vec_col": vec_col}))
-    qx, hx = paired_blocks(rows, rows, keys, block_rows)
     kind = rows.schema["_id"].dataType
     schema = T.StructType([vectors.schema[c] for c in keys] + [T.StructField("a", kind), T.StructField("b", kind)])
 
@@ -85,7 +84,13 @@ def similarity_forest(vectors: DataFrame, *, keys=("repo_id",), id_col="seq", ve
         of = q.take(pa.array(first))
         return pa.table({**{c: of[c] for c in keys}, "a": pa.array(np.concatenate(a) if a else [], ids), "b": pa.array(np.concatenate(b) if b else [], ids)})
 
-    return qx.groupBy(*GROUP).cogroup(hx.groupBy(*GROUP)).applyInArrow(stars, schema).distinct()
+    # a bucket that is no more than a block meets itself, so its rows are sent once
+    bucket = [*keys, "_bucket"]
+    large = crowded(rows, bucket, block_rows, "_blocks").select(*bucket)
+    cells = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = rows.join(large, bucket, "left_anti").groupBy(F.pmod(F.xxhash64(*bucket), F.lit(cells)).alias("_cell")).applyInArrow(lambda t: stars(t, t), schema)
+    qx, hx = paired_blocks(*[rows.join(large, bucket, "left_semi")] * 2, keys, block_rows)
+    return small.unionByName(qx.groupBy(*GROUP).cogroup(hx.groupBy(*GROUP)).applyInArrow(stars, schema)).distinct()
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, keys=()) -> DataFrame:

@@ -118,6 +118,26 @@ SELECT concat('f', CAST(s_suppkey AS STRING)),
 FROM supplier
 """
 
+# Modules in Python packages and TypeScript folders, and the specifiers by which they name each other.
+FX["fx_modules"] = """
+SELECT s_suppkey AS k, concat('repo', CAST(s_suppkey % 2 AS STRING)) AS repo_id,
+  concat(CASE WHEN s_suppkey % 2 = 0 THEN 'backend/app/p' ELSE 'web/src/p' END, CAST(CAST(floor(s_suppkey / 2) AS BIGINT) % 7 AS STRING), '/m', CAST(s_suppkey AS STRING),
+    CASE s_suppkey % 6 WHEN 0 THEN '.py' WHEN 2 THEN '/__init__.py' WHEN 4 THEN '.py' WHEN 1 THEN '.ts' WHEN 3 THEN '/index.tsx' ELSE '.js' END) AS file_path
+FROM supplier
+"""
+
+FX["fx_module_imports"] = """
+SELECT concat('repo', CAST(k % 2 AS STRING)) AS repo_id, src,
+  CASE WHEN k % 11 = 5 THEN CASE WHEN k % 2 = 0 THEN 'numpy.linalg' ELSE 'react' END
+       WHEN k % 2 = 0 AND j % 14 = k % 14 THEN concat(CASE WHEN k % 6 = 2 THEN '..' ELSE '.' END, 'm', CAST(j AS STRING))
+       WHEN k % 2 = 0 THEN concat('app.p', CAST(CAST(floor(j / 2) AS BIGINT) % 7 AS STRING), '.m', CAST(j AS STRING))
+       ELSE concat(CASE WHEN k % 6 = 3 THEN '../../p' ELSE '../p' END, CAST(CAST(floor(j / 2) AS BIGINT) % 7 AS STRING), '/m', CAST(j AS STRING), CASE WHEN k % 5 = 1 THEN '.js' ELSE '' END) END AS dst
+FROM (SELECT s_suppkey AS k, s_suppkey + 2 * (1 + s_suppkey * 13 % 23) AS j,
+        concat(CASE WHEN s_suppkey % 2 = 0 THEN 'backend/app/p' ELSE 'web/src/p' END, CAST(CAST(floor(s_suppkey / 2) AS BIGINT) % 7 AS STRING), '/m', CAST(s_suppkey AS STRING),
+          CASE s_suppkey % 6 WHEN 0 THEN '.py' WHEN 2 THEN '/__init__.py' WHEN 4 THEN '.py' WHEN 1 THEN '.ts' WHEN 3 THEN '/index.tsx' ELSE '.js' END) AS src
+      FROM supplier) t
+"""
+
 FX["fx_uses_table"] = """
 SELECT DISTINCT concat('f', CAST(l_suppkey AS STRING)) AS file_path,
   concat('t', CAST(l_partkey AS STRING)) AS table_name
@@ -191,6 +211,7 @@ FX_SOURCES = {
     "fx_commits": ("documents",), "fx_functions": ("documents",),
     "fx_vectors": ("embeddings",), "fx_file_diffs": ("part",),
     "fx_patches": ("part",), "fx_js_files": ("part",), "fx_imports": ("supplier",),
+    "fx_modules": ("supplier",), "fx_module_imports": ("supplier",),
     "fx_uses_table": ("lineitem",), "fx_calls_api": ("lineitem",),
     "fx_modifies": ("lineitem",), "fx_contains": ("lineitem",), "fx_outcome_events": ("events",),
     "fx_warnings": ("events",),

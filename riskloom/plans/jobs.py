@@ -29,6 +29,7 @@ from ..operators import clusters as CL
 from ..operators import diffs as D
 from ..operators import graph as G
 from ..operators import history as H
+from ..operators import imports as IM
 from ..operators import reverts as RV
 from ..operators import risk as R
 from ..operators import vectors as V
@@ -256,7 +257,9 @@ def statistics(spark: SparkSession, store: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, store: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(_path(store, "edges", n)).dropDuplicates() for n in EDGE_TYPES}
+    """The stored edges; imports between files of a repository end at the file, not at the specifier."""
+    e = {n: spark.read.parquet(_path(store, "edges", n)).dropDuplicates() for n in EDGE_TYPES}
+    return e | {"imports": IM.file_edges(IM.resolve_imports(e["imports"], e["modifies"]))}
 
 
 def dependency_risk(spark: SparkSession, store: str) -> DataFrame:

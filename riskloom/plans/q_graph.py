@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import graph as G
+from ..operators import imports as IM
 from .catalog import query
 from .fixtures import cte, fx
 
@@ -239,3 +240,39 @@ def graph_stats(spark, sf_dir):
     """Node counts per repository (true counts)."""
     f = fx(spark, sf_dir, "fx_file_diffs").where(S.detect_language("file_path").isNotNull())
     return G.graph_stats(G.kg_edges(f, keys=["repo_id"]), keys=["repo_id"])
+
+
+# The twin walks the path step by step: it drops one "folder/.." per round.
+_RESOLVE_SQL = "WITH RECURSIVE " + cte("fx_modules", "fx_module_imports")[5:] + """,
+i AS (SELECT DISTINCT repo_id, src, dst, regexp_extract(src, '^(.*)/[^/]*$', 1) AS dir FROM fx_module_imports),
+walk AS (SELECT repo_id, src, dst, concat(dir, '/', dst) AS p FROM i WHERE dst LIKE '.%/%'
+         UNION ALL
+         SELECT repo_id, src, dst, regexp_replace(p, '[^/.]+/[.][.]/', '') FROM walk WHERE p LIKE '%/../%'),
+js AS (SELECT repo_id, src, dst, p FROM walk WHERE p NOT LIKE '%/../%' UNION ALL SELECT repo_id, src, dst, dst FROM i WHERE src NOT LIKE '%.py' AND dst NOT LIKE '.%'),
+ext(n, e) AS (VALUES (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.js'), (4, '.jsx'), (5, '.mjs'), (6, '.cjs'), (7, '/index.ts'), (8, '/index.tsx'), (9, '/index.js'), (10, '/index.jsx')),
+py AS (SELECT repo_id, src, dst, string_split(dir, '/') AS parts, length(dst) - length(ltrim(dst, '.')) AS dots, replace(ltrim(dst, '.'), '.', '/') AS rest FROM i WHERE src LIKE '%.py'),
+up AS (SELECT *, unnest(CASE WHEN dots > 0 THEN [len(parts) - dots + 1] ELSE range(0, len(parts) + 1) END) AS depth FROM py),
+tries AS (SELECT repo_id, src, dst, n, concat(p, e) AS path FROM js, ext
+          UNION ALL SELECT repo_id, src, dst, 20 + n, concat(regexp_replace(p, '[.]js$', ''), e) FROM js, ext WHERE p LIKE '%.js' AND n IN (1, 2)
+          UNION ALL SELECT repo_id, src, dst, 100 - 2 * depth + x, concat(CASE WHEN depth = 0 THEN '' ELSE concat(array_to_string(parts[1:depth], '/'), '/') END, rest, e)
+                    FROM up, (VALUES (0, '.py'), (1, '/__init__.py')) v(x, e)),
+hit AS (SELECT t.repo_id, src, dst, arg_min(file_path, n) AS target FROM tries t JOIN fx_modules m ON m.repo_id = t.repo_id AND m.file_path = t.path GROUP BY t.repo_id, src, dst)
+"""
+
+
+@query("resolve_imports", _RESOLVE_SQL + """
+SELECT i.repo_id, i.src, i.dst AS specifier, hit.target FROM i LEFT JOIN hit ON hit.repo_id = i.repo_id AND hit.src = i.src AND hit.dst = i.dst
+""")
+def resolve_imports(spark, sf_dir):
+    """Specifiers of Python and TypeScript modules resolved to files of their repository."""
+    return IM.resolve_imports(fx(spark, sf_dir, "fx_module_imports"), fx(spark, sf_dir, "fx_modules"))
+
+
+@query("resolved_dependents", _RESOLVE_SQL + """
+SELECT repo_id, target AS file_path, count(DISTINCT src) AS n_importers FROM hit WHERE target <> src GROUP BY repo_id, target
+""")
+def resolved_dependents(spark, sf_dir):
+    """G5 on resolved edges: how many files import each file directly."""
+    edges = IM.resolve_imports(fx(spark, sf_dir, "fx_module_imports"), fx(spark, sf_dir, "fx_modules"))
+    return (edges.where(F.col("target").isNotNull() & (F.col("target") != F.col("src")))
+                 .groupBy("repo_id", F.col("target").alias("file_path")).agg(F.countDistinct("src").alias("n_importers")))
