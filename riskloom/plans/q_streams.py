@@ -73,6 +73,25 @@ def outcome_trend(spark, sf_dir):
     return ST.outcome_trend(fx(spark, sf_dir, "fx_outcome_events"))
 
 
+@query("outcome_sliding", cte("fx_outcome_events") + """
+SELECT time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * k) AS window_start, kind, count(*) AS n_events
+FROM fx_outcome_events, range(4) r(k) GROUP BY ALL
+""")
+def outcome_sliding(spark, sf_dir):
+    """Outcome-event counts per kind in days that start every six hours."""
+    return ST.outcome_sliding(fx(spark, sf_dir, "fx_outcome_events"))
+
+
+@query("outcome_sessions", cte("fx_outcome_events") + """,
+g AS (SELECT kind, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY kind ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS opens FROM fx_outcome_events),
+s AS (SELECT kind, ts, sum(opens) OVER (PARTITION BY kind ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM g)
+SELECT min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, kind, count(*) AS n_events FROM s GROUP BY kind, nth
+""")
+def outcome_sessions(spark, sf_dir):
+    """Runs of outcome events of a kind with less than an hour between them."""
+    return ST.outcome_sessions(fx(spark, sf_dir, "fx_outcome_events"))
+
+
 @query("parse_timestamps", """
 SELECT event_id,
   epoch_us(TRY_CAST(regexp_replace(concat(replace(CAST(ts AS VARCHAR), ' ', 'T'), 'Z'), 'Z$', '+00:00') AS TIMESTAMPTZ)) AS iso_us,

@@ -5,7 +5,7 @@ Structured Streaming form.
   one seen. Batch: ``lag`` split by time bucket so one hot repository is spread
   over many window partitions; the first row of each bucket is fixed up from
   the previous non-empty bucket (a per-bucket aggregate, tiny).
-  Stream: per-key state holding the last head (``applyInPandasWithState``).
+  Stream: ``state.head_changes_ordered``.
 * T5 ``quota_audit``: N requests per 60 s window anchored at the first request
   of the window; rejected requests do not extend it. The window start depends
   on the previous window, so this is arbitrary state, not ``window()``.
@@ -14,10 +14,12 @@ Structured Streaming form.
   over many tasks. ``method='scan'``: rows sorted by (key, time) inside hash
   partitions and scanned by ``mapInPandas`` with the state carried across
   Arrow batches (memory bounded, but one key is one sequential scan).
-  Stream: ``applyInPandasWithState`` with the state (window_start, count) per key.
+  Stream: ``state.quota_audit_ordered``.
 * T6 ``cache_valid``: TTL validity as of a given instant.
-* T7 ``outcome_trend``: daily counts per event kind; the stream form adds a
-  watermark so old windows are finalised and their state dropped.
+* T7 ``outcome_trend``: daily counts per event kind, ``outcome_sliding`` in
+  overlapping windows, ``outcome_sessions`` in sessions that end after a gap; the
+  stream form of each adds a watermark so old windows are finalised and their
+  state dropped.
 """
 
 from __future__ import annotations
@@ -54,33 +56,6 @@ def head_changes(events: DataFrame, *, key_col="repo_id", head_col="head", ts_co
              .drop("_b", "_prev", "_pos", "_carry"))
 
 
-def head_changes_stream(events: DataFrame, *, key_col="repo_id", head_col="head", ts_col="ts",
-                        id_col="event_id") -> DataFrame:
-    """Streaming T1: per-key state = last head seen; emits the changing rows."""
-    in_cols = [key_col, id_col, ts_col, head_col]
-    out_schema = T.StructType([events.schema[c] for c in in_cols])
-    state_schema = T.StructType([T.StructField("last", events.schema[head_col].dataType),
-                                 T.StructField("last_ts", events.schema[ts_col].dataType),
-                                 T.StructField("last_id", events.schema[id_col].dataType)])
-
-    def fn(key, pdfs, state):
-        last = state.get if state.exists else (None, None, None)
-        last_head, last_ts, last_id = last
-        outs = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values([ts_col, id_col])
-            for rec in pdf.itertuples(index=False):
-                h = getattr(rec, head_col)
-                if last_head is None or h != last_head:
-                    outs.append(rec)
-                last_head, last_ts, last_id = h, getattr(rec, ts_col), getattr(rec, id_col)
-        state.update((last_head, last_ts, last_id))
-        yield pd.DataFrame(outs, columns=in_cols) if outs else pd.DataFrame(columns=in_cols)
-
-    return (events.select(*in_cols).groupBy(key_col)
-                  .applyInPandasWithState(fn, out_schema, state_schema, "append", "NoTimeout"))
-
-
 # ------------------------------------------------------------------ T5 -----
 def _quota_scan(key_col, ts_col, limit, window_s):
     window_us = int(window_s * 1_000_000)
@@ -134,39 +109,6 @@ def quota_audit(requests: DataFrame, *, key_col="api_key", ts_col="ts", id_col="
     return ordered.mapInPandas(_quota_scan(key_col, ts_col, limit, window_s), schema)
 
 
-def quota_audit_stream(requests: DataFrame, *, key_col="api_key", ts_col="ts", id_col="event_id",
-                       limit: int = QUOTA_LIMIT, window_s: int = QUOTA_WINDOW_SECONDS) -> DataFrame:
-    """T5 stream: state (window_start seconds, count) per key; late rows within a
-    micro-batch are ordered by time, rows older than the state are decided as-of
-    arrival (the reference also decides on arrival)."""
-    cols = [key_col, id_col, ts_col]
-    out_schema = T.StructType([requests.schema[c] for c in cols] + [
-        T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType())])
-    state_schema = T.StructType([T.StructField("start", T.LongType()), T.StructField("count", T.LongType())])
-
-    def fn(key, pdfs, state):
-        start, count = state.get if state.exists else (None, 0)
-        window_us = int(window_s * 1_000_000)
-        outs = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values([ts_col, id_col])
-            us = pdf[ts_col].to_numpy(dtype="datetime64[us]").astype("int64").tolist()
-            for rec, t in zip(pdf.itertuples(index=False), us):
-                if start is None or t >= start + window_us:
-                    start, count = t, 1
-                    outs.append((*rec, True, limit - 1))
-                elif count >= limit:
-                    outs.append((*rec, False, 0))
-                else:
-                    count += 1
-                    outs.append((*rec, True, limit - count))
-        state.update((start, count))
-        yield pd.DataFrame(outs, columns=[*cols, "allowed", "remaining"])
-
-    return (requests.select(*cols).groupBy(key_col)
-                    .applyInPandasWithState(fn, out_schema, state_schema, "append", "NoTimeout"))
-
-
 # ------------------------------------------------------------------ T6 -----
 def cache_valid(entries: DataFrame, as_of, *, key_cols=("key",), ts_col="ts",
                 ttl_seconds: int = EMBED_TTL_SECONDS) -> DataFrame:
@@ -190,14 +132,37 @@ def outcome_trend(events: DataFrame, *, ts_col="ts", kind_col="kind", every: str
                   .select(F.col("w.start").alias("window_start"), kind_col, "n_events"))
 
 
-def outcome_trend_stream(events: DataFrame, *, ts_col="ts", kind_col="kind", every: str = "1 day",
-                         watermark: str = "1 day") -> DataFrame:
-    """Streaming T7; watermarks need TIMESTAMP, so a TIMESTAMP_NTZ event time is
-    read as UTC (the session time zone) and the window start cast back."""
+def outcome_sliding(events: DataFrame, *, ts_col="ts", kind_col="kind", length: str = "1 day", slide: str = "6 hours") -> DataFrame:
+    """Counts per kind in windows of ``length`` that start every ``slide``."""
+    return (events.groupBy(F.window(ts_col, length, slide).alias("w"), kind_col)
+                  .agg(F.count(F.lit(1)).alias("n_events"))
+                  .select(F.col("w.start").alias("window_start"), kind_col, "n_events"))
+
+
+def outcome_sessions(events: DataFrame, *, ts_col="ts", kind_col="kind", gap: str = "1 hour") -> DataFrame:
+    """Runs of events of a kind with less than ``gap`` between neighbours; a session ends ``gap`` after its last event.
+
+    ``session_window`` merges partial sessions map-side, so a kind that holds most rows is not one task's sort of them all.
+    """
+    return (events.groupBy(F.session_window(ts_col, gap).alias("w"), kind_col)
+                  .agg(F.count(F.lit(1)).alias("n_events"))
+                  .select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), kind_col, "n_events"))
+
+
+def windowed_stream(events: DataFrame, batch_form, *, ts_col="ts", watermark: str = "1 day", **settings) -> DataFrame:
+    """The streaming form of a batch form above; watermarks need TIMESTAMP, so a TIMESTAMP_NTZ
+    event time is read as UTC (the session time zone) and the window bounds cast back."""
     ntz = isinstance(events.schema[ts_col].dataType, T.TimestampNTZType)
     ev = events.withColumn(ts_col, F.col(ts_col).cast("timestamp")) if ntz else events
-    out = outcome_trend(ev.withWatermark(ts_col, watermark), ts_col=ts_col, kind_col=kind_col, every=every)
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")) if ntz else out
+    out = batch_form(ev.withWatermark(ts_col, watermark), ts_col=ts_col, **settings)
+    bounds = [c for c in ("window_start", "session_start", "session_end") if c in out.columns]
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in bounds}) if ntz else out
+
+
+def outcome_trend_stream(events: DataFrame, *, ts_col="ts", kind_col="kind", every: str = "1 day",
+                         watermark: str = "1 day") -> DataFrame:
+    """Streaming T7."""
+    return windowed_stream(events, outcome_trend, ts_col=ts_col, kind_col=kind_col, every=every, watermark=watermark)
 
 
 # ------------------------------------------------------------- T6 + E5 -----

@@ -54,37 +54,6 @@ def _rows(df, cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_head_changes_stream_equals_batch(spark):
-    base = tempfile.mkdtemp(prefix="rl-t1-")
-    ev = table(spark, SMALL, "events").select(F.col("user_id").alias("repo_id"), "event_id", "ts",
-                                              F.col("event_type").alias("head"))
-    src = _chunks_to_dir(ev, 4, "ts", base)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (ST.head_changes_stream(stream).writeStream.format("memory").queryName("t1_out")
-           .option("checkpointLocation", f"{base}/ckpt").outputMode("append")
-           .trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    got = _rows(spark.table("t1_out"), ["repo_id", "event_id"])
-    want = _rows(ST.head_changes(ev), ["repo_id", "event_id"])
-    assert got == want and len(want) > 0
-
-
-def test_quota_stream_equals_batch(spark):
-    base = tempfile.mkdtemp(prefix="rl-t5-")
-    ev = table(spark, SMALL, "events").select(F.col("user_id").alias("api_key"), "event_id", "ts")
-    src = _chunks_to_dir(ev, 3, "ts", base)
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (ST.quota_audit_stream(stream, limit=3, window_s=86400).writeStream.format("memory")
-           .queryName("t5_out").option("checkpointLocation", f"{base}/ckpt").outputMode("append")
-           .trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    cols = ["api_key", "event_id", "allowed", "remaining"]
-    got = _rows(spark.table("t5_out"), cols)
-    want = _rows(ST.quota_audit(ev, limit=3, window_s=86400), cols)
-    assert got == want
-    assert any(not r[2] for r in want)          # the rule rejects something on this data
-
-
 def test_outcome_trend_stream_equals_batch(spark):
     base = tempfile.mkdtemp(prefix="rl-t7-")
     ev = fx(spark, SMALL, "fx_outcome_events")
@@ -98,6 +67,26 @@ def test_outcome_trend_stream_equals_batch(spark):
     assert _rows(spark.table("t7_out"), cols) == _rows(ST.outcome_trend(ev), cols)
 
 
+@pytest.mark.parametrize("form, cols", [(ST.outcome_sliding, ["window_start", "kind", "n_events"]), (ST.outcome_sessions, ["session_start", "session_end", "kind", "n_events"])])
+def test_sliding_and_session_streams_equal_batch_with_late_rows(spark, form, cols):
+    base = tempfile.mkdtemp(prefix="rl-t7w-")
+    ev = fx(spark, SMALL, "fx_outcome_events")
+    # files in an order that is up to half a day off the event time, then rows that let the watermark pass the rest
+    src = _chunks_to_dir(ev.withColumn("late", F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(43200))), 4, "late", base)
+    after = ev.agg(F.max("ts").alias("m")).select(F.lit(-1).cast("long").alias("event_id"), (F.col("m") + F.expr("interval 9 days")).cast("timestamp_ntz").alias("ts"))
+    for i in range(2):
+        (after.withColumn("ts", (F.col("ts") + F.expr(f"interval {i} days")).cast("timestamp_ntz")).withColumn("kind", F.lit("end"))
+              .coalesce(1).write.mode("append").parquet(src))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    name = form.__name__
+    q = (ST.windowed_stream(stream, form, watermark="1 day").writeStream.format("memory").queryName(name)
+           .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination(200)
+    got = [r for r in _rows(spark.table(name), cols) if "end" not in r]
+    assert got == _rows(form(ev), cols) and len(got) > 50
+
+
 def test_outcome_log_is_order_independent(spark):
     commits = fx(spark, SMALL, "fx_commits")
     ev = fx(spark, SMALL, "fx_outcome_events")
