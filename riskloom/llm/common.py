@@ -9,6 +9,7 @@ pins those for the session.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -49,6 +50,20 @@ def rows_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def without(docs: DataFrame, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``docs`` with all its columns, but without the rows whose ``_row`` is in ``rows(docs)``.
+
+    A scan has the same row ids each time it runs; anything else is written once before.
+    """
+    plan = docs._jdf.queryExecution().analyzed().toString().strip()
+    if "\n" in plan or not plan.startswith("Relation"):
+        docs = saved(docs)
+    gone, own = rows(docs), ROW
+    while own in docs.columns:
+        own += "_"
+    return docs.withColumn(own, row_id(docs)).join(gone.select(F.col(ROW).alias(own)), own, "left_anti").drop(own)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder."""
     return materialize(df)
@@ -79,6 +94,16 @@ def claim(cache: dict) -> None:
         _IN_USE[0] = cache
 
 
+class ByteCharacters(dict):
+    """Code point -> the characters that stand for its UTF-8 bytes: a byte by itself where it is printable Latin-1, else by one from U+0100 on."""
+
+    def __missing__(self, point: int) -> str:
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        said = "".join(chr(b) if b in plain else chr(256 + b - sum(p < b for p in plain)) for b in chr(point).encode())
+        self[point] = said
+        return said
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every input bit over the 64 output bits."""
     h = (h ^ (h >> np.uint64(30))) * MIX1

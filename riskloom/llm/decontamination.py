@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, ROW, WORDS, bitmap_of, in_bitmap, row_id, rows_of, saved, winnowed
+from .common import ALNUM, ROW, WORDS, bitmap_of, in_bitmap, rows_of, saved, winnowed, without
 
 LENGTH, K = 10, 5
 
@@ -94,5 +94,4 @@ def find_contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH,
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """``docs`` without the rows that hold a window of any item."""
-    hit = find_contamination(docs, items, **settings).where("n_hit > 0").select(ROW)
-    return docs.withColumn(ROW, row_id(docs)).join(hit, ROW, "left_anti").drop(ROW)
+    return without(docs, lambda docs: find_contamination(docs, items, **settings).where("n_hit > 0"))

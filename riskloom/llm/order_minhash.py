@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, MULT, ROW, WORDS, bitmap_of, gram_hashes, in_bitmap, mixed, row_id, rows_of, saved
+from .common import ALNUM, MULT, ROW, WORDS, bitmap_of, gram_hashes, in_bitmap, mixed, rows_of, saved, without
 from .components import components
 
 SHINGLE, SKETCHES, PICKED, SIMILARITY, BUCKET = 5, 12, 2, 0.8, 48
@@ -353,5 +353,4 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bucket: int = BU
 
 def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one row of each class."""
-    gone = near_duplicates(docs, **settings).where("not keep").select(ROW)
-    return docs.withColumn(ROW, row_id(docs)).join(gone, ROW, "left_anti").drop(ROW)
+    return without(docs, lambda docs: near_duplicates(docs, **settings).where("not keep"))

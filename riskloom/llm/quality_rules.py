@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, ROW, WORDS, gram_hashes, row_id, saved
+from .common import ALNUM, ROW, WORDS, gram_hashes, row_id, saved, without
 
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 MIN_CHARS, MIN_COMMON = 200, 300  # characters, words: shorter histograms are not judged
@@ -146,5 +146,4 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def keep_good(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` without the rows that the rules reject."""
-    gone = judge(docs, **settings).where("not kept").select(ROW)
-    return docs.withColumn(ROW, row_id(docs)).join(gone, ROW, "left_anti").drop(ROW)
+    return without(docs, lambda docs: judge(docs, **settings).where("not kept"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, row_id, saved
+from .common import ByteCharacters, claim, row_id, saved
 
 CHUNK = 1 << 16  # characters
 MAX_STATES = 150_000
@@ -155,16 +155,6 @@ class Transducer:
         return total + state.left
 
 
-class ByteCharacters(dict):
-    """Code point -> the characters that stand for its UTF-8 bytes: a byte by itself where it is printable Latin-1, else by one from U+0100 on."""
-
-    def __missing__(self, point: int) -> str:
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        said = "".join(chr(b) if b in plain else chr(256 + b - sum(p < b for p in plain)) for b in chr(point).encode())
-        self[point] = said
-        return said
-
-
 class WordCounts(dict):
     """Solid run of characters -> number of tokens: its map from start to start."""
 

@@ -34,3 +34,29 @@ def test_every_stage_takes_effect(spark, tmp_path):
     said = spark.read.parquet(f"{tmp_path}/3").where("doc_id = 106").first()
     assert said.text.endswith("write to <EMAIL> or <EMAIL> today") and said.n_chars == len(said.text)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_stages_keep_clashing_columns_and_drop_the_right_rows(spark, tmp_path):
+    """Input that is no scan, in other partitions, with columns named like the operators' own."""
+    clean = [(i, _text(300, 200 + i)) for i in range(40)]
+    rows = clean + [(100 + i, clean[i][1]) for i in range(5)] + [(200, "too short"), (201, None), (202, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), f"r{i}", f"c{i}", i) for i, t in rows], DOCS + ", _row string, _clean string, key long")
+    item = " ".join(clean[7][1].split()[30:50])
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs.where("doc_id >= 0").repartition(5)
+    got = dict(corpus_pipeline.STAGES)
+    kept = got["quality_rules"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in rows[:45]}
+    one = got["near_duplicates"](spark, kept.repartition(3), str(tmp_path))
+    assert {r.doc_id for r in one.collect()} == set(range(40))
+    left = got["decontamination"](spark, one.repartition(7), str(tmp_path)).collect()
+    assert {r.doc_id for r in left} == set(range(40)) - {7} and all((r._row, r._clean, r.key) == (f"r{r.doc_id}", f"c{r.doc_id}", r.doc_id) for r in left)
+    mail = docs.limit(3).selectExpr("doc_id", "'write a@b.co' as text", "lang", "source", "n_chars", "_row", "_clean", "key")
+    assert {(r.text, r._clean[0], r.n_chars) for r in got["pii"](spark, mail, str(tmp_path)).collect()} == {("write <EMAIL>", "c", 13)}
+
+
+def test_empty_table_passes_every_stage(spark, tmp_path):
+    spark.createDataFrame([(1, "a b")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
