@@ -6,7 +6,9 @@
 4. ``pii`` replaces identifiers in the texts by their kind.
 5. ``packing`` gives each piece of a document its place in a sequence.
 
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, whatever further ones it
+has. A null text has no words (so the rules reject it); repeated rows are copies, of
+which one stays; an empty table passes through every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -35,12 +37,15 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with identifiers replaced; ``n_chars`` follows where the text changed."""
-    clean = docs.withColumn("_clean", pii.redact(F.col("text")))
-    changed = ~F.col("_clean").eqNullSafe(F.col("text"))
+    """Texts with identifiers replaced; ``n_chars`` follows where the text changed. Null texts, and all other columns, stay as they are."""
+    new = "_clean"
+    while new in docs.columns:
+        new += "_"
+    clean = docs.withColumn(new, pii.redact(F.col("text")))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(changed, F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return clean.withColumn("text", F.col("_clean")).select(*docs.columns)
+        changed = ~F.col(new).eqNullSafe(F.col("text"))
+        clean = clean.withColumn("n_chars", F.when(changed, F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return clean.withColumn("text", F.col(new)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
