@@ -3,14 +3,19 @@ analyze pipeline on real function text (E1, E5, V9–V11, F8–F15, A6, A7, S11,
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import clusters as C
+from ..operators import history as H
 from ..operators import risk as R
 from ..operators import vectors as V
-from ..session import materialize
-from .catalog import query
+from ..session import ensure_checkpoint_dir, materialize
+from ..sources import sinks as SK
+from . import q_graph  # noqa: F401  (its queries are used below)
+from .catalog import QUERIES, SQL, query
 from .sqlgen import sql_render
 from .fixtures import cte, fx
 
@@ -142,6 +147,61 @@ def analyze_warnings(spark, sf_dir):
                     "risk_level", F.round("risk_score", 6).alias("risk_score"), "explanation")
 
 
+# Warnings as they are stored: lines of the function, the matched commit's author, message and date, the file's dependency risk.
+_STORED_SQL = _RANKED_SQL + """,
+g AS (SELECT concat('m', substr(file_path, 2), '.py') AS file_path, graph_risk_score FROM (""" + SQL["graph_risk"] + """) gr),
+sw AS (SELECT sha256(concat_ws('|', hr.query_sha, fq.file_path, fq.function_name, hr.commit_sha)) AS id, hr.repo_id, fq.function_name, fq.file_path,
+         fq.seq % 100 + 1 AS start_line, fq.seq % 100 + 1 + fq.seq % 17 AS end_line, hr.risk_level, hr.score AS similarity_score,
+         hr.commit_sha AS matched_commit_sha, c.author AS matched_author, c.message AS matched_message,
+         TIMESTAMP '2024-01-01' + to_minutes(c.seq) AS matched_date, hr.outcome, hr.explanation,
+         concat('The historical code was ', hr.outcome, '.') AS historical_context,
+         'Review the matched historical commit and verify your changes.' AS suggested_action, coalesce(g.graph_risk_score, 0) AS graph_risk_score
+       FROM hr JOIN fx_functions fq ON fq.seq = hr.query_seq JOIN fx_commits c ON c.repo_id = hr.repo_id AND c.sha = hr.commit_sha
+       LEFT JOIN g ON g.file_path = fq.file_path)
+"""
+_STORED = ["id", "repo_id", "function_name", "file_path", "start_line", "end_line", "risk_level", "similarity_score", "matched_commit_sha", "matched_author",
+           "matched_message", "matched_date", "outcome", "explanation", "historical_context", "suggested_action", "graph_risk_score"]
+
+
+def _stored(spark, sf_dir):
+    """The warnings of the replay, written twice (a job that is run again) and read back by id."""
+    f = _functions(spark, sf_dir).withColumn("start_line", F.col("seq") % 100 + 1).withColumn("end_line", F.col("seq") % 100 + 1 + F.col("seq") % 17)
+    c = (fx(spark, sf_dir, "fx_commits").withColumn("bug_ids", F.array_compact(F.array("bug_id")))
+         .withColumn("date", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("seq"))))
+    ranked = R.rank_matches(_vectors(spark, sf_dir), R.collapse_commits(c), meta=f, threshold=THRESHOLD, limit=LIMIT, sparse=("indices", "values"))
+    graph = QUERIES["graph_risk"](spark, sf_dir).withColumn("file_path", F.concat(F.lit("m"), F.substr("file_path", F.lit(2)), F.lit(".py")))
+    w = materialize(R.assemble_warnings(ranked, f, graph_risk=graph))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/warnings-{uuid.uuid4().hex}"
+    for _ in range(2):
+        SK.write_table(w, path)
+    return spark.read.parquet(path).dropDuplicates(["id"])
+
+
+@query("stored_warnings", _STORED_SQL + "SELECT " + ", ".join(_STORED) + " FROM sw")
+def stored_warnings(spark, sf_dir):
+    """Whole warnings through the sink and back."""
+    return _stored(spark, sf_dir).select(*_STORED)
+
+
+@query("warning_hover", _STORED_SQL + """
+SELECT id, md5(concat('### Risk: ', risk_level, chr(10), chr(10), CAST(floor(similarity_score * 100 + 0.5) AS BIGINT), '% similar to commit `', substr(matched_commit_sha, 1, 7), '` (',
+  strftime(matched_date, '%Y-%m-%d'), ')', chr(10), chr(10), '**Outcome:** ', upper(outcome), chr(10), chr(10), '**Explanation:** ', explanation,
+  chr(10), chr(10), '**History:** ', historical_context, chr(10), chr(10), '**Advice:** ', suggested_action)) AS hover_md5 FROM sw
+""")
+def warning_hover(spark, sf_dir):
+    """the hover text of every stored warning."""
+    return H.hover_report(_stored(spark, sf_dir)).select("id", F.md5("hover").alias("hover_md5"))
+
+
+@query("warnings_in_files", _STORED_SQL + """
+SELECT id, repo_id, file_path, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY start_line, end_line, id) AS position,
+  count(*) OVER (PARTITION BY repo_id, file_path) AS n_in_file FROM sw
+""")
+def warnings_in_files(spark, sf_dir):
+    """The stored warnings, file by file."""
+    return H.warnings_in_files(_stored(spark, sf_dir)).select("id", "repo_id", "file_path", "position", "n_in_file")
+
+
 @query("risk_score", _RANKED_SQL + """
 SELECT query_seq, match_seq, score, outcome, weight, round(risk, 6) AS risk_score, rank FROM rk
 """)
@@ -233,9 +293,9 @@ def analyze_summary(spark, sf_dir):
 _REPLIES = """
 rp AS (SELECT conv_id, turn, role, text,
   CASE WHEN turn % 3 = 0 THEN concat('```json', chr(10), json_object('risk_level', CASE conv_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'MEDIUM' ELSE 'unsure' END,
-                                                                      'explanation', text, 'historical_context', role)::VARCHAR, chr(10), '```')
+                                                                      'explanation', text, 'historical_context', role, 'changes_made', json_array(role, 'turn'))::VARCHAR, chr(10), '```')
        WHEN turn % 3 = 1 THEN json_object('risk_level', CASE conv_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'MEDIUM' ELSE 'unsure' END,
-                                          'explanation', text, 'historical_context', role)::VARCHAR
+                                          'explanation', text, 'historical_context', role, 'changes_made', json_array(role, 'turn'))::VARCHAR
        ELSE text END AS reply
   FROM conversations)
 """
@@ -246,7 +306,7 @@ def _replies(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     lvl = F.when(F.col("conv_id") % 3 == 0, "high").when(F.col("conv_id") % 3 == 1, "MEDIUM").otherwise("unsure")
     js = F.to_json(F.struct(lvl.alias("risk_level"), F.col("text").alias("explanation"),
-                            F.col("role").alias("historical_context")))
+                            F.col("role").alias("historical_context"), F.array("role", F.lit("turn")).alias("changes_made")))
     reply = (F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
               .when(F.col("turn") % 3 == 1, js).otherwise(F.col("text")))
     return c.select("conv_id", "turn", "role", "text", reply.alias("reply"))
@@ -285,14 +345,16 @@ def explain_parse(spark, sf_dir):
 @query("fix_parse", "WITH " + _REPLIES + "," + _PARSE_BODY + """
 SELECT conv_id, turn, starts_with(body, '{') AND json_valid(body) AS success,
   md5(CASE WHEN starts_with(body, '{') AND json_valid(body) THEN coalesce(json_extract_string(body, '$.fixed_code'), '')
-           ELSE role END) AS fixed_code_md5
+           ELSE role END) AS fixed_code_md5,
+  CASE WHEN starts_with(body, '{') AND json_valid(body) THEN concat(json_extract_string(body, '$.changes_made[0]'), ',', json_extract_string(body, '$.changes_made[1]')) ELSE '' END AS changes_made
 FROM b2
 """)
 def fix_parse(spark, sf_dir):
     """fix replies parsed; on failure the safe version (here: the role text) is returned."""
     r = _replies(spark, sf_dir)
     p = S.fix_parse("reply", "role")
-    return r.select("conv_id", "turn", p["success"].alias("success"), F.md5(p["fixed_code"]).alias("fixed_code_md5"))
+    return r.select("conv_id", "turn", p["success"].alias("success"), F.md5(p["fixed_code"]).alias("fixed_code_md5"),
+                    F.array_join(p["changes_made"], ",").alias("changes_made"))
 
 
 @query("fix_requests", _RANKED_SQL + """,
