@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import reverts as RV
 from ..operators.risk import collapse_commits
+from ..session import ensure_checkpoint_dir
+from ..sources import events as EV
 from .catalog import query
 from .fixtures import cte, fx
 
@@ -131,8 +135,15 @@ SELECT event_id, kind, commit_sha, substr(commit_sha, 1, 7) AS short_sha,
 FROM fx_outcome_events
 """)
 def outcome_events_norm(spark, sf_dir):
-    """Outcome events normalised to (kind, sha, bug reference, effect)."""
-    e = fx(spark, sf_dir, "fx_outcome_events")
+    """Outcome event bodies, read as JSON lines and normalised to (kind, sha, bug reference, effect)."""
+    given = fx(spark, sf_dir, "fx_outcome_events")
+    is_pr = F.col("kind") == "pull_request"
+    body = F.struct("event_id", "ts", "kind", F.when(~is_pr, F.col("commit_sha")).alias("commit_sha"), "pipeline",
+                    F.when(F.col("closed"), "closed").otherwise("opened").alias("action"),
+                    F.when(is_pr, F.struct("merged", F.struct(F.col("commit_sha").alias("sha")).alias("head"))).alias("pull_request"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/outcome-events-{uuid.uuid4().hex}"
+    given.select(F.to_json(body).alias("value")).write.text(path)
+    e = EV.normalize_outcome_events(EV.read_outcome_events(spark, path))
     return e.select("event_id", "kind", "commit_sha", S.short_sha("commit_sha").alias("short_sha"),
                     F.when(F.col("kind") == "ci", S.ci_bug_ref("pipeline", "commit_sha")).alias("bug_ref"),
                     F.col("kind").isin("revert", "ci", "pull_request", "push").alias("tracked"),

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import diffs as D
 from ..operators import reverts as RV
 from ..operators import vectors as V
+from ..session import ensure_checkpoint_dir
 from ..sources import commits as SC
+from ..sources import keyed as KS
 from ..sources import sinks as SK
 from .catalog import query
 from .fixtures import cte, fx, table
@@ -146,3 +150,23 @@ def vector_scan_preview(spark, sf_dir):
     return (f.select("seq", F.substring("commit_sha", 1, 12).alias("sha12"), "function_name", "file_path",
                      F.substring("code_body", 1, 80).alias("body80"))
              .orderBy("seq").limit(20))
+
+
+@query("keyed_commits", cte("fx_commits") + """,
+w AS (SELECT repo_id, sha, author, revert_status, seq FROM fx_commits WHERE seq % 3 <> 0
+      UNION ALL SELECT repo_id, sha, author, NOT revert_status, seq + 100000 FROM fx_commits WHERE seq % 3 = 1
+      UNION ALL SELECT repo_id, sha, author, revert_status, seq + 300000 FROM fx_commits WHERE seq % 4 = 0),
+l AS (SELECT repo_id, sha, arg_max(author, seq) AS author, arg_max(revert_status, seq) AS revert_status, max(seq) AS seq FROM w GROUP BY repo_id, sha)
+SELECT * FROM l WHERE repo_id <> 'repo2' OR seq > 200000
+""")
+def keyed_commits(spark, sf_dir):
+    """Commits through the keyed sink: stored, a flag turned by a later write, a repository deleted, some sent again, then compacted."""
+    c = fx(spark, sf_dir, "fx_commits").select("repo_id", "sha", "author", "revert_status", F.col("seq").cast("long").alias("seq"))
+    path, keys, scope = f"{ensure_checkpoint_dir(spark).rstrip('/')}/commits-{uuid.uuid4().hex}", ["repo_id", "sha"], ["repo_id"]
+    turned = c.where("seq % 3 = 1").withColumn("revert_status", ~F.col("revert_status")).withColumn("seq", F.col("seq") + 100000)
+    for name, rows in (("first", c.where("seq % 3 <> 0")), ("turned", turned), ("turned", turned)):
+        KS.upsert(rows, path, keys, name, buckets=8)
+    KS.delete(c.where("repo_id = 'repo2'").select("repo_id").distinct().withColumn("seq", F.lit(200000).cast("long")), path, "repo2")
+    KS.upsert(c.where("seq % 4 = 0").withColumn("seq", F.col("seq") + 300000), path, keys, "again", buckets=8)
+    KS.compact(spark, path, keys, "seq", scope, buckets=8)
+    return KS.read(spark, path, keys, "seq", scope).select("repo_id", "sha", "author", "revert_status", "seq")

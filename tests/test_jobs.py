@@ -68,3 +68,29 @@ def test_commits_sent_again_count_once(spark):
     assert {tuple(r) for r in J.backfill(spark, batches.unionByName(doubled), twice).collect()} == want
     count = lambda store, name: spark.read.parquet(f"{store}/{name}").count()
     assert all(count(once, t) == count(twice, t) > 0 for t in ("vectors", "commits"))
+
+
+def test_push_reverts_dates_and_functions_without_words(spark):
+    store = tempfile.mkdtemp(prefix="rl-push-")
+    body = "def f_{0}(a):\n    total = a + {0}\n    return total\n\ndef g():\n    return 1\n"
+    diff = "@@ -1,3 +1,6 @@\n+def f(a):\n+    total = a\n+    return total\n+\n+def g():\n+    return 1\n"
+    batch = lambda sha, i: spark.createDataFrame([("r", sha, "dev", f"change {i}", i, [("a.py", "python", diff, body.format(i)), ("b.ts", "typescript", diff, "const _ = () => {}\n" * 2)])],
+                                                 "repo_id string, commit_sha string, author string, message string, seq long, diffs array<struct<file_path string, language string, diff string, file_content string>>")
+    assert J.analyze(spark, batch("a" * 40, 1), store).count() == 0
+    push = spark.createDataFrame([(1, None, "push", None, None, False, False, [("b" * 40, "This reverts commit " + "a" * 40)])],
+                                 "event_id long, ts timestamp_ntz, kind string, commit_sha string, pipeline string, merged boolean, closed boolean, push_commits array<struct<id string, message string>>")
+    J.record_outcome_events(push, store)
+    by = {search: J.analyze(spark, batch(c * 40, i), store, search=search).collect() for c, i, search in (("c", 2, "index"), ("d", 3, "exact"))}
+    assert all(len(w) > 0 and all(x.outcome == "reverted" and x.matched_date is not None and x.matched_commit_sha == "a" * 40 for x in w) for w in by.values())
+    assert J.statistics(spark, store).first().duplicate_clusters >= 1
+
+
+def test_files_of_a_commit_sent_in_parts_are_united(spark):
+    store = tempfile.mkdtemp(prefix="rl-parts-")
+    diff, code = "@@ -0,0 +1,2 @@\n+def f():\n+    return 1\n", "def {}():\n    return one\n"
+    row = lambda files: ("r", [("a" * 40, "m", "dev", [(p, "python", d, code.format(p[0])) for p, d in files])])
+    sent = [row([]), row([("x.py", diff)]), row([("y.py", diff), ("x.py", "")])]
+    schema = "repo_id string, commits array<struct<sha string, message string, author string, diffs array<struct<file_path string, language string, diff string, file_content string>>>>"
+    got = J.backfill(spark, spark.createDataFrame(sent, schema), store).first()
+    assert (got.commits_with_diffs, got.commits_skipped, got.functions_embedded) == (1, 0, 2)
+    assert {r.file_path for r in spark.read.parquet(f"{store}/vectors").collect()} == {"x.py", "y.py"}
