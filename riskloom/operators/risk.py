@@ -98,14 +98,24 @@ def rank_matches(vectors: DataFrame, commits: DataFrame, *,
         top = cosine_topk(queries, vectors, key_cols=["repo_id"], id_col=id_col,
                           threshold=threshold, k=2 * limit,
                           asof_col=(order_col or id_col) if asof else None, block_rows=block_rows, sparse=sparse)
+    return rerank(fetched_matches(top, meta, id_col), commits, limit)
+
+
+def fetched_matches(top: DataFrame, meta: DataFrame, id_col: str = "seq") -> DataFrame:
+    """A search's rows with both commits and the match's place; matches of the query's own commit are left out (V4)."""
     top = top.withColumnRenamed("rank", "fetch_rank")
     mid = vector_id(meta, id_col)
     qmeta = meta.select("repo_id", mid.alias("query_id"), F.col("commit_sha").alias("query_sha"))
     hmeta = meta.select("repo_id", mid.alias("match_id"), "commit_sha",
                         "function_name", "file_path")
-    m = (top.join(qmeta, ["repo_id", "query_id"]).join(hmeta, ["repo_id", "match_id"])
+    return (top.join(qmeta, ["repo_id", "query_id"]).join(hmeta, ["repo_id", "match_id"])
             .where(F.col("commit_sha") != F.col("query_sha")))          # V4
-    m = enrich_matches(m, commits)                                       # V5
+
+
+def rerank(fetched: DataFrame, commits: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """V5–V8 of fetched matches (repo_id, query_id, match_id, score, fetch_rank, commit_sha, ...): outcome, one match
+    per commit, order by risk, the first ``limit``. What a later outcome changes starts here again."""
+    m = enrich_matches(fetched, commits)                                 # V5
     w_commit = Window.partitionBy("repo_id", "query_id", "commit_sha").orderBy("fetch_rank")
     m = m.withColumn("_k", F.row_number().over(w_commit)).where("_k = 1")  # V6
     w_rank = Window.partitionBy("repo_id", "query_id").orderBy(F.desc("risk_score"), "fetch_rank")
