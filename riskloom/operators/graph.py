@@ -92,6 +92,25 @@ def shared_reverted(uses: DataFrame, modifies: DataFrame, item_col: str, keys=()
                 .select(*keys, "file_path", item_col, "other_file", *sha))
 
 
+def shared_groups(uses: DataFrame, modifies: DataFrame, item_col: str, keys=()) -> DataFrame:
+    """G2/G3/J7 factorised: a row per use, (keys, item, file, reverted commits of the file), with the item's number
+    of files and of reverted ones. As many rows as uses; ``shared_of`` makes the pairs of the files asked for."""
+    keys = list(keys)
+    per_file = reverted_files(modifies, keys).groupBy(*keys, "file_path").agg(F.count(F.lit(1)).alias("n_reverted_commits"))
+    x = (uses.select(*keys, item_col, "file_path").distinct().join(per_file, [*keys, "file_path"], "left")
+             .withColumn("n_reverted_commits", F.coalesce("n_reverted_commits", F.lit(0))))
+    sizes = x.groupBy(*keys, item_col).agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("n_reverted_commits") > 0).alias("n_reverted_files"))
+    return x.join(sizes, [*keys, item_col]).select(*keys, item_col, "file_path", "n_reverted_commits", "n_files", "n_reverted_files")
+
+
+def shared_of(groups: DataFrame, files: DataFrame, item_col: str, keys=()) -> DataFrame:
+    """(keys, file, item, other file): the reverted files that share an item with one of ``files`` (keys, file_path)."""
+    keys = list(keys)
+    asked = groups.where(F.col("n_reverted_files") > 0).join(files.select(*keys, "file_path").distinct(), [*keys, "file_path"], "left_semi")
+    other = groups.where(F.col("n_reverted_commits") > 0).select(*keys, item_col, F.col("file_path").alias("other_file"))
+    return asked.select(*keys, item_col, "file_path").join(other, [*keys, item_col]).where(F.col("file_path") != F.col("other_file"))
+
+
 def shared_item_flags(uses: DataFrame, modifies: DataFrame, item_col: str, keys=()) -> DataFrame:
     """Per file: does some other reverted-modified file use one of its items?
     Linear min/max rewrite of ``shared_reverted`` (no file x file pairs)."""
@@ -131,6 +150,21 @@ def blast_radius_count(imports: DataFrame, keys=(), max_hops: int = 3) -> DataFr
     return d.groupBy(*keys, "file_path").agg(F.count(F.lit(1)).alias("blast_radius"))
 
 
+def blast_radius_estimate(imports: DataFrame, keys=(), max_hops: int = 3, lg_k: int = 12, src_col="src", dst_col="dst") -> DataFrame:
+    """G4/G7 without the reachability sets: a file's dependents within h hops are its importers and theirs within
+    h - 1, and HyperLogLog sketches of such sets merge. Each hop is one join of the edges with a sketch per file, so a
+    hub costs one sketch per edge instead of its dependents. Small sets (some hundreds at ``lg_k`` 12) are counted
+    exactly, for others the standard error is 1.04 / sqrt(2^lg_k); ``blast_radius_count`` gives exact counts."""
+    keys = list(keys)
+    e = imports.select(*keys, F.col(src_col).alias("dep"), F.col(dst_col).alias("x")).distinct()
+    direct = e.groupBy(*keys, "x").agg(F.hll_sketch_agg("dep", F.lit(lg_k)).alias("s"))
+    reach = direct
+    for _ in range(max_hops - 1):
+        further = e.join(reach.withColumnRenamed("x", "dep"), [*keys, "dep"]).select(*keys, "x", "s")
+        reach = direct.unionByName(further).groupBy(*keys, "x").agg(F.hll_union_agg("s").alias("s"))
+    return reach.select(*keys, F.col("x").alias("file_path"), F.hll_sketch_estimate("s").alias("blast_radius"))
+
+
 def dependents_exceed(imports: DataFrame, n: int = 3, max_hops: int = 3, keys=(),
                       src_col="src", dst_col="dst") -> DataFrame:
     """(keys, file_path, many): does the file have more than ``n`` distinct

@@ -50,6 +50,38 @@ def shared_reverted_apis(spark, sf_dir):
     return G.shared_reverted(g["calls_api"], g["modifies"], "url", commits=False)
 
 
+_GROUPS = """,
+rv AS (SELECT file_path, count(DISTINCT sha) AS n FROM fx_modifies WHERE is_reverted GROUP BY file_path),
+gr AS (SELECT table_name, u.file_path, coalesce(rv.n, 0) AS n_reverted_commits FROM fx_uses_table u LEFT JOIN rv ON rv.file_path = u.file_path)
+"""
+
+
+@query("shared_table_groups", _GRAPH + _GROUPS + """
+SELECT *, count(*) OVER (PARTITION BY table_name) AS n_files, count(*) FILTER (WHERE n_reverted_commits > 0) OVER (PARTITION BY table_name) AS n_reverted_files FROM gr
+""")
+def shared_table_groups(spark, sf_dir):
+    """G2/J7 factorised: every use of a table, with what a pair needs; rows linear in the uses."""
+    g = _g(spark, sf_dir)
+    return G.shared_groups(g["uses_table"], g["modifies"], "table_name")
+
+
+@query("shared_tables_of", _GRAPH + _SHARED + """
+SELECT DISTINCT table_name, file_path, other_file FROM srt WHERE CAST(substr(file_path, 2) AS BIGINT) % 100 = 0
+""")
+def shared_tables_of(spark, sf_dir):
+    """The pairs of the files asked for (a search's queries: every hundredth file), from the groups."""
+    g = _g(spark, sf_dir)
+    groups = G.shared_groups(g["uses_table"], g["modifies"], "table_name")
+    asked = g["uses_table"].where(F.expr("cast(substr(file_path, 2) as bigint) % 100 = 0")).select("file_path")
+    return G.shared_of(groups, asked, "table_name")
+
+
+@query("blast_radius_estimate", _GRAPH + _HOPS + "SELECT file_path, count(*) AS blast_radius FROM deps GROUP BY file_path")
+def blast_radius_estimate(spark, sf_dir):
+    """G4/G7 by merged sketches: exact for sets this small, within the sketch's error beyond."""
+    return G.blast_radius_estimate(_g(spark, sf_dir)["imports"])
+
+
 @query("reverted_neighbors", _GRAPH + _SHARED + """
 SELECT file_path, array_to_string(list_sort(list(DISTINCT concat(other_file, ' (commit ', substr(reverted_sha, 1, 7), ')'))), ';') AS neighbors
 FROM srt GROUP BY file_path

@@ -30,3 +30,13 @@ def test_dependents_run_on_resolved_paths(spark):
     edges = IM.file_edges(IM.resolve_imports(imports, files))
     resolved = {r.file_path: r.blast_radius for r in G.blast_radius_count(edges, keys=["repo_id"]).collect()}
     assert raw.get("b/index.ts", 0) == 0 and resolved["b/index.ts"] == 2 and resolved["react"] == 2
+
+
+def test_sketched_radius_of_a_hub_is_within_its_error(spark):
+    from pyspark.sql import functions as F
+
+    hub = (spark.range(60_000).select(F.concat(F.lit("a"), "id").alias("src"), F.lit("hub").alias("dst"))
+           .unionByName(spark.createDataFrame([("hub", "base"), ("hub", "other"), ("base", "root"), ("root", "hub")], "src string, dst string")))
+    got = {r.file_path: r.blast_radius for r in G.blast_radius_estimate(hub).collect()}
+    want = {r.file_path: r.blast_radius for r in G.blast_radius_count(hub).collect()}
+    assert got.keys() == want.keys() and all(abs(got[f] - n) <= 0.05 * n for f, n in want.items()) and want["root"] > 60_000
