@@ -77,22 +77,20 @@ def write_token_files(docs: DataFrame, root: str, tokenizer: str, kind: str = "b
                     [pa.FixedSizeListArray.from_arrays(pa.array(x), type=t) for x, t in zip((ids, mask), schema.types)],
                     schema=schema))
 
+            size = BATCH_SEQS * seq_len
             for batch in batches:
-                starts, counts = [], []
-                for text in batch["text"]:
-                    ids = np.frombuffer(enc.encode(text.as_py() or "", end_id), "<u4")
-                    if id_bytes == 2 and len(ids) and ids.max() > 0xFFFF:
-                        raise ValueError("ids over 65,535: use id_bytes=4")
-                    rest = np.concatenate([rest, ids.astype(dtype)])
-                    starts.append(total)
-                    counts.append(len(ids))
-                    total += len(ids)
-                    size = BATCH_SEQS * seq_len
-                    while len(rest) >= size:
-                        put(rest[:size], size)
-                        rest, n_seqs = rest[size:], n_seqs + BATCH_SEQS
-                n_docs += batch.num_rows
-                places.write_batch(pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=_DOCS))
+                encoded = [enc.encode(text.as_py() or "", end_id) for text in batch["text"]]
+                counts = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
+                ids = np.frombuffer(b"".join(encoded), "<u4")
+                if id_bytes == 2 and len(ids) and ids.max() > 0xFFFF:
+                    raise ValueError("ids over 65,535: use id_bytes=4")
+                places.write_batch(pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(total + np.cumsum(counts) - counts), pa.array(counts)], schema=_DOCS))
+                total, n_docs = total + len(ids), n_docs + batch.num_rows
+                rest = np.concatenate([rest, ids.astype(dtype)])
+                whole = len(rest) // size
+                for i in range(whole):
+                    put(rest[i * size:(i + 1) * size], size)
+                rest, n_seqs = rest[whole * size:], n_seqs + whole * BATCH_SEQS
             if len(rest):
                 last = -(-len(rest) // seq_len)
                 put(np.pad(rest, (0, last * seq_len - len(rest))), len(rest))

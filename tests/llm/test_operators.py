@@ -199,13 +199,14 @@ def test_components(spark):
 ODD = ["a  b\n\n c\t d \x1c e f  ", "  lead", "Σας ΟΔΟΣ. x<|endoftext|> y", "don't I'll  \u3000x  ", "a,'s b.'t x²,3½! e\u0301, _a_, 12a, it's,'s", "İ I\u0307 KÅ A\u030a.", ""]
 
 
-def test_pieces_encode_as_whole_texts():
-    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
-        whole = Tokenizer.from_file(public_tokenizers.path(name))
-        whole.encode_special_tokens = True
-        for text in [*ODD, *(t for _, t in corpus() if t)]:
-            ids = whole.encode(text, add_special_tokens=False).ids + [0]
-            assert tokens.encoder(public_tokenizers.path(name), kind).encode(text) == struct.pack(f"<{len(ids)}I", *ids), text[:60]
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_pieces_encode_as_whole_texts(name, kind):
+    whole, rng = Tokenizer.from_file(public_tokenizers.path(name)), random.Random(8)
+    pools = ["abc,.;:!?|()'\" \n", "aA sS'tT12  ", "İıſÀé.,! \u0301\u0307", "".join(map(chr, range(32, 1400))), "".join(map(chr, range(0x0900, 0x0980))) + " .,a", "<|endoftx>a ", "日本語한ไท😀\u200d\ufe0f x.", "\x1c\x1d\u2003\u2000\x85 \t\na."]
+    odd = [*ODD, "a<|endoftext|>b", " <|startoftext|> <|endoftext|>", "<|endoftext", "İ. क़. \u0958.", "x\u0301,"]
+    for text in [*odd, *(t for _, t in corpus() if t), *("".join(rng.choices(rng.choice(pools), k=rng.randint(0, 50))) for _ in range(10000))]:
+        ids = whole.encode(text, add_special_tokens=False).ids + [0]
+        assert tokens.encoder(public_tokenizers.path(name), kind).encode(text) == struct.pack(f"<{len(ids)}I", *ids), text[:60]
 
 
 def test_token_files_round_trip(spark, frame):
