@@ -12,9 +12,10 @@ A query probes its own bucket and those that differ in one of its ``probes``
 least certain bits. Each (key, bucket) is scored exactly in blocks by the same
 matrix product as the exact search, keeps at most k rows per query, and the
 buckets' rows are merged per query: scores and order are exact, only recall is
-approximate. Small buckets are scored many to a group; those with more than ``block_rows`` rows are cut into blocks, so
-copies of one vector that fill a bucket are many bounded tasks; their list, at
-most rows / ``block_rows`` entries, is all that is joined to the vectors.
+approximate. Small buckets are scored many to a group; those with more than ``group_rows`` rows are cut into blocks of
+that many, so copies of one vector that fill a bucket are many bounded tasks; their list, at
+most rows / ``group_rows`` entries, is all that is joined to the vectors. A worker scores
+``block_rows`` by ``block_rows`` of them at a time and gives k rows per query and block.
 
 Rows without a vector (null, or no non-zero entry) are in no bucket.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import read_if_written
-from .vectors import DEFAULT_LIMIT, DEFAULT_THRESHOLD, DIMS, _matrix, _vec_cols, best_in_block, has_vector, vector_id
+from .vectors import DEFAULT_LIMIT, DEFAULT_THRESHOLD, DIMS, GROUP_ROWS, _matrix, _vec_cols, best_in_block, best_in_group, few, has_vector, vector_id
 
 @dataclass(frozen=True)
 class LshPlan:
@@ -116,10 +117,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame | None:
     return None if rows is None else rows.drop("batch")
 
 
-def crowded(rows: DataFrame, keys: list[str], block_rows: int, name: str) -> DataFrame:
+def crowded(sizes: DataFrame, keys: list[str], block_rows: int, name: str) -> DataFrame:
     """The buckets of more than a block, with their number of blocks."""
-    return (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
-                .select(*keys, F.ceil(F.col("_n") / block_rows).cast("int").alias(name)))
+    return sizes.where(F.col("_n") > block_rows).select(*keys, F.ceil(F.col("_n") / block_rows).cast("int").alias(name))
 
 
 GROUP = ["_cell", "qb", "hb"]
@@ -131,11 +131,13 @@ def paired_blocks(queries: DataFrame, index: DataFrame, key_cols: list[str], blo
     Only buckets that a query probes are read, from the shards that hold them."""
     keys = [*key_cols, "_bucket"]
     fields = [*keys, "_id", "_ord", *[c for c in ("_i", "_x", "_v") if c in queries.columns]]
-    if index is not queries:
-        index = index.join(queries.select("shard").distinct(), "shard", "left_semi").join(queries.select(*keys).distinct(), keys, "left_semi")
+    # the buckets and their sizes are made once; short lists of them are broadcast, so the vectors move once, to their groups
+    sizes = few(queries.groupBy(*keys, "shard").agg(F.count(F.lit(1)).alias("_n")))
+    nq = few(crowded(sizes, keys, block_rows, "_nq"))
+    index = index.join(few(sizes.select("shard").distinct()), "shard", "left_semi").join(sizes.select(*keys), keys, "left_semi")
+    nh = few(crowded(index.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, block_rows, "_nh"))
     q, h = queries.select(*fields), index.select(*fields)
-    nq, nh = crowded(q, keys, block_rows, "_nq"), crowded(h, keys, block_rows, "_nh")
-    cells = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = max(1024, 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     place = F.xxhash64(*keys)
 
     def blocks(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
@@ -165,10 +167,10 @@ class Side:
         return out
 
 
-def buckets_of(q: pa.Table, h: pa.Table, keys: list[str], dims: int, rows: int) -> Iterator[tuple[Side, Side, np.ndarray, np.ndarray, np.ndarray]]:
+def buckets_of(q: pa.Table, h: pa.Table, keys: list[str], dims: int, rows: int) -> Iterator[tuple[Side, Side, np.ndarray, np.ndarray, np.ndarray | None]]:
     """For each bucket on both sides: the sides, its rows there (the right ones in id order) and their scores.
 
-    The vectors of small buckets are laid out together, ``rows`` rows at a time.
+    The vectors of small buckets are laid out together, ``rows`` rows at a time. A bucket of more rows has no scores yet.
     """
     left, right, code = Side(q, dims), Side(h, dims), np.zeros(len(q) + len(h), np.int64)
     for c in keys:
@@ -185,6 +187,10 @@ def buckets_of(q: pa.Table, h: pa.Table, keys: list[str], dims: int, rows: int)
         hi = lo + 1
         while hi < len(both) and q1[hi] - q0[lo] <= rows and h1[hi] - h0[lo] <= rows:
             hi += 1
+        if max(q1[lo] - q0[lo], h1[lo] - h0[lo]) > rows:
+            yield left, right, at_q[q0[lo]:q1[lo]], at_h[h0[lo]:h1[lo]], None
+            lo = hi
+            continue
         mq, mh = left.matrix(at_q[q0[lo]:q1[hi - 1]]), right.matrix(at_h[h0[lo]:h1[hi - 1]])
         for i in range(lo, hi):
             yield (left, right, at_q[q0[i]:q1[i]], at_h[h0[i]:h1[i]], mq[q0[i] - q0[lo]:q1[i] - q0[lo]] @ mh[h0[i] - h0[lo]:h1[i] - h0[lo]].T)
@@ -192,7 +198,7 @@ def buckets_of(q: pa.Table, h: pa.Table, keys: list[str], dims: int, rows: int)
 
 
 def search(queries: DataFrame, index: DataFrame, *, key_cols: list[str] = ("repo_id",), k: int = DEFAULT_LIMIT, threshold: float = DEFAULT_THRESHOLD,
-           asof: bool = False, exclude_same_id: bool = True, block_rows: int = 2048, dims: int = DIMS) -> DataFrame:
+           asof: bool = False, exclude_same_id: bool = True, block_rows: int = 2048, dims: int = DIMS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(key_cols, query_id, match_id, score, rank): the k best matches at or above ``threshold`` among the rows that share a bucket.
 
     ``queries`` are rows of ``bucketed(..., probing=True)``, ``index`` rows of
@@ -207,16 +213,21 @@ def search(queries: DataFrame, index: DataFrame, *, key_cols: list[str] = ("repo
         at_q, at_h, scores = [], [], []
         if len(q) and len(h):
             for left, right, i, j, s in buckets_of(q, h, keys, dims, block_rows):
-                rows, cols = best_in_block(s, left.ids[i], right.ids[j], left.order[i] if asof else None, right.order[j] if asof else None, k, threshold, exclude_same_id)
+                told = left.ids[i], right.ids[j], left.order[i] if asof else None, right.order[j] if asof else None, k, threshold, exclude_same_id
+                if s is None:
+                    rows, cols, found = best_in_group(lambda x, i=i: left.matrix(i[x]), lambda x, j=j: right.matrix(j[x]), *told, block_rows)
+                else:
+                    rows, cols = best_in_block(s, *told)
+                    found = s[rows, cols]
                 if len(rows):
                     at_q.append(i[rows])
                     at_h.append(j[cols])
-                    scores.append(s[rows, cols])
+                    scores.append(found)
         at_q, at_h, scores = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((at_q, np.int64), (at_h, np.int64), (scores, np.float64)))
         out, other = q.take(pa.array(at_q)), h.take(pa.array(at_h))
         return pa.table({**{c: out[c] for c in key_cols}, "q_id": out["_id"], "h_id": other["_id"], "score": scores})
 
-    qx, hx = paired_blocks(queries, index, key_cols, block_rows)
+    qx, hx = paired_blocks(queries, index, key_cols, group_rows)
     scored = qx.groupBy(*GROUP).cogroup(hx.groupBy(*GROUP)).applyInArrow(score, schema)
     # One exchange by query serves both the dedupe of pairs met in several buckets and the ranking.
     best = scored.repartition(*key_cols, "q_id").groupBy(*key_cols, "q_id", "h_id").agg(F.max("score").alias("score"))
