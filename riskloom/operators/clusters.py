@@ -6,13 +6,14 @@ pair list:
 
 1. exact copies collapse to one representative first (a clique of identical
    texts becomes one node);
-2. representatives meet in the buckets of random-plane signatures (``ann``). A bucket is scored in
-   bounded pairs of blocks by a matrix product, and each pair of blocks emits a
+2. representatives are cut into groups per repository (``vectors``), and every
+   pair of groups is one task: exact, so no link is missed. The pair is scored
+   in blocks by matrix products, and each block emits a
    star per local component (member -> smallest id; at most |Q| + |H| - 1
    edges), which connects what its links connect and already carries local
-   minima. Scores are exact; a link is missed only if its ends share no bucket
-   (``DUPLICATES.least_recall`` bounds that share from above), and then only
-   counts if no other path joins them;
+   minima. The work is quadratic in a repository's different texts: buckets of
+   random planes prune little, as hashed counts of natural text all point the
+   same way, and would send a row once per table and block;
 3. components come from min-label propagation with pointer jumping, one join
    round per iteration, lineage cut with ``checkpoint()`` into the session's
    checkpoint folder; the loop stops when no label changes.
@@ -28,7 +29,8 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..session import ensure_checkpoint_dir, materialize
-from .ann import GROUP, LshPlan, bucketed, buckets_of, crowded, paired_blocks
+from .ann import Side
+from .vectors import DIMS, GROUP_ROWS, _blocked, _vec_cols, has_vector, vector_id
 
 
 def exact_duplicates(df: DataFrame, *, keys=("repo_id",), id_col="seq", text_col="code_body") -> DataFrame:
@@ -40,19 +42,18 @@ def exact_duplicates(df: DataFrame, *, keys=("repo_id",), id_col="seq", text_col
              .where(F.col("n_copies") > 1))
 
 
-# Buckets for links at cosine 0.9, where a sign agrees with probability 0.856.
-DUPLICATES = LshPlan(bits=6, tables=10, probes=0)
-
-
 def _stars(adjacent: np.ndarray, q_ids: np.ndarray, h_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(member, smallest id of its component) of the graph between two lists of ids, by whole-matrix label passes."""
+    rows, cols = np.nonzero(adjacent)
+    if not len(rows):
+        return q_ids[:0], q_ids[:0]
     ids, at = np.unique(np.concatenate([q_ids, h_ids]), return_inverse=True)
-    qi, hi = at[:len(q_ids)], at[len(q_ids):]
-    none, label = len(ids), np.arange(len(ids))
+    qi, hi = at[:len(q_ids)][rows], at[len(q_ids):][cols]
+    label = np.arange(len(ids))
     while True:
         new = label.copy()
-        np.minimum.at(new, qi, np.where(adjacent, label[hi][None, :], none).min(axis=1))
-        np.minimum.at(new, hi, np.where(adjacent, new[qi][:, None], none).min(axis=0))
+        np.minimum.at(new, qi, label[hi])
+        np.minimum.at(new, hi, new[qi])
         new = new[new]
         if (new == label).all():
             moved = label != np.arange(len(ids))
@@ -61,36 +62,44 @@ def _stars(adjacent: np.ndarray, q_ids: np.ndarray, h_ids: np.ndarray) -> tuple[
 
 
 def similarity_forest(vectors: DataFrame, *, keys=("repo_id",), id_col="seq", vec_col="vector",
-                      threshold: float = 0.9, block_rows: int = 2048, plan: LshPlan = DUPLICATES,
-                      sparse: tuple[str, str] | None = None) -> DataFrame:
-    """Edges (keys, a, b) of the cosine >= threshold graph within each key, reduced per bucket (or pair of
-    blocks of a crowded one) to stars on local component minima."""
+                      threshold: float = 0.9, block_rows: int = 2048, group_rows: int = GROUP_ROWS,
+                      sparse: tuple[str, str] | None = None, dims: int = DIMS) -> DataFrame:
+    """Edges (keys, a, b) of the cosine >= threshold graph within each key, reduced per pair of
+    blocks to stars on local component minima. Exact: every pair of rows of a key is scored once."""
     keys = list(keys)
-    rows = bucketed(vectors, plan, keys, id_col, id_col, **({"sparse": sparse} if sparse else {"vec_col": vec_col}))
+    vec = {"sparse": sparse, "vec_col": None if sparse else vec_col}
+    rows = vectors.where(has_vector(**vec)).select(*keys, vector_id(vectors, id_col), F.lit(0).alias("_ord"), *_vec_cols(vectors, **vec))
     kind = rows.schema["_id"].dataType
     schema = T.StructType([vectors.schema[c] for c in keys] + [T.StructField("a", kind), T.StructField("b", kind)])
 
-    def stars(q: pa.Table, h: pa.Table) -> pa.Table:
-        first, a, b = [], [], []
+    def stars(key, q: pa.Table, h: pa.Table) -> pa.Table:
+        a, b = [], []
         if len(q) and len(h):
-            for left, right, i, j, s in buckets_of(q, h, [*keys, "_bucket"], plan.dims, block_rows):
-                if len(i) > 1 or len(j) > 1:
-                    x, y = _stars(s >= threshold, left.ids[i], right.ids[j])
-                    first.append(np.full(len(x), i[0]))
-                    a.append(x)
-                    b.append(y)
-        first = np.concatenate(first) if first else np.empty(0, np.int64)
-        ids = q["_id"].type
-        of = q.take(pa.array(first))
-        return pa.table({**{c: of[c] for c in keys}, "a": pa.array(np.concatenate(a) if a else [], ids), "b": pa.array(np.concatenate(b) if b else [], ids)})
-
-    # a bucket that is no more than a block meets itself, so its rows are sent once
-    bucket = [*keys, "_bucket"]
-    large = crowded(rows, bucket, block_rows, "_blocks").select(*bucket)
-    cells = 4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = rows.join(large, bucket, "left_anti").groupBy(F.pmod(F.xxhash64(*bucket), F.lit(cells)).alias("_cell")).applyInArrow(lambda t: stars(t, t), schema)
-    qx, hx = paired_blocks(*[rows.join(large, bucket, "left_semi")] * 2, keys, block_rows)
-    return small.unionByName(qx.groupBy(*GROUP).cogroup(hx.groupBy(*GROUP)).applyInArrow(stars, schema)).distinct()
+            left, right = Side(q, dims), Side(h, dims)
+            at_q, at_h = np.argsort(left.ids, kind="stable"), np.argsort(right.ids, kind="stable")
+            same = key[-2].as_py() == key[-1].as_py()   # a group with itself: each pair of its blocks once
+            for x in range(0, len(at_q), block_rows):
+                i = at_q[x:x + block_rows]
+                m = left.matrix(i)
+                for y in range(x if same else 0, len(at_h), block_rows):
+                    j = at_h[y:y + block_rows]
+                    member, least = _stars(m @ right.matrix(j).T >= threshold, left.ids[i], right.ids[j])
+                    a.append(member)
+                    b.append(least)
+        n, ids = sum(map(len, a)), q["_id"].type if len(q) else h["_id"].type
+        return pa.table({**{c: pa.array([v.as_py()] * n, v.type) for c, v in zip(keys, key)},
+                         **{c: pa.array(np.concatenate(x) if x else [], ids) for c, x in (("a", a), ("b", b))}})
+
+    rows = _blocked(rows, keys, "_id", block_rows, "_at", group_rows)
+    fields = [*keys, "_id", "_ord", *[c for c in ("_i", "_x", "_v") if c in rows.columns]]
+
+    def side(mine: str, other: str, first, last) -> DataFrame:
+        x = rows.withColumn(other, F.explode(F.sequence(first, last))).withColumn(mine, F.col("_at"))
+        return x.select(*[F.col(c).alias(c) for c in (*fields, "qb", "hb")])
+
+    group = [*keys, "qb", "hb"]
+    qx, hx = side("qb", "hb", F.col("_at"), F.col("_at_n") - 1), side("hb", "qb", F.lit(0), F.col("_at"))
+    return qx.groupBy(*group).cogroup(hx.groupBy(*group)).applyInArrow(stars, schema).distinct()
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, keys=()) -> DataFrame:
@@ -131,7 +140,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, *, ke
 
 def duplicate_clusters(df: DataFrame, vectors: DataFrame, *, keys=("repo_id",), id_col="seq",
                        text_col="code_body", threshold: float = 0.9, block_rows: int = 2048,
-                       sparse: tuple[str, str] | None = ("indices", "values"), plan: LshPlan = DUPLICATES) -> DataFrame:
+                       sparse: tuple[str, str] | None = ("indices", "values")) -> DataFrame:
     """(keys, id, cluster_id, cluster_size) for functions in clusters of >= 2
     (exact copies and near copies with cosine >= threshold)."""
     keys = list(keys)
@@ -139,9 +148,10 @@ def duplicate_clusters(df: DataFrame, vectors: DataFrame, *, keys=("repo_id",),
     h = materialize(df.select(*keys, F.col(id_col).alias("_id"), S.code_hash(text_col).alias("_h")))
     rep = h.groupBy(*keys, "_h").agg(F.min("_id").alias("_rep"))
     members = h.join(rep, [*keys, "_h"])
-    reps = vectors.join(rep.select(*keys, F.col("_rep").alias(id_col)), [*keys, id_col], "left_semi")
+    # read for the sizes and for both sides of the groups
+    reps = materialize(vectors.join(rep.select(*keys, F.col("_rep").alias(id_col)), [*keys, id_col], "left_semi"))
     forest = similarity_forest(reps, keys=keys, id_col=id_col, threshold=threshold, block_rows=block_rows,
-                               sparse=sparse, plan=plan)
+                               sparse=sparse)
     rep_nodes = rep.select(*keys, F.col("_rep").alias("node"))
     comp = connected_components(forest, rep_nodes, keys=keys)
     out = (members.join(comp.withColumnRenamed("node", "_rep"), [*keys, "_rep"])
