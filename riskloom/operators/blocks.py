@@ -164,7 +164,7 @@ def _js_blocks(files: DataFrame, ids: list[str]) -> DataFrame:
     first = F.get("next", F.lit(0))
     block = (first["kind"] == "{") & (F.trim(first["pre"]) == "") & F.get("next", F.lit(1)).isNotNull()
     ends = ev.where(F.col("kind").isin("(", "{", "[")).select(*ids, F.col("off").alias("scope"), F.get("next", F.lit(0))["off"].alias("closes"))
-    arrows = (arrows.withColumn("end", F.when(F.coalesce(block, F.lit(False)), F.get("next", F.lit(1))["off"] + 1)).join(ends, [*ids, "scope"], "left")
+    arrows = (arrows.withColumn("end", F.when(F.coalesce(block, F.lit(False)), F.get("next", F.lit(1))["off"] + 1)).join(ends.hint("merge"), [*ids, "scope"], "left")
               .withColumn("end", F.coalesce("end", F.least("stop", "closes"))))
     cols = [*ids, "name", "start", "end"]
     return calls.select(*cols).unionByName(arrows.select(*cols))
@@ -191,7 +191,7 @@ def _py_blocks(files: DataFrame, ids: list[str]) -> DataFrame:
     last = x.groupBy(*ids).agg(F.max(F.col("off") + F.length("code")).alias("last"))
     levels = lines.groupBy(*ids).agg(F.collect_set("indent").alias("levels"))   # a few per file
     defs = lines.where(F.col("code").rlike(_DEF)).withColumn("name", F.regexp_extract("code", _DEF, 2)).withColumn("start", F.col("off") + F.length(indent))
-    asks = (defs.join(levels, ids).withColumn("level", F.explode(F.filter("levels", lambda v: v <= F.col("indent"))))
+    asks = (defs.join(levels.hint("merge"), ids).withColumn("level", F.explode(F.filter("levels", lambda v: v <= F.col("indent"))))
             .select(*ids, "level", "n", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("ended"), "name", "start"))
     told = lines.select(*ids, F.col("indent").alias("level"), "n", F.lit(False).alias("asks"), F.col("ended").cast("long").alias("ended"))
     both = told.unionByName(asks, allowMissingColumns=True)
@@ -200,7 +200,7 @@ def _py_blocks(files: DataFrame, ids: list[str]) -> DataFrame:
     nxt = F.last(F.when(~F.col("asks"), F.struct("n", "ended")), ignorenulls=True).over(at)
     found = both.withColumn("next", nxt).where("asks")
     best = found.groupBy(*ids, "n", "name", "start").agg(F.min("next").alias("next"))
-    return best.join(last, ids).select(*ids, "name", "start", F.coalesce("next.ended", "last").alias("end"))
+    return best.join(last.hint("merge"), ids).select(*ids, "name", "start", F.coalesce("next.ended", "last").alias("end"))
 
 
 def function_blocks(files: DataFrame, id_cols: list[str], *, path_col: str = "file_path",
@@ -216,7 +216,9 @@ def function_blocks(files: DataFrame, id_cols: list[str], *, path_col: str = "fi
     code = src.select(*ids, (F.col("_lang") == "python").alias("_py"), _masked("_code", F.col("_lang") == "python").alias("_masked"))
     found = _py_blocks(code.where("_py"), ids).unionByName(_js_blocks(code.where("not _py"), ids))
     body = F.expr("substring(_code, start + 1, coalesce(end, length(_code)) - start)")
-    x = found.join(src.select(*ids, *keep, "_code"), ids).withColumn("body", F.regexp_replace(body, r"\s+$", ""))
+    # all sides lie by file already: merged there. Estimates know nothing of the length of the texts, so
+    # without the hint whole files are taken for a small table and sent through the driver
+    x = found.join(src.select(*ids, *keep, "_code").hint("merge"), ids).withColumn("body", F.regexp_replace(body, r"\s+$", ""))
     x = x.withColumn("start_line", (1 + _breaks(F.expr("left(_code, start)"))).cast("int"))
     x = x.withColumn("end_line", (F.col("start_line") + _breaks(F.col("body"))).cast("int"))
     order = Window.partitionBy(*ids).orderBy("start", F.desc("end"))
