@@ -134,7 +134,7 @@ def paired_blocks(queries: DataFrame, index: DataFrame, key_cols: list[str], blo
     # the buckets and their sizes are made once; short lists of them are broadcast, so the vectors move once, to their groups
     sizes = few(queries.groupBy(*keys, "shard").agg(F.count(F.lit(1)).alias("_n")))
     nq = few(crowded(sizes, keys, block_rows, "_nq"))
-    index = index.join(few(sizes.select("shard").distinct()), "shard", "left_semi").join(sizes.select(*keys), keys, "left_semi")
+    index = index.join(queries.select("shard").distinct(), "shard", "left_semi").join(sizes.select(*keys), keys, "left_semi")
     nh = few(crowded(index.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, block_rows, "_nh"))
     q, h = queries.select(*fields), index.select(*fields)
     cells = max(1024, 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
